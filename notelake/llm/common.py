@@ -34,7 +34,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/notelake-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Free a stored table that nothing reads any more."""
+    _drop(df.sparkSession, df.stored_at)
 
 
 def _drop(spark: SparkSession, path: str) -> None:

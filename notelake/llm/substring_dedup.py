@@ -204,7 +204,7 @@ def earlier_ranges(docs: DataFrame, size: int = WORDS, gram: int = GRAM, max_wid
 
     several = texts.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k")
     each = stored(texts.join(several, "k", "left_semi").select("k", "one.*").select("k", "doc_id", "dk", "lo", F.posexplode("ws").alias("i", "w")).selectExpr("k", "w", "doc_id", "dk", "lo + i AS lo"), "each")
-    first = each.groupBy("k", "w").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = stored(each.groupBy("k", "w").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     more = each.join(first, ["k", "w"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "dk", "lo", F.col("lo").alias("hi"))
     return later.unionByName(more)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import covered, mix, runs
-from .common import keyed, same_document, stored
+from .common import discard, keyed, same_document, stored
 
 LENGTH = 400
 SPAN = 256
@@ -163,7 +163,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, span: int = SPAN, hot
     bodies = keyed(docs)
     rows = stored(bodies.where(F.length("body") >= length).mapInArrow(_parsed(length, span), _PARSE), "parse")
     shared = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("f").alias("f0"), F.max("f").alias("f1")).where("n > 1")
-    met = stored(rows.join(shared.selectExpr("k", "f0 = f1 AS pure"), "k"), "met")
+    shared = stored(shared.selectExpr("k", "f0 = f1 AS pure"), "shared")  # apart from the join, which can then split a hot key
+    met = stored(rows.join(shared, "k"), "met")
+    discard(rows)
     mixed = met.where("NOT pure")
     texts = stored(
         mixed.groupBy("k", "f").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "dk", "lo", "hi", "b")).alias("one")).select("k", "f", "c", "one.*"), "texts"
@@ -178,13 +180,14 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, span: int = SPAN, hot
     shards = 1 + cut.count() // shard_rows
     some = cut.join(hot, "k", "left_anti").repartition(shards, "k").mapInArrow(_sorted_shards(length), _STARTS)
 
-    every = (
+    every = stored(
         cut.join(hot, "k", "left_semi")
         .withColumn("x", F.explode(F.expr("sequence(b - hi, b - lo)")))
         .withColumn("s", F.expr("concat(substring(phrase, length(phrase) - x + 1, x), substring(context, 1, %d - x))" % length))
-        .select("doc_id", "dk", "k", "c", (F.col("b") - F.col("x")).alias("lo"), F.xxhash64("s").alias("w"))
+        .select("doc_id", "dk", "k", "c", (F.col("b") - F.col("x")).alias("lo"), F.xxhash64("s").alias("w")),
+        "every",
     )
-    again = every.groupBy("k", "w").agg(F.sum("c").alias("n")).where("n > 1")
+    again = stored(every.groupBy("k", "w").agg(F.sum("c").alias("n")).where("n > 1"), "again")
     spread = every.where("c = 1").join(again, ["k", "w"], "left_semi").select("doc_id", "dk", "lo", F.col("lo").alias("hi"))
     return whole.unionByName(some).unionByName(spread)
 
