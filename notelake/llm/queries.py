@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import chat_examples, read_back
 from .common import table
+from .lm_score import lm_scores
 from .simhash import simhash_groups
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -18,6 +19,14 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def remainder(modulus: int):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), remainder(5) == 1)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -60,7 +69,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (op1_suffix_dedup, op3_substring_dedup, op4_chat_format, op5_simhash)
+_QUERIES = (op1_suffix_dedup, op2_lm_score, op3_substring_dedup, op4_chat_format, op5_simhash)
 _ORACLES: dict[str, str] = {"op4_chat_format": OP4_SQL}
 
 
