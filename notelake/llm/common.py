@@ -70,3 +70,8 @@ def same_document(a: DataFrame, b: DataFrame) -> Column:
 
 def fold(hash_id: Column, parts: int) -> Column:
     return F.pmod(hash_id, F.lit(parts))
+
+
+def remainder(modulus: int) -> Column:
+    """The fold of a document: crc32 of its doc_id as text."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus

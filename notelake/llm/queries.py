@@ -4,25 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_cnn import quality_scores
 from .chat_format import chat_examples, read_back
-from .common import table
+from .common import remainder, table
+from .decontaminate import benchmark_hits
 from .lm_score import lm_scores
+from .mixing import domain_of_labels, mixing_rates
+from .quality_rules import quality_verdicts
 from .simhash import simhash_groups
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .token_ids import read_tokens, token_files
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
-def remainder(modulus: int):
-    return F.crc32(F.col("doc_id").cast("string")) % modulus
-
-
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), remainder(5) == 1)
 
@@ -69,7 +71,28 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (op1_suffix_dedup, op2_lm_score, op3_substring_dedup, op4_chat_format, op5_simhash)
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", domain_of_labels().alias("domain"))
+    return mixing_rates(table(spark, sf_dir, "documents"), labels)
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(4) == 2)
+
+
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_tokens(token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+_QUERIES = (op1_suffix_dedup, op2_lm_score, op3_substring_dedup, op4_chat_format, op5_simhash, op6_mixing, op7_decontaminate, op8_quality_rules, op9_quality_classifier, op10_token_ids)
 _ORACLES: dict[str, str] = {"op4_chat_format": OP4_SQL}
 
 

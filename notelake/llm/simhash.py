@@ -56,7 +56,7 @@ def fingerprint(body: bytes, n: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(body.as_py()) for body in batch["body"]], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(prints)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["dk"], pa.array(prints)], names=["doc_id", "dk", "fp"])
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -183,17 +183,31 @@ def near_links(prints: DataFrame, bits: int = BITS, blocks: int = BLOCKS, group:
     return alone.unionByName(across).mapInArrow(_linked(bits), "a long, b long").distinct()
 
 
+def _grouped(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows (doc_id, dk, fp), and fp with its component's first doc_id and first row."""
+    prints = stored(keyed(docs).mapInArrow(_fingerprints, "doc_id long, dk long, fp long"), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "dk")
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("component_id"), F.min(row).alias("first")), "nodes")
+    groups = components(near_links(nodes.select("fp"), bits))
+    named = stored(nodes.join(groups, nodes["fp"] == groups["id"], "left").drop("id").withColumn("component", F.coalesce("component", "fp")), "named")
+    least = stored(named.groupBy("component").agg(F.min("component_id").alias("component_id"), F.min("first").alias("first")), "least")
+    return prints, stored(named.select("fp", "component").join(least, "component"), "components")
+
+
 def simhash_groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """Per row of ``docs``: doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable.
 
     A null or blank text has fingerprint zero, linked like any other. Null doc_ids are grouped but never name a
     component that has others. Other columns are not read.
     """
-    prints = stored(keyed(docs).mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    groups = components(near_links(nodes.select("fp"), bits))
-    named = nodes.join(groups, nodes["fp"] == groups["id"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = stored(named, "named")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = stored(named.join(least, "component").select("fp", "component_id"), "components")
+    prints, names = _grouped(docs, bits)
     return prints.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def simhash_unique(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """``docs``, all columns, one row of each component: that of the smallest doc_id (null last), then text hash."""
+    _, names = _grouped(docs, bits)
+    key = lambda c: F.coalesce(c.cast("long"), F.lit(-(2**63)))
+    first = names.select(key(F.col("first.doc_id")).alias("_id"), F.col("first.dk").alias("_dk")).distinct()
+    rows = docs.withColumns({"_id": key(F.col("doc_id")), "_dk": F.xxhash64("text")})
+    return rows.join(first, ["_id", "_dk"], "left_semi").dropDuplicates(["_id", "_dk"]).select(docs.columns)
