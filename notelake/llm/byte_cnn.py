@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import utf8
 
 SAMPLE_ROWS = 1_500
-SAMPLE_BYTES = 20_000
+SAMPLE_BYTES = 8_000
 FILTERS = 32
 EMBED = 8
 STEP = 4
@@ -103,13 +103,13 @@ class ByteCnn:
         ends = np.append(f["chunk"], len(f["response"]))[1:]
         step = np.stack([a + f["response"][a:b].argmax(0) for a, b in zip(f["chunk"], ends, strict=True)])
         g["bias"] = share.sum(0)
-        g["embed"], g["near"], g["far"] = np.zeros_like(p["embed"]), np.empty_like(p["near"]), np.empty_like(p["far"])
-        for j in range(FILTERS):
-            for name, rows in (("near", step[:, j]), ("far", step[:, j] + 1)):
-                g[name][:, j] = f["x"][rows].T @ share[:, j]
-                back = share[:, j, None] * p[name][:, j]
-                which = f["data"].reshape(-1, STEP)[rows]
-                np.add.at(g["embed"], which.ravel(), back.reshape(-1, EMBED))
+        bytes_at, backs = [], []
+        for name, rows in (("near", step), ("far", step + 1)):
+            g[name] = np.einsum("cfk,cf->kf", f["x"][rows], share)
+            backs.append((share[:, :, None] * p[name].T).reshape(-1, EMBED))
+            bytes_at.append(f["data"].reshape(-1, STEP)[rows].ravel())
+        at, back = np.concatenate(bytes_at), np.concatenate(backs)
+        g["embed"] = np.stack([np.bincount(at, back[:, e], 256) for e in range(EMBED)], 1)
         return g
 
     def fit(self, bodies: list[bytes], labels: np.ndarray, weights: np.ndarray, updates: int = UPDATES, seed: int = 11) -> ByteCnn:
