@@ -31,7 +31,7 @@ SHARD_TOKENS = 1 << 20
 END = 2
 MAGIC = b"NLWM0001"
 #: Entries of a worker's cache of encoded pieces.
-CACHE = 1_000_000
+CACHE = 1_500_000
 
 _FILES = "part int, seq int, before long, n_tokens long, content binary"
 _DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -141,9 +141,15 @@ def unpacked(content: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatri
     return doc_ids, np.frombuffer(blobs[2], "<i8"), WaveletMatrix(n, blobs[3:])
 
 
+#: A text with one of these is cut more carefully: doubled white space, and any but the space and the line break.
+_ODD = ("  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
+_MARKS = frozenset(",.;:!?")
+
+
 class Encoder:
-    """The tokenizer, behind a cache of pieces. A text is cut where a word is followed by one space and another word;
-    the byte-level pre-tokenizer always splits before such a space, so pieces can be encoded one by one."""
+    """The tokenizer, behind a cache of words. The byte-level pre-tokenizer always splits before a space that is
+    followed by something else, around a lone line break, and between letters and a mark; so words cut there can be
+    encoded one by one, and only once. Texts with other white space are cut at plain spaces only."""
 
     def __init__(self, path: str, end: int):
         self.tokenizer = Tokenizer.from_file(path)
@@ -151,10 +157,12 @@ class Encoder:
         self.bits = max(1, (max(self.tokenizer.get_vocab_size(), end + 1) - 1).bit_length())
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
         self.end = np.array([end], self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # ids of what stands between two spaces, with the space before it
+        self.exact: dict[str, bytes] = {}  # ids of other strings
 
     @staticmethod
     def pieces(text: str) -> list[str]:
+        """Any text, cut where one space stands between characters that are not white space."""
         parts = text.split(" ")
         out = parts[:1]
         for before, p in zip(parts, parts[1:]):  # noqa: B905
@@ -164,16 +172,75 @@ class Encoder:
                 out[-1] += " " + p
         return out
 
+    @staticmethod
+    def atoms(lines: str) -> list[str]:
+        """A text without spaces and odd white space, cut at line breaks and before a mark that ends a line."""
+        out = []
+        for i, s in enumerate(lines.split("\n")):
+            if i:
+                out.append("\n")
+            out += (s[:-1], s[-1]) if s[-1:] in _MARKS and s[:-1].isalpha() else (s,)
+        return out
+
+    def _encoded(self, words: list[str], glue: str, into: dict[str, bytes], before: str = "") -> None:
+        """Words of letters, many in one text: the pre-tokenizer splits them again, at half the cost of one by one."""
+        size = self.kind.itemsize
+        for at in range(0, len(words), 1_000):
+            some = words[at : at + 1_000]
+            e = self.tokenizer.encode(before + (glue + before).join(some), add_special_tokens=False)
+            of = np.array(e.word_ids)
+            ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)) * size
+            ids, ends = np.array(e.ids, self.kind).tobytes(), [0, *ends.tolist()]
+            step = 2 if glue else 1
+            if len(ends) != step * (len(some) - 1) + 2:  # not one stretch a word after all
+                into.update((w, self._one(before + w)) for w in some)
+                continue
+            into.update((w, ids[a:b]) for w, a, b in zip(some, ends[::step], ends[1::step], strict=False))
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _learn(self, words: set[str], heads: list[str], other: set[str]) -> None:
+        known, exact = self.known, self.exact
+        plain, marked, mixed = [], [], []
+        for w in words:
+            if w.isalpha():
+                plain.append(w)
+            elif w[-1] in _MARKS and w[:-1].isalpha():
+                marked.append(w)
+            else:
+                mixed.append((w, self.atoms(w)))
+        first = {own[0] for _, own in mixed}
+        stems = {w[:-1] for w in marked}.union(x for x in first if x.isalpha()).difference(known, plain)
+        self._encoded([*plain, *stems], "", known, " ")
+        rest = {a for _, own in mixed for a in own[1:]}.union(a for h in heads for a in self.atoms(h)).union(_MARKS, other)
+        rest.update(" " + x for x in first if not x.isalpha())
+        rest.difference_update(exact)
+        self._encoded([w for w in rest if w.isalpha()], "\n", exact)
+        for w in rest:
+            if not w.isalpha():
+                exact[w] = self._one(w)
+        for w in marked:
+            known[w] = known[w[:-1]] + exact[w[-1]]
+        for w, own in mixed:
+            known[w] = b"".join([known[own[0]] if own[0].isalpha() else exact[" " + own[0]], *(exact[a] for a in own[1:])])
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        new = list({p for own in cut for p in own}.difference(self.known))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, self.kind).tobytes()
-        out = [b"".join([self.known[p] for p in own]) + self.end for own in cut]
-        if len(self.known) > CACHE:
-            self.known.clear()
+        odd = [any(map(t.__contains__, _ODD)) or t[:1].isspace() or t[-1:].isspace() for t in texts]
+        cut = [self.pieces(t) if o else t.split(" ") for t, o in zip(texts, odd, strict=True)]
+        words: set[str] = set()
+        words.update(*(own[1:] for own, o in zip(cut, odd, strict=True) if not o))
+        self._learn(words.difference(self.known), [own[0] for own, o in zip(cut, odd, strict=True) if not o], {p for own, o in zip(cut, odd, strict=True) if o for p in own})
+        known, exact, out = self.known.__getitem__, self.exact.__getitem__, []
+        for own, o in zip(cut, odd, strict=True):
+            if o:
+                out.append(b"".join(map(exact, own)) + self.end)
+            else:
+                head = b"".join(map(exact, self.atoms(own[0])))
+                own[0] = ""
+                out.append(head + b"".join(map(known, own[1:])) + self.end)
+        if len(self.known) + len(self.exact) > CACHE:
+            self.known, self.exact = {}, {}
         return out
 
 
