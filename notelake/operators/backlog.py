@@ -50,7 +50,7 @@ def group_of(foreground: Column) -> Column:
     return F.when(F.col("last_success_at").isNotNull(), "recheck").when(foreground, "foreground").otherwise("history")
 
 
-_ORDER = F.create_map(F.lit("foreground"), F.lit(0), F.lit("history"), F.lit(1), F.lit("recheck"), F.lit(2))
+_GROUPS = ("foreground", "history", "recheck")
 
 
 def due_rank(docs: DataFrame, at: int, foreground: Column) -> DataFrame:
@@ -64,7 +64,7 @@ def slot_selection(ranked: DataFrame, quotas: dict[str, int], most: int) -> Data
     leaves is lent to the groups in order; the groups then alternate. Window ranks are cut at ``most`` before any sort
     over a whole source, so a large queue is never sorted as one."""
     quota = F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv))[F.col("grp")]
-    own = ranked.where(F.col("rank") <= most).withColumn("g", _ORDER[F.col("grp")])
+    own = ranked.where(F.col("rank") <= most).withColumn("g", F.array_position(F.array(*map(F.lit, _GROUPS)), F.col("grp")))
     reserved = F.col("rank") <= quota
     first = W.partitionBy("source_id").orderBy(
         F.when(reserved, 0).otherwise(1), F.when(reserved, F.col("rank")).otherwise(F.col("g")), F.when(reserved, F.col("g")).otherwise(F.col("rank"))

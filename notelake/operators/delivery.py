@@ -7,8 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 STATES = ("pending", "sending", "retry", "uncertain", "accepted", "blocked")
-_LOG = W.partitionBy("mail_id").orderBy("attempt_no", "started_at", "line_id")
-
 
 def latest_attempt(attempts: DataFrame) -> DataFrame:
     one = F.max(F.struct("attempt_no", "started_at", "line_id", "finished_at", "outcome"))
@@ -58,7 +56,8 @@ def delivery_state(attempts: DataFrame, schedule: list[int], most: int) -> DataF
 
 def attempt_audit(attempts: DataFrame) -> DataFrame:
     """Rules that a message's attempt log breaks, one row each."""
-    rows = attempts.select("*", F.row_number().over(_LOG).alias("i"), F.lag("finished_at").over(_LOG).alias("before"), F.lead("attempt_no").over(_LOG).alias("next"))
+    log = W.partitionBy("mail_id").orderBy("attempt_no", "started_at", "line_id")
+    rows = attempts.select("*", F.row_number().over(log).alias("i"), F.lag("finished_at").over(log).alias("before"), F.lead("attempt_no").over(log).alias("next"))
     rules = {
         "not_contiguous": F.col("attempt_no") != F.col("i"),
         "starts_before_previous_ends": F.col("started_at") < F.col("before"),

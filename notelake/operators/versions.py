@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
-_HISTORY = W.partitionBy("document_id").orderBy("observed_at", "version_id")
+
+def _history() -> WindowSpec:
+    return W.partitionBy("document_id").orderBy("observed_at", "version_id")
 
 
 def version_pairs(versions: DataFrame) -> DataFrame:
     """Each version with the one observed before it."""
-    return versions.select("document_id", "version_id", F.lag("version_id").over(_HISTORY).alias("previous_id"), F.lag("raw_sha").over(_HISTORY).eqNullSafe(F.col("raw_sha")).alias("same_body"))
+    return versions.select("document_id", "version_id", F.lag("version_id").over(_history()).alias("previous_id"), F.lag("raw_sha").over(_history()).eqNullSafe(F.col("raw_sha")).alias("same_body"))
 
 
 def version_changes(versions: DataFrame) -> DataFrame:
     """What each observation means: first, changed, same, or unknown where another parser read another body."""
-    before = F.lag(F.struct("raw_sha", "parser_version")).over(_HISTORY)
+    before = F.lag(F.struct("raw_sha", "parser_version")).over(_history())
     kind = (
         F.when(before.isNull(), "first")
         .when(before["raw_sha"] == F.col("raw_sha"), "same")
