@@ -5,8 +5,9 @@ cells it touched; cells of all partitions are added up segment by segment. Each
 occurrence of its anchor, so the merged sketch never underestimates a window's count. Only one bit a cell, "two or
 more", is broadcast: DEPTH * width / 8 bytes, at most MAX_WIDTH / 4.
 Second pass: windows whose estimate is two or more are grouped exactly, none is lost; the others cannot be repeated.
-Equal runs of windows are grouped as one row first, so copies of a passage are not expanded, and windows are spelled
-out only for the first of equal runs whose anchor also stands in other text.
+Equal runs of windows are grouped as one row of fixed size first, so copies of a passage are not expanded. Windows are
+spelled out, in a pass over the documents concerned, only for the first of equal runs whose anchor also stands in
+other text.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import covered, mix, runs
-from .common import keyed, same_document, stored
+from .common import discard, keyed, same_document, stored
 
 WORDS = 20
 GRAM = 8
@@ -32,7 +33,10 @@ SEGMENT = 1 << 18
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _SEEDS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
-_FOUND = "doc_id long, dk long, k long, f long, lo int, hi int, ws array<long>"
+#: Windows that a task spells out at once.
+CHUNK = 500_000
+_FOUND = "doc_id long, dk long, k long, f long, lo int, hi int"
+_EACH = "k long, w long, doc_id long, dk long, lo int"
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -121,11 +125,13 @@ def _merged(width: int):
 
 
 def _repeated(size: int, gram: int, width: int, sketch):
+    """Runs of windows that the sketch takes for repeated; f is a hash of all words of the run."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, known = np.frombuffer(sketch.value, np.uint8), {}
-        names = ["doc_id", "dk", "k", "f", "lo", "hi", "ws"]
+        names = ["doc_id", "dk", "k", "f", "lo", "hi"]
         for batch in batches:
-            sizes, out, spelled = [], [], []
+            sizes, out = [], []
             for body in batch["body"]:
                 words = body.as_py().split()
                 sizes.append(0)
@@ -138,20 +144,44 @@ def _repeated(size: int, gram: int, width: int, sketch):
                     keep &= (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
                 if not keep.any():
                     continue
-                ws = _joint(h, size)
                 sizes[-1] = int(keep.sum())
                 lo, hi, k = lo[keep], hi[keep], k[keep]
-                own = [ws[a : b + 1] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-                f = [xxhash.xxh3_64_intdigest(x.tobytes()) for x in own]
+                f = [xxhash.xxh3_64_intdigest(h[a : b + size].tobytes()) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
                 out.append((k, np.array(f, np.uint64), lo, hi))
-                spelled += own
             if not out:
                 continue
             at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
             k, f, lo, hi = (np.concatenate(x) for x in zip(*out, strict=True))
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in spelled]))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(spelled).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(at), batch["dk"].take(at), pa.array(k.view(np.int64)), pa.array(f.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), lists], names=names)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(at), batch["dk"].take(at), pa.array(k.view(np.int64)), pa.array(f.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=names)
+
+    return run
+
+
+def _spelled(size: int):
+    """One row for each window of a document's listed runs."""
+    names = ["k", "w", "doc_id", "dk", "lo"]
+
+    def flush(out: list[tuple]) -> pa.RecordBatch:
+        n = [len(w) for _, w, _, _, _ in out]
+        fixed = [pa.array([row[i] for row in out], pa.int64()).take(pa.array(np.repeat(np.arange(len(out)), n))) for i in (0, 2, 3)]
+        w = np.concatenate([row[1] for row in out]).view(np.int64)
+        lo = np.concatenate([np.arange(row[4], row[4] + len(row[1]), dtype=np.int32) for row in out])
+        return pa.RecordBatch.from_arrays([fixed[0], pa.array(w), fixed[1], fixed[2], pa.array(lo)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        out, held = [], 0
+        for batch in batches:
+            for doc_id, dk, body, own in zip(*(batch[c] for c in ("doc_id", "dk", "body", "runs")), strict=True):
+                ws = _joint(_hashed(body.as_py().split(), known), size)
+                for r in own.as_py():
+                    out.append((r["k"], ws[r["lo"] : r["hi"] + 1], doc_id.as_py(), dk.as_py(), r["lo"]))
+                    held += r["hi"] + 1 - r["lo"]
+                if held > CHUNK:
+                    yield flush(out)
+                    out, held = [], 0
+        if out:
+            yield flush(out)
 
     return run
 
@@ -199,11 +229,16 @@ def earlier_ranges(docs: DataFrame, size: int = WORDS, gram: int = GRAM, max_wid
     bits, width = sketched(bodies, size, gram, max_width)
     found = stored(bodies.mapInArrow(_repeated(size, gram, width, spark.sparkContext.broadcast(bits)), _FOUND), "windows")
     place = F.struct("doc_id", "dk", "lo")
-    texts = stored(found.groupBy("k", "f").agg(F.min(F.struct("doc_id", "dk", "lo", "ws")).alias("one"), F.count("*").alias("c")), "runs")
-    later = found.join(texts.where("c > 1").select("k", "f", F.struct("one.doc_id", "one.dk", "one.lo").alias("first")), ["k", "f"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "dk", "lo", "hi")
+    texts = stored(found.groupBy("k", "f").agg(F.min(F.struct("doc_id", "dk", "lo", "hi")).alias("one"), F.count("*").alias("c")), "runs")
+    again = found.join(texts.where("c > 1").select("k", "f", F.struct("one.doc_id", "one.dk", "one.lo").alias("first")), ["k", "f"])
+    later = stored(again.where(~place.eqNullSafe(F.col("first"))).select("doc_id", "dk", "lo", "hi"), "later")
+    discard(found)
 
     several = texts.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k")
-    each = stored(texts.join(several, "k", "left_semi").select("k", "one.*").select("k", "doc_id", "dk", "lo", F.posexplode("ws").alias("i", "w")).selectExpr("k", "w", "doc_id", "dk", "lo + i AS lo"), "each")
+    own = texts.join(several, "k", "left_semi").select("k", "one.*").groupBy("doc_id", "dk").agg(F.collect_list(F.struct("k", "lo", "hi")).alias("runs"))
+    listed = bodies.join(own, same_document(bodies, own)).select(bodies["doc_id"], bodies["dk"], "body", "runs")
+    each = stored(listed.mapInArrow(_spelled(size), _EACH), "each")
+    discard(texts)
     first = stored(each.groupBy("k", "w").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     more = each.join(first, ["k", "w"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "dk", "lo", F.col("lo").alias("hi"))
     return later.unionByName(more)
