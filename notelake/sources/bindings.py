@@ -77,6 +77,23 @@ SELECT d.doc_id AS item_id, d.source AS source_id,
   CASE WHEN l.toxic = 1 THEN 'IGNORE' WHEN l.quality = 1 THEN CASE WHEN d.doc_id % 2 = 0 THEN 'PUSH_NOW' ELSE 'DIGEST' END ELSE 'STORE_ONLY' END AS actual,
   CASE d.n_chars % 4 WHEN 0 THEN 'PUSH_NOW' WHEN 1 THEN 'DIGEST' WHEN 2 THEN 'STORE_ONLY' ELSE 'IGNORE' END AS predicted, d.doc_id % 17 = 0 AS mismatch
 FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
+    "fact": f"""
+SELECT doc_id AS document_id, CASE n_chars % 5 WHEN 0 THEN 'reference' WHEN 1 THEN 'information' ELSE 'opportunity' END AS category,
+  CASE WHEN doc_id % 3 = 0 THEN NULL ELSE {AT} + (doc_id % 13 - 6) * 21600 END AS opens_at, CASE WHEN doc_id % 5 = 4 THEN NULL ELSE {AT} + (doc_id % 29 - 8) * 43200 END AS deadline_at,
+  CASE WHEN doc_id % 5 <> 4 AND doc_id % 11 = 2 THEN {AT} + (doc_id % 29 - 8) * 43200 - 86400 END AS deadline_lower_at,
+  n_chars % 2 = 0 AS opening_confirmed, doc_id % 37 = 5 AS cancelled, n_chars % 11 <> 0 AS audience_declared, n_chars % 13 <> 0 AS eligibility_complete, n_chars % 17 = 0 AS information_incomplete,
+  date '2024-01-01' + CAST((doc_id * 7) % 20 AS INT) AS published_date, CASE doc_id % 5 WHEN 1 THEN 'update' WHEN 2 THEN 'activation_recent' WHEN 3 THEN 'historical' ELSE 'new' END AS kind,
+  CASE WHEN doc_id % 2 = 0 THEN 'none' ELSE 'digest' END AS previous_route, doc_id % 9 <> 1 AS comparison_known, n_chars % 4 = 1 AS conditions_changed
+FROM documents""",
+    "requirement": """
+SELECT doc_id AS document_id, 'lang' AS field, CASE WHEN n_chars % 19 = 0 THEN 'unsupported' ELSE 'in' END AS operator, lang AS v1, CASE WHEN n_chars % 2 = 0 THEN 'en' END AS v2 FROM documents
+UNION ALL SELECT doc_id, 'source', 'in', source, 'src8' FROM documents""",
+    "topic_match": """
+SELECT doc_id AS document_id, source AS topic, 'opportunity' AS context, true AS is_primary FROM documents
+UNION ALL SELECT doc_id, lang, CASE n_chars % 4 WHEN 0 THEN 'opportunity' WHEN 1 THEN 'uncertain' WHEN 2 THEN 'subject' END, false FROM documents""",
+    "profile": "SELECT * FROM (VALUES ('p1', 'lang', 'en'), ('p1', 'source', NULL), ('p2', 'lang', 'fr'), ('p2', 'source', 'src8'), ('p3', 'lang', NULL), ('p3', 'source', 'src12')) AS t(profile_id, field, actual)",
+    "profile_topic": """SELECT * FROM (VALUES ('p1', 'en', true, false, false, false), ('p1', 'src8', true, false, true, false), ('p1', 'src9', true, false, false, true), ('p1', 'src10', false, true, false, false),
+  ('p2', 'fr', true, false, true, false), ('p2', 'src12', true, false, true, false), ('p2', 'de', false, false, false, true), ('p3', 'es', true, false, false, false), ('p3', 'src8', true, true, false, false)) AS t(profile_id, topic, interest, excluded, high_value, store_only)""",
     "term": """
 SELECT item_id AS query_id, lower(substr(text, 1, 40)) AS term FROM benchmark
 UNION ALL SELECT 1000000 + i AS query_id, w AS term FROM (SELECT 0 AS i, 'the of' AS w UNION ALL SELECT 1, 'die' UNION ALL SELECT 2, 'und der' UNION ALL SELECT 3, 'la') AS fixed""",
