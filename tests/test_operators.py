@@ -1,6 +1,6 @@
 """Boundary cases on inline frames."""
 
-from notelake.operators import backlog, delivery, search, versions
+from notelake.operators import backlog, decisions, delivery, rules, search, versions
 
 
 def test_pointer_returns_to_an_older_text(spark):
@@ -28,3 +28,17 @@ def test_user_text_is_literal(spark):
     index = spark.createDataFrame([(1, "s", None, 1, "a.b", "x (y) \\q"), (2, "s", None, 1, "acb", "none")], "document_id long, source_id string, published_date date, version_id long, title_text string, body_text string")
     queries = spark.createDataFrame([(1, "a.b"), (2, "(y)")], "query_id long, term string")
     assert {(r.query_id, r.document_id) for r in search.search_bm25(index, queries).collect()} == {(1, 1), (2, 1)}
+
+
+def test_mentions_do_not_overlap_and_count_code_points(spark):
+    texts = spark.createDataFrame([(1, "body_text", "éaaaa.a"), (2, "body_text", ""), (3, "body_text", None)], "document_id long, field string, text string")
+    got = rules.topic_mentions(texts, [("r1", "x", "aa"), ("r2", "y", ".")]).collect()
+    assert sorted((r.document_id, r.rule_id, r.start, r.end) for r in got) == [(1, "r1", 1, 3), (1, "r1", 3, 5), (1, "r2", 5, 6)]
+
+
+def test_a_single_mismatch_decides(spark):
+    facts = spark.createDataFrame([(1, "opportunity", True, True, False), (2, "information", True, True, False)], "document_id long, category string, audience_declared boolean, eligibility_complete boolean, information_incomplete boolean")
+    asked = spark.createDataFrame([(1, "level", "in", ["a"]), (1, "year", "unsupported", ["b"])], "document_id long, field string, operator string, values array<string>")
+    profiles = spark.createDataFrame([("p", "level", "z"), ("p", "year", "b"), ("q", "level", "a"), ("q", "year", "b")], "profile_id string, field string, actual string")
+    got = {(r.document_id, r.profile_id): r.eligibility for r in decisions.eligibility(facts, asked, profiles).collect()}
+    assert got == {(1, "p"): "ineligible", (1, "q"): "unknown", (2, "p"): "not_required", (2, "q"): "not_required"}
