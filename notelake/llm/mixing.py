@@ -5,13 +5,18 @@ counts kept in BUCKETS hash buckets, predicts every document's domain probabilit
 square root of the text's length, as words of a text are far from independent.
 
 Then document rates r >= 0 are fitted: with a_i = tokens_i * p_i (expected tokens of each domain) the sums
-sum_i r_i a_i shall be the target weights times the budget. Projected gradient descent minimises the squared residuals
-from r = 1 on, in the metric of the documents' tokens, so rates depend on what a text is, not how long it is. One step is one pass: each partition adds up its rates' domain totals, only these few numbers reach the driver,
-and the next multipliers go out. Rates are never collected; a task replays the steps for its own rows.
+sum_i r_i a_i shall be the target weights times the budget, and of all rates that do so, those closest to 1 are taken,
+in the metric of the documents' tokens, so rates depend on what a text is, not how long it is. These are
+r_i = max(0, 1 - p_i * step) for one step, which Newton's method finds from the Gram matrix of the documents whose
+rate is not 0. A small penalty (EASE) on the step makes it unique; where no rates meet the targets, it leads to the
+least squares and a warning names what is missing. A fit that does not settle fails. One pass tries several lengths
+of a Newton step: each partition adds up its rates' domain totals and Gram matrix, and only these few numbers reach
+the driver. Rates are never collected; a task works out those of its own rows from the step.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +30,15 @@ from .common import stored, utf8
 BUCKETS = 1 << 18
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.97, "low": 0.01, "toxic": 0.02}
-STEPS = 60
+#: Passes after which a fit that has not settled fails.
+STEPS = 200
 #: Residual of a domain, as a share of the budget, that ends the fit.
 CLOSE = 1e-3
+#: Weight of the step's square, as a share of all tokens; slope, as a share of the budget, at which a fit short of its targets has settled.
+EASE = 1e-6
+SETTLED = 1e-6
+#: Lengths of a Newton step that one pass tries.
+LENGTHS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001)
 RATE = "rate"
 
 
@@ -102,12 +113,9 @@ def memberships(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFr
     return rows.mapInArrow(lambda batches: _posterior(sent)(batches), "doc_id long, dk long, n_tokens long, " + ", ".join(f"{d} double" for d in DOMAINS))
 
 
-def rates_after(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates of documents with domain probabilities ``p`` after projected steps."""
-    r = np.ones(len(p))
-    for step in steps:
-        r = np.maximum(0.0, r - p @ step)
-    return r
+def rates_after(p: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Rates of documents with domain probabilities ``p``."""
+    return np.maximum(0.0, 1.0 - p @ step)
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -115,41 +123,66 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _totals(steps: list[np.ndarray]):
+    """For each of ``steps``: sum of squared rates, each domain's tokens, Gram matrix of rows whose rate is not 0."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(DOMAINS))
+        k = len(DOMAINS)
+        total = np.zeros((len(steps), 1 + k + k * k))
         for batch in batches:
-            p = _matrix(batch)
-            total += (rates_after(p, steps) * batch["n_tokens"].to_numpy()) @ p
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=list(DOMAINS))
+            p, n = _matrix(batch), batch["n_tokens"].to_numpy()
+            for i, step in enumerate(steps):
+                r = rates_after(p, step)
+                weighted = p * n[:, None]
+                total[i, 0] += n @ (r * r)
+                total[i, 1 : k + 1] += r @ weighted
+                total[i, k + 1 :] += (weighted[r > 0].T @ p[r > 0]).ravel()
+        at, place = np.indices(total.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), pa.array(place.ravel()), pa.array(total.ravel())], names=["i", "place", "x"])
 
     return run
 
 
-def fitted_steps(members: DataFrame, targets: dict[str, float], budget: float | None = None, steps: int = STEPS, close: float = CLOSE) -> list[np.ndarray]:
-    """The steps of projected gradient descent; ``rates_after`` turns them into rates."""
-    gram = members.agg(*(F.coalesce(F.sum(F.col("n_tokens") * F.col(a) * F.col(b)), F.lit(0.0)) for a in DOMAINS for b in DOMAINS)).first()
-    gram = np.array(gram, np.float64).reshape(len(DOMAINS), len(DOMAINS))
-    now = gram.sum(1)  # probabilities add up to one, so this is each domain's expected tokens
-    wanted = np.array([targets[d] for d in DOMAINS]) / sum(targets.values()) * (now.sum() if budget is None else budget)
-    scale = np.full(len(DOMAINS), max(wanted.sum(), 1e-9))
-    length = 1 / max(np.linalg.eigvalsh(gram / np.outer(scale, scale))[-1], 1e-30)
-    done: list[np.ndarray] = []
-    schema = ", ".join(f"{d} double" for d in DOMAINS)
-    for _ in range(steps):
-        off = (now - wanted) / scale
-        if np.abs(off).max() <= close or not now.any():
-            break
-        done.append(length * off / scale)
-        now = np.array(members.mapInArrow(_totals(done), schema).groupBy().sum().first(), np.float64)
-    return done
-
-
-def _rated(steps: list[np.ndarray], seed: int):
+def fitted_step(members: DataFrame, targets: dict[str, float], budget: float | None = None, passes: int = STEPS, close: float = CLOSE) -> np.ndarray:
+    """The step that ``rates_after`` turns into rates."""
+    k = len(DOMAINS)
+
+    def tried(steps: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(steps), 1 + k + k * k))
+        sums = members.mapInArrow(_totals(steps), "i long, place long, x double").groupBy("i", "place").agg(F.sum("x").alias("x"))
+        for i, place, x in sums.collect():
+            out[i, place] = x
+        return out
+
+    step = np.zeros(k)
+    now = tried([step])[0]
+    tokens = now[0]  # all rates are 1
+    if tokens == 0:
+        return step
+    wanted = np.array([targets[d] for d in DOMAINS]) / sum(targets.values()) * (tokens if budget is None else budget)
+    ease, whole = EASE * tokens, max(wanted.sum(), 1e-9)
+    height = lambda of, at: of[0] / 2 + wanted @ at + ease / 2 * at @ at
+    for _ in range(passes):
+        off = now[1 : k + 1] - wanted
+        slope = ease * step - off
+        if np.abs(off).max() <= close * whole:
+            return step
+        if np.abs(slope).max() <= SETTLED * whole:
+            logging.getLogger(__name__).warning("mixing targets are out of reach; shares of the budget too many: %s", dict(zip(DOMAINS, (off / whole).round(4).tolist(), strict=True)))
+            return step
+        move = np.linalg.solve(now[k + 1 :].reshape(k, k) + ease * np.eye(k), slope)
+        ways = [step - x * move for x in LENGTHS]
+        found = tried(ways)
+        best = int(np.argmin([height(f, w) for f, w in zip(found, ways, strict=True)]))
+        step, now = ways[best], found[best]
+    raise RuntimeError(f"mixing rates did not settle in {passes} passes; residual {(off / whole).tolist()} of the budget")
+
+
+def _rated(step: np.ndarray, seed: int):
     names = ["doc_id", "dk", "n_tokens", *DOMAINS, RATE, "copies"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            r = rates_after(_matrix(batch), steps)
+            r = rates_after(_matrix(batch), step)
             part = [xxhash.xxh3_64_intdigest(f"{a} {b}", seed) / 2**64 for a, b in zip(batch["doc_id"].to_pylist(), batch["dk"].to_pylist(), strict=True)]
             copies = (np.floor(r) + (np.array(part) < r - np.floor(r))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names[:-2]), pa.array(r), pa.array(copies)], names=names)
@@ -170,9 +203,9 @@ def mixing_rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float]
 
 def _with_rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float], budget: float | None, seed: int) -> DataFrame:
     members = stored(memberships(docs, classifier(docs, domains)), "memberships")
-    steps = fitted_steps(members, targets, budget)
+    step = fitted_step(members, targets, budget)
     schema = "doc_id long, dk long, n_tokens long, " + ", ".join(f"{d} double" for d in DOMAINS) + ", rate double, copies int"
-    return members.mapInArrow(_rated(steps, seed), schema)
+    return members.mapInArrow(_rated(step, seed), schema)
 
 
 def mixed(docs: DataFrame, domains: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, seed: int = 1) -> DataFrame:
@@ -180,7 +213,7 @@ def mixed(docs: DataFrame, domains: DataFrame, targets: dict[str, float] = TARGE
     one pass, so texts are not shuffled."""
     model = classifier(docs, domains)
     members = stored(memberships(docs, model), "memberships")
-    steps = fitted_steps(members, targets, budget)
+    step = fitted_step(members, targets, budget)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     keyed = docs.withColumn("_dk", F.xxhash64("text"))
     names = docs.columns
@@ -190,7 +223,7 @@ def mixed(docs: DataFrame, domains: DataFrame, targets: dict[str, float] = TARGE
         for batch in batches:
             bodies = pa.array([(t or "").encode() for t in batch["text"].to_pylist()], pa.binary())
             slim = pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["_dk"], bodies], names=["doc_id", "dk", "body"])
-            copies = next(_rated(steps, seed)(score(iter([slim]))))["copies"].to_numpy()
+            copies = next(_rated(step, seed)(score(iter([slim]))))["copies"].to_numpy()
             yield batch.select(names).take(pa.array(np.repeat(np.arange(batch.num_rows), copies)))
 
     return keyed.mapInArrow(run, docs.schema)

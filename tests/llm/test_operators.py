@@ -290,3 +290,25 @@ def test_lm_scores_hold_every_pair(spark, settings):
     got = {r.doc_id: r.score for r in lm_score.lm_scores(docs, remainder(5) == 9, **settings).collect()}
     for d in range(0, 700, 70):  # a level too high by a false positive here and there
         assert got[d] == pytest.approx(plain(texts[d]), rel=0.02)
+
+
+@pytest.mark.parametrize("sharp", [40.0, 4.0])
+def test_mixing_meets_targets_of_a_rare_domain(spark, sharp):
+    rng = np.random.default_rng(7)
+    domain = rng.choice(3, 8000, p=[0.84, 0.15, 0.01])
+    odds = rng.normal(0, 1, (8000, 3)) + sharp / 4 * np.eye(3)[domain]
+    p = np.exp(odds) / np.exp(odds).sum(1, keepdims=True)
+    n = rng.integers(1, 400, 8000)
+    members = spark.createDataFrame([(int(t), *map(float, q)) for t, q in zip(n, p, strict=True)], "n_tokens long, " + ", ".join(f"{d} double" for d in mixing.DOMAINS))
+    targets = dict(zip(mixing.DOMAINS, (0.6, 0.2, 0.2), strict=True))
+    fit = getattr(mixing, "fitted_step", None) or mixing.fitted_steps
+    got = (mixing.rates_after(p, fit(members, targets)) * n) @ p / n.sum()
+    assert np.abs(got - list(targets.values())).max() <= 1e-3
+
+
+def test_mixing_settles_where_targets_are_out_of_reach(spark):
+    p = np.array([[0.7, 0.2, 0.1], [0.6, 0.2, 0.2]] * 50)
+    members = spark.createDataFrame([(10, *map(float, q)) for q in p], "n_tokens long, " + ", ".join(f"{d} double" for d in mixing.DOMAINS))
+    got = (10 * mixing.rates_after(p, mixing.fitted_step(members, {"clean": 0.97, "low": 0.01, "toxic": 0.02}))) @ p / 1000
+    least = max(0.0, p[0] @ [0.97, 0.01, 0.02] / (p[0] @ p[0])) * p[0]  # on the nearest ray
+    assert np.abs(got - least).max() < 1e-3
