@@ -2,9 +2,12 @@
 
 Each rule compares one measure of a text with a cutoff. Which cutoff is taken is decided per stratum (language) on
 labelled rows: a cutoff is safe if the exact binomial bound on its false rejections (of rows labelled good) stays
-within the rule's share of RISK, at confidence 1 - DELTA over all strata, rules and cutoffs together (Bonferroni).
-The strictest safe cutoff is used; a rule without one is off in that stratum. So, with confidence 1 - DELTA, no more
-than RISK of a stratum's good texts are rejected by the rules.
+within the rule's share of RISK, at confidence 1 - DELTA over all strata and rules together (Bonferroni). Cutoffs of a
+rule need no correction: they are tested from lenient to strict, and what one rejects the next rejects too
+(fixed-sequence testing). The strictest safe cutoff is used; a rule without one is off in that stratum. So, with
+confidence 1 - DELTA, no more than RISK of a stratum's good texts are rejected by the rules. Languages with too few
+labelled good rows for any rule, and those beyond STRATA, share one stratum: for them RISK holds over all of them
+together. A language without labels has the thresholds of that stratum.
 
 All of it is DataFrame functions. A text's repeated windows are found inside its row, so nothing but one row of
 numbers per document is stored, and only counts per stratum, rule and cutoff are shuffled.
@@ -21,7 +24,7 @@ from .common import SPACE, stored
 
 RISK = 0.03
 DELTA = 0.05
-#: Strata with thresholds of their own: the languages with most labelled good rows. Others share one.
+#: Strata with thresholds of their own at most: the languages with most labelled good rows. Others share one.
 STRATA = 64
 WINDOW = 8
 _BLANK = " \t\n\x0b\f\r"
@@ -118,19 +121,30 @@ def binomial_tail(x: Column, n: Column, p: float) -> Column:
     return F.aggregate(F.sequence(F.lit(0).cast("long"), x.cast("long")), F.lit(0.0), lambda s, k: s + term(k))
 
 
-def thresholds(measures: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """``stratum, rule, cutoff``: the strictest safe cutoff, for rules that have one. Labels that differ for one doc_id
-    count as not good."""
+def own_strata(sizes: list[tuple[str, int]], each: float, delta: float) -> tuple[list[str], float]:
+    """The strata with thresholds of their own, and the error level of a test. ``sizes``: strata and their labelled
+    good rows, largest first. A stratum is thin if even without a false rejection no rule could be on."""
+    for k in range(min(len(sizes), STRATA), -1, -1):
+        level = delta / (max(1, k + (k < len(sizes))) * len(RULES))
+        if k == 0 or sizes[k - 1][1] * math.log1p(-each) <= math.log(level):
+            return [s for s, _ in sizes[:k]], level
+
+
+def thresholds(measures: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> tuple[list[str], DataFrame]:
+    """Strata with thresholds of their own, and ``stratum, rule, cutoff`` (stratum is null for the shared one): the
+    strictest safe cutoff, for rules that have one. Labels that differ for one doc_id count as not good."""
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     held = measures.where("NOT base_failed").join(good, "doc_id", "left_semi")
     flags = [F.sum(_violates(r, _measure(r), F.lit(c)).cast("long")).alias(f"x_{r}_{i}") for r, cuts in RULES.items() for i, c in enumerate(cuts)]
-    per = held.groupBy("stratum").agg(F.count("*").alias("n"), *flags).orderBy(F.desc("n"), "stratum").limit(STRATA)
-    tests = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cutoff"), F.col(f"x_{r}_{i}").alias("x")) for r, cuts in RULES.items() for i, c in enumerate(cuts)))
+    per = stored(held.groupBy("stratum").agg(F.count("*").alias("n"), *flags), "strata")
+    sizes = [(r.stratum, r.n) for r in per.select("stratum", "n").orderBy(F.desc("n"), "stratum").limit(STRATA + 1).collect()]
     each = risk / len(RULES)
-    level = delta / (STRATA * sum(map(len, RULES.values())))
+    own, level = own_strata(sizes, each, delta)
+    per = per.withColumn("stratum", F.when(F.col("stratum").isin(own), F.col("stratum"))).groupBy("stratum").agg(*(F.sum(c).alias(c) for c in per.columns[1:]))
+    tests = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cutoff"), F.col(f"x_{r}_{i}").alias("x")) for r, cuts in RULES.items() for i, c in enumerate(cuts)))
     rows = per.select("stratum", "n", F.explode(tests).alias("t")).select("stratum", "n", "t.*")
     safe = rows.where(F.when(F.col("x") < F.col("n") * each, binomial_tail(F.col("x"), F.col("n"), each) <= level).otherwise(False))
-    return safe.groupBy("stratum", "rule").agg(F.min_by("cutoff", "i").alias("cutoff"))
+    return own, safe.groupBy("stratum", "rule").agg(F.min_by("cutoff", "i").alias("cutoff"))
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
@@ -141,12 +155,15 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, del
     too few for a bound, the rules are off and kept is the opposite of base_failed. Repeated rows get a row each.
     """
     measures = stored(measured(docs), "measures")
-    cut = thresholds(measures, labels, risk, delta).collect()  # at most STRATA times the number of rules
+    own, cut = thresholds(measures, labels, risk, delta)
+    cut = cut.collect()  # at most STRATA + 1 times the number of rules
     failed = []
     for rule in RULES:
-        own = {r["stratum"]: r["cutoff"] for r in cut if r["rule"] == rule}
-        if own:
-            cutoff = F.create_map(*(F.lit(x) for kv in own.items() for x in kv))[F.col("stratum")]
+        found = {r["stratum"]: r["cutoff"] for r in cut if r["rule"] == rule}
+        shared = F.lit(found.pop(None, None)).cast("double")
+        if any(r["rule"] == rule for r in cut):
+            alone = F.create_map(*(F.lit(x) for kv in found.items() for x in kv))[F.col("stratum")] if found else F.lit(None).cast("double")
+            cutoff = F.when(F.col("stratum").isin(own), alone).otherwise(shared)
             failed.append(F.when(_violates(rule, _measure(rule), cutoff), F.lit(rule)))
     names = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
     verdict = measures.withColumn("failed", names)

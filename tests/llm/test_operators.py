@@ -312,3 +312,16 @@ def test_mixing_settles_where_targets_are_out_of_reach(spark):
     got = (10 * mixing.rates_after(p, mixing.fitted_step(members, {"clean": 0.97, "low": 0.01, "toxic": 0.02}))) @ p / 1000
     least = max(0.0, p[0] @ [0.97, 0.01, 0.02] / (p[0] @ p[0])) * p[0]  # on the nearest ray
     assert np.abs(got - least).max() < 1e-3
+
+
+def test_quality_rules_decide(spark):
+    """With 1,600 good rows in one language, and as many in two thin ones together, rules are on everywhere."""
+    clean = lambda i: " ".join(f"{chr(97 + j)}{i:04d}" for j in range(25))
+    bad = " ".join(f"#{chr(97 + j)}##$" for j in range(25))
+    rows = [(i, clean(i), "en" if i < 1600 else "fr" if i < 2500 else "de") for i in range(3200)]
+    rows += [(9001, bad, "en"), (9002, bad, "fr"), (9003, bad, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(3200)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_rules.quality_verdicts(docs, labels).collect()}
+    assert all(got[i].kept for i in range(3200))
+    assert all("symbol_ratio" in got[i].failed and not got[i].kept for i in (9001, 9002, 9003))
