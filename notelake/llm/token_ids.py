@@ -149,11 +149,12 @@ _MARKS = frozenset(",.;:!?")
 class Encoder:
     """The tokenizer, behind a cache of words. The byte-level pre-tokenizer always splits before a space that is
     followed by something else, around a lone line break, and between letters and a mark; so words cut there can be
-    encoded one by one, and only once. Texts with other white space are cut at plain spaces only."""
+    encoded one by one, and only once. Texts with other white space are cut at plain spaces only, and texts that hold an
+    added token not at all."""
 
     def __init__(self, path: str, end: int):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bits = max(1, (max(self.tokenizer.get_vocab_size(), end + 1) - 1).bit_length())
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
         self.end = np.array([end], self.kind).tobytes()
@@ -226,6 +227,11 @@ class Encoder:
             known[w] = b"".join([known[own[0]] if own[0].isalpha() else exact[" " + own[0]], *(exact[a] for a in own[1:])])
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [any(map(t.__contains__, self.added)) for t in texts]
+        cut = iter(self._by_words([t for t, w in zip(texts, whole, strict=True) if not w]))
+        return [self._one(t) + self.end if w else next(cut) for t, w in zip(texts, whole, strict=True)]
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
         odd = [any(map(t.__contains__, _ODD)) or t[:1].isspace() or t[-1:].isspace() for t in texts]
         cut = [self.pieces(t) if o else t.split(" ") for t, o in zip(texts, odd, strict=True)]
         words: set[str] = set()

@@ -325,3 +325,12 @@ def test_quality_rules_decide(spark):
     got = {r.doc_id: r for r in quality_rules.quality_verdicts(docs, labels).collect()}
     assert all(got[i].kept for i in range(3200))
     assert all("symbol_ratio" in got[i].failed and not got[i].kept for i in (9001, 9002, 9003))
+
+
+def test_added_tokens_as_the_library_gives_them():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, e = Tokenizer.from_file(path), token_ids.Encoder(path, 2)
+    texts = ["one two", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\n y", "one two"]
+    assert 50256 in t.encode(texts[1], add_special_tokens=False).ids
+    for text, ids in zip(texts, e.encode(texts), strict=True):
+        assert np.frombuffer(ids, e.kind).tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
