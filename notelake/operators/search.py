@@ -1,4 +1,8 @@
-"""Lexical search: trigram postings, candidates, literal recheck, BM25 pages. Batches of queries run as one job."""
+"""Lexical search: trigram postings, candidates, literal recheck, BM25 pages. Batches of queries run as one job.
+
+Terms meet documents by equality of n-grams, never by comparing every query with every document: a term is looked for
+where its rarest trigram stands (a shorter term is its own n-gram), and only there is the text read again.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,9 @@ from ..functions.text import normalize, snippet
 
 K1, B = 1.2, 0.75
 TITLE_WEIGHT = 5.0
+LEAST_IDF = 1e-6
 INDEX_VERSION = "trigram-1"
+MAX_TERMS = 8
 
 
 def index_rows(docs: DataFrame) -> DataFrame:
@@ -21,8 +27,8 @@ def index_rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def _grams(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?s)(?=(...))"), F.lit(1))
+def _grams(text: Column, n: int = 3) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * n}))"), F.lit(1))
 
 
 def trigram_postings(index: DataFrame) -> DataFrame:
@@ -32,78 +38,204 @@ def trigram_postings(index: DataFrame) -> DataFrame:
     return rows.groupBy("document_id", "field", "gram").agg(F.count("*").alias("tf"))
 
 
+def corpus_stats(index: DataFrame) -> DataFrame:
+    """One row: documents, and their mean length in trigrams of title and body."""
+    return index.agg(F.count("*").alias("docs"), F.avg(_size()).alias("avg_len"))
+
+
+def _size() -> Column:
+    size = lambda c: F.greatest(F.length(c) - 2, F.lit(0))
+    return size("title_text") + size("body_text")
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id, terms (first 8 distinct words of the normalised query)."""
+    """query_id, terms (first distinct words of the normalised query)."""
     words = F.array_distinct(F.filter(F.split(normalize(F.col("term")), " "), lambda w: w != ""))
-    return queries.select("query_id", F.slice(words, 1, 8).alias("terms"))
+    return queries.select("query_id", F.slice(words, 1, MAX_TERMS).alias("terms"))
+
+
+def query_groups(queries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """query_id, pos, alternatives (of which a document must hold one), long (all have three or more characters).
+    ``aliases``: term, alternatives."""
+    each = query_terms(queries).select("query_id", F.posexplode("terms").alias("pos", "term"))
+    own = F.array("term")
+    if aliases is not None:
+        each, own = each.join(aliases, "term", "left"), F.coalesce(F.array_distinct("alternatives"), own)
+    each = each.select("query_id", "pos", own.alias("alternatives"))
+    return each.withColumn("long", F.forall("alternatives", lambda t: F.length(t) >= 3))
+
+
+def query_validate(queries: DataFrame) -> DataFrame:
+    """query_id and code of each query: the first rule that its text, dates, limit or offset break."""
+    words = F.size(F.array_distinct(F.filter(F.split(normalize(F.col("term")), " "), lambda w: w != "")))
+    rules = [
+        ("empty", F.trim("term") == ""), ("too_long", F.length("term") > 200), ("dates_not_ordered", F.col("date_from") > F.col("date_to")),
+        ("control", F.col("term").rlike("[\\x00-\\x08\\x0e-\\x1b]")), ("too_many_terms", words > MAX_TERMS),
+        ("limit_out_of_range", ~F.col("limit").between(1, 100)), ("offset_out_of_range", ~F.col("offset").between(0, 10_000)),
+    ]
+    return queries.select("query_id", F.coalesce(*(F.when(c, name) for name, c in rules), F.lit("ok")).alias("code"))
+
+
+def document_grams(index: DataFrame, sizes: list[int]) -> DataFrame:
+    """document_id, gram: the distinct n-grams of each document, a posting list that may be stored and reused."""
+    every = F.array_distinct(F.concat(*(_grams(F.col(c), n) for c in ("title_text", "body_text") for n in sizes)))
+    return index.select("document_id", F.explode(every).alias("gram"))
+
+
+def _term_grams(terms: DataFrame) -> DataFrame:
+    return terms.select("t", F.explode(F.when(F.length("t") < 3, F.array("t")).otherwise(F.array_distinct(_grams(F.col("t"))))).alias("gram"))
+
+
+def search_prefilter(index: DataFrame, queries: DataFrame, aliases: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
+    """query_id, document_id: documents that for each long group have every trigram of one of its alternatives.
+    Queries without a long group have no prefilter and do not appear."""
+    groups = query_groups(queries, aliases).where("long")
+    asked = groups.select("query_id", "pos", F.explode("alternatives").alias("t"))
+    grams = _term_grams(asked.select("t").distinct())
+    wanted = grams.groupBy("t").agg(F.count("*").alias("n"))
+    there = (document_grams(index, [3]) if postings is None else postings).join(grams, "gram").groupBy("t", "document_id").agg(F.count("*").alias("m"))
+    full = there.join(wanted, "t").where("m = n").select("t", "document_id")
+    met = asked.join(full, "t").groupBy("query_id", "document_id").agg(F.size(F.collect_set("pos")).alias("met"))
+    needed = groups.groupBy("query_id").agg(F.count("*").alias("needed"))
+    return met.join(needed, "query_id").where("met = needed").select("query_id", "document_id")
 
 
 def search_candidates(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, document_id of documents that have every trigram of the query's terms of three or more characters.
-    Matches are counted before the shuffle, so a very common gram does not gather in one task."""
-    long = F.filter("terms", lambda t: F.length(t) >= 3)
-    grams = query_terms(queries).select("query_id", F.array_distinct(F.flatten(F.transform(long, _grams))).alias("grams")).where(F.size("grams") > 0)
-    asked = grams.select("query_id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    there = index.select("document_id", F.explode(F.array_distinct(F.concat(_grams(F.col("title_text")), _grams(F.col("body_text"))))).alias("gram"))
-    found = there.join(F.broadcast(asked), "gram").groupBy("query_id", "document_id", "n").agg(F.count("*").alias("m"))
-    return found.where("m = n").select("query_id", "document_id")
+    """query_id, document_id of documents that have every trigram of the query's terms of three or more characters."""
+    return search_prefilter(index, queries)
+
+
+def _overlaps_itself(t: Column) -> Column:
+    return F.exists(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda k: (k < F.length(t)) & (F.left(t, k) == F.right(t, k)))
+
+
+def _count(text: Column, term: Column, loops: Column) -> Column:
+    """Occurrences of ``term``, overlapping ones too; only a term that can overlap itself needs a look at each place."""
+    each = F.size(F.regexp_extract_all(text, F.concat(F.lit(r"(?s)(?=(\Q"), term, F.lit(r"\E))")), F.lit(1)))
+    apart = (F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)
+    return F.when(loops, each).otherwise(apart.cast("int"))
+
+
+def term_hits(index: DataFrame, terms: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+    """t, document_id, in_title, in_body (occurrences) wherever a term of ``terms`` (t, distinct) stands literally."""
+    sizes = [r[0] for r in terms.select(F.least(F.length("t"), F.lit(3))).distinct().collect()]  # at most 1, 2 and 3
+    if not sizes:
+        sizes = [3]
+    grams = _term_grams(terms)
+    there = (document_grams(index, sizes) if postings is None else postings).join(grams.select("gram").distinct(), "gram", "left_semi")
+    often = there.groupBy("gram").agg(F.count("*").alias("df"))
+    rarest = grams.join(often, "gram", "left").groupBy("t").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
+    near = there.join(rarest.withColumn("loops", _overlaps_itself(F.col("t"))), "gram").select("t", "loops", "document_id")
+    text = index.select("document_id", "title_text", "body_text")
+    hits = near.join(text, "document_id").where(F.contains("title_text", "t") | F.contains("body_text", "t"))
+    return hits.select("t", "document_id", _count(F.col("title_text"), F.col("t"), F.col("loops")).alias("in_title"), _count(F.col("body_text"), F.col("t"), F.col("loops")).alias("in_body"))
+
+
+def search_rank(index: DataFrame, queries: DataFrame, aliases: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
+    """query_id, document_id of each document that for every group of the query holds an alternative literally, with
+    source_id, published_date, long (whether the query has a long group), title_hits (groups met in the title) and
+    score.
+
+    With a long group, score is BM25 over the alternatives of long groups, title hits weighted, lengths in trigrams;
+    otherwise it is title_hits.
+    """
+    groups = query_groups(queries, aliases)
+    asked = groups.select("query_id", "pos", "long", F.explode("alternatives").alias("t"))
+    hits = term_hits(index, asked.select("t").distinct(), postings)
+    frequency = hits.groupBy("t").agg(F.count("*").alias("df"))
+    whole = index.select("document_id", "source_id", "published_date", _size().alias("len"))
+    rows = asked.join(hits.join(frequency, "t"), "t").join(whole, "document_id").crossJoin(corpus_stats(index))  # one row
+    idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    tf = TITLE_WEIGHT * F.col("in_title") + F.col("in_body")
+    part = F.when(F.col("long"), idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))))
+    met = rows.groupBy("query_id", "document_id").agg(
+        F.size(F.collect_set("pos")).alias("met"), F.size(F.collect_set(F.when(F.col("in_title") > 0, F.col("pos")))).alias("title_hits"), F.sum(part).alias("bm25"),
+        F.max("source_id").alias("source_id"), F.max("published_date").alias("published_date"),
+    )
+    needed = groups.groupBy("query_id").agg(F.count("*").alias("needed"), F.max("long").alias("long"))
+    full = met.join(needed, "query_id").where("met = needed")
+    score = F.round(F.when(F.col("long"), F.col("bm25")).otherwise(F.col("title_hits")), 6)
+    return full.select("query_id", "document_id", "source_id", "published_date", "long", "title_hits", score.alias("score"))
 
 
-def _count(text: Column, term: Column) -> Column:
-    """Occurrences of ``term``, overlapping ones too."""
-    return F.size(F.regexp_extract_all(text, F.concat(F.lit(r"(?s)(?=(\Q"), term, F.lit(r"\E))")), F.lit(1)))
+def search_match(index: DataFrame, queries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """query_id, document_id of each match."""
+    return search_rank(index, queries, aliases).select("query_id", "document_id")
 
 
-def search_match(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id and index row of each document that holds all terms, literally, in title or body. Queries are a
-    bounded batch and broadcast."""
-    q = query_terms(queries).where(F.size("terms") > 0)
-    there = F.forall("terms", lambda t: F.contains(F.col("title_text"), t) | F.contains(F.col("body_text"), t))
-    return index.crossJoin(F.broadcast(q)).where(there)
+def search_bm25(index: DataFrame, queries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Matches of queries with a long group, with their BM25 score."""
+    return search_rank(index, queries, aliases).where("long").drop("long", "title_hits")
 
 
-def search_bm25(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, document_id, score: BM25 over terms, title hits weighted, lengths in trigrams; two characters less
-    than a text's length. Shorter texts have length zero."""
-    size = lambda c: F.greatest(F.length(c) - 2, F.lit(0))
-    whole = index.withColumn("len", size("title_text") + size("body_text"))
-    stats = whole.agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
-    hits = search_match(whole, queries).select("query_id", "document_id", "source_id", "published_date", "len", "title_text", "body_text", F.explode("terms").alias("t"))
-    hits = hits.withColumn("tf", TITLE_WEIGHT * _count(F.col("title_text"), F.col("t")) + _count(F.col("body_text"), F.col("t")))
-    frequency = _term_frequency(index, queries)
-    hits = hits.join(F.broadcast(frequency), "t").crossJoin(F.broadcast(stats))
-    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return hits.groupBy("query_id", "document_id").agg(F.round(F.sum(part), 6).alias("score"), F.first("published_date").alias("published_date"), F.first("source_id").alias("source_id"))
-
-
-def _term_frequency(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """Documents that hold each term of the batch."""
-    terms = query_terms(queries).select(F.explode("terms").alias("t")).distinct()
-    return index.crossJoin(F.broadcast(terms)).where(F.contains(F.col("title_text"), F.col("t")) | F.contains(F.col("body_text"), F.col("t"))).groupBy("t").agg(F.count("*").alias("df"))
-
-
-def search_batch(index: DataFrame, queries: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
-    """A page of each query: rank, document, score, snippet and the query's total."""
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("published_date"), "document_id")
-    scored = search_bm25(index, queries)
-    total = scored.groupBy("query_id").agg(F.count("*").alias("total"))
-    page = scored.withColumn("rank", F.row_number().over(order)).where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
-    page = page.join(F.broadcast(total), "query_id").join(index.select("document_id", "body_text"), "document_id").join(F.broadcast(query_terms(queries)), "query_id")
+def search_title_rank(index: DataFrame, queries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Matches of queries without a long group, ranked by the groups that the title meets."""
+    own = search_rank(index, queries, aliases).where("NOT long")
+    return own.withColumn("rank", F.row_number().over(_best("query_id"))).select("query_id", "rank", "document_id", "title_hits")
+
+
+def _best(*keys: str):
+    return W.partitionBy(*keys).orderBy(F.desc("score"), F.desc("published_date"), "document_id")
+
+
+def search_batch(index: DataFrame, queries: DataFrame, limit: int = 20, offset: int = 0, aliases: DataFrame | None = None) -> DataFrame:
+    """A page of each query: rank, document, score, snippet and the query's total, which does not depend on the page."""
+    scored = search_rank(index, queries, aliases)
+    page = scored.withColumn("rank", F.row_number().over(_best("query_id"))).withColumn("total", F.count("*").over(W.partitionBy("query_id")))
+    page = page.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
+    words = query_groups(queries, aliases).groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("alternatives"))).alias("terms"))
+    page = page.join(index.select("document_id", "body_text"), "document_id").join(words, "query_id")
     return page.select("query_id", "rank", "document_id", "score", "total", snippet(F.col("body_text"), F.col("terms")).alias("snippet"))
 
 
 def per_source_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k best of each source and query; scores of sources are not compared."""
-    order = W.partitionBy("query_id", "source_id").orderBy(F.desc("score"), F.desc("published_date"), "document_id")
-    return search_bm25(index, queries).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "source_id", "rank", "document_id")
+    ranked = search_rank(index, queries).withColumn("rank", F.row_number().over(_best("query_id", "source_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "source_id", "rank", "document_id")
+
+
+def word_rank(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """The rival method: all terms must be whole words of title or body; more words in the title come first."""
+    words = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    there = index.select("document_id", "published_date", words("title_text").alias("tw"), F.explode(F.array_distinct(F.concat(words("title_text"), words("body_text")))).alias("t"))
+    there = there.select("document_id", "published_date", "t", F.array_contains("tw", F.col("t")).cast("int").alias("in_title"))
+    terms = query_terms(queries)
+    asked = terms.select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("t"))
+    met = asked.join(there, "t").groupBy("query_id", "document_id", "n").agg(F.count("*").alias("m"), F.sum("in_title").alias("score"), F.max("published_date").alias("published_date"))
+    return met.where("m = n").select("query_id", "document_id", "published_date", "score")
+
+
+def search_compare(index: DataFrame, queries: DataFrame, aliases: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """``retrieval_metrics`` of four methods: literal (by date), words, trigram, and trigram with aliases."""
+    plain = search_rank(index, queries)
+    ways = {"literal": plain.withColumn("score", F.lit(0.0)), "words": word_rank(index, queries), "trigram": plain, "trigram_aliases": search_rank(index, queries, aliases)}
+    out = None
+    for name, found in ways.items():
+        ranked = found.withColumn("rank", F.row_number().over(_best("query_id"))).where(F.col("rank") <= max(ks)).select("query_id", "document_id", "rank")
+        own = retrieval_metrics(ranked, relevant, ks).withColumn("method", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def notice_detail(requests: DataFrame, docs: DataFrame, versions: DataFrame) -> DataFrame:
+    """For each requested document_id its current version (also after a failed recheck), or why there is none."""
+    asked = requests.select("document_id").distinct()
+    held = docs.select("document_id", "title", "status", F.when(F.col("last_success_at").isNotNull(), F.col("current_version_id")).alias("version_id"), F.lit(True).alias("known"))
+    rows = asked.join(held, "document_id", "left").join(versions.select("document_id", "version_id", "raw_sha"), ["document_id", "version_id"], "left")
+    code = (
+        F.when(F.col("known").isNull(), "document_not_found")
+        .when(F.col("version_id").isNull(), "notice_not_processed")
+        .when(F.col("raw_sha").isNull(), "notice_content_invalid")
+        .otherwise("ok")
+    )
+    return rows.select("document_id", code.alias("code"), "version_id", "title", "status", "raw_sha")
 
 
 def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """Per k, over queries with relevant documents: mean recall, precision, and precision among what was returned."""
     base = relevant.groupBy("query_id").agg(F.count("*").alias("n"))
     hit = ranked.join(relevant.withColumn("hit", F.lit(1)), ["query_id", "document_id"], "left")
-    rows = base.crossJoin(F.broadcast(base.sparkSession.createDataFrame([(k,) for k in ks], "k int")))
+    rows = base.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
     top = rows.join(hit, "query_id", "left").groupBy("query_id", "k", "n").agg(
         F.count_if((F.col("rank") <= F.col("k")) & (F.col("hit") == 1)).alias("hits"), F.count_if(F.col("rank") <= F.col("k")).alias("returned")
     )
@@ -113,3 +245,10 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...
         F.round(F.avg(F.when(F.col("returned") > 0, F.col("hits") / F.col("returned")).otherwise(0.0)), 6).alias("returned_precision"),
         F.count("*").alias("queries"),
     )
+
+
+def empty_set_queries(ranked: DataFrame, relevant: DataFrame, queries: DataFrame) -> DataFrame:
+    """One row: queries without relevant documents, and how many of them were rightly answered with nothing."""
+    without = queries.select("query_id").distinct().join(relevant.select("query_id").distinct(), "query_id", "left_anti")
+    wrong = without.join(ranked.select("query_id").distinct(), "query_id", "left_semi")
+    return without.agg(F.count("*").alias("queries")).crossJoin(wrong.agg(F.count("*").alias("answered"))).select("queries", (F.col("queries") - F.col("answered")).alias("empty_correct"))

@@ -13,8 +13,41 @@ _NORM = r"trim(regexp_replace(replace(lower(coalesce({}, '')), 'ß', 'ss'), '\s+
 _INDEX = f"idx AS (SELECT document_id, source_id, published_date, current_version_id AS version_id, {_NORM.format('title')} AS title_text, {_NORM.format('body_text')} AS body_text, 'trigram-1' AS index_version FROM notice WHERE status = 'processed')"
 _TERMS = f"""words AS (SELECT query_id, w AS t, min(i) AS i FROM (SELECT query_id, unnest(string_split({_NORM.format('term')}, ' ')) AS w, generate_subscripts(string_split({_NORM.format('term')}, ' '), 1) AS i FROM term) WHERE w <> '' GROUP BY ALL),
 terms AS (SELECT query_id, t FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i) AS r FROM words) WHERE r <= 8)"""
-_MATCH = f"""{_INDEX}, {_TERMS}, matched AS (SELECT query_id, document_id FROM idx, (SELECT query_id, list(t) AS ts FROM terms GROUP BY query_id)
-  WHERE len(list_filter(ts, lambda x: NOT contains(title_text, x) AND NOT contains(body_text, x))) = 0)"""
+#: Stand-ins for the fixed alternatives of a term: any of them will do.
+ALIASES = {"die": ["die", "der", "das"], "the": ["the", "these"], "la": ["la", "le"]}
+_GROUPS = _TERMS + f""", alias AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v})" for k, v in ALIASES.items())}) AS a(t, alternatives)),
+groups AS (SELECT query_id, t AS pos, coalesce(alternatives, [t]) AS alts, len(list_filter(coalesce(alternatives, [t]), lambda x: length(x) < 3)) = 0 AS long FROM terms LEFT JOIN alias USING (t)),
+plain AS (SELECT query_id, t AS pos, [t] AS alts, length(t) >= 3 AS long FROM terms)"""
+_OVERLAPPING = "CASE WHEN contains({0}, {1}) THEN len(list_filter(range(1, length({0}) + 1), lambda p: substr({0}, p, length({1})) = {1})) ELSE 0 END"
+_SPLIT = "CASE WHEN NOT contains({0}, {1}) THEN 0 WHEN len(list_filter(range(1, length({1})), lambda k: left({1}, k) = right({1}, k))) = 0 THEN len(string_split({0}, {1})) - 1 ELSE " + _OVERLAPPING + " END"
+
+
+def _scored(groups: str, name: str = "scored") -> str:
+    """Every match of the queries in ``groups``, by comparing all of them with all documents."""
+    return f"""{name}_alt AS (SELECT query_id, pos, long, unnest(alts) AS t FROM {groups}),
+{name}_hit AS (SELECT t, document_id, {_SPLIT.format("title_text", "t")} AS in_title, {_SPLIT.format("body_text", "t")} AS in_body
+  FROM (SELECT DISTINCT t FROM {name}_alt) JOIN idx ON contains(title_text, t) OR contains(body_text, t)),
+{name}_row AS (SELECT a.query_id, a.pos, a.long, h.*, count(*) OVER (PARTITION BY a.query_id, a.pos, a.t) AS df, i.source_id, i.published_date, greatest(length(title_text) - 2, 0) + greatest(length(body_text) - 2, 0) AS len
+  FROM {name}_alt a JOIN {name}_hit h USING (t) JOIN idx i ON i.document_id = h.document_id),
+{name} AS (SELECT query_id, document_id, source_id, published_date, bool_or(long) AS long, count(DISTINCT pos) FILTER (in_title > 0) AS title_hits,
+  round(CASE WHEN any_value(has_long) THEN sum(CASE WHEN long THEN greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * (5.0 * in_title + in_body) * 2.2 / (5.0 * in_title + in_body + 1.2 * (0.25 + 0.75 * len / avg_len)) END)
+    ELSE count(DISTINCT pos) FILTER (in_title > 0) END, 6) AS score, any_value(has_long) AS has_long
+  FROM {name}_row JOIN (SELECT query_id, count(*) AS needed, bool_or(long) AS has_long FROM {groups} GROUP BY query_id) USING (query_id)
+  CROSS JOIN (SELECT count(*) AS docs, avg(greatest(length(title_text) - 2, 0) + greatest(length(body_text) - 2, 0)) AS avg_len FROM idx)
+  GROUP BY query_id, document_id, source_id, published_date HAVING count(DISTINCT pos) = any_value(needed))"""
+
+
+_PLAIN = f"{_INDEX}, {_GROUPS}, {_scored('plain')}"
+_WITH_ALIASES = f"{_INDEX}, {_GROUPS}, {_scored('groups')}"
+_RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, published_date DESC, document_id)"
+
+
+def _aliases(spark):
+    return spark.createDataFrame(list(ALIASES.items()), "term string, alternatives array<string>")
+
+
+def _both(spark, sf):
+    return ops.index_rows(view(spark, sf, "notice")), view(spark, sf, "term")
 
 
 @query("index_rows", oracle(f"WITH {_INDEX} SELECT document_id, source_id, published_date, version_id, title_text, body_text, index_version FROM idx", "notice"))
@@ -22,15 +55,18 @@ def _(spark, sf):
     return ops.index_rows(view(spark, sf, "notice"))
 
 
-@query("query_expand", oracle(f"WITH {_TERMS} SELECT query_id, count(*) AS n, string_agg(t, '|' ORDER BY t) AS terms FROM terms GROUP BY query_id", "term"))
+@query("query_expand", oracle(f"WITH {_GROUPS} SELECT query_id, pos AS term, array_to_string(alts, '|') AS alternatives, long FROM groups", "term"))
 def _(spark, sf):
-    return ops.query_terms(view(spark, sf, "term")).select("query_id", F.size("terms").cast("long").alias("n"), F.array_join(F.array_sort("terms"), "|").alias("terms"))
+    rows = ops.query_groups(view(spark, sf, "term"), _aliases(spark)).join(ops.query_terms(view(spark, sf, "term")), "query_id")
+    return rows.select("query_id", F.get("terms", F.col("pos")).alias("term"), F.array_join("alternatives", "|").alias("alternatives"), "long")
 
 
-@query("query_validate", oracle("SELECT query_id, CASE WHEN length(term) = 0 THEN 'empty' WHEN length(term) > 200 THEN 'too_long' WHEN regexp_matches(term, '[\\x00-\\x08\\x0e-\\x1f]') THEN 'control' ELSE 'ok' END AS code FROM term", "term"))
+@query("query_validate", oracle(f"""WITH asked AS (SELECT query_id, term, date '2024-01-01' + CAST(query_id % 60 AS INT) AS date_from, CASE WHEN query_id % 3 > 0 THEN date '2024-01-31' END AS date_to, query_id % 120 AS "limit", query_id * 37 % 11000 AS "offset" FROM term)
+SELECT query_id, CASE WHEN trim(term) = '' THEN 'empty' WHEN length(term) > 200 THEN 'too_long' WHEN date_from > date_to THEN 'dates_not_ordered' WHEN regexp_matches(term, '[\x00-\x08\x0e-\x1b]') THEN 'control'
+WHEN len(list_distinct(list_filter(string_split({_NORM.format('term')}, ' '), lambda w: w <> ''))) > 8 THEN 'too_many_terms' WHEN "limit" NOT BETWEEN 1 AND 100 THEN 'limit_out_of_range' WHEN "offset" NOT BETWEEN 0 AND 10000 THEN 'offset_out_of_range' ELSE 'ok' END AS code FROM asked""", "term"))
 def _(spark, sf):
-    code = F.when(F.length("term") == 0, "empty").when(F.length("term") > 200, "too_long").when(F.col("term").rlike("[\\x00-\\x08\\x0e-\\x1f]"), "control").otherwise("ok")
-    return view(spark, sf, "term").select("query_id", code.alias("code"))
+    asked = view(spark, sf, "term").selectExpr("*", "date '2024-01-01' + CAST(query_id % 60 AS INT) AS date_from", "CASE WHEN query_id % 3 > 0 THEN date '2024-01-31' END AS date_to", "query_id % 120 AS limit", "query_id * 37 % 11000 AS offset")
+    return ops.query_validate(asked)
 
 
 @query("trigram_postings", oracle(f"""WITH {_INDEX},
@@ -41,49 +77,66 @@ def _(spark, sf):
     return ops.trigram_postings(ops.index_rows(view(spark, sf, "notice")))
 
 
-@query("search_match", oracle(f"WITH {_MATCH} SELECT query_id, document_id FROM matched", "notice", "term"))
+@query("search_match", oracle(f"WITH {_PLAIN} SELECT query_id, document_id FROM scored", "notice", "term"))
 def _(spark, sf):
-    return ops.search_match(ops.index_rows(view(spark, sf, "notice")), view(spark, sf, "term")).select("query_id", "document_id")
+    return ops.search_match(*_both(spark, sf))
 
 
-@query("search_candidates", oracle(f"""WITH {_INDEX}, {_TERMS},
-q AS (SELECT query_id, list_distinct(flatten(list(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))))) AS gs FROM terms WHERE length(t) >= 3 GROUP BY query_id)
-SELECT query_id, document_id FROM idx, q WHERE len(list_filter(gs, lambda g: NOT contains(title_text, g) AND NOT contains(body_text, g))) = 0""", "notice", "term"))
+_ALL_GRAMS = "len(list_filter(list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3)), lambda g: NOT contains(title_text, g) AND NOT contains(body_text, g))) = 0"
+
+
+@query("search_candidates", oracle(f"""WITH {_INDEX}, {_GROUPS} SELECT query_id, document_id FROM idx, (SELECT query_id, list(pos) AS ts FROM plain WHERE long GROUP BY query_id)
+WHERE len(list_filter(ts, lambda x: NOT ({_ALL_GRAMS}))) = 0""", "notice", "term"))
+def _(spark, sf):
+    return ops.search_candidates(*_both(spark, sf))
+
+
+@query("search_prefilter", oracle(f"""WITH {_INDEX}, {_GROUPS}, met AS (SELECT query_id, document_id, pos FROM idx, groups WHERE long AND len(list_filter(alts, lambda x: {_ALL_GRAMS})) > 0)
+SELECT query_id, document_id FROM met GROUP BY query_id, document_id HAVING count(*) = (SELECT count(*) FROM groups g WHERE g.long AND g.query_id = met.query_id)""", "notice", "term"))
 def _(spark, sf):
-    return ops.search_candidates(ops.index_rows(view(spark, sf, "notice")), view(spark, sf, "term"))
+    return ops.search_prefilter(*_both(spark, sf), _aliases(spark))
 
 
-_SCORED = f"""{_MATCH}, sized AS (SELECT *, greatest(length(title_text) - 2, 0) + greatest(length(body_text) - 2, 0) AS len FROM idx),
-stats AS (SELECT count(*) AS docs, avg(len) AS avg_len FROM sized),
-freq AS (SELECT t, count(*) AS df FROM (SELECT DISTINCT t FROM terms) u JOIN idx ON contains(title_text, t) OR contains(body_text, t) GROUP BY t),
-hits AS (SELECT m.query_id, s.*, t.t, 5.0 * (CASE WHEN contains(s.title_text, t.t) THEN len(list_filter(range(1, length(s.title_text) + 1), lambda p: substr(s.title_text, p, length(t.t)) = t.t)) ELSE 0 END)
-  + (CASE WHEN length(t.t) > 1 AND contains(s.body_text, t.t) AND NOT contains(substr(t.t, 2), substr(t.t, 1, 1)) THEN len(string_split(s.body_text, t.t)) - 1
-     ELSE len(list_filter(range(1, length(s.body_text) + 1), lambda p: substr(s.body_text, p, length(t.t)) = t.t)) END) AS tf
-  FROM matched m JOIN sized s USING (document_id) JOIN terms t ON t.query_id = m.query_id),
-scored AS (SELECT query_id, document_id, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score, any_value(published_date) AS published_date, any_value(source_id) AS source_id
-  FROM hits JOIN freq USING (t) CROSS JOIN stats GROUP BY query_id, document_id)"""
+@query("search_bm25", oracle(f"WITH {_PLAIN} SELECT query_id, document_id, score FROM scored WHERE has_long", "notice", "term"))
+def _(spark, sf):
+    return ops.search_bm25(*_both(spark, sf)).select("query_id", "document_id", "score")
 
 
-@query("search_bm25", oracle(f"WITH {_SCORED} SELECT query_id, document_id, score FROM scored", "notice", "term"))
+@query("search_title_rank", oracle(f"WITH {_WITH_ALIASES} SELECT query_id, {_RANK} AS rank, document_id, title_hits FROM scored WHERE NOT has_long", "notice", "term"))
 def _(spark, sf):
-    return ops.search_bm25(ops.index_rows(view(spark, sf, "notice")), view(spark, sf, "term")).select("query_id", "document_id", "score")
+    return ops.search_title_rank(*_both(spark, sf), _aliases(spark))
 
 
-@query("search_page", oracle(f"""WITH {_SCORED} SELECT query_id, rank, document_id, total FROM (
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, published_date DESC, document_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM scored) WHERE rank > 5 AND rank <= 15""", "notice", "term"))
+@query("search_page", oracle(f"""WITH {_PLAIN} SELECT query_id, rank, document_id, total FROM (
+SELECT *, {_RANK} AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM scored) WHERE rank > 5 AND rank <= 15""", "notice", "term"))
 def _(spark, sf):
-    return ops.search_batch(ops.index_rows(view(spark, sf, "notice")), view(spark, sf, "term"), 10, 5).select("query_id", "rank", "document_id", "total")
+    return ops.search_batch(*_both(spark, sf), 10, 5).select("query_id", "rank", "document_id", "total")
+
+
+_LINE = "trim(regexp_replace(body_text, '\\s+', ' ', 'g'))"
 
 
-@query("search_batch")
+@query("search_batch", oracle(f"""WITH {_WITH_ALIASES}, ranked AS (SELECT *, {_RANK} AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM scored),
+parts AS (SELECT query_id, flatten(list(alts)) AS ts FROM groups GROUP BY query_id),
+page AS (SELECT r.query_id, rank, r.document_id, score, total, body_text AS t, greatest(coalesce(list_min(list_filter(list_transform(ts, lambda x: strpos(lower(body_text), x)), lambda p: p > 0)), 1) - 61, 0) AS s
+  FROM ranked r JOIN idx USING (document_id) JOIN parts USING (query_id) WHERE rank <= 20)
+SELECT query_id, rank, document_id, score, total, (CASE WHEN s > 0 THEN '…' ELSE '' END) || substr(t, s + 1, 240) || (CASE WHEN length(t) > s + 240 THEN '…' ELSE '' END) AS snippet FROM page""", "notice", "term"))
 def _(spark, sf):
-    return ops.search_batch(ops.index_rows(view(spark, sf, "notice")), view(spark, sf, "term"))
+    return ops.search_batch(*_both(spark, sf), aliases=_aliases(spark))
 
 
-@query("per_source_topk", oracle(f"""WITH {_SCORED} SELECT query_id, source_id, rank, document_id FROM (
+@query("per_source_topk", oracle(f"""WITH {_PLAIN} SELECT query_id, source_id, rank, document_id FROM (
 SELECT *, row_number() OVER (PARTITION BY query_id, source_id ORDER BY score DESC, published_date DESC, document_id) AS rank FROM scored) WHERE rank <= 2""", "notice", "term"))
 def _(spark, sf):
-    return ops.per_source_topk(ops.index_rows(view(spark, sf, "notice")), view(spark, sf, "term"), 2)
+    return ops.per_source_topk(*_both(spark, sf), 2)
+
+
+@query("notice_detail", oracle("""SELECT r.document_id, CASE WHEN n.document_id IS NULL THEN 'document_not_found' WHEN n.last_success_at IS NULL THEN 'notice_not_processed' WHEN v.raw_sha IS NULL THEN 'notice_content_invalid' ELSE 'ok' END AS code,
+CASE WHEN n.last_success_at IS NOT NULL THEN n.current_version_id END AS version_id, n.title, n.status, v.raw_sha FROM (SELECT DISTINCT o_custkey AS document_id FROM orders) r LEFT JOIN notice n ON n.document_id = r.document_id
+LEFT JOIN version v ON v.document_id = r.document_id AND v.version_id = n.current_version_id AND n.last_success_at IS NOT NULL""", "notice", "version"))
+def _(spark, sf):
+    asked = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("document_id"))
+    return ops.notice_detail(asked, view(spark, sf, "notice"), view(spark, sf, "version"))
 
 
 @query("snippet", oracle("""SELECT document_id, (CASE WHEN s > 0 THEN '…' ELSE '' END) || substr(t, s + 1, 240) || (CASE WHEN length(t) > s + 240 THEN '…' ELSE '' END) AS snippet FROM (
@@ -93,14 +146,39 @@ def _(spark, sf):
     return view(spark, sf, "notice").select("document_id", snippet(F.col("body_text"), F.array(F.lit("tion"), F.lit("ung"))).alias("snippet"))
 
 
-@query("retrieval_metrics", oracle(f"""WITH {_SCORED}, ranked AS (SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, published_date DESC, document_id) AS rank FROM scored),
-rel AS (SELECT query_id, document_id FROM matched WHERE document_id % 3 = 0), base AS (SELECT query_id, count(*) AS n FROM rel GROUP BY query_id),
-top AS (SELECT b.query_id, k, n, count(*) FILTER (r.rank <= k AND rel.document_id IS NOT NULL) AS hits, count(*) FILTER (r.rank <= k) AS returned
-  FROM base b CROSS JOIN (SELECT unnest([1, 3, 5]) AS k) LEFT JOIN ranked r ON r.query_id = b.query_id LEFT JOIN rel ON rel.query_id = r.query_id AND rel.document_id = r.document_id GROUP BY ALL)
-SELECT k, round(avg(hits / n), 6) AS recall, round(avg(hits / k), 6) AS precision, round(avg(CASE WHEN returned > 0 THEN hits / returned ELSE 0 END), 6) AS returned_precision, count(*) AS queries FROM top GROUP BY k""", "notice", "term"))
+def _metrics(name: str, source: str, order: str) -> str:
+    return f"""SELECT '{name}' AS method, k, round(avg(hits / n), 6) AS recall, round(avg(hits / k), 6) AS precision, round(avg(CASE WHEN returned > 0 THEN hits / returned ELSE 0 END), 6) AS returned_precision, count(*) AS queries FROM (
+SELECT b.query_id, k, n, count(*) FILTER (r.rank <= k AND rel.document_id IS NOT NULL) AS hits, count(*) FILTER (r.rank <= k) AS returned
+  FROM base b CROSS JOIN (SELECT unnest([1, 3, 5]) AS k) LEFT JOIN (SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY {order} published_date DESC, document_id) AS rank FROM {source}) r ON r.query_id = b.query_id
+  LEFT JOIN rel ON rel.query_id = r.query_id AND rel.document_id = r.document_id GROUP BY ALL) GROUP BY k"""
+
+
+_REL = "rel AS (SELECT query_id, document_id FROM scored WHERE document_id % 3 = 0), base AS (SELECT query_id, count(*) AS n FROM rel GROUP BY query_id)"
+
+
+def _relevant(index, terms):
+    return ops.search_match(index, terms).where("document_id % 3 = 0")
+
+
+@query("retrieval_metrics", oracle(f"WITH {_PLAIN}, {_REL} SELECT * EXCLUDE method FROM ({_metrics('', 'scored', 'score DESC,')})", "notice", "term"))
+def _(spark, sf):
+    index, terms = _both(spark, sf)
+    ranked = ops.search_batch(index, terms, 5).select("query_id", "document_id", "rank")
+    return ops.retrieval_metrics(ranked, _relevant(index, terms))
+
+
+@query("empty_set_queries", oracle(f"""WITH {_PLAIN}, {_REL}, wo AS (SELECT DISTINCT query_id FROM term WHERE query_id NOT IN (SELECT query_id FROM base))
+SELECT count(*) AS queries, count(*) FILTER (query_id NOT IN (SELECT query_id FROM scored)) AS empty_correct FROM wo""", "notice", "term"))
 def _(spark, sf):
-    from pyspark.sql import Window as W
+    index, terms = _both(spark, sf)
+    return ops.empty_set_queries(ops.search_match(index, terms), _relevant(index, terms), terms)
 
-    scored = ops.search_bm25(ops.index_rows(view(spark, sf, "notice")), view(spark, sf, "term"))
-    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("published_date"), "document_id")))
-    return ops.retrieval_metrics(ranked.select("query_id", "document_id", "rank"), scored.where("document_id % 3 = 0").select("query_id", "document_id"))
+
+_WORDS = r"""wd AS (SELECT document_id, published_date, list_distinct(string_split_regex(title_text, '[^\p{L}\p{N}]+')) AS tw, list_distinct(string_split_regex(title_text, '[^\p{L}\p{N}]+') || string_split_regex(body_text, '[^\p{L}\p{N}]+')) AS ws FROM idx),
+worded AS (SELECT query_id, document_id, published_date, len(list_intersect(ts, tw)) AS score FROM wd, (SELECT query_id, list(t) AS ts FROM terms GROUP BY query_id) WHERE len(list_intersect(ts, ws)) = len(ts))"""
+
+
+@query("search_compare", oracle(f"WITH {_PLAIN}, {_scored('groups', 'wide')}, {_WORDS}, {_REL} " + " UNION ALL ".join((_metrics("literal", "scored", ""), _metrics("words", "worded", "score DESC,"), _metrics("trigram", "scored", "score DESC,"), _metrics("trigram_aliases", "wide", "score DESC,"))), "notice", "term"))
+def _(spark, sf):
+    index, terms = _both(spark, sf)
+    return ops.search_compare(index, terms, _aliases(spark), _relevant(index, terms))
