@@ -164,7 +164,7 @@ def _(spark, sf):
     return view(spark, sf, "attempt").withColumn("seen", F.max("started_at").over(w)).where("started_at < seen").select("mail_id", "line_id", "started_at")
 
 
-@query("outcome_class", oracle("SELECT coalesce(outcome, 'open') AS outcome, CASE WHEN outcome = 'accepted' THEN 'done' WHEN outcome = 'permanent' THEN 'stop' WHEN outcome IS NULL THEN 'running' ELSE 'retry' END AS class, count(*) AS n FROM attempt GROUP BY ALL", "attempt"))
+@query("attempt_class", oracle("SELECT coalesce(outcome, 'open') AS outcome, CASE WHEN outcome = 'accepted' THEN 'done' WHEN outcome = 'permanent' THEN 'stop' WHEN outcome IS NULL THEN 'running' ELSE 'retry' END AS class, count(*) AS n FROM attempt GROUP BY ALL", "attempt"))
 def _(spark, sf):
     o = F.col("outcome")
     kind = F.when(o == "accepted", "done").when(o == "permanent", "stop").when(o.isNull(), "running").otherwise("retry")

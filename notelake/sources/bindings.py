@@ -35,12 +35,27 @@ FROM documents CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) AS ks""",
 SELECT page_id AS id, concat('s', CAST(page_id % 5 AS STRING)) AS source_id, url AS requested_url,
   CASE WHEN page_id % 17 = 3 THEN concat(url, '#moved') ELSE url END AS final_url, {T0} + page_id * 600 AS fetched_at,
   CASE WHEN page_id % 5 = 4 THEN 304 ELSE 200 END AS status_code, CASE WHEN page_id % 5 = 4 THEN page_id - 1 END AS validated_response_id,
-  concat('"e', CAST(CAST(floor(page_id / 5) AS BIGINT) AS STRING), '"') AS etag, CAST(floor(page_id / 5) AS BIGINT) AS resource_id,
+  CASE WHEN page_id % 23 = 6 THEN NULL WHEN page_id % 29 = 8 THEN 'unquoted' WHEN page_id % 31 = 9 THEN concat('W/"e', CAST(CAST(floor(page_id / 5) AS BIGINT) AS STRING), '"') ELSE concat('"e', CAST(CAST(floor(page_id / 5) AS BIGINT) AS STRING), '"') END AS etag,
+  CAST(floor(page_id / 5) AS BIGINT) AS resource_id, CASE WHEN page_id % 4 = 0 THEN 'list' ELSE 'notice' END AS page_type, CASE WHEN page_id % 4 > 0 THEN CAST(floor(page_id / 10) AS BIGINT) END AS document_id,
+  CASE page_id % 12 WHEN 1 THEN 'Tue, 02 Jan 2024 03:04:05 GMT' WHEN 2 THEN 'yesterday' WHEN 3 THEN 'Tue, 02 Jan 2024 03:04:05 +0100' WHEN 4 THEN 'Tue, 31 Feb 2024 03:04:05 GMT' WHEN 5 THEN 'Tue, 02 Jan 2024 03:04:05 GMT' END AS last_modified,
+  CASE page_id % 11 WHEN 1 THEN '120' WHEN 2 THEN ' 0030 ' WHEN 3 THEN '9223372036854775807' WHEN 4 THEN '99999999999999999999' WHEN 5 THEN 'Sat, 13 Jan 2024 03:04:05 GMT' WHEN 6 THEN 'soon' WHEN 7 THEN '-5' WHEN 8 THEN 'Mon, 01 Jan 2001 00:00:00 GMT' END AS retry_after,
+  CASE page_id % 14 WHEN 1 THEN 'timeout' WHEN 2 THEN 'request_limit' WHEN 3 THEN 'robots_denied' WHEN 4 THEN 'Bad Error' WHEN 5 THEN 'parse_failed' END AS error_code,
   CASE page_id % 13 WHEN 1 THEN 'Accept-Encoding' WHEN 2 THEN '*' WHEN 3 THEN 'Cookie' END AS vary,
   CASE page_id % 13 WHEN 4 THEN 'no-store' WHEN 5 THEN 'max-age=60, No-Store' WHEN 6 THEN 'max-age=60' END AS cache_control,
   CASE page_id % 13 WHEN 7 THEN 'gzip' WHEN 8 THEN 'identity' END AS content_encoding,
-  CASE WHEN page_id % 5 = 4 THEN NULL ELSE SHA[html] END AS body_sha256,
+  CASE WHEN page_id % 5 = 4 THEN NULL ELSE SHA[html] END AS body_sha256, CASE WHEN page_id % 5 = 4 THEN NULL WHEN page_id % 37 = 3 THEN 'raw/../x.bin' ELSE concat('raw/', SHA[html], '.bin') END AS body_path,
   CASE WHEN page_id % 5 = 4 THEN 'none' WHEN page_id % 19 = 7 THEN 'partial' ELSE 'complete' END AS body_state, html AS body
+FROM pages""",
+    "resource": """
+SELECT CAST(floor(page_id / 5) AS BIGINT) AS id, 's3' AS source_id, max(CASE WHEN page_id % 5 = 3 THEN url END) AS request_uri, max(CASE WHEN page_id % 5 = 3 THEN page_id END) AS latest_response_id,
+  CASE WHEN floor(min(page_id) / 5) % 7 = 3 THEN max(page_id) END AS blocked_by_response_id, CASE WHEN floor(min(page_id) / 5) % 9 = 2 THEN 'other' ELSE 'standard' END AS profile_sha256,
+  CASE floor(min(page_id) / 5) % 4 WHEN 0 THEN NULL WHEN 1 THEN min(page_id) ELSE max(CASE WHEN page_id % 5 = 3 THEN page_id END) END AS last_processed_response_id,
+  CASE floor(min(page_id) / 5) % 4 WHEN 0 THEN NULL WHEN 2 THEN 'p1' ELSE 'p2' END AS last_processed_parser_version
+FROM pages GROUP BY floor(page_id / 5)""",
+    "list_page": """
+SELECT CAST(floor(page_id / 6) AS BIGINT) AS run_id, page_id % 6 + 1 AS ordinal, page_id % 6 + 1 + CASE WHEN page_id % 97 = 3 THEN 1 ELSE 0 END AS page, CASE WHEN floor(page_id / 6) % 7 = 2 THEN 9 WHEN page_id % 89 = 4 THEN 7 ELSE 6 END AS total_pages,
+  concat('/list/', CAST(page_id % 6 + 1 AS STRING)) AS url, CASE WHEN page_id % 6 < 5 OR floor(page_id / 6) % 11 = 5 THEN concat('/list/', CAST(page_id % 6 + CASE WHEN page_id % 53 = 7 THEN 3 ELSE 2 END AS STRING)) END AS next_url,
+  concat('d', CAST(floor(page_id / 6) AS STRING)) AS first_digest, CASE WHEN floor(page_id / 6) % 5 = 1 THEN 'changed' ELSE concat('d', CAST(floor(page_id / 6) AS STRING)) END AS recheck_digest
 FROM pages""",
     "sample": """
 SELECT event_id, concat('s', CAST(user_id % 5 AS STRING)) AS source_id, EPOCH[ts] AS seen_at, event_type, event_type = 'error' AS unavailable,
