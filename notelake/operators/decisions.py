@@ -17,13 +17,14 @@ FRESH_DAYS = 6
 
 def eligibility(facts: DataFrame, constraints: DataFrame, profiles: DataFrame) -> DataFrame:
     """``facts`` for every profile, with its eligibility. ``constraints``: document_id, field, operator, values;
-    ``profiles``: profile_id, field, actual. A constraint that is unsupported, empty or not answered by the profile is
-    unknown; one mismatch decides."""
-    asked = constraints.join(profiles, "field", "left")
+    ``profiles``: profile_id, field, actual. A constraint that is unsupported, empty or not answered by the profile (no
+    row, or a null) is unknown; one mismatch decides."""
+    ids = profiles.select("profile_id").distinct()
+    asked = constraints.crossJoin(ids).join(profiles, ["profile_id", "field"], "left")
     unknown = (F.col("operator") == "unsupported") | (F.size("values") == 0) | F.col("actual").isNull()
     met = F.array_contains("values", F.col("actual"))
     per = asked.groupBy("document_id", "profile_id").agg(F.max(~unknown & ~met).alias("mismatch"), F.max(unknown).alias("unclear"))
-    each = facts.crossJoin(profiles.select("profile_id").distinct()).join(per, ["document_id", "profile_id"], "left")
+    each = facts.crossJoin(ids).join(per, ["document_id", "profile_id"], "left")
     open_question = ~F.col("audience_declared") | ~F.col("eligibility_complete") | F.col("information_incomplete") | F.coalesce("unclear", F.lit(False))
     result = (
         F.when((F.col("category") != "opportunity") & F.col("unclear").isNull(), "not_required")
@@ -109,8 +110,8 @@ def decide_batch(judged: DataFrame, flags: DataFrame, at: int, mode: str, next_d
 
 
 def route(at: int, mode: str, next_digest: int) -> Column:
-    """Where an action goes: of recent notices at activation only what closes before the next digest goes at once."""
-    closes = (F.col("time_status") == "open") & F.col("deadline_at").between(at, next_digest)
+    """Where an action goes: of recent notices at activation only what may close before the next digest goes at once."""
+    closes = (F.col("time_status") == "open") & urgent_at(at).between(at, next_digest)
     return (
         F.when(F.col("action").isin("IGNORE", "STORE_ONLY"), "none")
         .when((F.col("action") == "DIGEST") | F.lit(mode == "digest_only"), "digest")

@@ -18,15 +18,19 @@ def version_pairs(versions: DataFrame) -> DataFrame:
 
 
 def version_changes(versions: DataFrame) -> DataFrame:
-    """What each observation means: first, changed, same, or unknown where another parser read another body."""
-    before = F.lag(F.struct("raw_sha", "parser_version")).over(_history())
+    """What each observation means: first, changed or same. Contents (``content_sha``, or raw_sha without it) are
+    compared as one parser read them; where the parser is another, the same raw body is the same, and of another body
+    nothing is known."""
+    content = "content_sha" if "content_sha" in versions.columns else "raw_sha"
+    before = F.lag(F.struct(F.col(content).alias("content"), "raw_sha", "parser_version")).over(_history())
+    one_parser = before["parser_version"] == F.col("parser_version")
     kind = (
         F.when(before.isNull(), "first")
+        .when(one_parser, F.when(before["content"] == F.col(content), "same").otherwise("changed"))
         .when(before["raw_sha"] == F.col("raw_sha"), "same")
-        .when(before["parser_version"] == F.col("parser_version"), "changed")
         .otherwise("unknown")
     )
-    return versions.select("document_id", "version_id", "observed_at", kind.alias("change"))
+    return versions.select("document_id", "version_id", "observed_at", kind.alias("change"), F.coalesce(~one_parser, F.lit(False)).alias("other_parser"))
 
 
 def event_seq(versions: DataFrame) -> DataFrame:

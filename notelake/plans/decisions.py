@@ -14,7 +14,7 @@ _STATUS = f"""CASE WHEN category <> 'opportunity' THEN 'not_required' WHEN cance
   WHEN deadline_at IS NOT NULL AND (opening_confirmed OR opens_at IS NOT NULL) THEN 'open' ELSE 'unknown' END"""
 _URGENT = f"CASE WHEN deadline_lower_at IS NOT NULL THEN greatest(deadline_lower_at, {AT}) ELSE deadline_at END"
 _SOON = f"coalesce({_STATUS} = 'open' AND {_URGENT} BETWEEN {AT} AND {AT} + 259200, false)"
-_JUDGED = """WITH answer AS (SELECT r.document_id, p.profile_id, operator = 'unsupported' OR (v1 IS NULL AND v2 IS NULL) OR actual IS NULL AS unclear, actual = v1 OR actual = v2 AS same FROM requirement r JOIN profile p USING (field)),
+_JUDGED = """WITH answer AS (SELECT r.document_id, q.profile_id, operator = 'unsupported' OR (v1 IS NULL AND v2 IS NULL) OR actual IS NULL AS unclear, actual = v1 OR actual = v2 AS same FROM requirement r CROSS JOIN (SELECT DISTINCT profile_id FROM profile) q LEFT JOIN profile p ON p.field = r.field AND p.profile_id = q.profile_id),
 per AS (SELECT document_id, profile_id, bool_or(NOT unclear AND NOT coalesce(same, false)) AS mismatch, bool_or(unclear) AS unclear FROM answer GROUP BY ALL),
 judged AS (SELECT f.*, q.profile_id, CASE WHEN category <> 'opportunity' AND unclear IS NULL THEN 'not_required' WHEN coalesce(mismatch, false) THEN 'ineligible'
   WHEN NOT audience_declared OR NOT eligibility_complete OR information_incomplete OR coalesce(unclear, false) THEN 'unknown' ELSE 'eligible' END AS eligibility
@@ -38,7 +38,7 @@ decided AS (SELECT *, CASE WHEN reason IN ('excluded_topic', 'no_interest_match'
   WHEN reason IN ('topic_relation_unknown', 'media_interest_unknown', 'reference_only', 'store_only_topic') THEN 'STORE_ONLY' WHEN reason = 'deadline_passed' THEN CASE WHEN kind = 'activation_recent' THEN 'STORE_ONLY' ELSE 'IGNORE' END
   WHEN reason IN ('deadline_soon', 'high_value_topic') OR (reason = 'conditions_changed' AND urgent AND eligibility <> 'ineligible' AND age >= 0) THEN 'PUSH_NOW' ELSE 'DIGEST' END AS action FROM reasoned),
 sent AS (SELECT document_id, profile_id, eligibility, time_status, relevance, action, reason, CASE WHEN action IN ('IGNORE', 'STORE_ONLY') THEN 'none' WHEN action = 'DIGEST' THEN 'digest'
-  WHEN kind = 'activation_recent' AND NOT coalesce(time_status = 'open' AND deadline_at BETWEEN {AT} AND {_NEXT}, false) THEN 'digest' ELSE 'immediate' END AS route FROM decided)
+  WHEN kind = 'activation_recent' AND NOT coalesce(time_status = 'open' AND ({_URGENT}) BETWEEN {AT} AND {_NEXT}, false) THEN 'digest' ELSE 'immediate' END AS route FROM decided)
 """
 _ALL = ("fact", "requirement", "profile", "topic_match", "profile_topic")
 

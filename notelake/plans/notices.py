@@ -85,8 +85,9 @@ def _(spark, sf):
 
 
 _HISTORY = "(PARTITION BY document_id ORDER BY observed_at, version_id)"
-_CHANGES = f"""changes AS (SELECT document_id, version_id, observed_at, CASE WHEN k = 0 THEN 'first' WHEN raw_sha = psha THEN 'same' WHEN parser_version = pparser THEN 'changed' ELSE 'unknown' END AS change
-  FROM (SELECT *, lag(raw_sha) OVER w AS psha, lag(parser_version) OVER w AS pparser FROM version WINDOW w AS {_HISTORY}))"""
+_CHANGES = f"""changes AS (SELECT document_id, version_id, observed_at, CASE WHEN pparser IS NULL THEN 'first' WHEN parser_version = pparser AND content_sha = pcontent THEN 'same' WHEN parser_version = pparser THEN 'changed' WHEN raw_sha = psha THEN 'same' ELSE 'unknown' END AS change,
+  coalesce(parser_version <> pparser, false) AS other_parser
+  FROM (SELECT *, lag(raw_sha) OVER w AS psha, lag(content_sha) OVER w AS pcontent, lag(parser_version) OVER w AS pparser FROM version WINDOW w AS {_HISTORY}))"""
 
 
 @query("version_pairs", oracle(f"SELECT document_id, version_id, lag(version_id) OVER w AS previous_id, lag(raw_sha) OVER w IS NOT DISTINCT FROM raw_sha AS same_body FROM version WINDOW w AS {_HISTORY}", "version"))

@@ -29,7 +29,7 @@ FROM documents""",
     "version": f"""
 SELECT doc_id AS document_id, 2 * doc_id + k AS version_id, k, text || CASE WHEN k = 1 AND doc_id % 3 = 0 THEN ' v2' ELSE '' END AS body_text,
   {T0} + doc_id * 613 + k * 86400 AS observed_at, CASE WHEN doc_id % 11 = 0 AND k = 1 THEN 'p2' ELSE 'p1' END AS parser_version,
-  SHA[text || CASE WHEN k = 1 AND doc_id % 3 = 0 THEN ' v2' ELSE '' END] AS raw_sha, date '2024-01-01' + CAST((doc_id * 7) % 90 AS INT) AS published_date
+  SHA[text || CASE WHEN k = 1 AND doc_id % 3 = 0 THEN ' v2' ELSE '' END] AS content_sha, SHA[text || CASE WHEN k = 1 AND doc_id % 3 = 0 THEN ' v2' WHEN k = 1 AND doc_id % 5 = 2 THEN '<!-- -->' ELSE '' END] AS raw_sha, date '2024-01-01' + CAST((doc_id * 7) % 90 AS INT) AS published_date
 FROM documents CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) AS ks""",
     "response": f"""
 SELECT page_id AS id, concat('s', CAST(page_id % 5 AS STRING)) AS source_id, url AS requested_url,
@@ -102,7 +102,17 @@ SELECT doc_id AS document_id, CASE n_chars % 5 WHEN 0 THEN 'reference' WHEN 1 TH
 FROM documents""",
     "requirement": """
 SELECT doc_id AS document_id, 'lang' AS field, CASE WHEN n_chars % 19 = 0 THEN 'unsupported' ELSE 'in' END AS operator, lang AS v1, CASE WHEN n_chars % 2 = 0 THEN 'en' END AS v2 FROM documents
-UNION ALL SELECT doc_id, 'source', 'in', source, 'src8' FROM documents""",
+UNION ALL SELECT doc_id, 'source', 'in', source, 'src8' FROM documents
+UNION ALL SELECT doc_id, 'gpa', 'unsupported', '3.0', NULL FROM documents WHERE n_chars % 23 < 3
+UNION ALL SELECT doc_id, 'lang', 'in', 'fr', NULL FROM documents WHERE n_chars % 29 = 4""",
+    "activation": f"""
+SELECT doc_id AS document_id, source AS source_id, CASE WHEN doc_id % 5 > 0 THEN date '2024-01-01' + CAST((doc_id * 5) % 20 AS INT) END AS list_date, CASE WHEN doc_id % 10 > 1 THEN date '2024-01-01' + CAST((doc_id * 7) % 20 AS INT) END AS notice_date,
+  CASE doc_id % 13 WHEN 1 THEN 'generated' WHEN 2 THEN 'selected' WHEN 3 THEN 'unknown' END AS old_state, CASE WHEN doc_id % 13 = 2 THEN date '2024-01-10' END AS old_selection, doc_id % 17 <> 4 AS initial_recent_review, doc_id % 19 = 5 AS old_conflict,
+  {T0} + doc_id * 613 + 60 AS registered_at, CASE WHEN doc_id % 6 = 1 THEN 'historical' ELSE 'regular' END AS origin, {T0} + doc_id * 613 AS live_at
+FROM documents""",
+    "doc_attempt": f"""
+SELECT page_id % 60 AS document_id, page_id AS attempt_no, {T0} + page_id * 600 AS at, CASE WHEN page_id % 3 = 1 THEN 'parse_failed' WHEN page_id % 7 = 2 THEN 'timeout' END AS error_code, CASE WHEN page_id % 5 > 0 THEN {T0} + page_id * 600 + 86400 END AS next_due_at, page_id + 1000 AS version_id, page_id
+FROM pages""",
     "topic_match": """
 SELECT doc_id AS document_id, source AS topic, 'opportunity' AS context, true AS is_primary FROM documents
 UNION ALL SELECT doc_id, lang, CASE n_chars % 4 WHEN 0 THEN 'opportunity' WHEN 1 THEN 'uncertain' WHEN 2 THEN 'subject' END, false FROM documents""",
