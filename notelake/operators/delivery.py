@@ -23,11 +23,31 @@ def delivery_counts(messages: DataFrame) -> DataFrame:
     return every.join(messages.groupBy("installation", "state").agg(F.count("*").alias("n")), ["installation", "state"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def delivery_summary(messages: DataFrame, at: int) -> DataFrame:
+def delivery_summary(messages: DataFrame, attempts: DataFrame, at: int) -> DataFrame:
+    """Per installation: messages due and uncertain, the oldest not accepted, and uncertain attempts."""
     open_ = F.col("state") != "accepted"
-    return messages.groupBy("installation").agg(
-        F.count_if(F.col("next_attempt_at") <= at).alias("due"), F.count_if(F.col("state") == "uncertain").alias("unknown"), F.min(F.when(open_, F.col("frozen_at"))).alias("oldest_open")
-    )
+    unsure = attempts.groupBy("mail_id").agg(F.count_if(F.col("outcome") == "uncertain").alias("u"))
+    return messages.join(unsure, "mail_id", "left").groupBy("installation").agg(
+        F.count_if(F.col("next_attempt_at") <= at).alias("due"), F.count_if(F.col("state") == "uncertain").alias("unknown"), F.min(F.when(open_, F.col("frozen_at"))).alias("oldest_open"),
+        F.coalesce(F.sum("u"), F.lit(0)).alias("uncertain_attempts"),
+    )
+
+
+def events_pending(events: DataFrame, members: DataFrame, decisions: DataFrame, intents: DataFrame, errors: DataFrame) -> DataFrame:
+    """Deliverable events that no message holds yet, each with its decision, its intent and the last planning error."""
+    last = errors.groupBy("event_id").agg(F.max_by("error_code", "error_at").alias("prior_error"))
+    out = events.where("route <> 'none'").join(members.select("event_id"), "event_id", "left_anti").join(decisions, "event_id", "left").join(intents, "event_id", "left").join(last, "event_id", "left")
+    return out.select("event_id", "installation", "route", "occurred_at", "decision_id", "intent_at", "prior_error")
+
+
+def unplanned_work(events: DataFrame, members: DataFrame, messages: DataFrame, attempts: DataFrame) -> DataFrame:
+    """What should have a successor and has none: intents without a message, digest events without a member, messages
+    never attempted."""
+    held = members.select("event_id").distinct()
+    free = events.join(held, "event_id", "left_anti")
+    named = lambda rows, kind, key: rows.select(F.lit(kind).alias("kind"), F.col(key).alias("key"))
+    never = messages.where("state <> 'pending'").join(attempts.select("mail_id").distinct(), "mail_id", "left_anti")
+    return named(free.where("route = 'immediate'"), "intent_without_message", "event_id").unionByName(named(free.where("route = 'digest'"), "digest_without_member", "event_id")).unionByName(named(never, "message_without_delivery", "mail_id"))
 
 
 def delivery_latency(messages: DataFrame) -> DataFrame:
@@ -57,12 +77,13 @@ def delivery_state(attempts: DataFrame, schedule: list[int], most: int) -> DataF
 def attempt_audit(attempts: DataFrame) -> DataFrame:
     """Rules that a message's attempt log breaks, one row each."""
     log = W.partitionBy("mail_id").orderBy("attempt_no", "started_at", "line_id")
-    rows = attempts.select("*", F.row_number().over(log).alias("i"), F.lag("finished_at").over(log).alias("before"), F.lead("attempt_no").over(log).alias("next"))
+    rows = attempts.select("*", F.row_number().over(log).alias("i"), F.lag("finished_at").over(log).alias("before"), F.lag("outcome").over(log).alias("unsure"), F.lead("attempt_no").over(log).alias("next"))
     rules = {
         "not_contiguous": F.col("attempt_no") != F.col("i"),
         "starts_before_previous_ends": F.col("started_at") < F.col("before"),
         "open_but_not_last": F.col("finished_at").isNull() & F.col("next").isNotNull(),
         "accepted_but_not_last": (F.col("outcome") == "accepted") & F.col("next").isNotNull(),
+        "uncertain_wait_ignored": (F.col("unsure") == "uncertain") & (F.col("started_at") < F.col("before") + 1800),
     }
     broken = F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules.items()))))
     return rows.select("mail_id", "i", broken.alias("rule"))
@@ -73,7 +94,9 @@ def due_messages(messages: DataFrame, at: int, most: int) -> DataFrame:
 
 
 def message_diagnostics(messages: DataFrame, most: int = 100) -> DataFrame:
-    return messages.orderBy(F.when(F.col("state") == "accepted", 1).otherwise(0), "mail_id").limit(most).select("mail_id", "state")
+    """The first messages, not accepted ones before others, and whether there are more."""
+    total = messages.agg((F.count("*") > most).alias("truncated"))  # one row
+    return messages.orderBy(F.when(F.col("state") == "accepted", 1).otherwise(0), "mail_id").limit(most).select("mail_id", "state").crossJoin(total)
 
 
 def route_interleave(events: DataFrame, cap: int) -> DataFrame:
@@ -117,16 +140,17 @@ def next_part(packed: DataFrame) -> DataFrame:
     return packed.groupBy("installation", "slot").agg((F.coalesce(F.max("part"), F.lit(0)) + 1).alias("next_part"))
 
 
-def plan_counts(events: DataFrame, at: int) -> DataFrame:
+def plan_counts(events: DataFrame, at: int, max_bytes: int) -> DataFrame:
     free = ~F.col("allocated")
     due = F.greatest("due_at", "occurred_at") <= at
     return events.groupBy("installation").agg(
         F.count_if(free & (F.col("route") == "immediate")).alias("immediate"), F.count_if(free & (F.col("route") == "digest")).alias("digest"),
         F.count_if(free & (F.col("route") == "digest") & due).alias("due"), F.count_if(free & (F.col("route") == "digest") & ~due).alias("deferred"),
+        F.count_if(free & (F.col("route") != "none") & (F.col("item_bytes") > max_bytes)).alias("blocked"),
     )
 
 
 def channel_pause(attempts: DataFrame, messages: DataFrame) -> DataFrame:
-    """The last permanent failure of each installation: what paused it, and when."""
-    failed = attempts.where("outcome = 'permanent'").join(messages.select("mail_id", "installation"), "mail_id")
+    """The last permanent failure of each installation's channel (not of one message): what paused it, and when."""
+    failed = attempts.where("outcome = 'permanent' AND scope = 'channel'").join(messages.select("mail_id", "installation"), "mail_id")
     return failed.groupBy("installation").agg(F.max(F.struct("finished_at", "mail_id")).alias("m")).select("installation", F.col("m.finished_at").alias("paused_at"), F.col("m.mail_id").alias("mail_id"))

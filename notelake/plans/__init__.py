@@ -1,3 +1,3 @@
 """Registered queries: operators bound to tables, each with its SQL oracle."""
 
-from . import decisions, delivery, events, notices, observations, pages, quality, responses, rules, search, streams  # noqa: F401
+from . import decisions, delivery, events, mail, notices, observations, pages, quality, responses, rules, search, streams  # noqa: F401

@@ -25,9 +25,9 @@ def _(spark, sf):
     return ops.delivery_counts(view(spark, sf, "message"))
 
 
-@query("delivery_summary", oracle(f"SELECT installation, count(*) FILTER (next_attempt_at <= {_AT}) AS due, count(*) FILTER (state = 'uncertain') AS unknown, min(frozen_at) FILTER (state <> 'accepted') AS oldest_open FROM message GROUP BY installation", "message"))
+@query("delivery_summary", oracle(f"SELECT installation, count(*) FILTER (next_attempt_at <= {_AT}) AS due, count(*) FILTER (state = 'uncertain') AS unknown, min(frozen_at) FILTER (state <> 'accepted') AS oldest_open, CAST(sum((SELECT count(*) FROM attempt a WHERE a.mail_id = m.mail_id AND a.outcome = 'uncertain')) AS BIGINT) AS uncertain_attempts FROM message m GROUP BY installation", "message", "attempt"))
 def _(spark, sf):
-    return ops.delivery_summary(view(spark, sf, "message"), _AT)
+    return ops.delivery_summary(view(spark, sf, "message"), view(spark, sf, "attempt"), _AT)
 
 
 @query("delivery_latency", oracle("SELECT installation, count(accepted_at) AS accepted, max(accepted_at - frozen_at) AS slowest, string_agg(DISTINCT state, ',' ORDER BY state) AS states FROM message GROUP BY installation", "message"))
@@ -57,8 +57,9 @@ def _(spark, sf):
     return view(spark, sf, "message").select("mail_id", F.col("state").alias("stored")).join(computed, "mail_id").where("stored <> computed")
 
 
-@query("attempt_audit", oracle("""WITH a AS (SELECT *, row_number() OVER w AS i, lag(finished_at) OVER w AS before, lead(attempt_no) OVER w AS nxt FROM attempt WINDOW w AS (PARTITION BY mail_id ORDER BY attempt_no, started_at, line_id))
+@query("attempt_audit", oracle("""WITH a AS (SELECT *, row_number() OVER w AS i, lag(finished_at) OVER w AS before, lag(outcome) OVER w AS unsure, lead(attempt_no) OVER w AS nxt FROM attempt WINDOW w AS (PARTITION BY mail_id ORDER BY attempt_no, started_at, line_id))
 SELECT mail_id, i, 'not_contiguous' AS rule FROM a WHERE attempt_no <> i UNION ALL SELECT mail_id, i, 'starts_before_previous_ends' FROM a WHERE started_at < before
+UNION ALL SELECT mail_id, i, 'uncertain_wait_ignored' FROM a WHERE unsure = 'uncertain' AND started_at < before + 1800
 UNION ALL SELECT mail_id, i, 'open_but_not_last' FROM a WHERE finished_at IS NULL AND nxt IS NOT NULL UNION ALL SELECT mail_id, i, 'accepted_but_not_last' FROM a WHERE outcome = 'accepted' AND nxt IS NOT NULL""", "attempt"))
 def _(spark, sf):
     return ops.attempt_audit(view(spark, sf, "attempt"))
@@ -69,7 +70,7 @@ def _(spark, sf):
     return ops.due_messages(view(spark, sf, "message"), _AT, 100)
 
 
-@query("message_diagnostics", oracle("SELECT mail_id, state FROM message ORDER BY state = 'accepted', mail_id LIMIT 100", "message"))
+@query("message_diagnostics", oracle("SELECT mail_id, state, (SELECT count(*) > 100 FROM message) AS truncated FROM message ORDER BY state = 'accepted', mail_id LIMIT 100", "message"))
 def _(spark, sf):
     return ops.message_diagnostics(view(spark, sf, "message"))
 
@@ -80,12 +81,13 @@ def _(spark, sf):
     return ops.route_interleave(view(spark, sf, "event"), 1000)
 
 
-@query("events_pending", oracle("""SELECT event_id, installation, route, occurred_at, event_id % 8 = 1 AS prior_error FROM event WHERE route <> 'none' AND NOT allocated""", "event"))
+@query("events_pending", oracle("""SELECT e.event_id, installation, route, occurred_at, CASE WHEN e.event_id % 5 > 0 THEN e.event_id * 10 END AS decision_id, CASE WHEN route = 'immediate' THEN occurred_at + 5 END AS intent_at, x.prior_error FROM event e
+LEFT JOIN (SELECT l_orderkey AS event_id, arg_max(l_returnflag, l_linenumber * 100000000 + l_partkey) AS prior_error FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_orderkey) x ON x.event_id = e.event_id WHERE route <> 'none' AND NOT allocated""", "event"))
 def _(spark, sf):
     events = view(spark, sf, "event")
-    members, errors = events.where("allocated").select("event_id"), events.where("event_id % 8 = 1").select("event_id", F.lit(True).alias("prior_error"))
-    out = events.where("route <> 'none'").join(members, "event_id", "left_anti").join(errors, "event_id", "left")
-    return out.select("event_id", "installation", "route", "occurred_at", F.coalesce("prior_error", F.lit(False)).alias("prior_error"))
+    errors = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_linestatus = 'F'").selectExpr("l_orderkey AS event_id", "l_returnflag AS error_code", "l_linenumber * 100000000 + l_partkey AS error_at")
+    decided = events.where("event_id % 5 > 0").selectExpr("event_id", "event_id * 10 AS decision_id")
+    return ops.events_pending(events, events.where("allocated"), decided, events.where("route = 'immediate'").selectExpr("event_id", "occurred_at + 5 AS intent_at"), errors)
 
 
 @query("prior_decision", oracle("""SELECT event_id, document_id, lag(event_id) OVER w AS prior_event, lag(route) OVER w AS prior_route, lag(route) OVER w IS DISTINCT FROM route AS changed FROM event WINDOW w AS (PARTITION BY document_id ORDER BY occurred_at, event_id)""", "event"))
@@ -124,13 +126,13 @@ def _(spark, sf):
 
 
 @query("plan_counts", oracle(f"""SELECT installation, count(*) FILTER (NOT allocated AND route = 'immediate') AS immediate, count(*) FILTER (NOT allocated AND route = 'digest') AS digest,
-count(*) FILTER (NOT allocated AND route = 'digest' AND greatest(due_at, occurred_at) <= {_AT}) AS due, count(*) FILTER (NOT allocated AND route = 'digest' AND greatest(due_at, occurred_at) > {_AT}) AS deferred FROM event GROUP BY installation""", "event"))
+count(*) FILTER (NOT allocated AND route = 'digest' AND greatest(due_at, occurred_at) <= {_AT}) AS due, count(*) FILTER (NOT allocated AND route = 'digest' AND greatest(due_at, occurred_at) > {_AT}) AS deferred, count(*) FILTER (NOT allocated AND route <> 'none' AND item_bytes > 1500) AS blocked FROM event GROUP BY installation""", "event"))
 def _(spark, sf):
-    return ops.plan_counts(view(spark, sf, "event"), _AT)
+    return ops.plan_counts(view(spark, sf, "event"), _AT, 1500)
 
 
 @query("channel_pause", oracle("""SELECT installation, finished_at AS paused_at, mail_id FROM (SELECT m.installation, a.finished_at, a.mail_id, row_number() OVER (PARTITION BY m.installation ORDER BY a.finished_at DESC, a.mail_id DESC) AS i
-FROM attempt a JOIN message m ON a.mail_id = m.mail_id WHERE a.outcome = 'permanent') WHERE i = 1""", "attempt", "message"))
+FROM attempt a JOIN message m ON a.mail_id = m.mail_id WHERE a.outcome = 'permanent' AND a.scope = 'channel') WHERE i = 1""", "attempt", "message"))
 def _(spark, sf):
     return ops.channel_pause(view(spark, sf, "attempt"), view(spark, sf, "message"))
 
@@ -142,10 +144,11 @@ def _(spark, sf):
     return a.join(m, "mail_id", "left_anti").select(F.lit("attempt_without_message").alias("kind"), "mail_id").unionByName(m.join(a, "mail_id", "left_anti").select(F.lit("message_without_attempt").alias("kind"), "mail_id"))
 
 
-@query("unplanned_work", oracle("SELECT event_id, installation, route FROM event WHERE route <> 'none' AND event_id NOT IN (SELECT event_id FROM event WHERE allocated)", "event"))
+@query("unplanned_work", oracle("""SELECT CASE route WHEN 'immediate' THEN 'intent_without_message' ELSE 'digest_without_member' END AS kind, event_id AS key FROM event WHERE route <> 'none' AND NOT allocated
+UNION ALL SELECT 'message_without_delivery', mail_id FROM message WHERE state <> 'pending' AND mail_id NOT IN (SELECT mail_id FROM attempt)""", "event", "message", "attempt"))
 def _(spark, sf):
     e = view(spark, sf, "event")
-    return e.where("route <> 'none'").join(e.where("allocated").select("event_id"), "event_id", "left_anti").select("event_id", "installation", "route")
+    return ops.unplanned_work(e, e.where("allocated"), view(spark, sf, "message"), view(spark, sf, "attempt"))
 
 
 @query("monotone_fact", oracle("SELECT mail_id, line_id, max(started_at) OVER (PARTITION BY mail_id ORDER BY line_id, started_at, attempt_no ROWS UNBOUNDED PRECEDING) AS stored FROM attempt", "attempt"))

@@ -79,7 +79,8 @@ FROM orders""",
     "attempt": """
 SELECT l_orderkey AS mail_id, l_linenumber AS attempt_no, EPOCH[l_shipdate] AS started_at, l_partkey * 100000 + l_suppkey AS line_id,
   CASE WHEN l_linestatus = 'O' AND l_returnflag = 'N' THEN NULL ELSE EPOCH[l_shipdate] + CAST(l_quantity AS BIGINT) * 60 END AS finished_at,
-  CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN CASE WHEN l_linestatus = 'F' THEN 'permanent' ELSE 'temporary' END ELSE CASE WHEN l_linestatus = 'F' THEN 'uncertain' END END AS outcome
+  CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN CASE WHEN l_linestatus = 'F' THEN 'permanent' ELSE 'temporary' END ELSE CASE WHEN l_linestatus = 'F' THEN 'uncertain' END END AS outcome,
+  CASE WHEN l_partkey % 3 = 0 THEN 'channel' ELSE 'message' END AS scope
 FROM lineitem""",
     "event": """
 SELECT o_orderkey AS event_id, o_custkey % 20 AS installation, o_custkey AS document_id, EPOCH[o_orderdate] AS occurred_at,
