@@ -69,11 +69,6 @@ def _(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), (view(spark, sf, t).agg(F.lit(t).alias("tbl"), F.count("*").alias("n")) for t in _CHECKED))
 
 
-@query("labels_bound", oracle("SELECT item_id, CASE WHEN mismatch THEN 'stale' ELSE 'bound' END AS binding FROM review", "review"))
-def _(spark, sf):
-    return view(spark, sf, "review").select("item_id", F.when(F.col("mismatch"), "stale").otherwise("bound").alias("binding"))
-
-
 @query("confusion", oracle("SELECT actual, predicted, count(*) AS n FROM review WHERE NOT mismatch GROUP BY ALL", "review"))
 def _(spark, sf):
     return view(spark, sf, "review").where("NOT mismatch").groupBy("actual", "predicted").agg(F.count("*").alias("n"))
