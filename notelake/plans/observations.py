@@ -34,13 +34,6 @@ def _(spark, sf):
     return last.select("source_id", F.when(F.col("last").isNull(), "missing").when(_END - F.col("last") <= 3600, "fresh").otherwise("stale").alias("class"))
 
 
-@query("observation_summary", oracle("SELECT source_id, LOCALDATE[seen_at] AS day, count(*) AS samples, count(*) FILTER (unavailable) AS unavailable, max(processed) AS processed FROM sample GROUP BY ALL", "sample"))
-def _(spark, sf):
-    from ..functions.text import local_date
-
-    return view(spark, sf, "sample").groupBy("source_id", local_date(F.col("seen_at")).alias("day")).agg(F.count("*").alias("samples"), F.count_if("unavailable").alias("unavailable"), F.max("processed").alias("processed"))
-
-
 @query("digest_slot", oracle("SELECT event_id, LOCALDATE[seen_at] AS slot_day, CASE WHEN hour(timezone('Asia/Shanghai', to_timestamp(seen_at))) >= 18 THEN 'elapsed' ELSE 'open' END AS slot FROM sample", "sample"))
 def _(spark, sf):
     local = F.from_utc_timestamp(F.timestamp_seconds("seen_at"), "Asia/Shanghai")
@@ -53,11 +46,6 @@ def _(spark, sf):
     return view(spark, sf, "run").select("source_id", "run_no", result.alias("result"))
 
 
-@query("run_rollup", oracle("SELECT source_id, run_no, started_at, last_at, requests, failed FROM run", "run"))
-def _(spark, sf):
-    return view(spark, sf, "run").select("source_id", "run_no", "started_at", "last_at", "requests", "failed")
-
-
 @query("recent_runs", oracle("SELECT source_id, run_no, started_at, recent, busy FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, run_no DESC) AS recent, bool_and(requests >= 3) OVER (PARTITION BY source_id ORDER BY started_at, run_no ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS busy FROM run) WHERE recent <= 10", "run"))
 def _(spark, sf):
     own = W.partitionBy("source_id")

@@ -1,30 +1,32 @@
-"""Queries on raw pages: text, fields, links, identities. All of it built-in expressions."""
+"""Queries on raw pages: text, fields, links, lists, identities. All of it built-in expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import pages as ops
 from ..registry import query
+from ..sources.bindings import oracle, view
 
 
 def _pages(spark, sf):
     return spark.read.parquet(f"{sf}/pages.parquet")
 
 
-_DROPS = [rf"<{t}\b.*?</{t}\s*>" for t in ("script", "style", "noscript", "template", "nav", "footer", "form")] + ["<!--.*?-->"]
+def _nested(sql: str) -> str:
+    for p in ops.DROPS:
+        sql = f"regexp_replace({sql}, '{p}', '', 'gis')"
+    return f"regexp_replace({sql}, '{ops.HANDLERS.replace(chr(39), chr(39) * 2)}', '', 'gi')"
 
 
-def _nested(sql: str, patterns: list[str]) -> str:
-    for p in patterns:
-        sql = f"regexp_replace({sql}, '{p}', '', 'gis')"
-    return sql
+def _lines(clean: str) -> str:
+    t = f"regexp_replace(regexp_replace(regexp_replace({clean}, '</t[dh]\\s*>', chr(9), 'gi'), '{ops.BLOCK}', chr(10), 'gi'), '<[^>]*>', '', 'g')"
+    for name, char in ops.ENTITIES.items():
+        t = f"replace({t}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return f"array_to_string(list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))"
 
 
-def _clean():
-    c = F.col("html")
-    for p in _DROPS:
-        c = F.regexp_replace(c, "(?is)" + p, "")
-    return c
+_CLEAN = _nested("html")
 
 
 @query("page_gate", "SELECT page_id, CASE WHEN html IS NULL OR trim(html) = '' THEN 'empty_page' ELSE 'ok' END AS code FROM pages")
@@ -32,48 +34,86 @@ def _(spark, sf):
     return _pages(spark, sf).select("page_id", F.when(F.col("html").isNull() | (F.trim("html") == ""), "empty_page").when(~F.is_valid_utf8("html"), "invalid_utf8").otherwise("ok").alias("code"))
 
 
-@query("page_clean", f"SELECT page_id, {_nested('html', _DROPS)} AS body FROM pages")
+@query("page_clean", oracle(f"SELECT page_id, {_CLEAN} AS body FROM page", "page"))
+def _(spark, sf):
+    return view(spark, sf, "page").select("page_id", ops.body(F.col("html")).alias("body"))
+
+
+@query("page_text", oracle(f"SELECT page_id, {_lines('c')} AS body_text FROM (SELECT page_id, {_CLEAN} AS c FROM page)", "page"))
 def _(spark, sf):
-    return _pages(spark, sf).select("page_id", _clean().alias("body"))
+    return view(spark, sf, "page").select("page_id", ops.body(F.col("html")).alias("c")).select("page_id", ops.body_text(F.col("c")).alias("body_text"))
 
 
-_TEXT = rf"""array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace({_nested('html', _DROPS)}, '</t[dh]\s*>', chr(9), 'gi'), '<(/?(p|div|li|ul|ol|h[1-6]|article|section|tr|table|title)|br)\b[^>]*>', chr(10), 'gi'), '<[^>]*>', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))"""
+_TAGS = "regexp_extract_all({}, '<img\\b[^>]*>', 0, 'is')"
+_DOT = "(contains(x, ' width=\"1\"') AND contains(x, ' height=\"1\"'))"
 
 
-def _text():
-    t = F.regexp_replace(_clean(), r"(?i)</t[dh]\s*>", "\t")
-    t = F.regexp_replace(t, r"(?i)<(/?(p|div|li|ul|ol|h[1-6]|article|section|tr|table|title)|br)\b[^>]*>", "\n")
-    t = F.regexp_replace(t, "<[^>]*>", "")
-    return F.array_join(F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
+@query("page_meaningful", oracle(f"""SELECT page_id, regexp_matches({_lines('c')}, '[\\p{{L}}\\p{{N}}]') OR len(list_filter({_TAGS.format('c')}, lambda x: NOT {_DOT})) > 0 AS meaningful FROM (SELECT page_id, {_CLEAN} AS c FROM (
+SELECT page_id, CASE page_id % 4 WHEN 1 THEN '<p><img src="a.png"></p>' WHEN 2 THEN '<p>. <img width="1" height="1"></p>' WHEN 3 THEN '<div hidden>x</div> &nbsp;' ELSE html END AS html FROM pages))"""))
+def _(spark, sf):
+    rows = _pages(spark, sf).selectExpr("page_id", """CASE page_id % 4 WHEN 1 THEN '<p><img src="a.png"></p>' WHEN 2 THEN '<p>. <img width="1" height="1"></p>' WHEN 3 THEN '<div hidden>x</div> &nbsp;' ELSE html END AS html""")
+    return rows.select("page_id", ops.meaningful(ops.body(F.col("html"))).alias("meaningful"))
+
+
+_SAID = 'Date: ([^<]*)</i>'
 
 
-@query("page_text", f"SELECT page_id, {_TEXT} AS body_text FROM pages")
+@query("page_fields", oracle(f"""SELECT page_id, title, CASE WHEN title = '' THEN 'title_missing' ELSE 'ok' END AS title_code, d AS published_date, CASE WHEN said = '' THEN 'date_missing' WHEN d IS NULL THEN 'date_invalid' ELSE 'ok' END AS date_code FROM (
+SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '\\s+', ' ', 'g')) AS title, regexp_extract(html, '{_SAID}', 1) AS said, CAST(try_strptime(regexp_extract(html, '{_SAID}', 1), '%Y-%m-%d') AS DATE) AS d FROM page)""", "page"))
 def _(spark, sf):
-    return _pages(spark, sf).select("page_id", _text().alias("body_text"))
+    return ops.page_fields(view(spark, sf, "page"), _SAID)
+
+
+def _full(h: str) -> str:
+    full = f"""CASE WHEN regexp_matches({h}, '^https?://', 'i') THEN {h} WHEN starts_with({h}, '//') THEN regexp_extract(url, '^(https?:)', 1) || {h} WHEN starts_with({h}, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || {h}
+WHEN starts_with({h}, '?') THEN regexp_replace(url, '[?#].*$', '') || {h} ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '([^:/])/[^/]*$', '\\1') || '/' || {h} END"""
+    full = f"regexp_replace({full}, '/(\\./)+', '/', 'g')"
+    for _ in range(3):
+        full = f"regexp_replace({full}, '([^:/])/[^/?#.][^/?#]*/\\.\\./', '\\1/', 'g')"
+    return full
 
 
-@query("page_meaningful", rf"SELECT page_id, regexp_matches(t, '[\p{{L}}\p{{N}}]') OR regexp_matches(t, '<img') AS meaningful FROM (SELECT page_id, {_TEXT} AS t FROM pages)")
+@query("page_links", oracle(f"""SELECT page_id, pos, code, CASE WHEN code = 'ok' THEN {_full('h')} END AS link FROM (SELECT *, CASE WHEN regexp_matches(h, '[\\x00-\\x1f\\\\ ]') OR (regexp_matches(h, '^https?:', 'i') AND NOT regexp_matches(h, '^https?://[^/?#]', 'i')) OR starts_with(h, '///') THEN 'invalid_link' ELSE 'ok' END AS code FROM (
+SELECT page_id, url, generate_subscripts(m, 1) - 1 AS pos, trim(regexp_extract(unnest(m), '\\shref=(?:"([^"]*)"|''([^'']*)'')', 1, 'i') || regexp_extract(unnest(m), '\\shref=(?:"([^"]*)"|''([^'']*)'')', 2, 'i')) AS h FROM (SELECT page_id, url, regexp_extract_all(html, '{ops.HREF.replace(chr(39), chr(39) * 2)}', 0, 'i') AS m FROM page))
+WHERE h <> '' AND NOT starts_with(h, '#') AND NOT (regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') AND NOT regexp_matches(h, '^https?:', 'i')))""", "page"))
 def _(spark, sf):
-    return _pages(spark, sf).select("page_id", _text().alias("t")).select("page_id", (F.col("t").rlike(r"[\p{L}\p{N}]") | F.col("t").rlike("<img")).alias("meaningful"))
+    return ops.page_links(view(spark, sf, "page"))
 
 
-@query("page_fields", r"SELECT page_id, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS title, CASE WHEN regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) = '' THEN 'title_missing' ELSE 'ok' END AS title_code FROM pages")
+@query("page_images", oracle(f"""SELECT page_id, pos, CASE WHEN src = '' THEN 'image_url_invalid' ELSE 'ok' END AS code, CASE WHEN src <> '' THEN {_full('src')} END AS src, alt FROM (SELECT page_id, url, generate_subscripts(m, 1) - 1 AS pos, regexp_extract(unnest(m), '\\ssrc="([^"]*)"', 1) AS src, regexp_extract(unnest(m), '\\salt="([^"]*)"', 1) AS alt
+FROM (SELECT page_id, url, list_filter({_TAGS.format(_CLEAN)}, lambda x: NOT {_DOT}) AS m FROM page))""", "page"))
 def _(spark, sf):
-    title = F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1)
-    return _pages(spark, sf).select("page_id", title.alias("title"), F.when(title == "", "title_missing").otherwise("ok").alias("title_code"))
+    return ops.page_images(view(spark, sf, "page"))
 
 
-_HREF = r'<a\b[^>]*?\bhref="([^"]*)"'
-_ROOT = r"regexp_extract(url, '^(https?://[^/]+)', 1)"
+@query("page_attachments", oracle(f"""SELECT page_id, pos, name, code, CASE WHEN code = 'ok' THEN {_full('h')} END AS url, CASE WHEN code = 'ok' AND contains(h, '/download?') THEN regexp_extract(h, '[?&]owner=([^&]*)', 1) || ':' || regexp_extract(h, '[?&]file=([^&]*)', 1) END AS attachment_id FROM (
+SELECT *, CASE WHEN name = '' THEN 'attachment_name_missing' WHEN contains(h, '/download?') AND len(regexp_extract_all(h, '[?&]file=')) > 1 THEN 'ambiguous_identity' WHEN contains(h, '/download?') AND NOT regexp_full_match(regexp_extract(h, '[?&]file=([^&]*)', 1), '[A-Za-z0-9]+') THEN 'identity_invalid' ELSE 'ok' END AS code FROM (
+SELECT page_id, url, generate_subscripts(m, 1) - 1 AS pos, regexp_extract(unnest(m), 'href="([^"]*)"', 1) AS h, trim(regexp_replace(unnest(m), '<[^>]*>', '', 'g')) AS name FROM (SELECT page_id, url, regexp_extract_all(regexp_extract(html, '(?is)<div class="fj">(.*?)</div>', 1), '<a\\b[^>]*>.*?</a>', 0, 'is') AS m FROM page)))""", "page"))
+def _(spark, sf):
+    return ops.page_attachments(view(spark, sf, "page"))
+
+
+_TARGET = "SELECT page_id AS key, concat(CASE WHEN page_id % 7 = 1 THEN 'http://else.example' ELSE 'https://site.example' END, CASE page_id % 6 WHEN 0 THEN concat('/show?column=12&article=', CAST(page_id AS STRING)) WHEN 1 THEN concat('/info/12/', CAST(page_id AS STRING), '.htm') WHEN 2 THEN concat('/info/13/', CAST(page_id AS STRING), '.htm?column=13') WHEN 3 THEN concat('/info/12/0', CAST(page_id AS STRING), '.htm') WHEN 4 THEN '/else/12' ELSE concat('/info/12/', CAST(page_id AS STRING), '.htm?article=', CAST(page_id + page_id % 2 AS STRING), CASE WHEN page_id % 5 = 0 THEN '&article=1' ELSE '' END) END, CASE WHEN page_id % 11 = 3 THEN '#top' ELSE '' END) AS link FROM pages"
+
+
+@query("url_class", f"""WITH t AS ({_TARGET.replace('AS STRING', 'AS VARCHAR')}), c AS (SELECT key, CASE WHEN key % 7 = 1 THEN 'external' WHEN key % 6 = 4 THEN 'unsupported_route' WHEN key % 6 = 5 AND (key % 2 = 1 OR key % 5 = 0) THEN 'ambiguous' WHEN key % 6 = 3 THEN 'invalid' WHEN key % 6 IN (0, 1) AND key = 0 THEN 'invalid' WHEN key % 6 = 2 THEN 'unsupported_column'
+WHEN contains(link, '#') THEN 'unsupported_route' ELSE 'supported' END AS class FROM t) SELECT key, class, CASE WHEN class = 'supported' THEN '12:' || CAST(key AS VARCHAR) END AS identity FROM c""")
+def _(spark, sf):
+    return ops.url_class(spark.sql(_TARGET.replace("FROM pages", "FROM {p}"), p=_pages(spark, sf)), "site.example", "12")
+
+
+@query("list_rows", oracle(f"""WITH r AS (SELECT page_id, url, i AS row_index, CASE i WHEN 0 THEN '/info/12/' || page_id || '.htm' WHEN 1 THEN CASE page_id % 4 WHEN 1 THEN 'a b' WHEN 2 THEN '' ELSE 'x%41.htm' END ELSE CASE WHEN page_id % 3 = 2 THEN '' ELSE '/z' END END AS h,
+CASE i WHEN 0 THEN 'One ' || page_id WHEN 1 THEN 'Two' ELSE '' END AS title, CASE i WHEN 0 THEN '2024-01-0' || (page_id % 9 + 1) WHEN 1 THEN CASE WHEN page_id % 5 <> 3 THEN '2023-12-31' END ELSE CASE WHEN page_id % 3 <> 2 THEN '2024-01-01' END END AS d FROM pages CROSS JOIN (SELECT unnest([0, 1, 2]) AS i))
+SELECT page_id, row_index, CASE WHEN row_index = 2 AND page_id % 3 = 2 THEN 'entry_missing' WHEN h = '' OR h = 'a b' THEN 'detail_url_invalid' WHEN title = '' THEN 'title_missing' WHEN d IS NULL THEN 'published_date_invalid' ELSE 'ok' END AS code, {_full('h')} AS detail_url, title, CAST(d AS DATE) AS published_date FROM r"""))
+def _(spark, sf):
+    return ops.list_rows(view(spark, sf, "list_html"))
 
 
-@query("page_links", rf"""SELECT page_id, pos, CASE WHEN href LIKE 'http://%' OR href LIKE 'https://%' THEN href WHEN href LIKE '/%' THEN root || href ELSE regexp_replace(url, '[^/]*$', '') || href END AS link FROM (
-SELECT page_id, url, {_ROOT} AS root, unnest(hs) AS href, generate_subscripts(hs, 1) - 1 AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '(?i){_HREF}', 1) AS hs FROM pages)) WHERE NOT regexp_matches(href, '(?i)^(#|mailto:|javascript:|tel:)') AND href <> ''""")
+@query("pagination_check", """WITH p AS (SELECT page_id, page_id % 13 = 12 AS none, CASE WHEN page_id % 11 = 10 THEN NULL WHEN page_id % 7 = 6 THEN 2 ELSE 1 END AS cur, page_id % 17 = 5 AS nodot, page_id % 19 = 4 AS same, page_id % 23 = 7 AS nonext, CASE WHEN page_id % 5 = 2 THEN '/l/3.htm' ELSE '/l/2.htm' END AS nx FROM pages)
+SELECT page_id, CASE WHEN none THEN 'pagination_missing' WHEN cur IS NULL THEN 'current_page_invalid' WHEN cur = 2 THEN 'first_label_not_one' WHEN nodot THEN 'gap_without_ellipsis' WHEN same THEN 'repeated_target' WHEN nonext THEN 'next_page_missing' WHEN nx <> '/l/2.htm' THEN 'next_page_mismatch' ELSE 'ok' END AS code,
+CASE WHEN NOT none THEN cur END AS current_page, CASE WHEN NOT none THEN 9 END AS total_pages, CASE WHEN NOT none AND NOT nonext THEN nx END AS next_url FROM p""")
 def _(spark, sf):
-    rows = _pages(spark, sf).select("page_id", "url", F.regexp_extract("url", "^(https?://[^/]+)", 1).alias("root"), F.posexplode(F.regexp_extract_all("html", F.lit("(?i)" + _HREF), F.lit(1))).alias("pos", "href"))
-    h = F.col("href")
-    link = F.when(h.startswith("http://") | h.startswith("https://"), h).when(h.startswith("/"), F.concat("root", h)).otherwise(F.concat(F.regexp_replace("url", "[^/]*$", ""), h))
-    return rows.where(~h.rlike("(?i)^(#|mailto:|javascript:|tel:)") & (h != "")).select("page_id", "pos", link.alias("link"))
+    return ops.pagination_check(view(spark, sf, "list_html"))
 
 
 @query("url_identity", r"""SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '/([0-9]+)(\?|$)', 1) AS article, len(regexp_extract_all(url, '[?&]page=')) AS pages,
@@ -92,7 +132,9 @@ def _(spark, sf):
     return _pages(spark, sf).select("page_id", code.alias("code"), F.concat(F.lit("link:v1:"), F.sha2("url", 256)).alias("candidate_key"))
 
 
-@query("parse_outcomes", r"""SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, count(*) AS pages, count(*) FILTER (NOT regexp_matches(html, '(?i)</html>')) AS truncated, count(*) FILTER (NOT regexp_matches(html, '(?i)<h1')) AS untitled FROM pages GROUP BY 1""")
+@query("parse_outcomes", oracle("""SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, CASE WHEN starts_with(url, 'https:') THEN 'secure' WHEN contains(url, '/en/') THEN 'plain' ELSE 'none' END AS parser,
+CASE WHEN starts_with(url, 'https:') THEN CASE WHEN NOT regexp_matches(html, '</html>', 'i') THEN 'truncated' WHEN NOT regexp_matches(html, '<h1', 'i') THEN 'title_missing' ELSE 'ok' END WHEN contains(url, '/en/') THEN CASE WHEN NOT regexp_matches(html, 'Date: ') THEN 'date_missing' ELSE 'ok' END ELSE 'parser_missing' END AS code, count(*) AS pages FROM page GROUP BY ALL""", "page"))
 def _(spark, sf):
-    has = lambda p: F.count_if(~F.col("html").rlike(p))
-    return _pages(spark, sf).groupBy(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host")).agg(F.count("*").alias("pages"), has("(?i)</html>").alias("truncated"), has("(?i)<h1").alias("untitled"))
+    has = lambda p: F.col("html").rlike(p)
+    secure = F.when(~has("(?i)</html>"), "truncated").when(~has("(?i)<h1"), "title_missing").otherwise("ok")
+    return ops.parse_outcomes(view(spark, sf, "page"), {"secure": (F.col("url").startswith("https:"), secure), "plain": (F.col("url").contains("/en/"), F.when(~has("Date: "), "date_missing").otherwise("ok"))})
