@@ -1,3 +1,3 @@
 """Registered queries: operators bound to tables, each with its SQL oracle."""
 
-from . import audits, decisions, delivery, events, mail, notices, observations, pages, quality, questions, responses, rules, search, streams  # noqa: F401
+from . import audits, decisions, delivery, events, facts, mail, notices, observations, pages, quality, questions, responses, rules, search, streams  # noqa: F401

@@ -15,7 +15,41 @@ AT = T0 + 12 * 86400
 
 _TABLES = {"documents", "pages", "events", "orders", "lineitem", "labels", "benchmark", "conversations", "customer"}
 
+#: What the rule facts are tried on: ends put after every document's title and text, in turn.
+RULED = (
+    ("the scholarship", "You can apply for the scholarship. It is open to undergraduates of this university. The deadline is 2024-02-01"),
+    ("the contest", "please register now, until 2024-01-20 24:00"),
+    ("the contest and the scholarship", "please register"),
+    ("results of the contest", "please register"),
+    ("", "You may not apply for the exchange program"),
+    ("", "to apply is closed, the exchange program"),
+    ("", "see records of whoever may apply, the exchange program"),
+    ("", "last year you could apply for the exchange program"),
+    ("", "you may apply fee refund, exchange program"),
+    ("we recruit teaching assistants", "we recruit teaching assistants now; please apply"),
+    ("we recruit assistants", "there is no recruitment"),
+    ("we recruit assistants", "we recruit assistants now. recruitment is suspended"),
+    ("", "limited to graduates or teachers; GPA over 3; aged under 30"),
+    ("", "\nRequirements:\n1) one thing\n2) another\nContact: x\n3) no"),
+    ("", "opens on 2024-01-05 until 2024-01-10 12:30; deadline 2024-01-11"),
+    ("", "apply by before 2024-01-15; deadline Jan 5"),
+    ("", "apply by before 2024-01-15"),
+    ("", "opens on 2024-02-30"),
+    ("", "the deadline, see the attachment"),
+    ("", "from today on you can register, not before contest scholarship"),
+)
+
+
+def _text(s: str) -> str:
+    return "concat(" + ", chr(10), ".join(f"'{x}'" for x in s.split("\n")) + ")"
+
+
 VIEWS: dict[str, str] = {
+    "ruled": f"""
+SELECT doc_id AS document_id, date '2024-01-01' + CAST((doc_id * 7) % 90 AS INT) AS published_date, doc_id % 3 AS media,
+  concat(substr(split_part(text, chr(10), 1), 1, 80), ' ', CASE doc_id % {len(RULED)} {' '.join(f"WHEN {i} THEN '{t}'" for i, (t, _) in enumerate(RULED))} END) AS title,
+  concat(text, chr(10), CASE doc_id % {len(RULED)} {' '.join(f'WHEN {i} THEN {_text(b)}' for i, (_, b) in enumerate(RULED))} END) AS body_text
+FROM documents""",
     "notice": f"""
 SELECT doc_id AS document_id, source AS source_id, substr(split_part(text, chr(10), 1), 1, 80) AS title, text AS body_text,
   date '2024-01-01' + CAST((doc_id * 7) % 90 AS INT) AS published_date, {T0} + doc_id * 613 AS discovered_at,
