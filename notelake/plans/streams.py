@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..registry import query
 from ..sources.bindings import T0, oracle
 from ..streaming import jobs
+from .delivery import _STATE
+from .notices import _CHANGES
 
 
 def _events(spark, sf):
@@ -34,3 +36,52 @@ def _(spark, sf):
 def _(spark, sf):
     pages = jobs.file_stream(spark, f"{sf}/pages.parquet").select(F.timestamp_seconds(T0 + F.col("page_id") * 600).alias("ts"), F.col("html").alias("body"))
     return jobs.drained(jobs.new_bodies(pages, "30 days"), jobs.scratch(spark))
+
+
+def _bodies(spark, sf):
+    return jobs.file_stream(spark, f"{sf}/pages.parquet").select(F.col("page_id").alias("id"), F.col("html").cast("binary").alias("body"))
+
+
+@query("stream_ingest", oracle("SELECT SHA[html] AS sha256, min(page_id) AS first_id, max(strlen(html)) AS bytes FROM pages GROUP BY 1"))
+def _(spark, sf):
+    return jobs.archived(_bodies(spark, sf), jobs.scratch(spark))
+
+
+@query("stream_replay", "SELECT count(DISTINCT html) AS bodies, count(DISTINCT html) AS again, CAST(0 AS BIGINT) AS repeated FROM pages")
+def _(spark, sf):
+    folder = jobs.scratch(spark)
+    first = jobs.archived(_bodies(spark, sf), folder).agg(F.count("*").alias("bodies"))
+    second = jobs.archived(_bodies(spark, sf), folder)  # the same job, started again from its checkpoint
+    return first.crossJoin(second.agg(F.count("*").alias("again"), (F.count("*") - F.count_distinct("sha256")).alias("repeated")))  # one row each
+
+
+@query("stream_changes", oracle(f"WITH {_CHANGES} SELECT document_id, version_id, change, count(*) FILTER (change IN ('first', 'changed')) OVER (PARTITION BY document_id ORDER BY observed_at, version_id) AS event_seq FROM changes", "version"))
+def _(spark, sf):
+    text = "text || CASE WHEN k = 1 AND doc_id % 3 = 0 THEN ' v2' {} ELSE '' END"
+    docs = jobs.file_stream(spark, f"{sf}/documents.parquet").selectExpr("doc_id", "text", "explode(array(0, 1)) AS k")
+    rows = docs.selectExpr(
+        "doc_id AS document_id", "2 * doc_id + k AS version_id", f"{T0} + doc_id * 613 + k * 86400 AS observed_at", f"sha2({text.format('')}, 256) AS content_sha",
+        f"sha2({text.format(chr(39).join(('WHEN k = 1 AND doc_id % 5 = 2 THEN ', '<!-- -->', '')))}, 256) AS raw_sha", "CASE WHEN doc_id % 11 = 0 AND k = 1 THEN 'p2' ELSE 'p1' END AS parser_version",
+    )
+    return jobs.drained(jobs.changes(rows), jobs.scratch(spark))
+
+
+def _attempts(spark, sf):
+    rows = jobs.file_stream(spark, f"{sf}/lineitem.parquet")
+    started = "unix_seconds(CAST(l_shipdate AS TIMESTAMP))"
+    return rows.selectExpr(
+        "l_orderkey AS mail_id", "CAST(l_linenumber AS BIGINT) AS attempt_no", f"{started} AS started_at", "l_partkey * 100000 + l_suppkey AS line_id",
+        f"CASE WHEN l_linestatus = 'O' AND l_returnflag = 'N' THEN NULL ELSE {started} + CAST(l_quantity AS BIGINT) * 60 END AS finished_at",
+        "CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN CASE WHEN l_linestatus = 'F' THEN 'permanent' ELSE 'temporary' END ELSE CASE WHEN l_linestatus = 'F' THEN 'uncertain' END END AS outcome",
+    )
+
+
+@query("stream_late", oracle("""SELECT mail_id, line_id, started_at, CASE WHEN started_at < max(started_at) OVER (PARTITION BY mail_id ORDER BY line_id, started_at, attempt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'late' ELSE 'accepted' END AS verdict FROM attempt""", "attempt"))
+def _(spark, sf):
+    return jobs.drained(jobs.late_rows(_attempts(spark, sf).select("mail_id", "line_id", "started_at", "attempt_no")), jobs.scratch(spark))
+
+
+@query("stream_delivery", oracle(f"""WITH {_STATE} SELECT mail_id, attempt_no, state, CASE WHEN state IN ('uncertain', 'retry') THEN finished_at + CASE WHEN outcome = 'uncertain' THEN greatest(w, 1800) ELSE w END END AS next_attempt_at
+FROM (SELECT *, CASE least(attempt_no, 3) WHEN 1 THEN 300 WHEN 2 THEN 1800 ELSE 7200 END AS w FROM state)""", "attempt"))
+def _(spark, sf):
+    return jobs.drained(jobs.delivery(_attempts(spark, sf)), jobs.scratch(spark))

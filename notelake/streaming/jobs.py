@@ -1,21 +1,31 @@
-"""Structured Streaming jobs over files: sessions, hourly counts, suppression of repeated bodies.
+"""Structured Streaming jobs over files: sessions, hourly counts, repeated bodies, archive, changes, late rows, delivery.
 
-State is bounded by a watermark in each. A job reads all files there are, writes Parquet with a checkpoint in the
-shared folder, and can be started again from it: what was written once is not written again.
+State is bounded by a watermark, or is one small row a key (document, message). A job reads all files there are, writes
+Parquet with a checkpoint in the shared folder, and can be started again from it: what was written once is not written
+again. Functions that fold a key's rows get them as Arrow batches of one key at a time.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share; a temporary one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new folder below the one that driver and executors share. Where none is set, a temporary one serves a local
+    master, whose executors are the driver; on a cluster that fails."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/notelake-stream-{uuid.uuid4().hex}"
 
 
@@ -52,3 +62,95 @@ def missing_hours(hours: DataFrame, key: str) -> DataFrame:
 def new_bodies(pages: DataFrame, delay: str) -> DataFrame:
     """Hash of each body that has not come within ``delay`` before; ``ts`` is when it came."""
     return pages.select("ts", F.sha2("body", 256).alias("sha256")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["sha256"]).select("sha256")
+
+
+def archived(bodies: DataFrame, folder: str) -> DataFrame:
+    """Archive of a stream of bodies (id, body): one row a digest, with its first id in the batch that brought it.
+
+    A batch only adds digests that the archive lacks, in a folder of its own that it writes over if it runs again; so
+    neither a repeated batch nor a restart adds one twice.
+    """
+    spark, table = bodies.sparkSession, f"{folder}/archive"
+    schema = "sha256 string, first_id long, bytes long, batch long"
+
+    def add(batch: DataFrame, number: int) -> None:
+        own = batch.groupBy(F.sha2("body", 256).alias("sha256")).agg(F.min("id").alias("first_id"), F.max(F.octet_length("body")).cast("long").alias("bytes"))
+        if number:  # the first batch finds no archive
+            held = batch.sparkSession.read.schema(schema).parquet(table).where(F.col("batch") < number).select("sha256")
+            own = own.join(held, "sha256", "left_anti")
+        own.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    job = bodies.writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.read.schema(schema).parquet(table).drop("batch")
+
+
+def _folded(rows: DataFrame, key: str, fold, out: str, state: str, mode: str) -> DataFrame:
+    return rows.groupBy(key).applyInPandasWithState(fold, out, state, mode, GroupStateTimeout.NoTimeout)
+
+
+def _changed(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    content, raw, parser, seq = state.get if state.exists else (None, None, None, 0)
+    rows, out = pd.concat(list(parts)).sort_values(["observed_at", "version_id"]), []
+    for r in rows.itertuples():
+        if content is None:
+            change = "first"
+        elif parser == r.parser_version:
+            change = "same" if content == r.content_sha else "changed"
+        else:
+            change = "same" if raw == r.raw_sha else "unknown"
+        seq += change in ("first", "changed")
+        content, raw, parser = r.content_sha, r.raw_sha, r.parser_version
+        out.append((key[0], r.version_id, change, seq))
+    state.update((content, raw, parser, seq))
+    yield pd.DataFrame(out, columns=["document_id", "version_id", "change", "event_seq"])
+
+
+def changes(versions: DataFrame) -> DataFrame:
+    """What each version of a stream means for its document, and the document's number of events so far. State: the
+    last content, raw body, parser and number of each document."""
+    return _folded(versions, "document_id", _changed, "document_id long, version_id long, change string, event_seq long", "content string, raw string, parser string, seq long", "append")
+
+
+def _judged(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    (latest,) = state.get if state.exists else (None,)
+    rows, out = pd.concat(list(parts)).sort_values(["line_id", "started_at", "attempt_no"]), []
+    for r in rows.itertuples():
+        late = latest is not None and r.started_at < latest
+        latest = r.started_at if latest is None else max(latest, r.started_at)
+        out.append((key[0], r.line_id, r.started_at, "late" if late else "accepted"))
+    state.update((int(latest),))
+    yield pd.DataFrame(out, columns=["mail_id", "line_id", "started_at", "verdict"])
+
+
+def late_rows(attempts: DataFrame) -> DataFrame:
+    """Each attempt with a verdict: late if one of its message with a later time came before it. State: one time a key."""
+    return _folded(attempts, "mail_id", _judged, "mail_id long, line_id long, started_at long, verdict string", "latest long", "append")
+
+
+SCHEDULE, LEAST_WAIT, MOST_ATTEMPTS = (300, 1800, 7200), 1800, 6
+
+
+def _advanced(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    now = state.get if state.exists else (-1, -1, -1, "pending", -1)
+    rows = pd.concat(list(parts)).dropna(subset=["outcome"])
+    for r in rows.itertuples():
+        at = (int(r.attempt_no), int(r.started_at), int(r.line_id))
+        if at <= now[:3]:
+            continue
+        wait = SCHEDULE[min(at[0], len(SCHEDULE)) - 1]
+        if r.outcome == "accepted":
+            now = (*at, "accepted", -1)
+        elif r.outcome == "permanent" or at[0] >= MOST_ATTEMPTS:
+            now = (*at, "blocked", -1)
+        else:
+            unsure = r.outcome == "uncertain"
+            now = (*at, "uncertain" if unsure else "retry", int(r.finished_at) + (max(wait, LEAST_WAIT) if unsure else wait))
+    state.update(now)
+    if now[0] >= 0:
+        yield pd.DataFrame([(key[0], now[0], now[3], None if now[4] < 0 else now[4])], columns=["mail_id", "attempt_no", "state", "next_attempt_at"]).astype({"next_attempt_at": "Int64"})
+
+
+def delivery(attempts: DataFrame) -> DataFrame:
+    """State of each message after every batch of attempts that concerns it. State: its last finished attempt."""
+    return _folded(attempts, "mail_id", _advanced, "mail_id long, attempt_no long, state string, next_attempt_at long", "attempt_no long, started_at long, line_id long, state string, due long", "append")
