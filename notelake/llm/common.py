@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a temporary one serves a local
+    master, whose executors are the driver; on a cluster that fails."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -53,6 +60,15 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time: what a task makes of texts then takes no more memory than these few need."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+    pa.default_memory_pool().release_unused()
+
+
 def utf8(name: str = "text") -> Column:
     """A text as UTF-8 bytes; null is empty."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
@@ -64,6 +80,25 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("dk"), utf8().alias("body"))
 
 
+def fresh(name: str, docs: DataFrame) -> str:
+    """``name``, with as many underscores after it as no column of ``docs`` has, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def met(rows: DataFrame, keys: DataFrame, on: list[str], n: str, hot: int = 50_000, most: int = 100_000) -> DataFrame:
+    """``rows`` joined with ``keys`` (one row a key; ``n``: how many rows have it). Keys with over ``hot`` rows, at
+    most ``most`` of them, are broadcast, so none of them is gathered in one task; the others are joined by a shuffle."""
+    total = keys.agg(F.sum(n)).first()[0] or 0
+    often = F.col(n) > max(hot, total // most)
+    heavy, light = keys.where(often).drop(n).withColumnsRenamed({c: f"hot_{c}" for c in on}), keys.where(~often).drop(n)
+    is_hot = reduce(Column.__and__, (F.col(c) == F.col(f"hot_{c}") for c in on))
+    spread = rows.join(F.broadcast(heavy), is_hot).drop(*(f"hot_{c}" for c in on))
+    return rows.join(F.broadcast(heavy), is_hot, "left_anti").join(light, on).unionByName(spread)
+
+
 def same_document(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["dk"] == b["dk"])
 
