@@ -8,8 +8,8 @@ too high (a false positive) but never too low. A pair's probability mixes its qu
 The filter is made where the counts are, BITS_EACH bits an entry or more. That of the words is broadcast: it grows
 with the vocabulary only. That of the pairs grows with the text, so it is never held whole: pairs are dealt to segments
 by the first bits of their keys, a task fills a segment from its counts, and the segments are rows of a stored table.
-To score, each task sends its documents' pairs to the segments, in one packed row a segment and chunk, and sums a
-document come back. Pairs with at least 1 / HEAD of all tokens are read from their segments beforehand and broadcast,
+To score, each task sends its documents' pairs to the segments, in one packed row a segment and chunk; sums for a chunk's
+documents come back, packed in one row from each task that holds segments, and are added up by chunk. Pairs with at least 1 / HEAD of all tokens are read from their segments beforehand and broadcast,
 so no segment gets a stretch of the text that does not shrink with more segments.
 
 The base score needs exact counts: those of the most frequent words (at most HEAD, 16 bytes each) are broadcast, the
@@ -42,9 +42,10 @@ TASK_TOKENS = 1_500_000
 END = xxhash.xxh3_64_intdigest(b" ")  # no word holds a space
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 _LEVEL = np.uint64(0xC2B2AE3D27D4EB4F)
-_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<t:long,n:long>>"
+#: A document, or (row is null) what some segments add to documents of the chunk that begins with row ``first``.
+_SCORED = "first long, packed binary, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<t:long,n:long>>"
 #: Rows on their way to the segments; kind: 0 a segment, 1 pairs of a chunk, 2 a document.
-_SENT = "segment long, kind int, first long, packed binary, " + _SCORED
+_SENT = "segment long, kind int, " + _SCORED
 _FILTER, _PAIRS, _DOCUMENT = range(3)
 
 
@@ -284,29 +285,32 @@ def _hot_levels(key: np.ndarray, hot: np.ndarray, hot_levels: np.ndarray) -> tup
 
 def _sent(kind: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
     n = len(columns["segment"])
-    kinds = {"segment": pa.int64(), "first": pa.int64(), "packed": pa.binary(), **_KINDS}
+    kinds = {"segment": pa.int64(), **_KINDS}
     every = {"kind": pa.array(np.full(n, kind, np.int32))} | columns
-    names = ["segment", "kind", "first", "packed", *_KINDS]
+    names = ["segment", "kind", *_KINDS]
     return pa.RecordBatch.from_arrays([every[c] if c in every else pa.nulls(n, kinds[c]) for c in names], names=names)
 
 
 _KINDS = {
-    "row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(),
+    "first": pa.int64(), "packed": pa.binary(), "row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(),
     "tail": pa.list_(pa.struct([("t", pa.int64()), ("n", pa.int64())])),
 }
 
 
 def _answered(unit: float):
-    """Documents as they came, and rows of row and score: what the partition's segments add. A segment's filter comes
-    before its pairs; one without filter has met none."""
+    """Documents as they came, and for each chunk one packed row of what the partition's segments add to its documents.
+    A segment's filter comes before its pairs; one without filter has met none."""
 
-    def summed(rows: list[np.ndarray], sums: list[np.ndarray]) -> pa.RecordBatch:
-        row, of = np.unique(np.concatenate(rows), return_inverse=True)
-        score = np.bincount(of, np.concatenate(sums), len(row))
-        return pa.RecordBatch.from_arrays([pa.array(row) if c == "row" else pa.array(score) if c == "score" else pa.nulls(len(row), k) for c, k in _KINDS.items()], names=list(_KINDS))
+    def summed(found: dict[int, list[tuple[np.ndarray, np.ndarray]]]) -> pa.RecordBatch:
+        packed = []
+        for own in found.values():
+            doc, of = np.unique(np.concatenate([x[0] for x in own]), return_inverse=True)
+            packed.append(doc.astype("<u4").tobytes() + np.bincount(of, np.concatenate([x[1] for x in own]), len(doc)).astype("<f8").tobytes())
+        have = {"first": pa.array(list(found), pa.int64()), "packed": pa.array(packed, pa.binary())}
+        return pa.RecordBatch.from_arrays([have[c] if c in have else pa.nulls(len(packed), k) for c, k in _KINDS.items()], names=list(_KINDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, of, rows, sums, held = np.zeros(1 << 13, np.uint8), -1, [], [], 0
+        bits, of, found, held = np.zeros(1 << 13, np.uint8), -1, {}, 0
         for batch in batches:
             kind = batch["kind"].to_numpy()
             documents = np.flatnonzero(kind == _DOCUMENT)
@@ -324,18 +328,40 @@ def _answered(unit: float):
                 key, doc = np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.uint32, n, 8 * n)
                 context, alone = np.frombuffer(blob, np.uint8, n, 12 * n), np.frombuffer(blob, np.uint8, n, 13 * n)
                 a, _ = _stretches(doc)
-                rows.append(first[i].as_py() + doc[a].astype(np.int64))
-                sums.append(np.add.reduceat(_log_p(probe(bits, key), context, alone, unit), a))
+                found.setdefault(first[i].as_py(), []).append((doc[a], np.add.reduceat(_log_p(probe(bits, key), context, alone, unit), a)))
                 held += len(a)
-                if held > 1_000_000:
-                    yield summed(rows, sums)
-                    rows, sums, held = [], [], 0
+                if held > 2_000_000:
+                    yield summed(found)
+                    found, held = {}, 0
         if held:
-            yield summed(rows, sums)
+            yield summed(found)
 
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of row and part: the sums of each chunk's packed rows, which follow each other."""
+    now, total = None, np.zeros(0)
+
+    def done() -> pa.RecordBatch:
+        at = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array(now + at), pa.array(total[at])], names=["row", "part"])
+
+    for batch in batches:
+        for first, blob in zip(batch["first"].to_pylist(), batch["packed"].to_pylist(), strict=True):
+            if first != now:
+                if now is not None:
+                    yield done()
+                now, total = first, np.zeros(0)
+            n = len(blob) // 12
+            doc, own = np.frombuffer(blob, "<u4", n), np.frombuffer(blob, "<f8", n, 4 * n)
+            if n and doc[-1] >= len(total):
+                total = np.append(total, np.zeros(int(doc[-1]) + 1 - len(total)))
+            total[doc] += own
+    if now is not None:
+        yield done()
+
+
 def _threshold(sizes: list[tuple[int, int]], most: int) -> int:
     """The least count that at most ``most`` words reach; sizes: (count, words that have it)."""
     left, least = most, max((n for n, _ in sizes), default=0) + 1
@@ -387,9 +413,10 @@ def lm_scores(docs: DataFrame, held_out, head: int = HEAD, task_tokens: int = TA
     rest = rest.join(counts.where(F.col("n") < least), "t", "left").select(
         "row", (F.col("m") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(unit))).alias("more"), F.when(F.col("n") > 0, F.col("m")).otherwise(0).alias("met"), F.lit(0.0).alias("part")
     )
-    parts = scored.where("tail IS NULL").select("row", F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("met"), F.col("score").alias("part"))
+    packed = scored.where("row IS NULL").select("first", "packed").repartition(tasks, "first").sortWithinPartitions("first")
+    parts = packed.mapInArrow(_added, "row long, part double").select("row", F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("met"), "part")
     rest = rest.unionByName(parts).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("more", "met", "part")))
-    return scored.where("tail IS NOT NULL").drop("tail").join(rest, "row", "left").select(
+    return scored.where("row IS NOT NULL").drop("tail").join(rest, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
