@@ -2,7 +2,8 @@
 
 Domains come from a labelled table (label a document 'toxic', 'low' or 'clean'). A naive Bayes classifier, its word
 counts kept in BUCKETS hash buckets, predicts every document's domain probabilities; its log odds are divided by the
-square root of the text's length, as words of a text are far from independent.
+square root of the text's length, as words of a text are far from independent. It learns from about SAMPLE labelled
+rows (all, if there are fewer; chosen by a hash of doc_id), whose ids are broadcast, so no text is shuffled.
 
 Then document rates r >= 0 are fitted: with a_i = tokens_i * p_i (expected tokens of each domain) the sums
 sum_i r_i a_i shall be the target weights times the budget, and of all rates that do so, those closest to 1 are taken,
@@ -25,15 +26,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, utf8
+from .common import fresh, slices, stored, utf8
 
 BUCKETS = 1 << 18
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.97, "low": 0.01, "toxic": 0.02}
+#: Labelled rows that the classifier learns from, about.
+SAMPLE = 100_000
 #: Passes after which a fit that has not settled fails.
 STEPS = 200
-#: Residual of a domain, as a share of the budget, that ends the fit.
-CLOSE = 1e-3
+#: Residual of a domain, as a share of what it shall have (at least of LEAST of the budget), that ends the fit.
+CLOSE = 2e-3
+LEAST = 1e-3
 #: Weight of the step's square, as a share of all tokens; slope, as a share of the budget, at which a fit short of its targets has settled.
 EASE = 1e-6
 SETTLED = 1e-6
@@ -47,7 +51,7 @@ def domain_of_labels() -> Column:
 
 
 def _buckets(words: list[bytes], known: dict[bytes, int], buckets: int) -> np.ndarray:
-    if len(known) > 500_000:
+    if len(known) > 200_000:
         known.clear()
     for w in set(words).difference(known):
         known[w] = xxhash.xxh3_64_intdigest(w) % buckets
@@ -57,7 +61,7 @@ def _buckets(words: list[bytes], known: dict[bytes, int], buckets: int) -> np.nd
 def _counted(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows, known = np.zeros((len(DOMAINS), buckets), np.int64), np.zeros(len(DOMAINS), np.int64), {}
-        for batch in batches:
+        for batch in slices(batches):
             for domain, body in zip(batch["domain"].to_pylist(), batch["body"].to_pylist(), strict=True):
                 d = DOMAINS.index(domain)
                 rows[d] += 1
@@ -70,12 +74,14 @@ def _counted(buckets: int):
     return run
 
 
-def classifier(docs: DataFrame, domains: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """(log priors, log probabilities of each bucket in each domain) from all labelled rows. ``domains``: doc_id,
-    domain. Counts add up by bucket before they leave a task; the driver gets at most domains * buckets of them."""
+def classifier(docs: DataFrame, domains: DataFrame, buckets: int = BUCKETS, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """(log priors, log probabilities of each bucket in each domain) from labelled rows. ``domains``: doc_id, domain.
+    Counts add up by bucket before they leave a task; the driver gets at most domains * buckets of them."""
     agreed = domains.where(F.col("domain").isin(*DOMAINS)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("domain").alias("domain"), F.max("domain").alias("other"))
     agreed = agreed.where("domain = other").drop("other")
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("body")).join(agreed, "doc_id").select("domain", "body")
+    share = sample / max(sample, agreed.count())
+    some = agreed.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)) < int(share * (1 << 40)))
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("body")).join(F.broadcast(some), "doc_id").select("domain", "body")
     table = labelled.mapInArrow(_counted(buckets), "d int, bucket long, n long").groupBy("d", "bucket").agg(F.sum("n").alias("n")).toArrow()
     count, rows = np.zeros((len(DOMAINS), buckets)), np.zeros(len(DOMAINS))
     d, bucket, n = (table[c].to_numpy() for c in ("d", "bucket", "n"))
@@ -92,7 +98,7 @@ def _posterior(model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             sizes, odds = [], []
             for body in batch["body"]:
                 words = body.as_py().lower().split()
@@ -164,7 +170,7 @@ def fitted_step(members: DataFrame, targets: dict[str, float], budget: float | N
     for _ in range(passes):
         off = now[1 : k + 1] - wanted
         slope = ease * step - off
-        if np.abs(off).max() <= close * whole:
+        if (np.abs(off) <= close * np.maximum(wanted, LEAST * whole)).all():
             return step
         if np.abs(slope).max() <= SETTLED * whole:
             logging.getLogger(__name__).warning("mixing targets are out of reach; shares of the budget too many: %s", dict(zip(DOMAINS, (off / whole).round(4).tolist(), strict=True)))
@@ -210,19 +216,20 @@ def _with_rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float],
 
 def mixed(docs: DataFrame, domains: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, seed: int = 1) -> DataFrame:
     """``docs``, all columns, each row as often as its copies say. A row's decision is made again from its own text in
-    one pass, so texts are not shuffled."""
+    one pass, so texts are not shuffled. Null and empty texts, repeated rows and odd labels: as in ``mixing_rates``; an
+    empty table stays empty; other columns, whatever their names, are handed on unread."""
     model = classifier(docs, domains)
     members = stored(memberships(docs, model), "memberships")
     step = fitted_step(members, targets, budget)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    keyed = docs.withColumn("_dk", F.xxhash64("text"))
-    names = docs.columns
+    names, dk = docs.columns, fresh("dk", docs)
+    keyed = docs.withColumn(dk, F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _posterior(sent)
-        for batch in batches:
+        for batch in slices(batches):
             bodies = pa.array([(t or "").encode() for t in batch["text"].to_pylist()], pa.binary())
-            slim = pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["_dk"], bodies], names=["doc_id", "dk", "body"])
+            slim = pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch[dk], bodies], names=["doc_id", "dk", "body"])
             copies = next(_rated(step, seed)(score(iter([slim]))))["copies"].to_numpy()
             yield batch.select(names).take(pa.array(np.repeat(np.arange(batch.num_rows), copies)))
 
