@@ -6,9 +6,10 @@ are sorted by Gray rank; FANOUT neighbours become a node that holds the bits the
 upwards. A search goes down from the root for all fingerprints at once: a child only tests the bits that its parent
 does not fix, differences add up, and a branch whose sum passes BITS is left out with everything below it.
 
-A group yields links to representatives of its own components, not pairs; the links of all groups are then joined by
-distributed connected components. Groups of more than GROUP fingerprints are dealt again by Gray order into blocks,
-and each pair of blocks is a task of its own, so no group is held whole.
+A group yields as many links as join its components, not all pairs; the links of all groups are then joined by
+distributed connected components. Groups of more than GROUP fingerprints are cut by Gray order into blocks, whose
+shared bits are the upper nodes of the group's tree: only pairs of blocks that these do not rule out are searched,
+each by itself, so no group is held whole.
 """
 
 from __future__ import annotations
@@ -20,18 +21,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, stored
+from .common import fresh, keyed, met, same_document, slices, stored
 from .graph import components
 
 BITS = 4
 BLOCKS = 6
 FANOUT = 8
 GROUP = 4_096
+#: Stretches of Gray ranks that an oversized group is cut into at most before these are cut by hash.
+CUTS = 256
 SHINGLE = 4
 SEED = 42
+#: For removal: words of a shingle, bits that may differ, blocks, and the least Jaccard similarity of a link.
+NEAR_SHINGLE, NEAR_BITS, NEAR_BLOCKS, SIMILAR = 5, 8, 10, 0.8
 
 
 def fingerprint(body: bytes, n: int = SHINGLE) -> int:
@@ -42,19 +47,34 @@ def fingerprint(body: bytes, n: int = SHINGLE) -> int:
     if len(words) <= n:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
     one = xxhash.xxh64_intdigest
-    if n == SHINGLE:
-        hashes = [one(b"%b %b %b %b" % w, SEED) for w in zip(words, words[1:], words[2:], words[3:])]  # noqa: B905
-    else:
-        hashes = [one(b" ".join(words[i : i + n]), SEED) for i in range(len(words) - n + 1)]
-    count = np.zeros(64, np.int64)
-    every = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
-    for at in range(0, len(every), 1 << 16):
-        count += np.unpackbits(every[at : at + (1 << 16)], axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(count * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    shape = b" ".join([b"%b"] * n)
+    hashes = [one(shape % w, SEED) for w in zip(*(words[i:] for i in range(n)))]  # noqa: B905
+    return int(_majority(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8))[0])
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """Bits that more than half of the hashes (rows of bytes) have, as 64-bit numbers."""
+    count = np.zeros(8 * hashes.shape[1], np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        count += np.unpackbits(hashes[at : at + (1 << 16)], axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(count * 2 > len(hashes), bitorder="little").view(np.uint64)
+
+
+def shingle_hashes(body: bytes, n: int) -> np.ndarray:
+    """128-bit hashes of all shingles of n words, as rows of 16 bytes; of the whole text where it has fewer words."""
+    words = body.lower().split()
+    shape = b" ".join([b"%b"] * n)
+    each = [shape % w for w in zip(*(words[i:] for i in range(n)))] if len(words) >= n else [b" ".join(words)] if words else []  # noqa: B905
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in each), np.uint8).reshape(-1, 16)
+
+
+def two_fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """Two fingerprints that do not depend on each other; zeros without shingles."""
+    return _majority(hashes) if len(hashes) else np.zeros(2, np.uint64)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         prints = np.array([fingerprint(body.as_py()) for body in batch["body"]], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["dk"], pa.array(prints)], names=["doc_id", "dk", "fp"])
 
@@ -121,20 +141,27 @@ class GrayIndex:
                 stack.append((level - 1, q, child, far))
 
 
-def _roots(n: int, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest position that each of n positions is linked with, directly or not."""
-    root = np.arange(n)
+def _joined(n: int, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs, out of those found among n positions, that join all that these join: of what would be joined in a step, one
+    pair for each part."""
+    root, left, right = np.arange(n), [], []
     for a, b in found:
         a, b = a[a != b], b[a != b]
         while len(a):
-            low = np.minimum(root[a], root[b])
-            np.minimum.at(root, root[a], low)
-            np.minimum.at(root, root[b], low)
+            high, low = np.maximum(root[a], root[b]), np.minimum(root[a], root[b])
+            apart = high != low
+            a, b, high, low = a[apart], b[apart], high[apart], low[apart]
+            if not len(a):
+                break
+            order = np.lexsort((low, high))
+            first = order[np.append(True, high[order][1:] != high[order][:-1])]
+            left.append(a[first])
+            right.append(b[first])
+            root[high[first]] = low[first]
             while (root != root[root]).any():
                 root = root[root]
-            open_ = root[a] != root[b]
-            a, b = a[open_], b[open_]
-    return root
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
 def _linked(bits: int):
@@ -153,13 +180,19 @@ def _linked(bits: int):
             # Positions: the fingerprints, then the queries; a row's own queries are its fingerprints.
             name = np.concatenate((alone, len(prints) + np.arange(len(queries) - len(alone))))
             every = np.concatenate((prints, queries[len(alone) :]))
-            root = _roots(len(every), ((name[q], f) for q, f in GrayIndex(prints, group).search(queries, asked, bits)))
-            own = np.flatnonzero(root != np.arange(len(every)))
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (every[own], every[root[own]])], names=["a", "b"])
+            x, y = _joined(len(every), ((name[q], f) for q, f in GrayIndex(prints, group).search(queries, asked, bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(every[i].view(np.int64)) for i in (x, y)], names=["a", "b"])
 
     return run
 
 
+def gray_order(x: Column) -> Column:
+    """``gray_rank`` as a column."""
+    for s in (1, 2, 4, 8, 16, 32):
+        x = x.bitwiseXOR(F.shiftrightunsigned(x, s))
+    return x
+
+
 def block_masks(blocks: int, agree: int) -> list[int]:
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
     own = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(blocks)]
@@ -171,16 +204,25 @@ def near_links(prints: DataFrame, bits: int = BITS, blocks: int = BLOCKS, group:
     masks = [m - (1 << 64) if m >> 63 else m for m in block_masks(blocks, blocks - bits)]
     choice = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("g")) for i, m in enumerate(masks))))
     dealt = prints.select("fp", choice.alias("x")).select("fp", F.col("x.c").alias("c"), F.col("x.g").alias("g"))
-    # A block is a stretch of hashes within a group; one block is the rule.
+    # A block is a stretch of Gray ranks within a group; one block is the rule.
     size = stored(dealt.groupBy("c", "g").agg(F.count("*").alias("n")).where("n > 1").select("c", "g", F.ceil(F.col("n") / group).cast("int").alias("parts")), "groups")
-    part = F.when(F.col("parts") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    gathered = dealt.join(size, ["c", "g"]).withColumn("part", part).groupBy("c", "g", "parts", "part").agg(F.collect_list("fp").alias("fps"))
-    alone = gathered.select(F.col("fps").alias("left"), F.lit(None).cast("array<long>").alias("right"))
-    split = stored(gathered.where("parts > 1"), "blocks")
-    a, b = split.alias("a"), split.alias("b")
-    across = a.join(b, (F.col("a.c") == F.col("b.c")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.part") < F.col("b.part")))
-    across = across.select(F.col("a.fps").alias("left"), F.col("b.fps").alias("right"))
-    return alone.unionByName(across).mapInArrow(_linked(bits), "a long, b long").distinct()
+    one = dealt.join(size.where("parts = 1").select("c", "g"), ["c", "g"]).groupBy("c", "g").agg(F.collect_list("fp").alias("left"))
+    large = stored(dealt.join(size.where("parts > 1"), ["c", "g"]).withColumn("rank", gray_order(F.col("fp"))), "large")
+    cuts = large.groupBy("c", "g").agg(F.percentile_approx("rank", [i / CUTS for i in range(1, CUTS)], 16 * CUTS).alias("cuts"))
+    at = F.size(F.filter("cuts", lambda x: x <= F.col("rank")))
+    part = (F.floor(at * F.least("parts", F.lit(CUTS)) / CUTS) * F.ceil(F.col("parts") / CUTS) + F.pmod(F.xxhash64("fp"), F.ceil(F.col("parts") / CUTS))).cast("int")
+    named = large.join(cuts, ["c", "g"]).select("c", "g", part.alias("part"), "fp")
+    blocks = stored(named.groupBy("c", "g", "part").agg(F.collect_list("fp").alias("fps"), F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any")), "blocks")
+    heads = blocks.select("c", "g", "part", F.col("all").alias("pattern"), F.bitwise_not(F.col("all").bitwiseXOR(F.col("any"))).alias("mask"))
+    a, b = heads.alias("a"), heads.alias("b")
+    apart = F.bit_count(F.col("a.pattern").bitwiseXOR(F.col("b.pattern")).bitwiseAND(F.col("a.mask")).bitwiseAND(F.col("b.mask")))
+    pairs = a.join(b, (F.col("a.c") == F.col("b.c")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.part") < F.col("b.part")) & (apart <= bits))
+    pairs = pairs.select(F.col("a.c").alias("c"), F.col("a.g").alias("g"), F.col("a.part").alias("part"), F.col("b.part").alias("other"))
+    across = pairs.join(blocks.select("c", "g", "part", F.col("fps").alias("left")), ["c", "g", "part"]).join(
+        blocks.select("c", "g", F.col("part").alias("other"), F.col("fps").alias("right")), ["c", "g", "other"]
+    )
+    every = one.unionByName(blocks.select(F.col("fps").alias("left")), allowMissingColumns=True).select("left").unionByName(across.select("left", "right"), allowMissingColumns=True)
+    return every.select("left", "right").mapInArrow(_linked(bits), "a long, b long").distinct()
 
 
 def _grouped(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
@@ -204,10 +246,75 @@ def simhash_groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
     return prints.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def simhash_unique(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """``docs``, all columns, one row of each component: that of the smallest doc_id (null last), then text hash."""
-    _, names = _grouped(docs, bits)
+def _sketched(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            both = np.array([two_fingerprints(shingle_hashes(body.as_py(), n)) for body in batch["body"]], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["dk"], *(pa.array(np.ascontiguousarray(both[:, i])) for i in (0, 1))], names=["doc_id", "dk", "f0", "f1"])
+
+    return run
+
+
+def _shingled(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(np.ascontiguousarray(shingle_hashes(body.as_py(), n)[:, :8]).view(np.uint64)).tobytes() for body in batch["body"]]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return run
+
+
+def _alike(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            good = []
+            for x, y in zip(batch["x"], batch["y"], strict=True):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= least * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: nodes) whose texts have a Jaccard similarity of ``least`` on shingles of n words.
+    Texts are read for nodes of pairs only; a node of many pairs is dealt out over as many rows as these need."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    first = nodes.join(ends, "node").select("node", "first.doc_id", "first.dk")
+    bodies = keyed(docs)
+    own = bodies.join(first, same_document(bodies, first)).dropDuplicates(["node"]).select("node", "body")
+    sets = stored(own.mapInArrow(_shingled(n), "node long, shingles binary"), "shingles")
+    often = stored(pairs.groupBy("b").agg(F.count("*").alias("n"), F.ceil(F.count("*") / 2_000).cast("int").alias("parts")), "often")
+    dealt = met(pairs, often, ["b"], "n").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(often, "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("b", "part", "y")
+    return dealt.select("a", "b", "part").join(x, "a").join(y, ["b", "part"]).select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long")
+
+
+def simhash_unique(docs: DataFrame, n: int = NEAR_SHINGLE, bits: int = NEAR_BITS, blocks: int = NEAR_BLOCKS, least: float = SIMILAR) -> DataFrame:
+    """``docs``, all columns, one row of each group of near-duplicates: that of the smallest doc_id (null last), then
+    text hash. Texts are linked if one of two fingerprints of theirs (shingles of ``n`` words) differs in ``bits`` bits
+    or fewer and their shingles have a Jaccard similarity of ``least`` or more.
+
+    Null and blank texts are near-duplicates of each other; of repeated rows one stays; an empty table stays empty;
+    other columns, whatever their names, are handed on.
+    """
+    prints = stored(keyed(docs).mapInArrow(_sketched(n), "doc_id long, dk long, f0 long, f1 long"), "prints")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "dk")
+    nodes = stored(prints.groupBy(F.xxhash64("f0", "f1").alias("node")).agg(F.min("f0").alias("f0"), F.min("f1").alias("f1"), F.min(row).alias("first")), "nodes")
+    pairs = None
+    for f in ("f0", "f1"):
+        head = stored(nodes.groupBy(F.col(f).alias("fp")).agg(F.min("node").alias("head")), "heads")
+        own = nodes.join(head, nodes[f] == head["fp"]).where("node <> head").selectExpr("node AS a", "head AS b")
+        near = near_links(head.select("fp"), bits, blocks)
+        ends = near.join(head.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(head.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").selectExpr("x AS a", "y AS b")
+        pairs = own.union(ends) if pairs is None else pairs.union(own).union(ends)
+    pairs = stored(pairs.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), "pairs")
+    groups = components(similar_links(docs, nodes, pairs, n, least))
+    named = nodes.join(groups, nodes["node"] == groups["id"], "left").withColumn("component", F.coalesce("component", "node"))
     key = lambda c: F.coalesce(c.cast("long"), F.lit(-(2**63)))
-    first = names.select(key(F.col("first.doc_id")).alias("_id"), F.col("first.dk").alias("_dk")).distinct()
-    rows = docs.withColumns({"_id": key(F.col("doc_id")), "_dk": F.xxhash64("text")})
-    return rows.join(first, ["_id", "_dk"], "left_semi").dropDuplicates(["_id", "_dk"]).select(docs.columns)
+    id_, dk = fresh("id", docs), fresh("dk", docs)
+    first = named.groupBy("component").agg(F.min("first").alias("first")).select(key(F.col("first.doc_id")).alias(id_), F.col("first.dk").alias(dk)).distinct()
+    rows = docs.withColumns({id_: key(F.col("doc_id")), dk: F.xxhash64("text")})
+    return rows.join(first, [id_, dk], "left_semi").dropDuplicates([id_, dk]).select(docs.columns)
