@@ -1,31 +1,36 @@
 """Operator 8 [native]: quality rules with risk-controlled thresholds.
 
-Each rule compares one measure of a text with a cutoff. Which cutoff is taken is decided per stratum (language) on
-labelled rows: a cutoff is safe if the exact binomial bound on its false rejections (of rows labelled good) stays
-within the rule's share of RISK, at confidence 1 - DELTA over all strata and rules together (Bonferroni). Cutoffs of a
-rule need no correction: they are tested from lenient to strict, and what one rejects the next rejects too
-(fixed-sequence testing). The strictest safe cutoff is used; a rule without one is off in that stratum. So, with
-confidence 1 - DELTA, no more than RISK of a stratum's good texts are rejected by the rules. Languages with too few
-labelled good rows for any rule, and those beyond STRATA, share one stratum: for them RISK holds over all of them
-together. A language without labels has the thresholds of that stratum.
+Each rule compares one measure of a text with a cutoff. Cutoffs are chosen per stratum (language) on labelled good
+rows, in two halves (by a hash of doc_id). The first half orders the choices: at a step of STEPS each rule takes its
+strictest cutoff that rejects no more than the step's share of the half, or a looser one, so choices get stricter from
+step to step. The second half tests them, from lenient to strict: a choice is safe if the exact binomial bound on the share of good rows
+that any of its rules rejects stays within RISK, at confidence 1 - DELTA over all strata together (Bonferroni; within
+a stratum tests stop at the first that fails, so its steps need no correction). The last safe choice is used; without
+one the rules are off. So, with confidence 1 - DELTA, no more than RISK of any stratum's good texts are rejected by
+the rules. Languages with too few labelled good rows for a safe choice share one stratum: for them the risk holds over
+all of them together. A language without labels has the thresholds of that stratum, or without one the mildest cutoff
+that each rule has anywhere (none, if it is off somewhere).
 
 All of it is DataFrame functions. A text's repeated windows are found inside its row, so nothing but one row of
-numbers per document is stored, and only counts per stratum, rule and cutoff are shuffled.
+numbers per document is stored, and only counts per stratum are shuffled.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import SPACE, stored
 
 RISK = 0.03
 DELTA = 0.05
-#: Strata with thresholds of their own at most: the languages with most labelled good rows. Others share one.
-STRATA = 64
+#: Choices from lenient to strict: the share of good rows that one rule may reject in the half that orders them, and
+#: by how many cutoffs the strictest such cutoff is loosened.
+STEPS = ((0.0, 3), (0.0, 2), (0.0, 1), (0.0, 0), (0.001, 0), (0.002, 0), (0.004, 0), (0.006, 0), (0.008, 0), (0.01, 0), (0.015, 0), (0.02, 0), (0.03, 0))
 WINDOW = 8
 _BLANK = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
@@ -121,30 +126,50 @@ def binomial_tail(x: Column, n: Column, p: float) -> Column:
     return F.aggregate(F.sequence(F.lit(0).cast("long"), x.cast("long")), F.lit(0.0), lambda s, k: s + term(k))
 
 
-def own_strata(sizes: list[tuple[str, int]], each: float, delta: float) -> tuple[list[str], float]:
-    """The strata with thresholds of their own, and the error level of a test. ``sizes``: strata and their labelled
-    good rows, largest first. A stratum is thin if even without a false rejection no rule could be on."""
-    for k in range(min(len(sizes), STRATA), -1, -1):
-        level = delta / (max(1, k + (k < len(sizes))) * len(RULES))
-        if k == 0 or sizes[k - 1][1] * math.log1p(-each) <= math.log(level):
-            return [s for s, _ in sizes[:k]], level
-
-
-def thresholds(measures: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> tuple[list[str], DataFrame]:
-    """Strata with thresholds of their own, and ``stratum, rule, cutoff`` (stratum is null for the shared one): the
-    strictest safe cutoff, for rules that have one. Labels that differ for one doc_id count as not good."""
+def with_strata(per: DataFrame, risk: float, delta: float) -> DataFrame:
+    """``per`` (stratum, m: rows of the testing half) with ``own``, whether the stratum has thresholds of its own, and
+    ``level``, the error level of a stratum. A stratum is thin if even without a false rejection nothing could be safe.
+    One row a language comes in."""
+    k = F.row_number().over(W.orderBy(F.desc("m"), "stratum"))
+    n = F.count("*").over(W.partitionBy())
+    level = delta / (F.col("k") + (F.col("k") < F.col("strata")).cast("int"))
+    fits = F.col("m") * math.log1p(-risk) <= F.log(level)
+    ranked = per.withColumns({"k": k, "strata": n}).withColumn("last", F.max(F.when(fits, F.col("k"))).over(W.partitionBy()))
+    own = F.coalesce(F.col("k") <= F.col("last"), F.lit(False))
+    used = F.coalesce("last", F.lit(0)) + (F.coalesce("last", F.lit(0)) < F.col("strata")).cast("int")
+    return ranked.withColumns({"own": own, "level": delta / F.greatest(F.lit(1), used)}).drop("k", "strata", "last")
+
+
+def _choices(first: DataFrame) -> DataFrame:
+    """For each stratum and step the cutoff of each rule (null: off). ``first``: stratum, n and x_<rule>_<i>."""
+    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("step"), F.lit(s).alias("share"), F.lit(k).alias("looser")) for i, (s, k) in enumerate(STEPS)))).alias("s")
+    rows = first.select("*", steps)
+    place = {r: F.coalesce(*(F.when(F.col(f"x_{r}_{i}") <= F.col("s.share") * F.col("n"), F.lit(i)) for i in range(len(cuts)))) for r, cuts in RULES.items()}
+    strictest = {r: F.get(F.array(*map(F.lit, cuts)), F.least(place[r] + F.col("s.looser"), F.when(place[r].isNotNull(), F.lit(len(cuts) - 1)))) for r, cuts in RULES.items()}
+    return rows.select("stratum", F.col("s.step").alias("step"), *(c.alias(f"c_{r}") for r, c in strictest.items()))
+
+
+def thresholds(measures: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """For each stratum with labelled good rows: own, and c_<rule>, its cutoff of each rule (null: off); and a row
+    with stratum null for all others. Labels that differ for one doc_id count as not good."""
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    held = measures.where("NOT base_failed").join(good, "doc_id", "left_semi")
-    flags = [F.sum(_violates(r, _measure(r), F.lit(c)).cast("long")).alias(f"x_{r}_{i}") for r, cuts in RULES.items() for i, c in enumerate(cuts)]
-    per = stored(held.groupBy("stratum").agg(F.count("*").alias("n"), *flags), "strata")
-    sizes = [(r.stratum, r.n) for r in per.select("stratum", "n").orderBy(F.desc("n"), "stratum").limit(STRATA + 1).collect()]
-    each = risk / len(RULES)
-    own, level = own_strata(sizes, each, delta)
-    per = per.withColumn("stratum", F.when(F.col("stratum").isin(own), F.col("stratum"))).groupBy("stratum").agg(*(F.sum(c).alias(c) for c in per.columns[1:]))
-    tests = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cutoff"), F.col(f"x_{r}_{i}").alias("x")) for r, cuts in RULES.items() for i, c in enumerate(cuts)))
-    rows = per.select("stratum", "n", F.explode(tests).alias("t")).select("stratum", "n", "t.*")
-    safe = rows.where(F.when(F.col("x") < F.col("n") * each, binomial_tail(F.col("x"), F.col("n"), each) <= level).otherwise(False))
-    return own, safe.groupBy("stratum", "rule").agg(F.min_by("cutoff", "i").alias("cutoff"))
+    held = measures.where("NOT base_failed").join(good, "doc_id", "left_semi").withColumn("testing", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 1)
+    held = stored(held, "held")
+    sizes = stored(with_strata(held.groupBy("stratum").agg(F.count_if("testing").alias("m")), risk, delta), "strata")
+    named = held.join(sizes.select("stratum", "own", "level"), "stratum").withColumn("stratum", F.when(F.col("own"), F.col("stratum")))
+    flags = [F.count_if(_violates(r, _measure(r), F.lit(c))).alias(f"x_{r}_{i}") for r, cuts in RULES.items() for i, c in enumerate(cuts)]
+    choices = stored(_choices(named.where("NOT testing").groupBy("stratum").agg(F.count("*").alias("n"), *flags)), "choices")
+    # Every testing row meets the few choices of its stratum; what is shuffled are counts.
+    a, b = named.where("testing").alias("a"), choices.alias("b")
+    met = a.join(b, F.col("a.stratum").eqNullSafe(F.col("b.stratum")))
+    rejects = [F.coalesce(_violates(r, _measure(r), F.col(f"c_{r}")), F.lit(False)) for r in RULES]
+    tested = met.groupBy("b.stratum", "step", "level").agg(F.count("*").alias("n"), F.count_if(reduce(Column.__or__, rejects)).alias("x"))
+    safe = F.when(F.col("x") < F.col("n") * risk, binomial_tail(F.col("x"), F.col("n"), risk) <= F.col("level")).otherwise(False)
+    until = tested.withColumn("failed", F.max((~safe).cast("int")).over(W.partitionBy("stratum").orderBy("step").rowsBetween(W.unboundedPreceding, 0))).where("failed = 0")
+    last = until.groupBy("stratum").agg(F.max("step").alias("last"))
+    chosen = choices.alias("c").join(last.alias("l"), F.col("c.stratum").eqNullSafe(F.col("l.stratum")) & (F.col("step") == F.col("last"))).select("c.*").drop("step")
+    alone = sizes.where("own").select("stratum").join(chosen, "stratum", "left")
+    return alone.unionByName(chosen.where("stratum IS NULL"), allowMissingColumns=True)
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
@@ -155,18 +180,14 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, del
     too few for a bound, the rules are off and kept is the opposite of base_failed. Repeated rows get a row each.
     """
     measures = stored(measured(docs), "measures")
-    own, cut = thresholds(measures, labels, risk, delta)
-    cut = cut.collect()  # at most STRATA + 1 times the number of rules
-    failed = []
-    for rule in RULES:
-        found = {r["stratum"]: r["cutoff"] for r in cut if r["rule"] == rule}
-        shared = F.lit(found.pop(None, None)).cast("double")
-        if any(r["rule"] == rule for r in cut):
-            alone = F.create_map(*(F.lit(x) for kv in found.items() for x in kv))[F.col("stratum")] if found else F.lit(None).cast("double")
-            cutoff = F.when(F.col("stratum").isin(own), alone).otherwise(shared)
-            failed.append(F.when(_violates(rule, _measure(rule), cutoff), F.lit(rule)))
-    names = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
-    verdict = measures.withColumn("failed", names)
+    cut = stored(thresholds(measures, labels, risk, delta), "cutoffs")  # one row a language
+    own = cut.where("stratum IS NOT NULL").withColumn("own", F.lit(True))
+    shared = F.col("stratum").isNull()
+    mildest = lambda r: F.when(F.count(f"c_{r}") == F.count("*"), (F.min if r.startswith("min_") else F.max)(f"c_{r}"))
+    other = cut.agg(*(F.when(F.count_if(shared) > 0, F.max(F.when(shared, F.col(f"c_{r}")))).otherwise(mildest(r)).alias(f"o_{r}") for r in RULES))
+    rows = measures.join(own, "stratum", "left").crossJoin(other)  # ``other`` is one row
+    cutoff = lambda r: F.when(F.col("own"), F.col(f"c_{r}")).otherwise(F.col(f"o_{r}"))
+    verdict = rows.withColumn("failed", F.array_compact(F.array(*(F.when(_violates(r, _measure(r), cutoff(r)), F.lit(r)) for r in RULES))))
     return verdict.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), "failed"
     )
