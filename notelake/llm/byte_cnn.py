@@ -5,8 +5,9 @@ responses are max-pooled within chunks of CHUNK positions; neighbouring chunks o
 reaches beyond its step, so no stretch is cut. Mean and maximum of the chunks' pooled responses, over the whole
 document, are combined into one probability.
 
-Training runs on the driver, on at most SAMPLE_ROWS labelled rows of each label whose texts have at most SAMPLE_BYTES
-bytes (rows in the order of a hash of doc_id); everything is scored, in full, by the executors.
+Training runs on the driver, on the whole texts of at most SAMPLE_ROWS labelled rows of each label, SAMPLE_BYTES bytes
+of each at most in all (rows in the order of a hash of doc_id, so whether a row is taken does not depend on its own
+length); everything is scored, in full, by the executors.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import slices, utf8
 
 SAMPLE_ROWS = 1_500
-SAMPLE_BYTES = 8_000
+SAMPLE_BYTES = 64_000_000
 FILTERS = 32
 EMBED = 8
 STEP = 4
@@ -30,8 +32,9 @@ CHUNK = 128
 UPDATES = 700
 RATE = 0.01
 BATCH = 32
-#: Bytes convolved at once.
+#: Bytes scored at once, and chunks convolved at once: a text may be longer than memory holds responses for.
 BLOCK = 1 << 18
+CHUNKS = 512
 
 
 def _padded(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,19 +65,27 @@ class ByteCnn:
             "shift": np.zeros(1, np.float32),
         }
 
-    def pooled(self, bodies: list[bytes]) -> dict:
+    def pooled(self, bodies: list[bytes], peaks: bool = False) -> dict:
+        """Features of each text, and what they come from; ``peaks``: also where in each chunk each filter peaked."""
         p, (data, steps) = self.p, _padded(bodies)
-        x = p["embed"][data].reshape(-1, STEP * EMBED)
         no_start, chunk, text = _layout(steps)
-        response = x[:-1] @ p["near"]
-        response += x[1:] @ p["far"]
-        response += p["bias"]
-        response[no_start] = -np.inf
-        top = np.maximum(np.maximum.reduceat(response, chunk), 0)
+        ends = np.append(chunk, steps.sum() - 1)[1:]
+        top, peak = np.empty((len(chunk), FILTERS), np.float32), []
+        for a in range(0, len(chunk), CHUNKS):
+            first, last = chunk[a], ends[min(a + CHUNKS, len(chunk)) - 1]
+            x = p["embed"][data[first * STEP : (last + 1) * STEP]].reshape(-1, STEP * EMBED)
+            response = x[:-1] @ p["near"]
+            response += x[1:] @ p["far"]
+            response += p["bias"]
+            response[no_start[(no_start >= first) & (no_start < last)] - first] = -np.inf
+            own = chunk[a : a + CHUNKS] - first
+            top[a : a + CHUNKS] = np.maximum(np.maximum.reduceat(response, own), 0)
+            if peaks:
+                peak += [s + first + response[s:e].argmax(0) for s, e in zip(own, np.append(own[1:], len(response)), strict=True)]
         count = np.diff(np.append(text, len(chunk)))
         mean = np.add.reduceat(top, text) / count[:, None].astype(np.float32)
         most = np.maximum.reduceat(top, text)
-        return {"data": data, "x": x, "chunk": chunk, "text": text, "response": response, "top": top, "count": count, "features": np.concatenate((mean, most), 1)}
+        return {"data": data, "text": text, "top": top, "count": count, "peaks": peak, "features": np.concatenate((mean, most), 1)}
 
     def scores(self, bodies: list[bytes]) -> np.ndarray:
         out, own, held = [], [], 0
@@ -88,7 +99,7 @@ class ByteCnn:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -40, 40)))
 
     def gradients(self, bodies: list[bytes], labels: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
-        p, f = self.p, self.pooled(bodies)
+        p, f = self.p, self.pooled(bodies, peaks=True)
         score = 1 / (1 + np.exp(-np.clip(f["features"] @ p["out"] + p["shift"], -40, 40)))
         d = ((score - labels) * weights / len(bodies)).astype(np.float32)
         g = {"out": f["features"].T @ d, "shift": d.sum(keepdims=True)}
@@ -100,14 +111,14 @@ class ByteCnn:
         ties = np.add.reduceat(peak.astype(np.float32), f["text"])[of]
         share = (share + np.where(peak, most[of] / ties, 0)) * (top > 0)
         # A chunk's gradient goes to the position where each filter peaked.
-        ends = np.append(f["chunk"], len(f["response"]))[1:]
-        step = np.stack([a + f["response"][a:b].argmax(0) for a, b in zip(f["chunk"], ends, strict=True)])
+        step = np.stack(f["peaks"])
         g["bias"] = share.sum(0)
         bytes_at, backs = [], []
         for name, rows in (("near", step), ("far", step + 1)):
-            g[name] = np.einsum("cfk,cf->kf", f["x"][rows], share)
+            read = f["data"].reshape(-1, STEP)[rows]
+            g[name] = np.einsum("cfk,cf->kf", p["embed"][read].reshape(*rows.shape, STEP * EMBED), share)
             backs.append((share[:, :, None] * p[name].T).reshape(-1, EMBED))
-            bytes_at.append(f["data"].reshape(-1, STEP)[rows].ravel())
+            bytes_at.append(read.ravel())
         at, back = np.concatenate(bytes_at), np.concatenate(backs)
         g["embed"] = np.stack([np.bincount(at, back[:, e], 256) for e in range(EMBED)], 1)
         return g
@@ -129,19 +140,27 @@ class ByteCnn:
         return self
 
 
+def learnable(docs: DataFrame, labels: DataFrame, may_learn: Column) -> DataFrame:
+    """``doc_id, quality`` of the labels that may be learned from: one of 0 and 1, not contradicted, of a document
+    where ``may_learn`` holds. Nothing else of ``labels`` has a part in the model."""
+    agreed = labels.where("quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
+    return agreed.where("quality = other").drop("other").join(docs.where(may_learn).select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+
+
 def trained(docs: DataFrame, labels: DataFrame, may_learn: Column, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> ByteCnn:
-    """Fitted on rows of ``docs`` where ``may_learn`` holds. Labels other than 0 and 1, and those that differ for one
-    doc_id, are left out; without rows of both labels every text scores as the label there is, or 0.5."""
-    agreed = labels.where("quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other")
-    pool = docs.where(may_learn).select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("body")).where(F.length("body") <= most_bytes)
+    """Fitted on rows of ``docs`` where ``may_learn`` holds, of which there are as many of each label as
+    ``learnable`` counts. Labels other than 0 and 1, and those that differ for one doc_id, are left out; without rows
+    of both labels every text scores as the label there is, or 0.5."""
+    agreed = learnable(docs, labels, may_learn)
     counts = {r[0]: r[1] for r in agreed.groupBy("quality").count().collect()}
+    pool, order = docs.where(may_learn).select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("body")), (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = []
     for label in (0, 1):
-        # Ids first, texts of the chosen ones after; 2 ids for each row wanted, as some have no usable text.
-        ids = agreed.where(F.col("quality") == label).join(docs.where(may_learn).select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id")
-        ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows)
-        own = pool.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "body").limit(rows)
-        chosen += [(bytes(r["body"]), label) for r in own.collect()]
+        # Ids first, texts of the chosen ones after.
+        ids = agreed.where(F.col("quality") == label).select("doc_id").orderBy(*order).limit(rows)
+        own = pool.join(F.broadcast(ids), "doc_id").orderBy(*order, "body").limit(rows)
+        held = F.sum(F.length("body")).over(W.orderBy(*order, "body").rowsBetween(W.unboundedPreceding, 0))  # over ``rows`` rows
+        chosen += [(bytes(r["body"]), label) for r in own.withColumn("held", held).where(F.col("held") <= most_bytes).collect()]
     model = ByteCnn()
     y = np.array([c[1] for c in chosen], np.float32)
     if len(set(y.tolist())) < 2:
@@ -156,7 +175,7 @@ def trained(docs: DataFrame, labels: DataFrame, may_learn: Column, rows: int = S
 
 def _scored(model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             score = model.value.scores(batch["body"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -165,7 +184,7 @@ def _scored(model, threshold: float):
 
 def _accepted(model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             score = model.value.scores([(t or "").encode() for t in batch["text"].to_pylist()])
             yield batch.filter(pa.array(score >= threshold))
 
