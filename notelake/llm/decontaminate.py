@@ -20,6 +20,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 ERROR_RATE = 0.06
 BLOCK_CHARS = 4_000_000
 
@@ -143,7 +145,7 @@ def _found(block: Broadcast, rate: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(block.value, rate)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(d.as_py(), *hit) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for hit in matcher.hits(normal(t.as_py()))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
@@ -153,7 +155,7 @@ def _found(block: Broadcast, rate: float):
 def _clean(block: Broadcast, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(block.value, rate)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([not matcher.hits(normal(t.as_py())) for t in batch["text"]], pa.bool_()))
 
     return run

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import covered, mix, runs
-from .common import discard, keyed, same_document, stored
+from .common import discard, keyed, same_document, slices, stored
 
 WORDS = 20
 GRAM = 8
@@ -171,7 +171,7 @@ def _spelled(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         out, held = [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, dk, body, own in zip(*(batch[c] for c in ("doc_id", "dk", "body", "runs")), strict=True):
                 ws = _joint(_hashed(body.as_py().split(), known), size)
                 for r in own.as_py():
@@ -188,7 +188,7 @@ def _spelled(size: int):
 
 def _removed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for body, ranges in zip(batch["body"].to_pylist(), batch["ranges"].to_pylist(), strict=True):
                 words, n = body.split(), 0
