@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from notelake.llm import byte_cnn, chat_format, decontaminate, lm_score, mixing, quality_rules, simhash, substring_dedup, suffix_dedup, token_ids
@@ -134,8 +135,70 @@ def test_simhash(docs, rows):
                 group = [new if g == old else g for g in group]
     want = [(i, f"{f:016x}", min((x for (x, _), g in zip(prints, group, strict=True) if g == own and x is not None), default=None)) for (i, f), own in zip(prints, group, strict=True)]
     assert tuples(simhash.simhash_groups(docs)) == collections.Counter(want)
+
+
+def test_simhash_unique_removes_similar_texts_only(docs, rows):
+    """Against Jaccard similarities of all pairs: nothing else goes, and of two similar texts one does."""
+    texts = sorted({(-1 if i is None else i, b) for i, b in bodies(rows)})
+    sets = [{bytes(h) for h in simhash.shingle_hashes(b, 5)} for _, b in texts]
+    same = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if same(sets[a], sets[b]) and group[a] != group[b]:
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
     kept = simhash.simhash_unique(docs)
-    assert kept.count() == len(set(group)) and kept.columns == docs.columns
+    assert kept.columns == docs.columns
+    got = collections.Counter((-1 if r.doc_id is None else r.doc_id, (r.text or "").encode()) for r in kept.collect())
+    assert max(got.values()) == 1 and set(got) <= set(texts)
+    assert {group[texts.index(t)] for t in got} == set(group) and len(got) == len(set(group))
+
+
+def test_simhash_unique_finds_edited_copies(spark):
+    """Copies with 3 % of their words changed fall to one; unrelated texts stay."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(5000)]
+    base = [rng.choices(words, k=300) for _ in range(30)]
+    texts = [(i, " ".join(w)) for i, w in enumerate(base)]
+    for i, w in enumerate(base):
+        edited = list(w)
+        for _ in range(3):  # about 15 of 296 shingles differ on either side
+            edited[rng.randrange(300)] = "edited"
+        texts.append((100 + i, " ".join(edited)))
+    kept = {r.doc_id for r in simhash.simhash_unique(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert set(range(30)) <= kept and len(kept) <= 32
+
+
+@pytest.mark.parametrize("group", [4096, 8])
+def test_near_links_join_what_is_near(spark, group):
+    """Connected as by comparing all pairs, whether groups are searched whole or cut into blocks by Gray order."""
+    rng = np.random.default_rng(4)
+    centre = rng.integers(0, 2**63, 3, dtype=np.uint64)
+    prints = {int(c) for c in centre}
+    while len(prints) < 150:
+        x = int(rng.choice(centre))
+        for bit in rng.integers(0, 64, rng.integers(1, 9)):
+            x ^= 1 << int(bit)
+        prints.add(x)
+    prints = sorted(prints)
+    want = {x: x for x in prints}
+    for i, x in enumerate(prints):
+        for y in prints[:i]:
+            if (x ^ y).bit_count() <= 4 and want[x] != want[y]:
+                old, new = want[x], want[y]
+                want = {k: new if v == old else v for k, v in want.items()}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    links = simhash.near_links(spark.createDataFrame([(signed(x),) for x in prints], "fp long"), group=group).collect()
+    got = {x: x for x in prints}
+    for a, b in links:
+        a, b = a % (1 << 64), b % (1 << 64)
+        assert (a ^ b).bit_count() <= 4
+        if got[a] != got[b]:
+            old, new = got[a], got[b]
+            got = {k: new if v == old else v for k, v in got.items()}
+    parts = lambda m: {frozenset(k for k in m if m[k] == v) for v in m.values()}
+    assert parts(got) == parts(want)
 
 
 def test_mixing(docs, labels):
@@ -215,6 +278,49 @@ def test_byte_cnn_learns():
     assert np.allclose(scores[:60], np.concatenate([model.scores([t]) for t, _ in test]), atol=1e-5)
 
 
+def test_byte_cnn_gradients():
+    """Against differences of the loss, with texts of one and of many blocks."""
+    rng = random.Random(3)
+    texts = [bytes(rng.choices(range(97, 110), k=n)) for n in (0, 3, 40, 900, 5000)]
+    y, w = np.array([0, 1, 1, 0, 1], np.float32), np.array([1, 0.5, 2, 1, 1], np.float32)
+    model = byte_cnn.ByteCnn()
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+
+    def loss():
+        z = model.pooled(texts)["features"] @ model.p["out"] + model.p["shift"]
+        return float(np.mean(w * (np.logaddexp(0, z) - y * z)))
+
+    g = model.gradients(texts, y, w)
+    for name in model.p:
+        flat, own = model.p[name].reshape(-1), g[name].reshape(-1)
+        for i in np.argsort(-np.abs(own))[:3]:
+            step, kept = 1e-3, flat[i]
+            flat[i] = kept + step
+            up = loss()
+            flat[i] = kept - step
+            slope = (up - loss()) / (2 * step)
+            flat[i] = kept
+            assert own[i] == pytest.approx(slope, rel=0.05, abs=1e-4), name
+
+
+def test_byte_cnn_long_texts_block_by_block(monkeypatch):
+    texts = [bytes(random.Random(i).choices(range(97, 120), k=n)) for i, n in enumerate((70_000, 1, 3_000))]
+    whole = byte_cnn.ByteCnn().scores(texts)
+    monkeypatch.setattr(byte_cnn, "CHUNKS", 3)
+    assert np.allclose(byte_cnn.ByteCnn().scores(texts), whole, atol=1e-6)
+
+
+def test_held_out_labels_have_no_part(spark):
+    """Neither texts nor frequencies: with all held-out labels turned round, every score is the same."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    docs = spark.createDataFrame([(i, f"{'good' if i % 3 else 'bad##'} text {i}") for i in range(120)], "doc_id long, text string")
+    label = lambda turn: spark.createDataFrame([(i, int(bool(i % 3)) ^ int(turn and held(i))) for i in range(120)], "doc_id long, quality int")
+    one, two = (sorted(tuple(r) for r in byte_cnn.quality_scores(docs, label(turn), remainder(4) == 2).collect()) for turn in (False, True))
+    assert one == two
+    conflicting = label(False).union(spark.createDataFrame([(0, 0), (0, 1), (1, None)], "doc_id long, quality int"))
+    assert byte_cnn.learnable(docs, conflicting, remainder(4) != 2).where("doc_id = 0").count() == 0
+
+
 def test_quality_scores_without_labels(docs, labels, rows):
     got = byte_cnn.quality_scores(docs, labels.limit(0), remainder(4) == 2)
     assert got.count() == len(rows) and {r.score for r in got.collect()} == {0.5}
@@ -223,7 +329,6 @@ def test_quality_scores_without_labels(docs, labels, rows):
 def test_token_ids(docs, rows):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     files = token_ids.token_files(docs, path, shard_tokens=700)
     got = sorted(token_ids.read_tokens(files).collect(), key=lambda r: r.start)
     order = [-1 if r.doc_id is None else r.doc_id for r in got]
@@ -247,6 +352,21 @@ def test_encoder_on_odd_text():
         assert np.frombuffer(ids, "<u2").tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 2]
 
 
+def test_wavelet_matrix_reads_few_blocks():
+    ids = np.random.default_rng(4).integers(0, 50_000, 400_000).astype("<u2")
+    m = token_ids.unpacked(token_ids.packed([1], [400_000], ids, 16))[2]
+    assert m.access(250_000) == ids[250_000] and all(len(p._open) == 1 for p in m.planes)
+    assert m.select(int(ids[399_999]), m.count(int(ids[399_999])) - 1) == 399_999 or ids[399_999] in ids[399_999:]
+    assert token_ids.unpacked(token_ids.packed([], [], ids[:0], 16))[2].decoded().tolist() == []
+
+
+def test_other_tokenizers_get_whole_texts():
+    e = token_ids.Encoder(public_tokenizers.path("word_bpe_49k.json"), 2)
+    texts = ["one two  three", "", "a,b\n c"]
+    for text, ids in zip(texts, e.encode(texts), strict=True):
+        assert np.frombuffer(ids, e.kind).tolist() == [*e.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_wavelet_matrix():
     ids = np.random.default_rng(4).integers(0, 300, 2000).astype("<u2")
     m = token_ids.unpacked(token_ids.packed([1, None], [1500, 500], ids, 16))[2]
@@ -259,6 +379,52 @@ def test_wavelet_matrix():
         assert [m.select(v, k) for k in range(len(places))] == places.tolist()
 
 
+def test_columns_with_clashing_names_are_handed_on(spark):
+    """Removal and mixing give back every column, also those with names that they might use themselves."""
+    names = ("id", "ID_", "dk", "_dk", "_id", "node", "copies")
+    rows = [(i, f"word{i % 7} and some more words of text {i % 7}", *(f"{n}{i}" for n in ("a", "b", "c", "d", "e", "f", "g"))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    labels = spark.createDataFrame([(i, "clean" if i % 2 else "low") for i in range(20)], "doc_id long, domain string")
+    want = {tuple(r) for r in rows}
+    for out in (simhash.simhash_unique(docs), mixing.mixed(docs, labels), byte_cnn.accepted(docs, labels.selectExpr("doc_id", "1 AS quality"), remainder(4) == 2, 0.0)):
+        assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= want
+    assert simhash.simhash_unique(docs).count() == 7
+
+
+def test_mixing_rates_meet_domain_targets(spark):
+    """On a table: expected tokens of each domain, summed by hand, against what was asked for."""
+    rng = random.Random(6)
+    word = {"clean": "aa ab ac ad ae".split(), "low": "ba bb bc bd be".split(), "toxic": "ca cb cc cd ce".split()}
+    kind = [rng.choices(list(word), (0.7, 0.2, 0.1))[0] for _ in range(600)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(word[k], k=rng.randint(5, 60)))) for i, k in enumerate(kind)] + [(None, None), (5, "aa ab")], "doc_id long, text string")
+    domains = spark.createDataFrame([(i, k) for i, k in enumerate(kind) if i % 2] + [(1, "low"), (1, "toxic"), (700, "clean"), (3, None)], "doc_id long, domain string")
+    rows = mixing.mixing_rates(docs, domains).collect()
+    tokens = sum(r.n_tokens for r in rows)
+    for d, share in mixing.TARGETS.items():
+        got = sum(r.rate * r.n_tokens * r[d] for r in rows)
+        assert got == pytest.approx(share * tokens, rel=3e-3, abs=2e-3 * tokens if share == 0 else 0)
+    assert all(r.copies in (int(r.rate), int(r.rate) + 1) for r in rows)
+
+
+def test_join_with_hot_keys(spark):
+    from notelake.llm.common import met
+
+    rows = spark.createDataFrame([(i % 50 if i % 3 else 0, i) for i in range(3000)], "k long, v long")
+    keys = rows.groupBy("k").count().selectExpr("k", "count AS n", "'p' AS payload")
+    got = met(rows, keys, ["k"], "n", hot=100)
+    assert sorted(got.columns) == ["k", "payload", "v"] and sorted(r.v for r in got.collect()) == list(range(3000))
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from notelake.llm.common import shared_dir
+
+    session = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None), conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session)
+
+
 def test_empty_tables(empty, labels, spark):
     items = spark.createDataFrame([], "item_id long, text string")
     domains = labels.select("doc_id", mixing.domain_of_labels().alias("domain"))
@@ -314,6 +480,34 @@ def test_mixing_settles_where_targets_are_out_of_reach(spark):
     assert np.abs(got - least).max() < 1e-3
 
 
+def test_quality_rules_by_hand(spark):
+    """Cutoffs on the 1,000 given documents, chosen again in plain Python from the measures."""
+    from math import comb, log, log1p
+
+    data = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_rules.measured(docs).withColumn("testing", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 1).collect()
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    held = [r for r in rows if r.doc_id in good and not r.base_failed]
+    assert all(sum(r.testing for r in held if r.stratum == s) * log1p(-0.03) > log(0.05 / 2) for s in {r.stratum for r in held})  # all strata are thin: one is shared
+    first, second = [r for r in held if not r.testing], [r for r in held if r.testing]
+    bad = lambda r, rule, c: r[rule.removeprefix("min_")] < c if rule.startswith("min_") else r[rule] > c
+    chosen = {}
+    for share, looser in quality_rules.STEPS:
+        choice = {}
+        for rule, cuts in quality_rules.RULES.items():
+            at = next((i for i, c in enumerate(cuts) if sum(bad(r, rule, c) for r in first) <= share * len(first)), None)
+            if at is not None:
+                choice[rule] = cuts[min(at + looser, len(cuts) - 1)]
+        x, n = sum(any(bad(r, rule, c) for rule, c in choice.items()) for r in second), len(second)
+        if not x < 0.03 * n or sum(comb(n, k) * 0.03**k * 0.97 ** (n - k) for k in range(x + 1)) > 0.05:
+            break
+        chosen = choice
+    assert chosen  # the rules decide here
+    want = {r.doc_id: not r.base_failed and not any(bad(r, rule, c) for rule, c in chosen.items()) for r in rows}
+    assert {r.doc_id: r.kept for r in quality_rules.quality_verdicts(docs, labels).collect()} == want
+
+
 def test_quality_rules_decide(spark):
     """With 1,600 good rows in one language, and as many in two thin ones together, rules are on everywhere."""
     clean = lambda i: " ".join(f"{chr(97 + j)}{i:04d}" for j in range(25))
