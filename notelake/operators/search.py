@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize, snippet
+from ..sources.tables import stored
 
 K1, B = 1.2, 0.75
 TITLE_WEIGHT = 5.0
@@ -141,7 +142,7 @@ def search_rank(index: DataFrame, queries: DataFrame, aliases: DataFrame | None
     """
     groups = query_groups(queries, aliases)
     asked = groups.select("query_id", "pos", "long", F.explode("alternatives").alias("t"))
-    hits = term_hits(index, asked.select("t").distinct(), postings)
+    hits = stored(term_hits(index, asked.select("t").distinct(), postings), "hits")
     frequency = hits.groupBy("t").agg(F.count("*").alias("df"))
     whole = index.select("document_id", "source_id", "published_date", _size().alias("len"))
     rows = asked.join(hits.join(frequency, "t"), "t").join(whole, "document_id").crossJoin(corpus_stats(index))  # one row
@@ -207,7 +208,7 @@ def word_rank(index: DataFrame, queries: DataFrame) -> DataFrame:
 
 def search_compare(index: DataFrame, queries: DataFrame, aliases: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """``retrieval_metrics`` of four methods: literal (by date), words, trigram, and trigram with aliases."""
-    plain = search_rank(index, queries)
+    plain = stored(search_rank(index, queries), "ranked")
     ways = {"literal": plain.withColumn("score", F.lit(0.0)), "words": word_rank(index, queries), "trigram": plain, "trigram_aliases": search_rank(index, queries, aliases)}
     out = None
     for name, found in ways.items():

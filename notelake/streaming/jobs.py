@@ -7,8 +7,6 @@ again. Functions that fold a key's rows get them as Arrow batches of one key at
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,16 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.tables import shared_dir
+
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share. Where none is set, a temporary one serves a local
-    master, whose executors are the driver; on a cluster that fails."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/notelake-stream-{uuid.uuid4().hex}"
+    """A new folder below the one that driver and executors share."""
+    return f"{shared_dir(spark)}/notelake-stream-{uuid.uuid4().hex}"
 
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
