@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,16 @@ def digest(**fields: Column) -> Column:
     return F.sha2(canonical(**fields), 256)
 
 
+def tree_digest(rows: DataFrame, group: list[str], key: str, item: Column, width: int = 512, levels: int = 4) -> DataFrame:
+    """Digest of each group's items in the order of an integer ``key``, and their number: ranges of ``width`` keys are
+    digested first, then ranges of these digests, so no more than a range is ever gathered, however large a group is."""
+    out = rows.select(*group, F.col(key).cast("long").alias("_k"), item.alias("_v"), F.lit(1).cast("long").alias("n"))
+    for level in range(levels):
+        own = [] if level == levels - 1 else [F.floor(F.col("_k") / width).alias("_k")]
+        out = out.groupBy(*group, *own).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("_k").alias("k"), F.col("_v").alias("v")))), {"ignoreNullFields": "false"}), 256).alias("_v"), F.sum("n").alias("n"))
+    return out.select(*group, "n", F.col("_v").alias("digest"))
+
+
 def snippet(text: Column, terms: Column) -> Column:
     """240 characters from 60 before the earliest term, with ellipses where something is left out."""
     line = F.trim(F.regexp_replace(text, r"\s+", " "))

@@ -69,3 +69,10 @@ def insert_if_absent(target: DataFrame, batch: DataFrame, key: list[str], order:
     """Rows of ``batch`` to append: keys that ``target`` lacks, one row each, the first in ``order``."""
     new = batch.join(target.select(*key).distinct(), key, "left_anti")
     return new.withColumn("_i", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_i = 1").drop("_i")
+
+
+def rebuild_equal(built: DataFrame, kept: DataFrame, group: str) -> DataFrame:
+    """Per group its rows as built, and how many of them the kept table lacks and has too many (copies count)."""
+    mark = lambda df, *n: df.select(group, *(F.lit(x).cast("long").alias(c) for c, x in zip(("rows", "missing", "extra"), n, strict=True)))
+    both = mark(built, 1, 0, 0).unionByName(mark(built.exceptAll(kept), 0, 1, 0)).unionByName(mark(kept.exceptAll(built), 0, 0, 1))
+    return both.groupBy(group).agg(*(F.sum(c).alias(c) for c in ("rows", "missing", "extra")))

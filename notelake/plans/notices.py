@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import digest, local_date, normalize, visible
+from ..functions.text import digest, local_date, normalize, tree_digest, visible
 from ..operators import backlog, versions
+from ..operators.search import index_rows
 from ..registry import query
 from ..sources.bindings import AT, oracle, view
 
@@ -193,11 +194,18 @@ def _(spark, sf):
     return view(spark, sf, "notice").groupBy("title").agg(F.count("*").alias("n"), texts.alias("texts"), (texts > 1).alias("conflict")).where("n > 1")
 
 
-@query("members_digest", oracle("""
-SELECT source_id, count(*) AS n, SHA[to_json(list({'id': document_id, 'status': status} ORDER BY document_id))] AS digest FROM notice GROUP BY source_id""", "notice"))
+def _tree(levels: int, width: int = 512) -> str:
+    """The tree of digests, one query a level; the last gathers what is left of a source."""
+    out = "SELECT source_id, document_id AS k, status AS v, 1 AS n FROM notice"
+    for level in range(levels):
+        own = "" if level == levels - 1 else f", CAST(floor(k / {width}) AS BIGINT)"
+        out = f"SELECT source_id{own and own + ' AS k'}, sha256(to_json(list({{'k': k, 'v': v}} ORDER BY k))) AS v, CAST(sum(n) AS BIGINT) AS n FROM ({out}) GROUP BY source_id{own}"
+    return f"SELECT source_id, n, v AS digest FROM ({out})"
+
+
+@query("members_digest", oracle(_tree(4), "notice"))
 def _(spark, sf):
-    members = F.array_sort(F.collect_list(F.struct(F.col("document_id").alias("id"), "status")))
-    return view(spark, sf, "notice").groupBy("source_id").agg(F.count("*").alias("n"), F.sha2(F.to_json(members, {"ignoreNullFields": "false"}), 256).alias("digest"))
+    return tree_digest(view(spark, sf, "notice"), ["source_id"], "document_id", F.col("status"))
 
 
 @query("foreign_sources", oracle("SELECT DISTINCT source_id FROM (SELECT source_id FROM notice UNION SELECT source_id FROM response) WHERE source_id <> 'src0'", "notice", "response"))
@@ -221,14 +229,13 @@ def _(spark, sf):
     return docs.orderBy(F.desc("discovered_at"), "document_id").limit(50).select("document_id", "discovered_at").crossJoin(F.broadcast(total))
 
 
-@query("rebuild_equal", oracle("SELECT source_id, count(*) AS rows, 0 AS missing, 0 AS extra FROM notice GROUP BY source_id", "notice"))
+@query("rebuild_equal", oracle("""WITH w AS (SELECT source_id, count(*) AS rows FROM notice WHERE status = 'processed' GROUP BY source_id), m AS (SELECT source_id, count(*) AS n FROM notice WHERE status = 'processed' AND document_id % 50 = 7 AND title IS NOT NULL GROUP BY source_id)
+SELECT w.source_id, rows, coalesce(n, 0) AS missing, coalesce(n, 0) AS extra FROM w LEFT JOIN m ON m.source_id = w.source_id""", "notice"))
 def _(spark, sf):
+    """An index built at once against one kept up to date: a third of the documents comes later, and some rows of the
+    kept index are of an older title."""
     docs = view(spark, sf, "notice")
-    a = docs.select("source_id", "document_id", normalize(F.col("title")).alias("t"))
-    b = docs.repartition("document_id").select("source_id", "document_id", normalize(F.col("title")).alias("t"))
-    marks = a.select("source_id", F.lit(0).alias("missing"), F.lit(0).alias("extra"), F.lit(1).alias("rows"))
-    marks = marks.unionByName(a.exceptAll(b).select("source_id", F.lit(1).alias("missing"), F.lit(0).alias("extra"), F.lit(0).alias("rows")))
-    marks = marks.unionByName(b.exceptAll(a).select("source_id", F.lit(0).alias("missing"), F.lit(1).alias("extra"), F.lit(0).alias("rows")))
-    return marks.groupBy("source_id").agg(F.sum("rows").alias("rows"), F.sum("missing").cast("int").alias("missing"), F.sum("extra").cast("int").alias("extra"))
-
-
+    whole = index_rows(docs)
+    early = index_rows(docs.where("document_id % 3 > 0").withColumn("title", F.when(F.col("document_id") % 50 == 7, F.concat("title", F.lit(" (old)"))).otherwise(F.col("title"))))
+    late = index_rows(docs.where("document_id % 3 = 0").withColumn("title", F.when(F.col("document_id") % 50 == 7, F.concat("title", F.lit(" (old)"))).otherwise(F.col("title"))))
+    return versions.rebuild_equal(whole, versions.insert_if_absent(early, late, ["document_id"], ["version_id"]).unionByName(early), "source_id")

@@ -64,9 +64,17 @@ def _(spark, sf):
     return both.select("document_id", F.when(F.col("k").isNull(), "missing").otherwise("older_than_newest").alias("code"))
 
 
-@query("integrity_totals", oracle(" UNION ALL ".join(f"SELECT '{t}' AS tbl, count(*) AS n FROM {t}" for t in _CHECKED), *_CHECKED))
+_POINTS = [("notice", "current_version_id", "version", "version_id"), ("response", "validated_response_id", "response", "id"), ("attempt", "mail_id", "message", "mail_id"), ("event", "document_id", "notice", "document_id")]
+
+
+@query("integrity_totals", oracle(" UNION ALL ".join(f"SELECT '{t}' AS tbl, count(*) AS n, count({c}) AS refs, count(*) FILTER ({c} IS NOT NULL AND {c} NOT IN (SELECT {p} FROM {u})) AS orphans FROM {t}" for t, c, u, p in _POINTS), "notice", "version", "response", "attempt", "message", "event"))
 def _(spark, sf):
-    return reduce(lambda a, b: a.unionByName(b), (view(spark, sf, t).agg(F.lit(t).alias("tbl"), F.count("*").alias("n")) for t in _CHECKED))
+    def one(t, c, u, p):
+        parent = view(spark, sf, u).select(F.col(p).alias("key")).distinct().withColumn("held", F.lit(True))
+        rows = view(spark, sf, t).select(F.col(c).alias("key")).join(parent, "key", "left")
+        return rows.agg(F.lit(t).alias("tbl"), F.count("*").alias("n"), F.count("key").alias("refs"), F.count_if(F.col("key").isNotNull() & F.col("held").isNull()).alias("orphans"))
+
+    return reduce(lambda a, b: a.unionByName(b), (one(*p) for p in _POINTS))
 
 
 @query("confusion", oracle("SELECT actual, predicted, count(*) AS n FROM review WHERE NOT mismatch GROUP BY ALL", "review"))
@@ -84,10 +92,9 @@ def _(spark, sf):
     return out.withColumns({"recall": rate("tp", "fn"), "precision": rate("tp", "fp")})
 
 
-@query("urgent_misses", oracle("SELECT source_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS missed FROM review WHERE NOT mismatch AND actual = 'PUSH_NOW' AND predicted <> 'PUSH_NOW' GROUP BY source_id", "review"))
+@query("urgent_misses", oracle("SELECT source_id, item_id, predicted FROM review WHERE NOT mismatch AND actual = 'PUSH_NOW' AND predicted <> 'PUSH_NOW'", "review"))
 def _(spark, sf):
-    missed = view(spark, sf, "review").where("NOT mismatch AND actual = 'PUSH_NOW' AND predicted <> 'PUSH_NOW'")
-    return missed.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("item_id")), lambda x: x.cast("string")), ",").alias("missed"))
+    return view(spark, sf, "review").where("NOT mismatch AND actual = 'PUSH_NOW' AND predicted <> 'PUSH_NOW'").select("source_id", "item_id", "predicted")
 
 
 @query("replay_summary", oracle("SELECT predicted, count(*) AS n, count(*) FILTER (actual <> predicted) AS mismatches, count(*) FILTER (mismatch) AS needs_review FROM review GROUP BY predicted", "review"))
