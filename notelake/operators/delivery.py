@@ -35,7 +35,7 @@ def delivery_summary(messages: DataFrame, attempts: DataFrame, at: int) -> DataF
 
 def events_pending(events: DataFrame, members: DataFrame, decisions: DataFrame, intents: DataFrame, errors: DataFrame) -> DataFrame:
     """Deliverable events that no message holds yet, each with its decision, its intent and the last planning error."""
-    last = errors.groupBy("event_id").agg(F.max_by("error_code", "error_at").alias("prior_error"))
+    last = errors.groupBy("event_id").agg(F.max_by("error_code", F.struct("error_at", "error_code")).alias("prior_error"))
     out = events.where("route <> 'none'").join(members.select("event_id"), "event_id", "left_anti").join(decisions, "event_id", "left").join(intents, "event_id", "left").join(last, "event_id", "left")
     return out.select("event_id", "installation", "route", "occurred_at", "decision_id", "intent_at", "prior_error")
 

@@ -82,7 +82,7 @@ def _(spark, sf):
 
 
 @query("events_pending", oracle("""SELECT e.event_id, installation, route, occurred_at, CASE WHEN e.event_id % 5 > 0 THEN e.event_id * 10 END AS decision_id, CASE WHEN route = 'immediate' THEN occurred_at + 5 END AS intent_at, x.prior_error FROM event e
-LEFT JOIN (SELECT l_orderkey AS event_id, arg_max(l_returnflag, l_linenumber * 100000000 + l_partkey) AS prior_error FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_orderkey) x ON x.event_id = e.event_id WHERE route <> 'none' AND NOT allocated""", "event"))
+LEFT JOIN (SELECT l_orderkey AS event_id, arg_max(l_returnflag, (l_linenumber * 100000000 + l_partkey, l_returnflag)) AS prior_error FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_orderkey) x ON x.event_id = e.event_id WHERE route <> 'none' AND NOT allocated""", "event"))
 def _(spark, sf):
     events = view(spark, sf, "event")
     errors = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_linestatus = 'F'").selectExpr("l_orderkey AS event_id", "l_returnflag AS error_code", "l_linenumber * 100000000 + l_partkey AS error_at")
