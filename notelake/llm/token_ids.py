@@ -2,9 +2,9 @@
 
 Documents are dealt by ranges of doc_id and sorted within a range, so shards follow each other in doc_id order. A task
 encodes its documents one after another and closes a shard at SHARD_TOKENS ids. A shard is one self-contained file:
-header, doc_ids, lengths, and 16 or so bit planes of a wavelet matrix, each compressed by itself. From it alone come
-any token (access), the number of times an id occurs before a place (rank, count) and the place of an occurrence
-(select), each in one step a plane.
+header, doc_ids, lengths, and 16 or so bit planes of a wavelet matrix, each with a directory of its ones by blocks,
+and each block compressed by itself. From it alone come any token (access), the number of times an id occurs before a
+place (rank, count) and the place of an occurrence (select), in one step and one or two unpacked blocks a plane.
 
 Files are kept as rows (shard number and content) of a table in the shared folder: Spark's commit protocol then makes
 a shard appear once, however often a task is repeated, on any file system that Spark can write.
@@ -12,9 +12,11 @@ a shard appear once, however often a task is repeated, on any file system that S
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,48 +27,87 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import keyed, stored
+from .common import keyed, slices, stored
 
 SHARD_TOKENS = 1 << 20
 END = 2
-MAGIC = b"NLWM0001"
-#: Entries of a worker's cache of encoded pieces.
-CACHE = 1_500_000
+MAGIC = b"NLWM0002"
+#: Bits of a plane that are compressed, and counted in the directory, together.
+BLOCK_BITS = 1 << 16
+#: Entries at which a worker's cache of encoded strings forgets those it has not met again; at most twice as many are
+#: held, of words and of other strings each (about 250 bytes an entry).
+CACHE = 250_000
 
 _FILES = "part int, seq int, before long, n_tokens long, content binary"
 _DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+class Plane:
+    """Bits in blocks of BLOCK_BITS, with the ones before each block: the directory that rank and select start from. A
+    block is unpacked when it is asked for."""
+
+    def __init__(self, before: np.ndarray, block: Callable[[int], bytes]):
+        self.before, self.ones = before, int(before[-1])
+        self._block, self._open = block, {}
+
+    @classmethod
+    def of(cls, bits: np.ndarray) -> Plane:
+        data = np.packbits(bits, bitorder="little").tobytes()
+        each = BLOCK_BITS // 8
+        blocks = [data[i : i + each] for i in range(0, len(data), each)]
+        return cls(np.cumsum([0, *(int(np.bitwise_count(np.frombuffer(x, np.uint8)).sum(dtype=np.int64)) for x in blocks)]), blocks.__getitem__)
+
+    def block(self, i: int) -> np.ndarray:
+        if i not in self._open:
+            self._open[i] = np.frombuffer(self._block(i), np.uint8)
+        return self._open[i]
+
+    def bit(self, i: int) -> int:
+        return int(self.block(i // BLOCK_BITS)[i % BLOCK_BITS >> 3]) >> (i & 7) & 1
+
+    def rank(self, i: int) -> int:
+        """Ones among the first i bits."""
+        at, rest = divmod(i, BLOCK_BITS)
+        ones = int(self.before[at])
+        if rest:
+            own = self.block(at)
+            ones += int(np.bitwise_count(own[: rest >> 3]).sum(dtype=np.int64))
+            ones += (int(own[rest >> 3]) & ((1 << (rest & 7)) - 1)).bit_count() if rest & 7 else 0
+        return ones
+
+    def select(self, k: int, one: int, n: int) -> int:
+        """Place of bit ``one`` number k (from 0) among n bits."""
+        ends = np.minimum(np.arange(len(self.before)) * BLOCK_BITS, n)
+        count = self.before if one else ends - self.before
+        at = int(np.searchsorted(count, k, "right")) - 1
+        bits = np.unpackbits(self.block(at), bitorder="little")[: int(ends[at + 1] - ends[at])]
+        return int(ends[at]) + int(np.flatnonzero(bits == one)[k - int(count[at])])
+
+    def whole(self) -> np.ndarray:
+        return np.frombuffer(b"".join(self._block(i) for i in range(len(self.before) - 1)), np.uint8)
+
+
 class WaveletMatrix:
     """Succinct sequence of unsigned integers below 2 ** len(planes)."""
 
-    def __init__(self, n: int, planes: list[bytes]):
-        self.n, self.planes = n, [np.frombuffer(p, np.uint8) for p in planes]  # the highest bit first
-        self.zeros = [n - int(np.bitwise_count(p).sum()) for p in self.planes]
-        self._rank = [None] * len(planes)
+    def __init__(self, n: int, planes: list[Plane]):
+        self.n, self.planes = n, planes  # the highest bit first
+        self.zeros = [n - p.ones for p in planes]
 
     @classmethod
     def of(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes, now = [], ids
         for b in range(bits - 1, -1, -1):
-            one = (now >> b & 1).astype(bool)
-            planes.append(np.packbits(one, bitorder="little").tobytes())
+            one = (now & (1 << b)).astype(bool)
+            planes.append(Plane.of(one))
             now = np.concatenate((now[~one], now[one]))
         return cls(len(ids), planes)
 
-    def _ones(self, level: int, i: int) -> int:
-        """Ones among the first i bits of a plane."""
-        if self._rank[level] is None:
-            self._rank[level] = np.concatenate(([0], np.cumsum(np.bitwise_count(self.planes[level]), dtype=np.int64)))
-        byte = i >> 3
-        return int(self._rank[level][byte]) + (int(self.planes[level][byte] & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0)
-
     def access(self, i: int) -> int:
         value = 0
         for level, plane in enumerate(self.planes):
-            one = int(plane[i >> 3]) >> (i & 7) & 1
+            one, ones = plane.bit(i), plane.rank(i)
             value = value << 1 | one
-            ones = self._ones(level, i)
             i = self.zeros[level] + ones if one else i - ones
         return value
 
@@ -74,8 +115,8 @@ class WaveletMatrix:
         a, b = 0, end
         if value >> len(self.planes):
             return 0, 0
-        for level in range(len(self.planes)):
-            p, q = self._ones(level, a), self._ones(level, b)
+        for level, plane in enumerate(self.planes):
+            p, q = plane.rank(a), plane.rank(b)
             a, b = (self.zeros[level] + p, self.zeros[level] + q) if value >> (len(self.planes) - 1 - level) & 1 else (a - p, b - q)
         return a, b
 
@@ -95,50 +136,59 @@ class WaveletMatrix:
         i = a + k
         for level in range(len(self.planes) - 1, -1, -1):
             one = value >> (len(self.planes) - 1 - level) & 1
-            want = i - self.zeros[level] + 1 if one else i + 1
-            low, high = 0, self.n
-            while low < high:  # the least prefix with ``want`` such bits
-                mid = (low + high) // 2
-                ones = self._ones(level, mid)
-                low, high = (low, mid) if (ones if one else mid - ones) >= want else (mid + 1, high)
-            i = low - 1
+            i = self.planes[level].select(i - self.zeros[level] if one else i, one, self.n)
         return i
 
     def decoded(self) -> np.ndarray:
         """All values in order, from the lowest plane upwards."""
-        values = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        values = np.zeros(self.n, kind)
         for b, level in enumerate(range(len(self.planes) - 1, -1, -1)):
-            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+            one = np.unpackbits(self.planes[level].whole(), count=self.n, bitorder="little").view(bool)
             above = np.empty_like(values)
             above[~one] = values[: self.zeros[level]]
-            above[one] = values[self.zeros[level] :] | np.uint32(1 << b)
+            above[one] = values[self.zeros[level] :] | kind(1 << b)
             values = above
         return values
 
 
 def packed(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, bits: int) -> bytes:
-    """A shard's file."""
+    """A shard's file: magic, numbers of documents, ids and planes; compressed doc_ids and lengths; for each plane its
+    directory (ones before each block, size of each block) and its blocks, each compressed by itself."""
     press = zstandard.ZstdCompressor(level=1).compress
-    there = np.array([d is not None for d in doc_ids])
-    parts = [np.packbits(there, bitorder="little").tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array(lengths, "<i8").tobytes()]
-    matrix = WaveletMatrix.of(ids, bits)
-    blobs = [press(p) for p in parts] + [press(p.tobytes()) for p in matrix.planes]
-    return MAGIC + struct.pack("<QQI", len(doc_ids), len(ids), bits) + struct.pack(f"<{len(blobs)}Q", *map(len, blobs)) + b"".join(blobs)
+    there = np.array([d is not None for d in doc_ids], bool)
+    head = [press(x) for x in (np.packbits(there, bitorder="little").tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array(lengths, "<i8").tobytes())]
+    out = [MAGIC, struct.pack("<QQI3Q", len(doc_ids), len(ids), bits, *map(len, head)), *head]
+    for plane in WaveletMatrix.of(ids, bits).planes:
+        blocks = [press(plane.block(i).tobytes()) for i in range(len(plane.before) - 1)]
+        out += [plane.before.astype("<u8").tobytes(), np.array([len(x) for x in blocks], "<u4").tobytes(), *blocks]
+    return b"".join(out)
+
+
+def _stored_plane(content: bytes, before: np.ndarray, places: np.ndarray) -> Plane:
+    free = zstandard.ZstdDecompressor().decompress
+    return Plane(before, lambda i: free(content[places[i] : places[i + 1]]))
 
 
 def unpacked(content: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    """doc_ids, lengths and ids of a shard's file."""
+    """doc_ids, lengths and ids of a shard's file; of the ids no more is unpacked than is asked for."""
     if content[:8] != MAGIC:
         raise ValueError("not a token shard")
-    docs, n, bits = struct.unpack_from("<QQI", content, 8)
-    sizes = struct.unpack_from(f"<{bits + 3}Q", content, 28)
-    at, blobs, free = 28 + 8 * len(sizes), [], zstandard.ZstdDecompressor().decompress
+    docs, n, bits, *sizes = struct.unpack_from("<QQI3Q", content, 8)
+    at, head, free = 8 + struct.calcsize("<QQI3Q"), [], zstandard.ZstdDecompressor().decompress
     for s in sizes:
-        blobs.append(free(content[at : at + s]))
+        head.append(free(content[at : at + s]))
         at += s
-    there = np.unpackbits(np.frombuffer(blobs[0], np.uint8), count=docs, bitorder="little")
-    doc_ids = [d if ok else None for d, ok in zip(np.frombuffer(blobs[1], "<i8").tolist(), there.tolist(), strict=True)]
-    return doc_ids, np.frombuffer(blobs[2], "<i8"), WaveletMatrix(n, blobs[3:])
+    there = np.unpackbits(np.frombuffer(head[0], np.uint8), count=docs, bitorder="little")
+    doc_ids = [d if ok else None for d, ok in zip(np.frombuffer(head[1], "<i8").tolist(), there.tolist(), strict=True)]
+    planes, blocks = [], -(-n // BLOCK_BITS)
+    for _ in range(bits):
+        before = np.frombuffer(content, "<u8", blocks + 1, at).astype(np.int64)
+        own = np.frombuffer(content, "<u4", blocks, at + 8 * (blocks + 1))
+        places = at + 8 * (blocks + 1) + 4 * blocks + np.concatenate(([0], np.cumsum(own, dtype=np.int64)))
+        planes.append(_stored_plane(content, before, places))
+        at = int(places[-1])
+    return doc_ids, np.frombuffer(head[2], "<i8"), WaveletMatrix(n, planes)
 
 
 #: A text with one of these is cut more carefully: doubled white space, and any but the space and the line break.
@@ -146,11 +196,37 @@ _ODD = ("  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.is
 _MARKS = frozenset(",.;:!?")
 
 
+def byte_letters() -> dict[int, str]:
+    """The character by which a byte-level vocabulary spells each byte: itself where it can be printed in Latin-1, the
+    others those from 256 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Cache:
+    """Ids of strings. Past ``size`` entries those not asked for since the last time this happened are forgotten."""
+
+    def __init__(self, size: int):
+        self.size, self.ids, self.old = size, {}, {}
+
+    def missing(self, words: set[str]) -> set[str]:
+        """Those of ``words`` whose ids are not here; the others are, until the next ``turn``."""
+        words = words.difference(self.ids)
+        again = self.old.keys() & words
+        self.ids.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        return words - again
+
+    def turn(self) -> None:
+        if len(self.ids) > self.size:
+            self.ids, self.old = {}, self.ids
+
+
 class Encoder:
-    """The tokenizer, behind a cache of words. The byte-level pre-tokenizer always splits before a space that is
-    followed by something else, around a lone line break, and between letters and a mark; so words cut there can be
-    encoded one by one, and only once. Texts with other white space are cut at plain spaces only, and texts that hold an
-    added token not at all."""
+    """The tokenizer, behind a cache of words. A byte-level pre-tokenizer always splits before a space that is followed
+    by something else, and round a lone line break; so words cut there can be encoded apart, each once, and many in one
+    call with line breaks between them. Texts with other white space are cut at plain spaces only, and texts that hold
+    an added token not at all. Other kinds of tokenizers get whole texts."""
 
     def __init__(self, path: str, end: int):
         self.tokenizer = Tokenizer.from_file(path)
@@ -158,8 +234,14 @@ class Encoder:
         self.bits = max(1, (max(self.tokenizer.get_vocab_size(), end + 1) - 1).bit_length())
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
         self.end = np.array([end], self.kind).tobytes()
-        self.known: dict[str, bytes] = {}  # ids of what stands between two spaces, with the space before it
-        self.exact: dict[str, bytes] = {}  # ids of other strings
+        self.known = Cache(CACHE)  # of what stands between two spaces, with the space before it
+        self.exact = Cache(CACHE)  # of other strings
+        parts = json.loads(self.tokenizer.to_str())
+        pre = parts.get("pre_tokenizer") or {}
+        plain = (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex")) == ("ByteLevel", False, True)
+        self.by_words = plain and parts["model"]["type"] == "BPE" and not parts.get("normalizer") and not parts["model"].get("dropout")
+        self.line = self._ids("\n")
+        self.model, self.letters = self.tokenizer.model, byte_letters()
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -173,61 +255,59 @@ class Encoder:
                 out[-1] += " " + p
         return out
 
-    @staticmethod
-    def atoms(lines: str) -> list[str]:
-        """A text without spaces and odd white space, cut at line breaks and before a mark that ends a line."""
-        out = []
-        for i, s in enumerate(lines.split("\n")):
-            if i:
-                out.append("\n")
-            out += (s[:-1], s[-1]) if s[-1:] in _MARKS and s[:-1].isalpha() else (s,)
-        return out
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def _one(self, text: str) -> bytes:
+        return self._ids(text).tobytes()
 
-    def _encoded(self, words: list[str], glue: str, into: dict[str, bytes], before: str = "") -> None:
-        """Words of letters, many in one text: the pre-tokenizer splits them again, at half the cost of one by one."""
-        size = self.kind.itemsize
+    def _encoded(self, words: list[str], into: dict[str, bytes], before: str = "") -> None:
+        """Words without white space, many in one text; the line breaks between them come back as ids of their own."""
+        size, tokens, code = self.kind.itemsize, self.model.tokenize, self.kind.char
+        space = before.encode().decode("latin-1").translate(self.letters)
+        for w in words:  # letters alone are one piece, which the model can be given as it is
+            if w.isalpha():
+                into[w] = array(code, [t.id for t in tokens(space + (w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)))]).tobytes()
+        words = [w for w in words if not w.isalpha()]
         for at in range(0, len(words), 1_000):
             some = words[at : at + 1_000]
-            e = self.tokenizer.encode(before + (glue + before).join(some), add_special_tokens=False)
-            of = np.array(e.word_ids)
-            ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)) * size
-            ids, ends = np.array(e.ids, self.kind).tobytes(), [0, *ends.tolist()]
-            step = 2 if glue else 1
-            if len(ends) != step * (len(some) - 1) + 2:  # not one stretch a word after all
+            ids = np.array(self.tokenizer.encode_batch_fast([before + ("\n" + before).join(some)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.append(np.flatnonzero(ids == self.line[0]), len(ids)) * size if len(self.line) == 1 else ()
+            if len(ends) != len(some):
                 into.update((w, self._one(before + w)) for w in some)
                 continue
-            into.update((w, ids[a:b]) for w, a, b in zip(some, ends[::step], ends[1::step], strict=False))
-
-    def _one(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+            ids, ends = ids.tobytes(), ends.tolist()
+            into.update((w, ids[a:b]) for w, a, b in zip(some, [0, *(e + size for e in ends)], ends, strict=False))
 
-    def _learn(self, words: set[str], heads: list[str], other: set[str]) -> None:
+    def _learn(self, words: set[str], heads: set[str], other: set[str]) -> None:
+        """Ids of words after a space, of strings at the start of a text (neither with white space but single line
+        breaks), and of any ``other`` strings."""
         known, exact = self.known, self.exact
-        plain, marked, mixed = [], [], []
-        for w in words:
-            if w.isalpha():
-                plain.append(w)
-            elif w[-1] in _MARKS and w[:-1].isalpha():
-                marked.append(w)
-            else:
-                mixed.append((w, self.atoms(w)))
-        first = {own[0] for _, own in mixed}
-        stems = {w[:-1] for w in marked}.union(x for x in first if x.isalpha()).difference(known, plain)
-        self._encoded([*plain, *stems], "", known, " ")
-        rest = {a for _, own in mixed for a in own[1:]}.union(a for h in heads for a in self.atoms(h)).union(_MARKS, other)
-        rest.update(" " + x for x in first if not x.isalpha())
-        rest.difference_update(exact)
-        self._encoded([w for w in rest if w.isalpha()], "\n", exact)
-        for w in rest:
-            if not w.isalpha():
-                exact[w] = self._one(w)
+        words, heads = known.missing(words), exact.missing(heads)
+        lined = [(w, w.split("\n")) for w in words if "\n" in w]
+        headed = [(h, h.split("\n")) for h in heads if "\n" in h]
+        words.difference_update(w for w, _ in lined)
+        words.update(known.missing({own[0] for _, own in lined if own[0]}))
+        marked = [w for w in words if w[-1] in _MARKS and w[:-1].isalpha()]
+        words.difference_update(marked)
+        words.update(known.missing({w[:-1] for w in marked}))
+        self._encoded(list(words), known.ids, " ")
+        heads.difference_update(h for h, _ in headed)
+        heads.update(exact.missing({x for _, own in lined for x in own[1:]}.union(x for _, own in headed for x in own).union(_MARKS)))
+        heads.discard("")
+        self._encoded(list(heads), exact.ids)
+        exact.ids[""], line = b"", self.line.tobytes()
         for w in marked:
-            known[w] = known[w[:-1]] + exact[w[-1]]
-        for w, own in mixed:
-            known[w] = b"".join([known[own[0]] if own[0].isalpha() else exact[" " + own[0]], *(exact[a] for a in own[1:])])
+            known.ids[w] = known.ids[w[:-1]] + exact.ids[w[-1]]
+        for w, own in lined:
+            known.ids[w] = line.join([known.ids[own[0]] if own[0] else self._one(" "), *(exact.ids[x] for x in own[1:])])
+        for h, own in headed:
+            exact.ids[h] = line.join([exact.ids[x] for x in own])
+        for w in exact.missing(other):
+            exact.ids[w] = self._one(w)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [any(map(t.__contains__, self.added)) for t in texts]
+        whole = [not self.by_words or any(map(t.__contains__, self.added)) for t in texts]
         cut = iter(self._by_words([t for t, w in zip(texts, whole, strict=True) if not w]))
         return [self._one(t) + self.end if w else next(cut) for t, w in zip(texts, whole, strict=True)]
 
@@ -236,17 +316,17 @@ class Encoder:
         cut = [self.pieces(t) if o else t.split(" ") for t, o in zip(texts, odd, strict=True)]
         words: set[str] = set()
         words.update(*(own[1:] for own, o in zip(cut, odd, strict=True) if not o))
-        self._learn(words.difference(self.known), [own[0] for own, o in zip(cut, odd, strict=True) if not o], {p for own, o in zip(cut, odd, strict=True) if o for p in own})
-        known, exact, out = self.known.__getitem__, self.exact.__getitem__, []
+        self._learn(words, {own[0] for own, o in zip(cut, odd, strict=True) if not o}, {p for own, o in zip(cut, odd, strict=True) if o for p in own})
+        known, exact, out = self.known.ids.__getitem__, self.exact.ids.__getitem__, []
         for own, o in zip(cut, odd, strict=True):
             if o:
                 out.append(b"".join(map(exact, own)) + self.end)
             else:
-                head = b"".join(map(exact, self.atoms(own[0])))
+                head = exact(own[0])
                 own[0] = ""
                 out.append(head + b"".join(map(known, own[1:])) + self.end)
-        if len(self.known) + len(self.exact) > CACHE:
-            self.known, self.exact = {}, {}
+        self.known.turn()
+        self.exact.turn()
         return out
 
 
@@ -269,19 +349,17 @@ def _written(path: str, end: int, shard_tokens: int):
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, seq, before, held, content), kinds, strict=True)], names=["part", "seq", "before", "n_tokens", "content"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                encoded = encoder.encode([b.decode("utf-8", "replace") for b in some["body"].to_pylist()])
-                for doc_id, ids in zip(some["doc_id"].to_pylist(), encoded, strict=True):
-                    doc_ids.append(doc_id)
-                    lengths.append(len(ids) // width)
-                    own.append(ids)
-                    held += lengths[-1]
-                    if held >= shard_tokens:
-                        yield file()
-                        before, seq = before + held, seq + 1
-                        doc_ids, lengths, own, held = [], [], [], 0
+        for batch in slices(batches, 512):
+            encoded = encoder.encode([b.decode("utf-8", "replace") for b in batch["body"].to_pylist()])
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoded, strict=True):
+                doc_ids.append(doc_id)
+                lengths.append(len(ids) // width)
+                own.append(ids)
+                held += lengths[-1]
+                if held >= shard_tokens:
+                    yield file()
+                    before, seq = before + held, seq + 1
+                    doc_ids, lengths, own, held = [], [], [], 0
         if held:
             yield file()
 
