@@ -39,7 +39,7 @@ STEPS = 200
 CLOSE = 2e-3
 LEAST = 1e-3
 #: Weight of the step's square, as a share of all tokens; slope, as a share of the budget, at which a fit short of its targets has settled.
-EASE = 1e-6
+EASE = 1e-8
 SETTLED = 1e-6
 #: Lengths of a Newton step that one pass tries.
 LENGTHS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001)
