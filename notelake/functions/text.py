@@ -17,6 +17,11 @@ def visible(text: Column, limit: int) -> Column:
     return F.when(F.length(line) > limit, F.concat(F.substring(line, 1, limit - 1), F.lit("…"))).otherwise(line)
 
 
+def is_cut(text: Column, limit: int) -> Column:
+    """Whether ``visible`` leaves something of it out."""
+    return F.length(F.trim(F.regexp_replace(text, r"[\p{C}\s]+", " "))) > limit
+
+
 def canonical(**fields: Column) -> Column:
     """JSON with sorted keys and nulls kept."""
     return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"})
@@ -45,6 +50,14 @@ def snippet(text: Column, terms: Column) -> Column:
     return F.concat(F.when(start > 0, "…").otherwise(""), cut, F.when(F.length(line) > start + 240, "…").otherwise(""))
 
 
+def next_slot(at: Column, hour: int, minute: int = 0) -> Column:
+    """Seconds of the next ``hour``:``minute`` in Shanghai after a time in seconds."""
+    local = F.from_utc_timestamp(F.timestamp_seconds(at), "Asia/Shanghai")
+    day = F.date_trunc("day", local)
+    slot = F.unix_seconds(F.to_utc_timestamp(day, "Asia/Shanghai")) + hour * 3600 + minute * 60
+    return F.when(slot <= at, slot + 86400).otherwise(slot)
+
+
 def local_date(at: Column) -> Column:
     """Calendar day in Shanghai of a time in seconds."""
     return F.to_date(F.from_utc_timestamp(F.timestamp_seconds(at), "Asia/Shanghai"))

@@ -89,12 +89,34 @@ def recheck_policy(docs: DataFrame, at: int, **waits: int) -> DataFrame:
     return both.where(~due.eqNullSafe(F.col("next_due_at"))).select("document_id", F.col("next_due_at").alias("old_due"), due.cast("long").alias("new_due"))
 
 
-def failure_due(docs: DataFrame, waits: dict[str, int]) -> DataFrame:
-    """Next try after a failure, by the class of its error code."""
-    code = F.col("last_error_code")
-    kind = F.when(code == "http_not_found", "missing").when(code.isin("tls_error", "http_unauthorized", "http_forbidden"), "access").when(code.startswith("parse_"), "parse").otherwise("transient")
+#: Codes of failures that last as long as the page or the site stays as it is.
+ACCESS = ("tls_error", "http_unauthorized", "http_forbidden")
+UNREADABLE = (
+    "identity_mismatch", "invalid_target", "unsupported_content_type", "unsupported_content_encoding", "empty_body", "body_too_large", "invalid_response_headers", "redirect_invalid", "redirect_loop", "redirect_limit",
+)
+
+
+def failure_due(failures: DataFrame, waits: dict[str, int]) -> DataFrame:
+    """Next try after a failure, by the class of its status and error code: missing, access, parse or transient."""
+    code, status = F.col("last_error_code"), F.coalesce("status_code", F.lit(0))
+    kind = (
+        F.when(status.isin(404, 410) | (code == "http_not_found"), "missing")
+        .when(status.isin(401, 403) | code.isin(*ACCESS), "access")
+        .when(code.startswith("parse_") | code.isin(*UNREADABLE), "parse")
+        .otherwise("transient")
+    )
     wait = F.create_map(*(F.lit(x) for kv in waits.items() for x in kv))
-    return docs.where("last_error_code IS NOT NULL").withColumn("kind", kind).select("document_id", "kind", (F.col("last_attempt_at") + wait[F.col("kind")]).alias("due"))
+    return failures.where("last_error_code IS NOT NULL").withColumn("kind", kind).select("document_id", "kind", (F.col("last_attempt_at") + wait[F.col("kind")]).alias("due"))
+
+
+def run_groups(items: DataFrame, at: int) -> DataFrame:
+    """Per run and group what was allocated, attempted, succeeded, failed, left unserved and still due, and how long the
+    oldest item is overdue. ``items``: run_id, grp, attempted, failed, due_at."""
+    tried = F.col("attempted")
+    return items.groupBy("run_id", "grp").agg(
+        F.count("*").alias("allocated"), F.count_if(tried).alias("attempted"), F.count_if(tried & ~F.col("failed")).alias("succeeded"), F.count_if(tried & F.col("failed")).alias("failed"), F.count_if(~tried).alias("unserved"),
+        F.count_if((~tried | F.col("failed")) & (F.col("due_at") <= at)).alias("remaining_due"), F.greatest(F.max(at - F.col("due_at")), F.lit(0)).alias("oldest_overdue"),
+    )
 
 
 def oldest_backlog(docs: DataFrame, at: int, n: int = 1) -> DataFrame:

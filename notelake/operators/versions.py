@@ -76,3 +76,18 @@ def rebuild_equal(built: DataFrame, kept: DataFrame, group: str) -> DataFrame:
     mark = lambda df, *n: df.select(group, *(F.lit(x).cast("long").alias(c) for c, x in zip(("rows", "missing", "extra"), n, strict=True)))
     both = mark(built, 1, 0, 0).unionByName(mark(built.exceptAll(kept), 0, 1, 0)).unionByName(mark(kept.exceptAll(built), 0, 0, 1))
     return both.groupBy(group).agg(*(F.sum(c).alias(c) for c in ("rows", "missing", "extra")))
+
+
+def snapshot_facts(docs: DataFrame, versions: DataFrame, references: DataFrame) -> DataFrame:
+    """Per source its documents, those with a current version, failures with and without an earlier success, the latest
+    fetch and parse of current versions, and references that no parser takes."""
+    good = F.col("last_success_at").isNotNull()
+    v = versions.select("document_id", F.col("version_id").alias("current_version_id"), "observed_at")
+    rows = docs.withColumn("current_version_id", F.when(good, F.col("current_version_id"))).join(v, ["document_id", "current_version_id"], "left")
+    failed = F.col("status") == "failed"
+    out = rows.groupBy("source_id").agg(
+        F.count("*").alias("documents"), F.count("observed_at").alias("processed"), F.count_if(failed & ~good).alias("failed_without_success"), F.count_if(failed & good).alias("failed_with_success"),
+        F.max("last_success_at").alias("latest_fetched_at"), F.max("observed_at").alias("latest_parsed_at"),
+    )
+    waiting = references.groupBy("source_id").agg(F.count("*").alias("unadapted_references"))
+    return out.join(waiting, "source_id", "left").na.fill(0, ["unadapted_references"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import digest, local_date, normalize, tree_digest, visible
+from ..functions.text import digest, is_cut, local_date, normalize, tree_digest, visible
 from ..operators import backlog, versions
 from ..operators.search import index_rows
 from ..registry import query
@@ -75,9 +75,16 @@ def _(spark, sf):
     return backlog.recheck_policy(view(spark, sf, "notice"), AT)
 
 
-@query("failure_due", oracle("SELECT document_id, 'parse' AS kind, last_attempt_at + 7200 AS due FROM notice WHERE last_error_code IS NOT NULL", "notice"))
+_FAILED = [
+    "document_id", "last_attempt_at", "CASE document_id % 8 WHEN 0 THEN 'http_not_found' WHEN 1 THEN 'tls_error' WHEN 2 THEN 'parse_failed' WHEN 3 THEN 'redirect_loop' WHEN 4 THEN 'timeout' WHEN 5 THEN 'http_status' WHEN 6 THEN 'empty_body' END AS last_error_code",
+    "CASE WHEN document_id % 8 = 5 THEN CASE document_id % 5 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 THEN 410 WHEN 3 THEN 401 ELSE 500 END END AS status_code",
+]
+
+
+@query("failure_due", oracle(f"""SELECT document_id, kind, last_attempt_at + CASE kind WHEN 'missing' THEN 604800 WHEN 'access' THEN 86400 WHEN 'parse' THEN 7200 ELSE 1800 END AS due FROM (SELECT *, CASE WHEN status_code IN (404, 410) OR last_error_code = 'http_not_found' THEN 'missing'
+WHEN status_code IN (401, 403) OR last_error_code = 'tls_error' THEN 'access' WHEN last_error_code IN ('parse_failed', 'redirect_loop', 'empty_body') THEN 'parse' ELSE 'transient' END AS kind FROM (SELECT {', '.join(_FAILED)} FROM notice) WHERE last_error_code IS NOT NULL)""", "notice"))
 def _(spark, sf):
-    return backlog.failure_due(view(spark, sf, "notice"), {"missing": 604800, "access": 86400, "parse": 7200, "transient": 1800})
+    return backlog.failure_due(view(spark, sf, "notice").selectExpr(*_FAILED), {"missing": 604800, "access": 86400, "parse": 7200, "transient": 1800})
 
 
 @query("oldest_backlog", oracle(f"SELECT document_id, coalesce(next_due_at, discovered_at) AS since FROM notice WHERE {_PENDING} ORDER BY 2, 1 LIMIT 1", "notice"))
@@ -152,9 +159,10 @@ def _(spark, sf):
 
 
 @query("text_visible", oracle(r"""
-SELECT document_id, CASE WHEN length(t) > 60 THEN substr(t, 1, 59) || '…' ELSE t END AS line FROM (SELECT document_id, trim(regexp_replace(body_text, '[\p{C}\s]+', ' ', 'g')) AS t FROM notice)""", "notice"))
+SELECT document_id, CASE WHEN length(t) > 60 THEN substr(t, 1, 59) || '…' ELSE t END AS line, length(t) > 60 AS cut FROM (SELECT document_id, trim(regexp_replace(body_text, '[\p{C}\s]+', ' ', 'g')) AS t FROM notice)""", "notice"))
 def _(spark, sf):
-    return view(spark, sf, "notice").select("document_id", visible(F.col("body_text"), 60).alias("line"))
+    body = F.col("body_text")
+    return view(spark, sf, "notice").select("document_id", visible(body, 60).alias("line"), is_cut(body, 60).alias("cut"))
 
 
 @query("scope_filter", oracle("SELECT document_id, published_date FROM notice WHERE source_id = 'src3' AND published_date BETWEEN date '2024-01-10' AND date '2024-02-20'", "notice"))
@@ -214,12 +222,12 @@ def _(spark, sf):
     return both.where("source_id <> 'src0'")
 
 
-@query("snapshot_facts", oracle("""
-SELECT source_id, count(*) AS documents, count(*) FILTER (status = 'processed') AS processed, max(last_success_at) AS last_success, max(published_date) AS newest, count(DISTINCT current_version_id) AS versions FROM notice GROUP BY source_id""", "notice"))
+@query("snapshot_facts", oracle("""SELECT n.source_id, count(*) AS documents, count(v.version_id) AS processed, count(*) FILTER (status = 'failed' AND last_success_at IS NULL) AS failed_without_success, count(*) FILTER (status = 'failed' AND last_success_at IS NOT NULL) AS failed_with_success,
+max(last_success_at) AS latest_fetched_at, max(v.observed_at) AS latest_parsed_at, count(*) FILTER (a.list_date IS NULL) AS unadapted_references FROM notice n JOIN activation a USING (document_id)
+LEFT JOIN version v ON v.document_id = n.document_id AND v.version_id = n.current_version_id AND n.last_success_at IS NOT NULL GROUP BY n.source_id""", "notice", "version", "activation"))
 def _(spark, sf):
-    return view(spark, sf, "notice").groupBy("source_id").agg(
-        F.count("*").alias("documents"), F.count_if(F.col("status") == "processed").alias("processed"), F.max("last_success_at").alias("last_success"), F.max("published_date").alias("newest"), F.count_distinct("current_version_id").alias("versions")
-    )
+    references = view(spark, sf, "activation").where("list_date IS NULL").select("source_id")
+    return versions.snapshot_facts(view(spark, sf, "notice"), view(spark, sf, "version"), references)
 
 
 @query("recent_candidates", oracle(f"SELECT document_id, discovered_at, n > 50 AS truncated FROM (SELECT document_id, discovered_at, count(*) OVER () AS n FROM notice WHERE {_PENDING}) ORDER BY discovered_at DESC, document_id LIMIT 50", "notice"))

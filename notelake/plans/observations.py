@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import next_slot
+from ..operators import backlog
 from ..registry import query
 from ..sources.bindings import T0, oracle, view
 
@@ -34,10 +36,11 @@ def _(spark, sf):
     return last.select("source_id", F.when(F.col("last").isNull(), "missing").when(_END - F.col("last") <= 3600, "fresh").otherwise("stale").alias("class"))
 
 
-@query("digest_slot", oracle("SELECT event_id, LOCALDATE[seen_at] AS slot_day, CASE WHEN hour(timezone('Asia/Shanghai', to_timestamp(seen_at))) >= 18 THEN 'elapsed' ELSE 'open' END AS slot FROM sample", "sample"))
+@query("digest_slot", oracle("""SELECT event_id, LOCALDATE[seen_at] AS slot_day, CASE WHEN hour(timezone('Asia/Shanghai', to_timestamp(seen_at))) >= 18 THEN 'elapsed' ELSE 'open' END AS slot,
+CAST(epoch(CAST(LOCALDATE[seen_at] AS TIMESTAMP)) AS BIGINT) - 28800 + 64800 + CASE WHEN hour(timezone('Asia/Shanghai', to_timestamp(seen_at))) >= 18 THEN 86400 ELSE 0 END AS next_digest_at FROM sample""", "sample"))
 def _(spark, sf):
     local = F.from_utc_timestamp(F.timestamp_seconds("seen_at"), "Asia/Shanghai")
-    return view(spark, sf, "sample").select("event_id", F.to_date(local).alias("slot_day"), F.when(F.hour(local) >= 18, "elapsed").otherwise("open").alias("slot"))
+    return view(spark, sf, "sample").select("event_id", F.to_date(local).alias("slot_day"), F.when(F.hour(local) >= 18, "elapsed").otherwise("open").alias("slot"), next_slot(F.col("seen_at"), 18).alias("next_digest_at"))
 
 
 @query("run_result", oracle("SELECT source_id, run_no, CASE WHEN finished_at IS NULL THEN 'interrupted' WHEN failed > 0 AND succeeded > 0 THEN 'partial_failure' WHEN failed > 0 THEN 'failed' ELSE 'succeeded' END AS result FROM run", "run"))
@@ -70,9 +73,11 @@ def _(spark, sf):
     return view(spark, sf, "run").groupBy("source_id").agg((_END - F.max("started_at")).alias("last_attempt_age"), (_END - F.max(F.when(F.col("failed") == 0, F.col("finished_at")))).alias("complete_age"), F.greatest(F.max(F.col("last_at") + 600 * F.col("failed")) - _END, F.lit(0)).alias("cooldown"))
 
 
-@query("run_groups", oracle("SELECT source_id, event_type AS grp, count(*) AS attempted, count(*) FILTER (NOT unavailable) AS succeeded, max(seen_at) AS last_at FROM sample GROUP BY ALL", "sample"))
+@query("run_groups", oracle(f"""SELECT source_id AS run_id, event_type AS grp, count(*) AS allocated, count(*) FILTER (event_id % 6 < 5) AS attempted, count(*) FILTER (event_id % 6 < 5 AND NOT unavailable) AS succeeded, count(*) FILTER (event_id % 6 < 5 AND unavailable) AS failed, count(*) FILTER (event_id % 6 = 5) AS unserved,
+count(*) FILTER ((event_id % 6 = 5 OR unavailable) AND seen_at <= {T0 + 15 * 86400}) AS remaining_due, greatest(max({T0 + 15 * 86400} - seen_at), 0) AS oldest_overdue FROM sample GROUP BY ALL""", "sample"))
 def _(spark, sf):
-    return view(spark, sf, "sample").groupBy("source_id", F.col("event_type").alias("grp")).agg(F.count("*").alias("attempted"), F.count_if(~F.col("unavailable")).alias("succeeded"), F.max("seen_at").alias("last_at"))
+    items = view(spark, sf, "sample").selectExpr("source_id AS run_id", "event_type AS grp", "event_id % 6 < 5 AS attempted", "unavailable AS failed", "seen_at AS due_at")
+    return backlog.run_groups(items, T0 + 15 * 86400)
 
 
 @query("usage_cost", oracle("""SELECT conv_id, sum(length(text)) FILTER (role = 'user')::BIGINT AS tokens_in, sum(length(text)) FILTER (role <> 'user')::BIGINT AS tokens_out,
