@@ -5,9 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import decisions
 from ..operators import facts as ops
 from ..registry import query
-from ..sources.bindings import RULED, oracle, view
+from ..sources.bindings import AT, RULED, oracle, view
+from ..sources.tables import stored
+from . import decisions as decided
 
 PACK = ops.Pack(topics=(("exchange", "exchange program"), ("scholarship", "scholarship"), ("contest", "contest")), action="apply|register")
 _N = len(RULED)
@@ -182,9 +185,15 @@ _TOPICS = {v: sorted({f"{t}:{c}" for w, t, c in [*_LINKED, *_BODIES] if w == v})
 _CONSTRAINTS = {v: sorted(f"{f}:{o}:{x}" for w, f, x, o, _ in _ASKED if w == v) for v in range(_N)}
 
 
-def _facts(spark, sf):
-    _, linked = _link(spark, sf)
-    return ops.notice_facts(_category(spark, sf), linked, ops.qualifications(_cut(spark, sf), PACK), ops.unsupported_conditions(_cut(spark, sf), PACK), ops.time_resolution(_times(spark, sf)), ops.media_dependence(view(spark, sf, "ruled"), PACK))
+def _parts(spark, sf):
+    """Clauses, actions and linked topics of all texts, each worked out once, and what follows from them."""
+    docs, cut = view(spark, sf, "ruled"), stored(_cut(spark, sf), "clauses")
+    acts, mentions = stored(ops.action_blocked(ops.action_mentions(cut, PACK), PACK), "actions"), ops.topic_mentions(cut, PACK)
+    linked = stored(ops.document_link(ops.topic_context(mentions, acts, PACK), acts, mentions, docs, PACK), "topics")
+    category = ops.notice_category(docs, acts, ops.recruitment_topic(cut, acts, docs, PACK), linked, PACK)
+    times = ops.time_resolution(ops.time_facts(cut, docs.select("document_id", "published_date"), PACK))
+    asked, hard = ops.qualifications(cut, PACK), ops.unsupported_conditions(cut, PACK)
+    return acts, linked, asked, hard, ops.notice_facts(category, linked, asked, hard, times, ops.media_dependence(docs, PACK))
 
 
 def _whole() -> str:
@@ -197,7 +206,7 @@ def _whole() -> str:
 @query("notice_facts", oracle(f"""SELECT document_id, category, topics, constraints, audience_declared, eligibility_complete, opens_at, deadline_at, deadline_lower_at, information_incomplete, sha256(to_json({{'audience_declared': audience_declared, 'category': category, 'constraints': CASE WHEN constraints = '' THEN [] ELSE string_split(constraints, ',') END, 'deadline_at': deadline_at, 'deadline_lower_at': deadline_lower_at, 'document_id': document_id,
 'eligibility_complete': eligibility_complete, 'information_incomplete': information_incomplete, 'opens_at': opens_at, 'topics': CASE WHEN topics = '' THEN [] ELSE string_split(topics, ',') END}})) AS facts_sha256 FROM ({_whole()})""", "ruled"))
 def _(spark, sf):
-    return _facts(spark, sf).withColumns({c: F.array_join(c, ",") for c in ("topics", "constraints")})
+    return _parts(spark, sf)[-1].withColumns({c: F.array_join(c, ",") for c in ("topics", "constraints")})
 
 
 _QUOTED = "SELECT document_id, 1 AS quote_no, right(body_text, 10) AS quote FROM ruled UNION ALL SELECT document_id, 2, right(body_text, 30) FROM ruled UNION ALL SELECT document_id, 3, left(body_text, 12) || '?' FROM ruled"
@@ -221,3 +230,29 @@ def _(spark, sf):
 @query("topic_candidates", oracle(" UNION ALL ".join(f"SELECT document_id, '{t}' AS topic FROM ruled WHERE contains(title, '{p}') OR contains(body_text, '{p}')" for t, p in PACK.topics), "ruled"))
 def _(spark, sf):
     return ops.topic_candidates(view(spark, sf, "ruled"), PACK)
+
+
+_PROFILES = "(VALUES ('p1', 'level', 'undergraduate'), ('p1', 'institution', 'own'), ('p2', 'level', 'graduate'), ('p2', 'role', 'student')) AS t(profile_id, field, actual)"
+_INTERESTS = """(VALUES ('p1', 'scholarship', true, false, true, false), ('p1', 'contest', true, false, false, false), ('p2', 'exchange', true, false, false, false), ('p2', 'contest', false, false, false, true),
+('p2', 'scholarship', false, true, false, false)) AS t(profile_id, topic, interest, excluded, high_value, store_only)"""
+_TOLD = ", ".join(str(v) for v, _, blocked, told in _ACTIONS if told and blocked == "ok")
+_NULLS = "CAST(NULL AS VARCHAR)"
+_FROM_FACTS = f"""WITH fact AS (SELECT w.document_id, category, opens_at, deadline_at, deadline_lower_at, opens_at IS NOT NULL OR w.document_id % {_N} IN ({_TOLD}) AS opening_confirmed, false AS cancelled, audience_declared, eligibility_complete, information_incomplete, r.published_date,
+'new' AS kind, 'none' AS previous_route, true AS comparison_known, false AS conditions_changed FROM ({_whole()}) w JOIN ruled r ON r.document_id = w.document_id),
+requirement AS ({_expected("field operator v1 v2", [(v, f, o, x, "=" + _NULLS) for v, f, x, o, _ in _ASKED] + [(12, "gpa", "unsupported", "GPA", "=" + _NULLS), (12, "age", "unsupported", "aged under 30", "=" + _NULLS)])}),
+profile AS (SELECT * FROM {_PROFILES}), profile_topic AS (SELECT * FROM {_INTERESTS}),
+topic_match AS ({_expected("topic context is_primary", [(v, t, c, True) for v, t, c in _LINKED] + [(v, t, c, False) for v, t, c in _BODIES])}), """
+
+
+@query("decide_from_facts", oracle(_FROM_FACTS + decided._DECIDED.strip().removeprefix("WITH ") + " SELECT * FROM sent", "ruled"))
+def _(spark, sf):
+    """From texts to decisions: rule facts of every notice, for every profile."""
+    acts, linked, said, hard, facts = _parts(spark, sf)
+    told = acts.where("instructed AND blocked = 'ok' AND field = 'body_text'").select("document_id").distinct().withColumn("told", F.lit(True))
+    rows = stored(facts, "facts").join(told, "document_id", "left").join(view(spark, sf, "ruled").select("document_id", "published_date"), "document_id")
+    rows = rows.selectExpr("*", "opens_at IS NOT NULL OR coalesce(told, false) AS opening_confirmed", "false AS cancelled", "'new' AS kind", "'none' AS previous_route", "true AS comparison_known", "false AS conditions_changed")
+    asked = said.where("field IS NOT NULL").select("document_id", "field", "operator", F.array("value").alias("values"))
+    asked = asked.unionByName(hard.select("document_id", "field", F.lit("unsupported").alias("operator"), F.array("excerpt").alias("values")))
+    matches = linked.select("document_id", "topic", "context", (F.col("field") == "title").alias("is_primary"))
+    judged = decisions.eligibility(rows, asked, spark.sql(f"SELECT * FROM {_PROFILES}"))
+    return decisions.decide_batch(judged, decisions.topic_flags(matches, spark.sql(f"SELECT * FROM {_INTERESTS}")), AT, decided._MODE, decided._NEXT)
