@@ -7,6 +7,8 @@ phrase suffix plus a prefix of one context. So corpus order, cut off at LENGTH b
 phrases sorted from their right end (the suffix array of the dictionary) and contexts (that of the parse), each with
 the common lengths of neighbours. Two strings are equal if they lie in one class of both lists.
 
+Two 64-bit hashes of different stretches (k and f, or k and w) must agree before bytes count as equal unseen.
+
 Scale: parse suffixes meet on a hash of the bytes that any string through the trigger must share; nearly all stand
 alone there and go no further. Whole copies fall together by a second hash and are never expanded. Bytes are read
 again only for one representative of each distinct text round a shared trigger. Those are sorted in shards of a
@@ -26,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import covered, mix, runs
-from .common import discard, keyed, same_document, stored
+from .common import discard, keyed, met, same_document, slices, stored
 
 LENGTH = 400
 SPAN = 256
 #: Distinct representatives of one shared trigger that are sorted together, and rows of a shard.
 HOT_GROUP = 4_000
 SHARD_ROWS = 40_000
+#: Rows of one key from which a join broadcasts the key.
+HOT = 20_000
 
 _PARSE = "doc_id long, dk long, k long, f long, lo int, hi int, b int"
 _BYTES = "doc_id long, dk long, k long, f long, c long, lo int, hi int, b int, phrase binary, context binary"
@@ -63,7 +67,7 @@ def _parsed(length: int, span: int):
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "dk", "k", "f")] + [(c, pa.int32()) for c in ("lo", "hi", "b")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out, sizes = [], []
             for body in batch["body"]:
                 out.append(parse(body.as_py(), length, span))
@@ -82,7 +86,7 @@ def _cut(length: int):
     kinds = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc_id, dk, body, marks in zip(*(batch[c].to_pylist() for c in ("doc_id", "dk", "body", "marks")), strict=True):
                 rows += [(doc_id, dk, m["k"], m["f"], m["c"], m["lo"], m["hi"], m["b"], body[m["lo"] : m["b"]], body[m["b"] : m["hi"] + length]) for m in marks]
@@ -140,7 +144,7 @@ def _sorted_shards(length: int):
 
 def _removed(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for body, ranges in zip(batch["body"].to_pylist(), batch["ranges"].to_pylist(), strict=True):
                 if not ranges:
@@ -156,39 +160,40 @@ def _removed(length: int):
     return run
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, span: int = SPAN, hot_group: int = HOT_GROUP, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, span: int = SPAN, hot_group: int = HOT_GROUP, shard_rows: int = SHARD_ROWS, hot: int = HOT) -> DataFrame:
     """``doc_id, dk, lo, hi``: every string of ``length`` bytes that starts in lo..hi also starts elsewhere."""
     if not 8 <= span <= length - 7:
         raise ValueError("span must leave the trigger's 8 bytes inside every string")
     bodies = keyed(docs)
     rows = stored(bodies.where(F.length("body") >= length).mapInArrow(_parsed(length, span), _PARSE), "parse")
     shared = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("f").alias("f0"), F.max("f").alias("f1")).where("n > 1")
-    shared = stored(shared.selectExpr("k", "f0 = f1 AS pure"), "shared")  # apart from the join, which can then split a hot key
-    met = stored(rows.join(shared, "k"), "met")
+    shared = stored(shared.selectExpr("k", "n", "f0 = f1 AS pure"), "shared")
+    both = stored(met(rows, shared, ["k"], "n", hot), "met")
     discard(rows)
-    mixed = met.where("NOT pure")
+    mixed = both.where("NOT pure")
     texts = stored(
         mixed.groupBy("k", "f").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "dk", "lo", "hi", "b")).alias("one")).select("k", "f", "c", "one.*"), "texts"
     )
-    whole = met.where("pure").select("doc_id", "dk", "lo", "hi").unionByName(mixed.join(texts.where("c > 1").select("k", "f"), ["k", "f"]).select("doc_id", "dk", "lo", "hi"))
+    copies = met(mixed, texts.where("c > 1").select("k", "f", "c"), ["k", "f"], "c", hot)
+    whole = both.where("pure").select("doc_id", "dk", "lo", "hi").unionByName(copies.select("doc_id", "dk", "lo", "hi"))
 
     marks = texts.groupBy("doc_id", "dk").agg(F.collect_list(F.struct("k", "f", "c", "lo", "hi", "b")).alias("marks"))
     once = bodies.join(marks, same_document(bodies, marks)).select(bodies["doc_id"], bodies["dk"], "body", "marks")
     cut = stored(once.mapInArrow(_cut(length), _BYTES).dropDuplicates(["k", "f"]), "cut")
     sizes = cut.groupBy("k").agg(F.count("*").alias("m"))
-    hot = sizes.where(F.col("m") > hot_group).select("k")
+    large = sizes.where(F.col("m") > hot_group).select("k")
     shards = 1 + cut.count() // shard_rows
-    some = cut.join(hot, "k", "left_anti").repartition(shards, "k").mapInArrow(_sorted_shards(length), _STARTS)
+    some = cut.join(large, "k", "left_anti").repartition(shards, "k").mapInArrow(_sorted_shards(length), _STARTS)
 
     every = stored(
-        cut.join(hot, "k", "left_semi")
+        cut.join(large, "k", "left_semi")
         .withColumn("x", F.explode(F.expr("sequence(b - hi, b - lo)")))
         .withColumn("s", F.expr("concat(substring(phrase, length(phrase) - x + 1, x), substring(context, 1, %d - x))" % length))
         .select("doc_id", "dk", "k", "c", (F.col("b") - F.col("x")).alias("lo"), F.xxhash64("s").alias("w")),
         "every",
     )
     again = stored(every.groupBy("k", "w").agg(F.sum("c").alias("n")).where("n > 1"), "again")
-    spread = every.where("c = 1").join(again, ["k", "w"], "left_semi").select("doc_id", "dk", "lo", F.col("lo").alias("hi"))
+    spread = met(every.where("c = 1"), again, ["k", "w"], "n", hot).select("doc_id", "dk", "lo", F.col("lo").alias("hi"))
     return whole.unionByName(some).unionByName(spread)
 
 
