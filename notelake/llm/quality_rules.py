@@ -184,9 +184,9 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, del
     own = cut.where("stratum IS NOT NULL").withColumn("own", F.lit(True))
     shared = F.col("stratum").isNull()
     mildest = lambda r: F.when(F.count(f"c_{r}") == F.count("*"), (F.min if r.startswith("min_") else F.max)(f"c_{r}"))
-    other = cut.agg(*(F.when(F.count_if(shared) > 0, F.max(F.when(shared, F.col(f"c_{r}")))).otherwise(mildest(r)).alias(f"o_{r}") for r in RULES))
-    rows = measures.join(own, "stratum", "left").crossJoin(other)  # ``other`` is one row
-    cutoff = lambda r: F.when(F.col("own"), F.col(f"c_{r}")).otherwise(F.col(f"o_{r}"))
+    other = cut.agg(*(F.when(F.count_if(shared) > 0, F.max(F.when(shared, F.col(f"c_{r}")))).otherwise(mildest(r)).alias(f"o_{r}") for r in RULES)).first()
+    rows = measures.join(own, "stratum", "left")
+    cutoff = lambda r: F.when(F.col("own"), F.col(f"c_{r}")).otherwise(F.lit(other[f"o_{r}"]).cast("double"))
     verdict = rows.withColumn("failed", F.array_compact(F.array(*(F.when(_violates(r, _measure(r), cutoff(r)), F.lit(r)) for r in RULES))))
     return verdict.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), "failed"
