@@ -99,6 +99,23 @@ def met(rows: DataFrame, keys: DataFrame, on: list[str], n: str, hot: int = 50_0
     return rows.join(F.broadcast(heavy), is_hot, "left_anti").join(light, on).unionByName(spread)
 
 
+def numbered(rows: DataFrame, by: list[Column], at: str, name: str) -> tuple[DataFrame, int]:
+    """``rows`` stored in the order of ``by`` with their place in it (from 0) as column ``at``, and how many there are.
+    Ranges of the order are sorted apart; the driver sees one number a range. Rows equal in ``by`` may take any order,
+    but each has a place of its own."""
+    place = fresh("_place", rows)
+    ranges = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(place, F.monotonically_increasing_id())
+    out = stored(ranges, name)
+    part, seq = F.shiftright(place, 33), F.col(place).bitwiseAND((1 << 33) - 1)
+    starts, total = [], 0
+    for p, n in sorted(out.groupBy(part.alias("p")).count().collect()):
+        starts.append((p, total))
+        total += n
+    first = out.sparkSession.createDataFrame(starts, "_p int, _first long")
+    joined = out.join(F.broadcast(first), part.cast("int") == F.col("_p"))  # one row a range
+    return joined.withColumn(at, F.col("_first") + seq).drop("_p", "_first", place), total
+
+
 def same_document(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["dk"] == b["dk"])
 
