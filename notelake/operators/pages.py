@@ -1,6 +1,6 @@
-"""Raw pages as a corpus: cleaning, text, fields, links, images, attachments, lists, pagination. Built-in expressions only.
+"""Raw pages as a corpus: cleaning, text, fields, links, images, attachments, lists, pagination.
 
-Patterns are those of regular, if untidy, markup; a page that ends early is read as far as it goes.
+What depends on how elements nest reads the token stream of ``page_stream``: one pass over each page, then arrays.
 """
 
 from __future__ import annotations
@@ -8,52 +8,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import page_stream as ps
 from .responses import first_reason
 
-#: Elements that go with all they hold, and marks of elements that do: hidden ones, counters, attachment and page panels.
-DROPPED = ("script", "style", "noscript", "template", "nav", "footer", "form")
-MARKED = ("div", "span", "p", "ul", "section")
-MARK = r"(?:\shidden\b|display:\s*none|visibility:\s*hidden|class=\"(?:[^\"]*\s)?(?:counter|fj|pager|ad)(?:\s[^\"]*)?\")"
-DROPS = (*(rf"<{t}\b.*?</{t}\s*>" for t in DROPPED), "<!--.*?-->", *(rf"<{t}\b[^>]*{MARK}[^>]*>.*?</{t}\s*>" for t in MARKED))
-HANDLERS = r"\s(?:on[a-z]+|data-[a-z-]+|vsb[a-z_]*)=(?:\"[^\"]*\"|'[^']*')"
-BLOCK = r"<(?:/?(?:p|div|li|ul|ol|h[1-6]|article|section|tr|table|title)|br)\b[^>]*>"
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
-HREF = r"<a\b[^>]*?\shref=(?:\"([^\"]*)\"|'([^']*)')"
 
+def page_clean(pages: DataFrame) -> DataFrame:
+    """page_id, code (of the stream) and body: balanced HTML without dropped components, handlers and vendor attributes."""
+    return ps.page_stream(pages).select("page_id", "code", ps.html(F.col("nodes")).alias("body"))
 
-def body(html: Column) -> Column:
-    """HTML without what is not the notice's own, and without event handlers and vendor attributes."""
-    for p in DROPS:
-        html = F.regexp_replace(html, "(?is)" + p, "")
-    return F.regexp_replace(html, "(?i)" + HANDLERS, "")
 
+def page_text(pages: DataFrame) -> DataFrame:
+    """page_id and body_text: the lines of a page without dropped components."""
+    return ps.page_stream(pages).select("page_id", ps.lines(F.col("nodes")).alias("body_text"))
 
-def body_text(html: Column) -> Column:
-    """Lines of a cleaned page: a break at each block, a tab after each cell, entities decoded, no blank lines."""
-    t = F.regexp_replace(html, r"(?i)</t[dh]\s*>", "\t")
-    t = F.regexp_replace(F.regexp_replace(t, "(?i)" + BLOCK, "\n"), "<[^>]*>", "")
-    for name, char in ENTITIES.items():
-        t = F.replace(t, F.lit(name), F.lit(char))
-    return F.array_join(F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
-
-def meaningful(clean: Column) -> Column:
-    """Whether a cleaned page says anything: a letter or digit, or an image of more than one pixel."""
-    return body_text(clean).rlike(r"[\p{L}\p{N}]") | (F.size(F.filter(_images(clean), lambda x: ~_dot(x))) > 0)
-
-
-def _tag(html: Column, tag: str) -> Column:
-    return F.regexp_extract(html, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)
+def page_meaningful(pages: DataFrame) -> DataFrame:
+    """Whether a page says anything: a letter or digit, or an image of more than one pixel."""
+    nodes = F.col("nodes")
+    says = ps.lines(nodes).rlike(r"[\p{L}\p{N}]") | (F.size(_images(nodes)) > 0)
+    return ps.page_stream(pages).select("page_id", says.alias("meaningful"))
 
 
 def page_fields(pages: DataFrame, date: str) -> DataFrame:
-    """page_id, title and published_date with a code each: missing, invalid (no such day) or ok. ``date``: pattern with
-    the day in its group."""
-    title = F.trim(F.regexp_replace(_tag(F.col("html"), "h1"), r"\s+", " "))
-    said = F.regexp_extract("html", date, 1)
+    """page_id, title (of the first h1) and published_date with a code each: missing, invalid (no such day) or ok.
+    ``date``: pattern of the text of the element i that says the day, with the day in its group."""
+    nodes = F.col("nodes")
+    of = lambda n: ps.said(ps.inside(nodes, n))
+    said = F.transform(ps.opened(nodes, "i"), of)
+    rows = ps.page_stream(pages).select("page_id", F.coalesce(of(F.get(ps.opened(nodes, "h1"), F.lit(0))), F.lit("")).alias("title"), F.coalesce(F.get(F.filter(said, lambda x: x.rlike(date)), F.lit(0)), F.lit("")).alias("said"))
+    said = F.regexp_extract("said", date, 1)
     day = F.when(said.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_timestamp(said, F.lit("yyyy-MM-dd")).cast("date"))
     date_code = F.when(said == "", "date_missing").when(day.isNull(), "date_invalid").otherwise("ok")
-    return pages.select("page_id", title.alias("title"), F.when(title == "", "title_missing").otherwise("ok").alias("title_code"), day.alias("published_date"), date_code.alias("date_code"))
+    return rows.select("page_id", "title", F.when(F.col("title") == "", "title_missing").otherwise("ok").alias("title_code"), day.alias("published_date"), date_code.alias("date_code"))
 
 
 def resolved(href: Column, url: Column) -> Column:
@@ -61,53 +47,59 @@ def resolved(href: Column, url: Column) -> Column:
     root, scheme = F.regexp_extract(url, "^(https?://[^/?#]+)", 1), F.regexp_extract(url, "^(https?:)", 1)
     folder = F.regexp_replace(F.regexp_replace(url, "[?#].*$", ""), "(?<![:/])/[^/]*$", "")
     full = F.when(href.rlike("(?i)^https?://"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(root, href)).when(href.startswith("?"), F.concat(F.regexp_replace(url, "[?#].*$", ""), href)).otherwise(F.concat(folder, F.lit("/"), href))
-    full = F.regexp_replace(full, r"/(?:\./)+", "/")
-    for _ in range(3):
-        full = F.regexp_replace(full, r"(?<![:/])/[^/?#.][^/?#]*/\.\./", "/")
-    return full
+    return _undotted(full)
+
+
+def _undotted(url: Column) -> Column:
+    """Without . and .. in the path, however many there are; above the root there is nothing."""
+    path = F.regexp_extract(url, "^https?://[^/?#]*([^?#]*)", 1)
+    step = lambda seen, x: F.when(x == ".", seen).when(x == "..", F.slice(seen, 1, F.greatest(F.size(seen) - 1, F.lit(1)))).otherwise(F.array_append(seen, x))
+    folded = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    folded = F.when(path.rlike(r"/\.\.?$"), F.array_append(folded, F.lit(""))).otherwise(folded)
+    clean = F.concat(F.regexp_extract(url, "^(https?://[^/?#]*)", 1), F.array_join(folded, "/"), F.regexp_extract(url, "([?#].*)$", 1))
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), clean).otherwise(url)
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """page_id, pos, code and link of each link: anchors and other schemes are left out, malformed ones have a code."""
-    found = F.regexp_extract_all("html", F.lit("(?i)" + HREF), F.lit(1))
-    other = F.regexp_extract_all("html", F.lit("(?i)" + HREF), F.lit(2))
-    rows = pages.select("page_id", "url", F.posexplode(F.zip_with(found, other, lambda a, b: F.trim(F.concat(a, b)))).alias("pos", "href"))
+    """page_id, pos, code, link and text of each link of the cleaned page: anchors and other schemes are left out,
+    malformed ones have a code."""
+    nodes = F.col("nodes")
+    found = F.transform(ps.opened(ps.kept(nodes), "a", lambda n: F.map_contains_key(n["attributes"], F.lit("href"))), lambda n: F.struct(F.trim(ps.attribute(n, "href")).alias("href"), ps.said(ps.kept(ps.inside(nodes, n))).alias("text")))
+    rows = ps.page_stream(pages).select("page_id", "url", F.posexplode(found).alias("pos", "a")).select("page_id", "url", "pos", "a.*")
     h = F.col("href")
     skip = (h == "") | h.startswith("#") | (h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") & ~h.rlike("(?i)^https?:"))
     bad = h.rlike(r"[\x00-\x1f\\ ]") | h.rlike("(?i)^https?:(?!//[^/?#])") | h.rlike("^///")
     rows = rows.where(~skip).withColumn("code", F.when(bad, "invalid_link").otherwise("ok"))
-    return rows.select("page_id", "pos", "code", F.when(F.col("code") == "ok", resolved(h, F.col("url"))).alias("link"))
-
+    return rows.select("page_id", "pos", "code", F.when(F.col("code") == "ok", resolved(h, F.col("url"))).alias("link"), "text")
 
-def _images(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r"(?is)<img\b[^>]*>"), F.lit(0))
 
-
-def _attribute(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag, rf"(?i)\s{name}=\"([^\"]*)\"", 1)
-
-
-def _dot(tag: Column) -> Column:
-    return (_attribute(tag, "width") == "1") & (_attribute(tag, "height") == "1")
+def _images(nodes: Column) -> Column:
+    """Images of the cleaned page that are not a single pixel."""
+    return ps.opened(ps.kept(nodes), "img", lambda n: ~((ps.attribute(n, "width") == "1") & (ps.attribute(n, "height") == "1")))
 
 
 def page_images(pages: DataFrame) -> DataFrame:
     """page_id, pos, src and alt of each image that is not a single pixel; without a source the code says so."""
-    rows = pages.select("page_id", "url", F.posexplode(F.filter(_images(body(F.col("html"))), lambda x: ~_dot(x))).alias("pos", "tag"))
-    src = _attribute(F.col("tag"), "src")
-    return rows.select("page_id", "pos", F.when(src == "", "image_url_invalid").otherwise("ok").alias("code"), F.when(src != "", resolved(src, F.col("url"))).alias("src"), _attribute(F.col("tag"), "alt").alias("alt"))
-
-
-def page_attachments(pages: DataFrame) -> DataFrame:
-    """page_id, pos, name, url, attachment_id (owner:file of a download link) and code of the attachment panel's links."""
-    panel = F.regexp_extract("html", r"(?is)<div class=\"fj\">(.*?)</div>", 1)
-    item = F.struct(F.regexp_extract("x", r"href=\"([^\"]*)\"", 1).alias("href"), F.trim(F.regexp_replace(F.col("x"), "<[^>]*>", "")).alias("name"))
-    rows = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all(panel, F.lit(r"(?is)<a\b[^>]*>.*?</a>"), F.lit(0))).alias("pos", "x")).select("page_id", "url", "pos", item.alias("i")).select("page_id", "url", "pos", "i.*")
+    rows = ps.page_stream(pages).select("page_id", "url", F.posexplode(_images(F.col("nodes"))).alias("pos", "n"))
+    src = F.trim(ps.attribute(F.col("n"), "src"))
+    return rows.select("page_id", "pos", F.when(src == "", "image_url_invalid").otherwise("ok").alias("code"), F.when(src != "", resolved(src, F.col("url"))).alias("src"), ps.attribute(F.col("n"), "alt").alias("alt"))
+
+
+def page_attachments(pages: DataFrame, panel: str = "fj") -> DataFrame:
+    """page_id, pos, name, url, attachment_id (owner:file of a download link) and code of the links of the attachment
+    panel, the div of class ``panel``. A page with several panels has one row, which says so."""
+    nodes = F.col("nodes")
+    outer = ps.opened(nodes, "div", lambda n: ps.has_class(n, panel))
+    item = lambda n: F.struct(ps.attribute(n, "href").alias("href"), ps.said(ps.inside(nodes, n)).alias("name"))
+    found = F.transform(ps.opened(ps.inside(nodes, F.get("outer", F.lit(0))), "a"), item)
+    rows = ps.page_stream(pages).withColumn("outer", outer).where(F.size("outer") > 0)
+    found = F.when(F.size("outer") > 1, F.array(F.struct(F.lit("").alias("href"), F.lit("").alias("name")))).otherwise(found)
+    rows = rows.select("page_id", "url", (F.size("outer") > 1).alias("several"), F.posexplode(found).alias("pos", "i")).select("page_id", "url", "several", "pos", "i.*")
     value = lambda k: F.regexp_extract("href", rf"[?&]{k}=([^&]*)", 1)
     times = lambda k: F.size(F.regexp_extract_all("href", F.lit(rf"[?&]{k}="), F.lit(0)))
     download = F.col("href").contains("/download?")
     rules = [
-        ("attachment_name_missing", F.col("name") == ""), ("attachment_url_invalid", F.col("href") == ""), ("ambiguous_identity", download & ((times("owner") > 1) | (times("file") > 1))),
+        ("panel_ambiguous", F.col("several")), ("attachment_name_missing", F.col("name") == ""), ("attachment_url_invalid", F.col("href") == ""), ("ambiguous_identity", download & ((times("owner") > 1) | (times("file") > 1))),
         ("identity_invalid", download & ~(value("owner").rlike("^[0-9]+$") & value("file").rlike("^[A-Za-z0-9]+$"))),
     ]
     rows = rows.withColumn("code", first_reason(rules))
@@ -138,14 +130,19 @@ def url_class(links: DataFrame, host: str, column: str) -> DataFrame:
     return rows.select("key", "class", F.when(F.col("class") == "supported", F.concat_ws(":", col, art)).alias("identity"))
 
 
-def list_rows(pages: DataFrame) -> DataFrame:
-    """page_id, row_index, href, title, published_date and code of the rows of a list page, in order."""
-    listing = F.regexp_extract("html", r"(?is)<ul class=\"am-list\">(.*?)</ul>", 1)
-    rows = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all(listing, F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1))).alias("row_index", "x"))
-    href, title, day = F.regexp_extract("x", r"<a\b[^>]*\shref=\"([^\"]*)\"", 1), F.trim(F.regexp_extract("x", r"(?s)<span>(.*?)</span>", 1)), F.regexp_extract("x", r"<i>\s*([^<]*?)\s*</i>", 1)
+def list_rows(pages: DataFrame, listing: str = "am-list") -> DataFrame:
+    """page_id, row_index, href, title, published_date and code of the rows of a list page, in order: the items of the
+    first ul of class ``listing``, not those of lists inside them."""
+    nodes, first = F.col("nodes"), lambda a, name: F.get(ps.opened(a, name), F.lit(0))
+    text = lambda n: F.coalesce(ps.said(ps.inside(nodes, n)), F.lit(""))
+    rows = ps.page_stream(pages).withColumn("list", F.get(ps.opened(nodes, "ul", lambda n: ps.has_class(n, listing)), F.lit(0)))
+    items = ps.opened(ps.inside(nodes, F.col("list")), "li", lambda n: n["depth"] == F.col("list.depth") + 1)
+    rows = rows.select("page_id", "url", "nodes", F.posexplode(items).alias("row_index", "item")).withColumn("x", ps.inside(nodes, F.col("item")))
+    rows = rows.select("page_id", "url", "row_index", first("x", "a").alias("a"), text(first("x", "span")).alias("title"), text(first("x", "i")).alias("day"))
+    href, day = F.coalesce(F.col("a.attributes")["href"], F.lit("")), F.col("day")
     date = F.when(day.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_timestamp(day, F.lit("yyyy-MM-dd")).cast("date"))
-    rules = [("entry_missing", ~F.col("x").contains("<a ")), ("detail_url_invalid", (href == "") | href.rlike(r"[\x00-\x20\x7f\\]|%(?![0-9A-Fa-f]{2})")), ("title_missing", title == ""), ("published_date_invalid", date.isNull())]
-    return rows.select("page_id", "row_index", first_reason(rules).alias("code"), resolved(href, F.col("url")).alias("detail_url"), title.alias("title"), date.alias("published_date"))
+    rules = [("entry_missing", F.col("a").isNull()), ("detail_url_invalid", (href == "") | href.rlike(r"[\x00-\x20\x7f\\]|%(?![0-9A-Fa-f]{2})")), ("title_missing", F.col("title") == ""), ("published_date_invalid", date.isNull())]
+    return rows.select("page_id", "row_index", first_reason(rules).alias("code"), resolved(href, F.col("url")).alias("detail_url"), "title", date.alias("published_date"))
 
 
 def pagination_check(pages: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Lexical search: trigram postings, candidates, literal recheck, BM25 pages. Batches of queries run as one job.
 
 Terms meet documents by equality of n-grams, never by comparing every query with every document: a term is looked for
-where its rarest trigram stands (a shorter term is its own n-gram), and only there is the text read again.
+where its rarest trigrams stand together (a shorter term is its own n-gram), and only there is the text searched.
 """
 
 from __future__ import annotations
@@ -12,47 +12,43 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize, snippet
 from ..sources.tables import stored
+from .search_index import INDEX_VERSION, SearchIndex, built, gram_counts, index_rows  # noqa: F401
 
 K1, B = 1.2, 0.75
 TITLE_WEIGHT = 5.0
 LEAST_IDF = 1e-6
-INDEX_VERSION = "trigram-1"
 MAX_TERMS = 8
+RARE = 3
+SLICE = 512
 
 
-def index_rows(docs: DataFrame) -> DataFrame:
-    """Search text of current, processed documents."""
-    return docs.where("status = 'processed'").select(
-        "document_id", "source_id", "published_date", F.col("current_version_id").alias("version_id"), normalize(F.coalesce("title", F.lit(""))).alias("title_text"),
-        normalize(F.coalesce("body_text", F.lit(""))).alias("body_text"), F.lit(INDEX_VERSION).alias("index_version"),
-    )
+def trigram_postings(index: DataFrame) -> DataFrame:
+    """document_id, field, gram, tf: counted document by document, so nothing is shuffled and no gram is gathered."""
+    each = F.explode(F.array(F.struct(F.lit("title").alias("field"), F.col("in_title").alias("tf")), F.struct(F.lit("body").alias("field"), F.col("in_body").alias("tf"))))
+    return gram_counts(index, (3,)).select("document_id", "gram", each.alias("f")).select("document_id", "f.field", "gram", F.col("f.tf").cast("long").alias("tf")).where("tf > 0")
+
+
+def corpus_stats(index: SearchIndex) -> DataFrame:
+    """One row: documents, and their mean length in trigrams of title and body."""
+    return index.documents.agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
 
 
 def _grams(text: Column, n: int = 3) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * n}))"), F.lit(1))
 
 
-def trigram_postings(index: DataFrame) -> DataFrame:
-    """document_id, field, gram, tf. Counts are summed before the shuffle, so a very common gram is one row a task."""
-    fields = F.explode(F.array(F.struct(F.lit("title").alias("field"), F.col("title_text").alias("t")), F.struct(F.lit("body").alias("field"), F.col("body_text").alias("t"))))
-    rows = index.select("document_id", fields.alias("f")).select("document_id", F.col("f.field").alias("field"), F.explode(_grams(F.col("f.t"))).alias("gram"))
-    return rows.groupBy("document_id", "field", "gram").agg(F.count("*").alias("tf"))
-
+def _words(term: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(normalize(term), " "), lambda w: w != ""))
 
-def corpus_stats(index: DataFrame) -> DataFrame:
-    """One row: documents, and their mean length in trigrams of title and body."""
-    return index.agg(F.count("*").alias("docs"), F.avg(_size()).alias("avg_len"))
 
-
-def _size() -> Column:
-    size = lambda c: F.greatest(F.length(c) - 2, F.lit(0))
-    return size("title_text") + size("body_text")
+def refused(queries: DataFrame) -> DataFrame:
+    """query_id, code of queries that no search answers: a shortened query would be another one."""
+    return queries.where(F.size(_words(F.col("term"))) > MAX_TERMS).select("query_id", F.lit("too_many_terms").alias("code"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id, terms (first distinct words of the normalised query)."""
-    words = F.array_distinct(F.filter(F.split(normalize(F.col("term")), " "), lambda w: w != ""))
-    return queries.select("query_id", F.slice(words, 1, MAX_TERMS).alias("terms"))
+    """query_id, terms (distinct words of the normalised query) of queries that are not ``refused``."""
+    return queries.select("query_id", _words(F.col("term")).alias("terms")).where(F.size("terms") <= MAX_TERMS)
 
 
 def query_groups(queries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -68,42 +64,52 @@ def query_groups(queries: DataFrame, aliases: DataFrame | None = None) -> DataFr
 
 def query_validate(queries: DataFrame) -> DataFrame:
     """query_id and code of each query: the first rule that its text, dates, limit or offset break."""
-    words = F.size(F.array_distinct(F.filter(F.split(normalize(F.col("term")), " "), lambda w: w != "")))
     rules = [
         ("empty", F.trim("term") == ""), ("too_long", F.length("term") > 200), ("dates_not_ordered", F.col("date_from") > F.col("date_to")),
-        ("control", F.col("term").rlike("[\\x00-\\x08\\x0e-\\x1b]")), ("too_many_terms", words > MAX_TERMS),
+        ("control", F.col("term").rlike("[\\x00-\\x08\\x0e-\\x1b]")), ("too_many_terms", F.size(_words(F.col("term"))) > MAX_TERMS),
         ("limit_out_of_range", ~F.col("limit").between(1, 100)), ("offset_out_of_range", ~F.col("offset").between(0, 10_000)),
     ]
     return queries.select("query_id", F.coalesce(*(F.when(c, name) for name, c in rules), F.lit("ok")).alias("code"))
 
 
-def document_grams(index: DataFrame, sizes: list[int]) -> DataFrame:
-    """document_id, gram: the distinct n-grams of each document, a posting list that may be stored and reused."""
-    every = F.array_distinct(F.concat(*(_grams(F.col(c), n) for c in ("title_text", "body_text") for n in sizes)))
-    return index.select("document_id", F.explode(every).alias("gram"))
+def indexed(index: SearchIndex | DataFrame) -> SearchIndex:
+    """A stored index as it is, or one built of index rows for this call."""
+    return index if isinstance(index, SearchIndex) else built(index)
 
 
 def _term_grams(terms: DataFrame) -> DataFrame:
+    """t, gram: the distinct trigrams of a term; a shorter term is its own gram."""
     return terms.select("t", F.explode(F.when(F.length("t") < 3, F.array("t")).otherwise(F.array_distinct(_grams(F.col("t"))))).alias("gram"))
 
 
-def search_prefilter(index: DataFrame, queries: DataFrame, aliases: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
+def _holding(index: SearchIndex, grams: DataFrame) -> DataFrame:
+    """t, document_id, version_id, in_title, in_body (of one of its grams): documents that hold all grams given of t.
+    Not all versions need be live. The grams go to the postings, whose buckets are the groups' too."""
+    needed = grams.groupBy("t").agg(F.count("*").alias("n"))
+    wanted = stored(grams.join(needed, "t"), "grams")  # of a known size: handed out whole while small, shuffled else
+    there = index.postings.join(wanted, "gram").groupBy("document_id", "version_id", "t", "n")
+    both = there.agg(F.count("*").alias("m"), F.max("in_title").alias("in_title"), F.max("in_body").alias("in_body"))
+    return both.where("m = n").drop("m", "n")
+
+
+def search_prefilter(index: SearchIndex | DataFrame, queries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """query_id, document_id: documents that for each long group have every trigram of one of its alternatives.
     Queries without a long group have no prefilter and do not appear."""
+    index = indexed(index)
     groups = query_groups(queries, aliases).where("long")
     asked = groups.select("query_id", "pos", F.explode("alternatives").alias("t"))
-    grams = _term_grams(asked.select("t").distinct())
-    wanted = grams.groupBy("t").agg(F.count("*").alias("n"))
-    there = (document_grams(index, [3]) if postings is None else postings).join(grams, "gram").groupBy("t", "document_id").agg(F.count("*").alias("m"))
-    full = there.join(wanted, "t").where("m = n").select("t", "document_id")
-    met = asked.join(full, "t").groupBy("query_id", "document_id").agg(F.size(F.collect_set("pos")).alias("met"))
+    full = _holding(index, _term_grams(asked.select("t").distinct())).join(index.live, ["document_id", "version_id"], "left_semi")
+    met = asked.join(full.select("t", "document_id"), "t").groupBy("query_id", "document_id").agg(F.size(F.collect_set("pos")).alias("met"))
     needed = groups.groupBy("query_id").agg(F.count("*").alias("needed"))
     return met.join(needed, "query_id").where("met = needed").select("query_id", "document_id")
 
 
-def search_candidates(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, document_id of documents that have every trigram of the query's terms of three or more characters."""
-    return search_prefilter(index, queries)
+def search_candidates(index: SearchIndex | DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, document_id, n: documents that have every trigram of the query's terms of three or more characters,
+    and how many groups the literal recheck still has to look at (those with a term longer than its trigram, or none)."""
+    open_groups = query_groups(queries).select("query_id", F.exists("alternatives", lambda t: F.length(t) != 3).cast("int").alias("open"))
+    left = open_groups.groupBy("query_id").agg(F.sum("open").cast("int").alias("n"))
+    return search_prefilter(index, queries).join(left, "query_id")
 
 
 def _overlaps_itself(t: Column) -> Column:
@@ -113,39 +119,46 @@ def _overlaps_itself(t: Column) -> Column:
 def _count(text: Column, term: Column, loops: Column) -> Column:
     """Occurrences of ``term``, overlapping ones too; only a term that can overlap itself needs a look at each place."""
     each = F.size(F.regexp_extract_all(text, F.concat(F.lit(r"(?s)(?=(\Q"), term, F.lit(r"\E))")), F.lit(1)))
-    apart = (F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)
-    return F.when(loops, each).otherwise(apart.cast("int"))
-
-
-def term_hits(index: DataFrame, terms: DataFrame, postings: DataFrame | None = None) -> DataFrame:
-    """t, document_id, in_title, in_body (occurrences) wherever a term of ``terms`` (t, distinct) stands literally."""
-    sizes = [r[0] for r in terms.select(F.least(F.length("t"), F.lit(3))).distinct().collect()]  # at most 1, 2 and 3
-    if not sizes:
-        sizes = [3]
-    grams = _term_grams(terms)
-    there = (document_grams(index, sizes) if postings is None else postings).join(grams.select("gram").distinct(), "gram", "left_semi")
-    often = there.groupBy("gram").agg(F.count("*").alias("df"))
-    rarest = grams.join(often, "gram", "left").groupBy("t").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
-    near = there.join(rarest.withColumn("loops", _overlaps_itself(F.col("t"))), "gram").select("t", "loops", "document_id")
-    text = index.select("document_id", "title_text", "body_text")
-    hits = near.join(text, "document_id").where(F.contains("title_text", "t") | F.contains("body_text", "t"))
-    return hits.select("t", "document_id", _count(F.col("title_text"), F.col("t"), F.col("loops")).alias("in_title"), _count(F.col("body_text"), F.col("t"), F.col("loops")).alias("in_body"))
-
-
-def search_rank(index: DataFrame, queries: DataFrame, aliases: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
+    apart = (F.octet_length(text) - F.octet_length(F.replace(text, term, F.lit("")))) / F.octet_length(term)
+    return F.when(~F.contains(text, term), 0).when(loops, each).otherwise(apart.cast("int"))
+
+
+def term_hits(index: SearchIndex | DataFrame, terms: DataFrame) -> DataFrame:
+    """t, document_id, in_title, in_body (occurrences) wherever a term of ``terms`` (t, distinct) stands literally.
+
+    Terms of up to three characters are answered by the postings' counts. Of a longer one the RARE rarest grams are
+    intersected; a document's candidate terms are gathered, at most about SLICE in a row, and its text is joined once
+    a row, in its bucket, and searched for all of them.
+    """
+    index = indexed(index)
+    frequent = _term_grams(terms).join(index.frequency, "gram", "left")
+    rarest = frequent.groupBy("t").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)), "gram"))), 1, RARE).alias("g"))
+    grams = stored(rarest.select("t", F.explode("g.gram").alias("gram")), "rarest")
+    near = _holding(index, grams)
+    exact = near.where(F.length("t") <= 3).join(index.live, ["document_id", "version_id"], "left_semi")
+    slices = -(-terms.count() // SLICE)
+    term = F.struct("t", _overlaps_itself(F.col("t")).alias("loops"))
+    rows = near.where(F.length("t") > 3).withColumn("slice", F.pmod(F.xxhash64("t"), F.lit(max(slices, 1))))
+    rows = rows.groupBy("document_id", "version_id", "slice").agg(F.collect_list(term).alias("terms")).join(index.texts, ["document_id", "version_id"])
+    here = lambda c, t: _count(F.col(c), t["t"], t["loops"])
+    found = rows.select("document_id", F.inline(F.transform("terms", lambda t: F.struct(t["t"].alias("t"), here("title_text", t).alias("in_title"), here("body_text", t).alias("in_body")))))
+    return exact.select("t", "document_id", "in_title", "in_body").unionByName(found.where("in_title > 0 OR in_body > 0"))
+
+
+def search_rank(index: SearchIndex | DataFrame, queries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """query_id, document_id of each document that for every group of the query holds an alternative literally, with
     source_id, published_date, long (whether the query has a long group), title_hits (groups met in the title) and
-    score.
+    score. Queries that are ``refused`` have no rows.
 
     With a long group, score is BM25 over the alternatives of long groups, title hits weighted, lengths in trigrams;
     otherwise it is title_hits.
     """
+    index = indexed(index)
     groups = query_groups(queries, aliases)
     asked = groups.select("query_id", "pos", "long", F.explode("alternatives").alias("t"))
-    hits = stored(term_hits(index, asked.select("t").distinct(), postings), "hits")
+    hits = stored(term_hits(index, asked.select("t").distinct()), "hits")
     frequency = hits.groupBy("t").agg(F.count("*").alias("df"))
-    whole = index.select("document_id", "source_id", "published_date", _size().alias("len"))
-    rows = asked.join(hits.join(frequency, "t"), "t").join(whole, "document_id").crossJoin(corpus_stats(index))  # one row
+    rows = asked.join(hits.join(frequency, "t"), "t").join(index.documents, "document_id").crossJoin(corpus_stats(index))  # one row
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     tf = TITLE_WEIGHT * F.col("in_title") + F.col("in_body")
     part = F.when(F.col("long"), idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))))
@@ -159,17 +172,17 @@ def search_rank(index: DataFrame, queries: DataFrame, aliases: DataFrame | None
     return full.select("query_id", "document_id", "source_id", "published_date", "long", "title_hits", score.alias("score"))
 
 
-def search_match(index: DataFrame, queries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+def search_match(index: SearchIndex | DataFrame, queries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """query_id, document_id of each match."""
     return search_rank(index, queries, aliases).select("query_id", "document_id")
 
 
-def search_bm25(index: DataFrame, queries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+def search_bm25(index: SearchIndex | DataFrame, queries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Matches of queries with a long group, with their BM25 score."""
     return search_rank(index, queries, aliases).where("long").drop("long", "title_hits")
 
 
-def search_title_rank(index: DataFrame, queries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+def search_title_rank(index: SearchIndex | DataFrame, queries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Matches of queries without a long group, ranked by the groups that the title meets."""
     own = search_rank(index, queries, aliases).where("NOT long")
     return own.withColumn("rank", F.row_number().over(_best("query_id"))).select("query_id", "rank", "document_id", "title_hits")
@@ -179,26 +192,29 @@ def _best(*keys: str):
     return W.partitionBy(*keys).orderBy(F.desc("score"), F.desc("published_date"), "document_id")
 
 
-def search_batch(index: DataFrame, queries: DataFrame, limit: int = 20, offset: int = 0, aliases: DataFrame | None = None) -> DataFrame:
-    """A page of each query: rank, document, score, snippet and the query's total, which does not depend on the page."""
+def search_batch(index: SearchIndex | DataFrame, queries: DataFrame, limit: int = 20, offset: int = 0, aliases: DataFrame | None = None) -> DataFrame:
+    """A page of each query: rank, document, score, snippet and the query's total, which does not depend on the page.
+    A query that is ``refused`` has one row, with its code and nothing else."""
+    index = indexed(index)
     scored = search_rank(index, queries, aliases)
     page = scored.withColumn("rank", F.row_number().over(_best("query_id"))).withColumn("total", F.count("*").over(W.partitionBy("query_id")))
     page = page.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
     words = query_groups(queries, aliases).groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("alternatives"))).alias("terms"))
-    page = page.join(index.select("document_id", "body_text"), "document_id").join(words, "query_id")
-    return page.select("query_id", "rank", "document_id", "score", "total", snippet(F.col("body_text"), F.col("terms")).alias("snippet"))
+    page = page.join(index.texts.select("document_id", "body_text"), "document_id").join(words, "query_id")
+    found = page.select("query_id", "rank", "document_id", "score", "total", snippet(F.col("body_text"), F.col("terms")).alias("snippet"))
+    return found.unionByName(refused(queries), allowMissingColumns=True)
 
 
-def per_source_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def per_source_topk(index: SearchIndex | DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k best of each source and query; scores of sources are not compared."""
     ranked = search_rank(index, queries).withColumn("rank", F.row_number().over(_best("query_id", "source_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "source_id", "rank", "document_id")
 
 
-def word_rank(index: DataFrame, queries: DataFrame) -> DataFrame:
+def word_rank(index: SearchIndex | DataFrame, queries: DataFrame) -> DataFrame:
     """The rival method: all terms must be whole words of title or body; more words in the title come first."""
     words = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    there = index.select("document_id", "published_date", words("title_text").alias("tw"), F.explode(F.array_distinct(F.concat(words("title_text"), words("body_text")))).alias("t"))
+    there = indexed(index).texts.select("document_id", "published_date", words("title_text").alias("tw"), F.explode(F.array_distinct(F.concat(words("title_text"), words("body_text")))).alias("t"))
     there = there.select("document_id", "published_date", "t", F.array_contains("tw", F.col("t")).cast("int").alias("in_title"))
     terms = query_terms(queries)
     asked = terms.select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("t"))
@@ -206,8 +222,9 @@ def word_rank(index: DataFrame, queries: DataFrame) -> DataFrame:
     return met.where("m = n").select("query_id", "document_id", "published_date", "score")
 
 
-def search_compare(index: DataFrame, queries: DataFrame, aliases: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+def search_compare(index: SearchIndex | DataFrame, queries: DataFrame, aliases: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """``retrieval_metrics`` of four methods: literal (by date), words, trigram, and trigram with aliases."""
+    index = indexed(index)
     plain = stored(search_rank(index, queries), "ranked")
     ways = {"literal": plain.withColumn("score", F.lit(0.0)), "words": word_rank(index, queries), "trigram": plain, "trigram_aliases": search_rank(index, queries, aliases)}
     out = None

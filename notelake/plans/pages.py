@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import page_stream as ps
 from ..operators import pages as ops
 from ..registry import query
 from ..sources.bindings import oracle, view
@@ -13,20 +14,72 @@ def _pages(spark, sf):
     return spark.read.parquet(f"{sf}/pages.parquet")
 
 
-def _nested(sql: str) -> str:
-    for p in ops.DROPS:
-        sql = f"regexp_replace({sql}, '{p}', '', 'gis')"
-    return f"regexp_replace({sql}, '{ops.HANDLERS.replace(chr(39), chr(39) * 2)}', '', 'gi')"
-
-
-def _lines(clean: str) -> str:
-    t = f"regexp_replace(regexp_replace(regexp_replace({clean}, '</t[dh]\\s*>', chr(9), 'gi'), '{ops.BLOCK}', chr(10), 'gi'), '<[^>]*>', '', 'g')"
-    for name, char in ops.ENTITIES.items():
-        t = f"replace({t}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
-    return f"array_to_string(list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))"
-
-
-_CLEAN = _nested("html")
+_BLOCKS, _VOID = list(ps.BLOCKS), list(ps.VOID)
+_ATTRIBUTE = r"""([^\s=/>"''][^\s=/>]*)(?:\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>]*)))?"""
+_TOKEN = (
+    r"<!--.*?-->|<!--.*$|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<(?:script|style)\b.*$|<[!?][^>]*>"
+    r"""|</?[a-z][^\s/>]*(?:[^>=]|=\s*(?:"[^"]*"|''[^'']*''|[^\s>"''][^\s>]*|))*>|[^<]+|<.*$"""
+)
+_NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&nbsp;": " ", "&copy;": "©", "&middot;": "·"}
+
+
+def _decoded(text: str) -> str:
+    for name, char in _NAMED.items():
+        text = f"replace({text}, '{name}', '{char}')"
+    number = "list_reduce(regexp_extract_all({0}, '&#x?[0-9A-Fa-f]+;'), lambda t, e: replace(t, e, chr(CASE WHEN e[3] = 'x' THEN ('0' || e[3:-2])::INT ELSE e[3:-2]::INT END)), {0})"
+    return f"replace({number.format(text)}, '&amp;', '&')"
+
+
+def _attribute(of: str, name: str) -> str:
+    said = f"""regexp_extract({of}, '\\s{name}\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s>"'']+)', 1, 'i')"""
+    return _decoded(f"trim({said}, chr(34) || chr(39))")
+
+
+def _stream(source: str) -> str:
+    """The same streams by recursion over rows: a step pops one open element, or takes the next token. ``e`` has a row a
+    step, in order of ``step``, with what was emitted."""
+    innermost = "len(s) - coalesce(list_position(list_reverse(list_transform(s, lambda x: {})), true), len(s) + 1) + 1"
+    return f"""tokens AS MATERIALIZED (SELECT page_id, url, regexp_extract_all(coalesce(html, ''), '{_TOKEN}', 0, 'is') AS ts FROM {source}),
+token AS MATERIALIZED (
+  SELECT page_id, i, t, n, CASE WHEN regexp_matches(t, '^</[a-z].*>$', 'is') THEN 'close' WHEN t[1] <> '<' THEN 'text' WHEN regexp_matches(t, '^<(?:script|style)\\b', 'i') THEN 'skip'
+      WHEN regexp_matches(t, '^<[a-z].*>$', 'is') THEN CASE WHEN n IN {tuple(ps.VOID)} THEN 'void' ELSE 'open' END ELSE 'skip' END AS kind,
+    n IN {tuple(ps.DROPPED)} OR regexp_matches(t, '\\shidden(?:[\\s=/>]|$)', 'i') OR {_attribute('t', 'aria-hidden')} = 'true'
+      OR regexp_matches(lower(regexp_replace({_attribute('t', 'style')}, '\\s', '', 'g')), '(?:^|;)(?:display:none|visibility:hidden)(?:!important)?(?:;|$)')
+      OR len(list_intersect(string_split_regex({_attribute('t', 'class')}, '\\s+'), {list(ps.DROPPED_CLASSES)})) > 0 AS marked
+  FROM (SELECT *, lower(regexp_extract(t, '^</?([A-Za-z][^\\s/>]*)', 1)) AS n FROM (SELECT page_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM tokens))),
+walk AS (
+  SELECT page_id, 0 AS step, 1 AS i, []::VARCHAR[] AS s, 0 AS lost, '' AS kind, '' AS n, '' AS t, true AS dropped, 0 AS depth FROM tokens
+  UNION ALL
+  SELECT page_id, step + 1, CASE WHEN act IN ('pop', 'end') THEN i ELSE i + 1 END,
+    CASE WHEN act IN ('pop', 'end', 'last') THEN s[:-2] WHEN act = 'open' THEN list_append(s, own) ELSE s END,
+    CASE WHEN act IN ('pop', 'end', 'last') AND lost >= len(s) THEN 0 WHEN act = 'open' AND lost = 0 AND marked THEN len(s) + 1 ELSE lost END,
+    CASE WHEN act IN ('pop', 'end', 'last') THEN 'close' WHEN act = 'none' THEN 'skip' ELSE act END,
+    CASE WHEN act IN ('pop', 'end', 'last') THEN s[-1] ELSE own END, said,
+    lost > 0 OR (act IN ('open', 'void') AND marked), CASE WHEN act IN ('pop', 'end', 'last') THEN len(s) - 1 ELSE len(s) END
+  FROM (
+    SELECT *, CASE WHEN k IS NULL THEN 'end' WHEN k = 'open' AND own IN {tuple(ps.BLOCKS)} AND block > 0
+        AND (s[block] = 'p' OR {" OR ".join(f"(own = '{k}' AND s[block] IN ({', '.join(map(repr, v))}))" for k, v in ps.ENDS.items())}) THEN 'pop'
+      WHEN k = 'close' THEN CASE WHEN same = 0 OR NOT (own IN {tuple(ps.BLOCKS)} OR same > block) THEN 'none' WHEN same < len(s) THEN 'pop' ELSE 'last' END ELSE k END AS act
+    FROM (SELECT w.*, x.kind AS k, x.n AS own, x.t AS said, x.marked, {innermost.format(f"list_contains({_BLOCKS}, x)")} AS block, {innermost.format("x = x_n")} AS same
+      FROM (SELECT w.*, coalesce(x.n, '') AS x_n FROM walk w LEFT JOIN token x ON x.page_id = w.page_id AND x.i = w.i) w LEFT JOIN token x ON x.page_id = w.page_id AND x.i = w.i)
+    WHERE k IS NOT NULL OR len(s) > 0)),
+e AS MATERIALIZED (
+  SELECT *, CASE kind WHEN 'text' THEN t WHEN 'close' THEN '</' || n || '>' ELSE '<' || n || array_to_string(list_transform(
+      list_filter(regexp_extract_all(regexp_replace(t, '^<[a-z][^\\s/>]*|>$', '', 'gi'), '{_ATTRIBUTE}'), lambda a: NOT regexp_matches(a, '^{ps.LOST}(?:\\s*=|$)', 'i')),
+      lambda a: ' ' || lower(regexp_extract(a, '^[^\\s=]+')) || '="' || replace(trim(regexp_replace(a, '^[^\\s=]+\\s*=?\\s*', ''), CASE WHEN contains(a, '="') THEN chr(34) ELSE chr(39) END), '"', '&quot;') || '"'), '') || '>' END AS html,
+    CASE WHEN kind = 'text' THEN CASE WHEN list_contains(s, 'pre') OR list_contains(s, 'code') THEN {_decoded('t')} ELSE regexp_replace({_decoded('t')}, '[\\s\\p{{Z}}]+', ' ', 'g') END END AS said
+  FROM walk WHERE kind NOT IN ('', 'skip'))"""
+
+
+_LINES = """array_to_string(list_filter(list_transform(string_split_regex(coalesce(string_agg(CASE WHEN kind = 'text' THEN said WHEN n IN ('td', 'th') THEN CASE WHEN kind = 'close' THEN chr(9) ELSE '' END
+  WHEN n IN {} THEN chr(10) ELSE '' END, '' ORDER BY step) FILTER (NOT dropped), ''), '\\r\\n|[\\n\\x0b\\x0c\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]'),
+  lambda x: regexp_replace(x, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), lambda x: x <> ''), chr(10))""".format((*ps.BLOCKS, "br"))
+
+
+def _streamed(sql: str, source: str = "page", *views: str) -> str:
+    """An oracle on the streams of a source."""
+    found = oracle(f"WITH {_stream(source)} {sql}", *views)
+    return found.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @query("page_gate", "SELECT page_id, CASE WHEN html IS NULL OR trim(html) = '' THEN 'empty_page' ELSE 'ok' END AS code FROM pages")
@@ -34,32 +87,33 @@ def _(spark, sf):
     return _pages(spark, sf).select("page_id", F.when(F.col("html").isNull() | (F.trim("html") == ""), "empty_page").when(~F.is_valid_utf8("html"), "invalid_utf8").otherwise("ok").alias("code"))
 
 
-@query("page_clean", oracle(f"SELECT page_id, {_CLEAN} AS body FROM page", "page"))
+@query("page_clean", _streamed("""SELECT page_id, CASE WHEN trim(coalesce(html, '')) = '' THEN 'empty_page' WHEN regexp_matches(ts[-1], '^<(?:!--.*[^-][^-]|(?:script|style)\\b(?:[^<]|<[^/])*|[^>]*)$', 'is') AND ts[-1][-1] <> '>' THEN 'truncated' ELSE 'ok' END AS code,
+  coalesce(body, '') AS body FROM page JOIN tokens USING (page_id) LEFT JOIN (SELECT page_id, string_agg(html, '' ORDER BY step) FILTER (NOT dropped) AS body FROM e GROUP BY page_id) USING (page_id)""", "page", "page"))
 def _(spark, sf):
-    return view(spark, sf, "page").select("page_id", ops.body(F.col("html")).alias("body"))
+    return ops.page_clean(view(spark, sf, "page"))
 
 
-@query("page_text", oracle(f"SELECT page_id, {_lines('c')} AS body_text FROM (SELECT page_id, {_CLEAN} AS c FROM page)", "page"))
+@query("page_text", _streamed(f"SELECT page_id, {_LINES} AS body_text FROM tokens LEFT JOIN e USING (page_id) GROUP BY page_id", "page", "page"))
 def _(spark, sf):
-    return view(spark, sf, "page").select("page_id", ops.body(F.col("html")).alias("c")).select("page_id", ops.body_text(F.col("c")).alias("body_text"))
+    return ops.page_text(view(spark, sf, "page"))
 
 
-_TAGS = "regexp_extract_all({}, '<img\\b[^>]*>', 0, 'is')"
-_DOT = "(contains(x, ' width=\"1\"') AND contains(x, ' height=\"1\"'))"
+_MEANS = """SELECT page_id, url, CASE page_id % 4 WHEN 1 THEN '<p><img src="a.png"></p>' WHEN 2 THEN '<p>. <img width="1" height="1"></p>' WHEN 3 THEN '<div hidden><div></div>x</div> &nbsp;' ELSE html END AS html FROM pages"""
+_DOT = f"({_attribute('t', 'width')} = '1' AND {_attribute('t', 'height')} = '1')"
 
 
-@query("page_meaningful", oracle(f"""SELECT page_id, regexp_matches({_lines('c')}, '[\\p{{L}}\\p{{N}}]') OR len(list_filter({_TAGS.format('c')}, lambda x: NOT {_DOT})) > 0 AS meaningful FROM (SELECT page_id, {_CLEAN} AS c FROM (
-SELECT page_id, CASE page_id % 4 WHEN 1 THEN '<p><img src="a.png"></p>' WHEN 2 THEN '<p>. <img width="1" height="1"></p>' WHEN 3 THEN '<div hidden>x</div> &nbsp;' ELSE html END AS html FROM pages))"""))
+@query("page_meaningful", _streamed(f"""SELECT page_id, regexp_matches(body_text, '[\\p{{L}}\\p{{N}}]') OR images > 0 AS meaningful FROM (
+SELECT page_id, {_LINES} AS body_text, count(*) FILTER (n = 'img' AND NOT dropped AND NOT {_DOT}) AS images FROM tokens LEFT JOIN e USING (page_id) GROUP BY page_id)""", f"({_MEANS})"))
 def _(spark, sf):
-    rows = _pages(spark, sf).selectExpr("page_id", """CASE page_id % 4 WHEN 1 THEN '<p><img src="a.png"></p>' WHEN 2 THEN '<p>. <img width="1" height="1"></p>' WHEN 3 THEN '<div hidden>x</div> &nbsp;' ELSE html END AS html""")
-    return rows.select("page_id", ops.meaningful(ops.body(F.col("html"))).alias("meaningful"))
+    return ops.page_meaningful(spark.sql(_MEANS.replace("FROM pages", "FROM {pages}"), pages=_pages(spark, sf)))
 
 
-_SAID = 'Date: ([^<]*)</i>'
+_SAID = '^Date: (.*)$'
 
 
 @query("page_fields", oracle(f"""SELECT page_id, title, CASE WHEN title = '' THEN 'title_missing' ELSE 'ok' END AS title_code, d AS published_date, CASE WHEN said = '' THEN 'date_missing' WHEN d IS NULL THEN 'date_invalid' ELSE 'ok' END AS date_code FROM (
-SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '\\s+', ' ', 'g')) AS title, regexp_extract(html, '{_SAID}', 1) AS said, CAST(try_strptime(regexp_extract(html, '{_SAID}', 1), '%Y-%m-%d') AS DATE) AS d FROM page)""", "page"))
+SELECT *, CAST(try_strptime(CASE WHEN length(said) = 10 THEN said END, '%Y-%m-%d') AS DATE) AS d FROM (
+SELECT page_id, {_decoded("trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)(?:</h1>|<[^>]*$|$)', 1), '\\s+', ' ', 'g'))")} AS title, regexp_extract(html, '<i class="date">Date: ([^<]*)(?:<|$)', 1) AS said FROM page))""", "page"))
 def _(spark, sf):
     return ops.page_fields(view(spark, sf, "page"), _SAID)
 
@@ -67,28 +121,50 @@ def _(spark, sf):
 def _full(h: str) -> str:
     full = f"""CASE WHEN regexp_matches({h}, '^https?://', 'i') THEN {h} WHEN starts_with({h}, '//') THEN regexp_extract(url, '^(https?:)', 1) || {h} WHEN starts_with({h}, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || {h}
 WHEN starts_with({h}, '?') THEN regexp_replace(url, '[?#].*$', '') || {h} ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '([^:/])/[^/]*$', '\\1') || '/' || {h} END"""
-    full = f"regexp_replace({full}, '/(\\./)+', '/', 'g')"
-    for _ in range(3):
-        full = f"regexp_replace({full}, '([^:/])/[^/?#.][^/?#]*/\\.\\./', '\\1/', 'g')"
-    return full
+    path = f"regexp_extract({full}, '^https?://[^/?#]*([^?#]*)', 1)"
+    step = "lambda a, x: CASE x[1] WHEN '.' THEN a WHEN '..' THEN a[:greatest(len(a) - 1, 1)] ELSE a || x END"
+    folded = f"list_reduce(list_transform(string_split({path}, '/')[2:], lambda x: [x]), {step}, [''])"
+    end = f"CASE WHEN regexp_matches({path}, '/\\.\\.?$') THEN [''] ELSE [] END"
+    return f"""CASE WHEN regexp_matches({path}, '/\\.\\.?(?:/|$)') THEN regexp_extract({full}, '^(https?://[^/?#]*)', 1) || array_to_string({folded} || {end}, '/') || regexp_extract({full}, '([?#].*)$', 1) ELSE {full} END"""
+
+
+_WITHIN = "SELECT a.page_id, a.step, b.step AS inner_step, b.kind, b.n, b.t, b.said, b.dropped FROM {} a JOIN e b ON b.page_id = a.page_id AND b.step > a.step AND b.step < a.close"
+
+
+def _closing(name: str, where: str) -> str:
+    """Openings of a kind with the steps of their closings: the next row of that name at their depth."""
+    return f"{name} AS (SELECT a.*, (SELECT min(b.step) FROM e b WHERE b.page_id = a.page_id AND b.step > a.step AND b.kind = 'close' AND b.n = a.n AND b.depth = a.depth) AS close FROM e a WHERE a.kind IN ('open', 'void') AND {where})"
+
+
+_TEXT = "trim(regexp_replace(coalesce(string_agg(said, '' ORDER BY {0}) FILTER (kind = 'text'{1}), ''), '[\\s\\p{{Z}}]+', ' ', 'g'))"
 
 
-@query("page_links", oracle(f"""SELECT page_id, pos, code, CASE WHEN code = 'ok' THEN {_full('h')} END AS link FROM (SELECT *, CASE WHEN regexp_matches(h, '[\\x00-\\x1f\\\\ ]') OR (regexp_matches(h, '^https?:', 'i') AND NOT regexp_matches(h, '^https?://[^/?#]', 'i')) OR starts_with(h, '///') THEN 'invalid_link' ELSE 'ok' END AS code FROM (
-SELECT page_id, url, generate_subscripts(m, 1) - 1 AS pos, trim(regexp_extract(unnest(m), '\\shref=(?:"([^"]*)"|''([^'']*)'')', 1, 'i') || regexp_extract(unnest(m), '\\shref=(?:"([^"]*)"|''([^'']*)'')', 2, 'i')) AS h FROM (SELECT page_id, url, regexp_extract_all(html, '{ops.HREF.replace(chr(39), chr(39) * 2)}', 0, 'i') AS m FROM page))
-WHERE h <> '' AND NOT starts_with(h, '#') AND NOT (regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') AND NOT regexp_matches(h, '^https?:', 'i')))""", "page"))
+@query("page_links", _streamed(f""", {_closing('anchor', "n = 'a' AND NOT dropped AND regexp_matches(t, '\\shref(?:[\\s=/>]|$)', 'i')")},
+worded AS (SELECT page_id, step, {_TEXT.format('inner_step', ' AND NOT dropped')} AS text FROM ({_WITHIN.format('anchor')}) GROUP BY page_id, step),
+linked AS (SELECT page_id, url, trim({_attribute('t', 'href')}) AS h, row_number() OVER (PARTITION BY page_id ORDER BY step) - 1 AS pos, coalesce(text, '') AS text FROM anchor JOIN tokens USING (page_id) LEFT JOIN worded USING (page_id, step)),
+coded AS (SELECT *, CASE WHEN regexp_matches(h, '[\\x00-\\x1f\\\\ ]') OR (regexp_matches(h, '^https?:', 'i') AND NOT regexp_matches(h, '^https?://[^/?#]', 'i')) OR starts_with(h, '///') THEN 'invalid_link' ELSE 'ok' END AS code FROM linked
+  WHERE h <> '' AND NOT starts_with(h, '#') AND NOT (regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') AND NOT regexp_matches(h, '^https?:', 'i')))
+SELECT page_id, pos, code, CASE WHEN code = 'ok' THEN {_full('h')} END AS link, text FROM coded""", "page", "page"))
 def _(spark, sf):
     return ops.page_links(view(spark, sf, "page"))
 
 
-@query("page_images", oracle(f"""SELECT page_id, pos, CASE WHEN src = '' THEN 'image_url_invalid' ELSE 'ok' END AS code, CASE WHEN src <> '' THEN {_full('src')} END AS src, alt FROM (SELECT page_id, url, generate_subscripts(m, 1) - 1 AS pos, regexp_extract(unnest(m), '\\ssrc="([^"]*)"', 1) AS src, regexp_extract(unnest(m), '\\salt="([^"]*)"', 1) AS alt
-FROM (SELECT page_id, url, list_filter({_TAGS.format(_CLEAN)}, lambda x: NOT {_DOT}) AS m FROM page))""", "page"))
+@query("page_images", _streamed(f"""SELECT page_id, pos, CASE WHEN src = '' THEN 'image_url_invalid' ELSE 'ok' END AS code, CASE WHEN src <> '' THEN {_full('src')} END AS src, alt FROM (
+SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY step) - 1 AS pos, {_attribute('t', 'src')} AS src, {_attribute('t', 'alt')} AS alt FROM e JOIN tokens USING (page_id) WHERE n = 'img' AND NOT dropped AND NOT {_DOT})""", "page", "page"))
 def _(spark, sf):
     return ops.page_images(view(spark, sf, "page"))
 
 
-@query("page_attachments", oracle(f"""SELECT page_id, pos, name, code, CASE WHEN code = 'ok' THEN {_full('h')} END AS url, CASE WHEN code = 'ok' AND contains(h, '/download?') THEN regexp_extract(h, '[?&]owner=([^&]*)', 1) || ':' || regexp_extract(h, '[?&]file=([^&]*)', 1) END AS attachment_id FROM (
-SELECT *, CASE WHEN name = '' THEN 'attachment_name_missing' WHEN contains(h, '/download?') AND len(regexp_extract_all(h, '[?&]file=')) > 1 THEN 'ambiguous_identity' WHEN contains(h, '/download?') AND NOT regexp_full_match(regexp_extract(h, '[?&]file=([^&]*)', 1), '[A-Za-z0-9]+') THEN 'identity_invalid' ELSE 'ok' END AS code FROM (
-SELECT page_id, url, generate_subscripts(m, 1) - 1 AS pos, regexp_extract(unnest(m), 'href="([^"]*)"', 1) AS h, trim(regexp_replace(unnest(m), '<[^>]*>', '', 'g')) AS name FROM (SELECT page_id, url, regexp_extract_all(regexp_extract(html, '(?is)<div class="fj">(.*?)</div>', 1), '<a\\b[^>]*>.*?</a>', 0, 'is') AS m FROM page)))""", "page"))
+@query("page_attachments", _streamed(f""", {_closing('panel', f"n = 'div' AND list_contains(string_split_regex({_attribute('t', 'class')}, '\\s+'), 'fj')")},
+lone AS (SELECT * FROM panel QUALIFY count(*) OVER (PARTITION BY page_id) = 1),
+anchor AS (SELECT a.* FROM lone p JOIN (SELECT * FROM e WHERE n = 'a' AND kind = 'open') a ON a.page_id = p.page_id AND a.step > p.step AND a.step < p.close),
+ended AS (SELECT a.*, (SELECT min(b.step) FROM e b WHERE b.page_id = a.page_id AND b.step > a.step AND b.kind = 'close' AND b.n = 'a' AND b.depth = a.depth) AS close FROM anchor a),
+named AS (SELECT page_id, step, {_TEXT.format('inner_step', '')} AS name FROM ({_WITHIN.format('ended')}) GROUP BY page_id, step),
+item AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY step) - 1 AS pos, {_attribute('t', 'href')} AS h, coalesce(name, '') AS name FROM anchor JOIN tokens USING (page_id) LEFT JOIN named USING (page_id, step)),
+coded AS (SELECT *, CASE WHEN name = '' THEN 'attachment_name_missing' WHEN h = '' THEN 'attachment_url_invalid' WHEN contains(h, '/download?') AND len(regexp_extract_all(h, '[?&]file=')) > 1 THEN 'ambiguous_identity'
+  WHEN contains(h, '/download?') AND NOT regexp_full_match(regexp_extract(h, '[?&]file=([^&]*)', 1), '[A-Za-z0-9]+') THEN 'identity_invalid' ELSE 'ok' END AS code FROM item)
+SELECT page_id, pos, name, code, CASE WHEN code = 'ok' THEN {_full('h')} END AS url, CASE WHEN code = 'ok' AND contains(h, '/download?') THEN regexp_extract(h, '[?&]owner=([^&]*)', 1) || ':' || regexp_extract(h, '[?&]file=([^&]*)', 1) END AS attachment_id FROM coded
+UNION ALL SELECT page_id, 0, '', 'panel_ambiguous', NULL, NULL FROM panel GROUP BY page_id HAVING count(*) > 1""", "page", "page"))
 def _(spark, sf):
     return ops.page_attachments(view(spark, sf, "page"))
 

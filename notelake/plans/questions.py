@@ -9,7 +9,7 @@ from ..operators import questions as ops
 from ..operators import search
 from ..registry import query
 from ..sources.bindings import AT, VIEWS, oracle, view
-from .search import _INDEX, _NORM, _scored
+from .search import _INDEX, _NORM, _scored, kept_index
 
 #: Words after a question's own: expressions of time, some of them twice, wrong, or about a deadline.
 _SAID = ["最近一个月", "近30天", "过去七天", "本月", "上个月", "今年", "今天", "2024-01-02 至 2024-01-09", "2024-02-30到2024-03-01", "2024-01-09~2024-01-02", "本月，上月", "近期", "报名截止本月", "本月截止", "", "去年"]
@@ -59,18 +59,21 @@ def _asked(spark, sf):
 
 
 @query("question_retrieval", oracle(f"""WITH q AS (SELECT query_id, term || ' ? ' || {_ASKED.format('query_id')} AS question FROM ({VIEWS['term'].strip()})), {_window('q')}, seeds AS (SELECT query_id, unnest({_HINTED}) AS seed FROM q), {_INDEX},
-single AS (SELECT seed, w AS pos, [w] AS alts, length(w) >= 3 AS long FROM (SELECT seed, unnest(list_distinct(list_filter(string_split({_NORM.format('seed')}, ' '), lambda x: x <> ''))[1:8]) AS w FROM (SELECT DISTINCT seed FROM seeds))),
+cut AS (SELECT seed, list_filter(string_split({_NORM.format('seed')}, ' '), lambda x: x <> '') AS ws FROM (SELECT DISTINCT seed FROM seeds)),
+single AS (SELECT DISTINCT seed, w AS pos, [w] AS alts, length(w) >= 3 AS long FROM (SELECT seed, unnest(ws) AS w FROM cut WHERE len(list_distinct(ws)) <= 8)),
 numbered AS (SELECT dense_rank() OVER (ORDER BY seed) AS query_id, seed, pos, alts, long FROM single), {_scored('numbered')},
 hit AS (SELECT s.query_id, s.seed, d.* EXCLUDE query_id, w.warning, row_number() OVER (PARTITION BY s.query_id, s.seed, source_id ORDER BY score DESC, published_date DESC, document_id) AS r FROM seeds s JOIN (SELECT DISTINCT query_id AS sid, seed FROM numbered) k ON k.seed = s.seed JOIN scored d ON d.query_id = k.sid JOIN win w ON w.query_id = s.query_id
   WHERE (date_from IS NULL OR published_date >= date_from) AND (date_to IS NULL OR published_date <= date_to))
-SELECT query_id, source_id, document_id, (SELECT current_version_id FROM notice n WHERE n.document_id = hit.document_id) AS version_id, min(r) AS rank, count(*) AS seeds, any_value(warning) AS warning FROM hit WHERE r <= 2 GROUP BY query_id, source_id, document_id""", "notice"))
+SELECT query_id, source_id, document_id, (SELECT current_version_id FROM notice n WHERE n.document_id = hit.document_id) AS version_id, min(r) AS rank, count(*) AS seeds, any_value(warning) AS warning, NULL AS code FROM hit WHERE r <= 2 GROUP BY query_id, source_id, document_id
+UNION ALL SELECT query_id, NULL, NULL, NULL, NULL, count(*), any_value(warning), 'too_many_terms' FROM seeds JOIN cut USING (seed) JOIN win USING (query_id) WHERE len(list_distinct(ws)) > 8 GROUP BY query_id""", "notice"))
 def _(spark, sf):
     asked = _asked(spark, sf)
     docs = view(spark, sf, "notice")
     seeds = ops.seed_keywords(asked, _HINTS).select("query_id", F.explode("terms").alias("seed"))
     unique = seeds.select(F.col("seed").alias("query_id"), F.col("seed").alias("term")).distinct()
-    ranked = seeds.join(search.search_rank(search.index_rows(docs), unique).withColumnRenamed("query_id", "seed"), "seed")
-    return ops.question_retrieval(ranked, ops.publication_window(asked, local_date(F.lit(AT))), docs, 2)
+    ranked = seeds.join(search.search_rank(kept_index(spark, sf), unique).withColumnRenamed("query_id", "seed"), "seed")
+    refused = seeds.join(search.refused(unique).withColumnRenamed("query_id", "seed"), "seed")
+    return ops.question_retrieval(ranked, ops.publication_window(asked, local_date(F.lit(AT))), docs, 2, refused)
 
 
 @query("question_warnings", oracle(f"""WITH q AS ({_CONV}), {_window('q')}, st AS (SELECT query_id, 's' || CAST(query_id % 3 + k AS VARCHAR) AS source_id, (query_id + k) % 5 AS m FROM q CROSS JOIN (SELECT unnest([0, 1]) AS k)),

@@ -6,13 +6,20 @@ from pyspark.sql import functions as F
 
 from ..functions.text import snippet
 from ..operators import search as ops
+from ..operators.search_index import SearchIndex, built, delta, updated
 from ..registry import query
 from ..sources.bindings import oracle, view
 
 _NORM = r"trim(regexp_replace(replace(lower(coalesce({}, '')), 'ß', 'ss'), '\s+', ' ', 'g'))"
 _INDEX = f"idx AS (SELECT document_id, source_id, published_date, current_version_id AS version_id, {_NORM.format('title')} AS title_text, {_NORM.format('body_text')} AS body_text, 'trigram-1' AS index_version FROM notice WHERE status = 'processed')"
-_TERMS = f"""words AS (SELECT query_id, w AS t, min(i) AS i FROM (SELECT query_id, unnest(string_split({_NORM.format('term')}, ' ')) AS w, generate_subscripts(string_split({_NORM.format('term')}, ' '), 1) AS i FROM term) WHERE w <> '' GROUP BY ALL),
-terms AS (SELECT query_id, t FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i) AS r FROM words) WHERE r <= 8)"""
+#: Every query's words with their first places; queries of more than eight words are refused.
+_TERMS = f"""words AS (
+  SELECT query_id, w AS t, min(i) AS i
+  FROM (SELECT query_id, unnest(string_split(n, ' ')) AS w, generate_subscripts(string_split(n, ' '), 1) AS i
+    FROM (SELECT query_id, {_NORM.format('term')} AS n FROM term))
+  WHERE w <> '' GROUP BY ALL),
+refused AS (SELECT query_id, 'too_many_terms' AS code FROM words GROUP BY query_id HAVING count(*) > 8),
+terms AS (SELECT query_id, t FROM words WHERE query_id NOT IN (SELECT query_id FROM refused))"""
 #: Stand-ins for the fixed alternatives of a term: any of them will do.
 ALIASES = {"die": ["die", "der", "das"], "the": ["the", "these"], "la": ["la", "le"]}
 _GROUPS = _TERMS + f""", alias AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v})" for k, v in ALIASES.items())}) AS a(t, alternatives)),
@@ -46,8 +53,18 @@ def _aliases(spark):
     return spark.createDataFrame(list(ALIASES.items()), "term string, alternatives array<string>")
 
 
+_KEPT: dict[tuple[str, str], SearchIndex] = {}
+
+
+def kept_index(spark, sf) -> SearchIndex:
+    """The stored index of the notices of ``sf``: made by the first search of a session, brought up to date by others."""
+    docs, key = view(spark, sf, "notice"), (spark.sparkContext.applicationId, sf)
+    _KEPT[key] = updated(_KEPT[key], docs) if key in _KEPT else built(ops.index_rows(docs))
+    return _KEPT[key]
+
+
 def _both(spark, sf):
-    return ops.index_rows(view(spark, sf, "notice")), view(spark, sf, "term")
+    return kept_index(spark, sf), view(spark, sf, "term")
 
 
 @query("index_rows", oracle(f"WITH {_INDEX} SELECT document_id, source_id, published_date, version_id, title_text, body_text, index_version FROM idx", "notice"))
@@ -85,8 +102,9 @@ def _(spark, sf):
 _ALL_GRAMS = "len(list_filter(list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3)), lambda g: NOT contains(title_text, g) AND NOT contains(body_text, g))) = 0"
 
 
-@query("search_candidates", oracle(f"""WITH {_INDEX}, {_GROUPS} SELECT query_id, document_id FROM idx, (SELECT query_id, list(pos) AS ts FROM plain WHERE long GROUP BY query_id)
-WHERE len(list_filter(ts, lambda x: NOT ({_ALL_GRAMS}))) = 0""", "notice", "term"))
+@query("search_candidates", oracle(f"""WITH {_INDEX}, {_GROUPS},
+asked AS (SELECT query_id, list(pos) FILTER (long) AS ts, count(*) FILTER (length(pos) <> 3)::INT AS n FROM plain GROUP BY query_id HAVING bool_or(long))
+SELECT query_id, document_id, n FROM idx, asked WHERE len(list_filter(ts, lambda x: NOT ({_ALL_GRAMS}))) = 0""", "notice", "term"))
 def _(spark, sf):
     return ops.search_candidates(*_both(spark, sf))
 
@@ -110,7 +128,7 @@ def _(spark, sf):
 @query("search_page", oracle(f"""WITH {_PLAIN} SELECT query_id, rank, document_id, total FROM (
 SELECT *, {_RANK} AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM scored) WHERE rank > 5 AND rank <= 15""", "notice", "term"))
 def _(spark, sf):
-    return ops.search_batch(*_both(spark, sf), 10, 5).select("query_id", "rank", "document_id", "total")
+    return ops.search_batch(*_both(spark, sf), 10, 5).where("code IS NULL").select("query_id", "rank", "document_id", "total")
 
 
 _LINE = "trim(regexp_replace(body_text, '\\s+', ' ', 'g'))"
@@ -120,7 +138,8 @@ _LINE = "trim(regexp_replace(body_text, '\\s+', ' ', 'g'))"
 parts AS (SELECT query_id, flatten(list(alts)) AS ts FROM groups GROUP BY query_id),
 page AS (SELECT r.query_id, rank, r.document_id, score, total, body_text AS t, greatest(coalesce(list_min(list_filter(list_transform(ts, lambda x: strpos(lower(body_text), x)), lambda p: p > 0)), 1) - 61, 0) AS s
   FROM ranked r JOIN idx USING (document_id) JOIN parts USING (query_id) WHERE rank <= 20)
-SELECT query_id, rank, document_id, score, total, (CASE WHEN s > 0 THEN '…' ELSE '' END) || substr(t, s + 1, 240) || (CASE WHEN length(t) > s + 240 THEN '…' ELSE '' END) AS snippet FROM page""", "notice", "term"))
+SELECT query_id, rank, document_id, score, total, (CASE WHEN s > 0 THEN '…' ELSE '' END) || substr(t, s + 1, 240) || (CASE WHEN length(t) > s + 240 THEN '…' ELSE '' END) AS snippet, NULL AS code FROM page
+UNION ALL SELECT query_id, NULL, NULL, NULL, NULL, NULL, code FROM refused""", "notice", "term"))
 def _(spark, sf):
     return ops.search_batch(*_both(spark, sf), aliases=_aliases(spark))
 
@@ -139,6 +158,28 @@ def _(spark, sf):
     return ops.notice_detail(asked, view(spark, sf, "notice"), view(spark, sf, "version"))
 
 
+#: The notices as they were: some not there yet, some at an older version, some processed that no longer are.
+_BEFORE = """SELECT document_id, source_id, title, published_date, CASE WHEN document_id % 5 = 1 THEN current_version_id + 1000000 ELSE current_version_id END AS current_version_id,
+  CASE WHEN document_id % 5 = 1 THEN concat('earlier ', body_text) ELSE body_text END AS body_text, 'processed' AS status FROM notice WHERE document_id % 6 > 0"""
+
+
+def _before(spark, sf):
+    return view(spark, sf, "notice").createOrReplaceTempView("notice_before") or spark.sql(_BEFORE.replace("FROM notice ", "FROM notice_before "))
+
+
+@query("index_delta", oracle(f"""WITH then_ AS ({_BEFORE}), now_ AS (SELECT document_id, current_version_id FROM notice WHERE status = 'processed')
+SELECT document_id, current_version_id AS version_id, 'add' AS change FROM now_ ANTI JOIN then_ USING (document_id, current_version_id)
+UNION ALL SELECT document_id, current_version_id, 'drop' FROM then_ ANTI JOIN now_ USING (document_id, current_version_id)""", "notice"))
+def _(spark, sf):
+    return delta(built(ops.index_rows(_before(spark, sf))), view(spark, sf, "notice"))
+
+
+@query("index_update", oracle(f"WITH {_WITH_ALIASES} SELECT query_id, document_id, title_hits, score FROM scored", "notice", "term"))
+def _(spark, sf):
+    index = updated(built(ops.index_rows(_before(spark, sf))), view(spark, sf, "notice"))
+    return ops.search_rank(index, view(spark, sf, "term"), _aliases(spark)).select("query_id", "document_id", "title_hits", "score")
+
+
 @query("snippet", oracle("""SELECT document_id, (CASE WHEN s > 0 THEN '…' ELSE '' END) || substr(t, s + 1, 240) || (CASE WHEN length(t) > s + 240 THEN '…' ELSE '' END) AS snippet FROM (
 SELECT document_id, t, greatest(coalesce(CASE WHEN least(a, b) > 0 THEN least(a, b) WHEN greatest(a, b) > 0 THEN greatest(a, b) END, 1) - 61, 0) AS s FROM (
 SELECT document_id, t, strpos(lower(t), 'tion') AS a, strpos(lower(t), 'ung') AS b FROM (SELECT document_id, trim(regexp_replace(body_text, '\\s+', ' ', 'g')) AS t FROM notice)))""", "notice"))
@@ -163,7 +204,7 @@ def _relevant(index, terms):
 @query("retrieval_metrics", oracle(f"WITH {_PLAIN}, {_REL} SELECT * EXCLUDE method FROM ({_metrics('', 'scored', 'score DESC,')})", "notice", "term"))
 def _(spark, sf):
     index, terms = _both(spark, sf)
-    ranked = ops.search_batch(index, terms, 5).select("query_id", "document_id", "rank")
+    ranked = ops.search_batch(index, terms, 5).where("code IS NULL").select("query_id", "document_id", "rank")
     return ops.retrieval_metrics(ranked, _relevant(index, terms))
 
 

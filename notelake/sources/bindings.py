@@ -81,14 +81,19 @@ SELECT page_id AS id, concat('s', CAST(page_id % 5 AS STRING)) AS source_id, url
   CASE WHEN page_id % 5 = 4 THEN 'none' WHEN page_id % 19 = 7 THEN 'partial' ELSE 'complete' END AS body_state, html AS body
 FROM pages""",
     "page": """
+SELECT page_id, url, CASE WHEN page_id % 16 = 7 THEN substr(html, 1, CAST(floor(length(html) * (page_id % 10 + 1) / 11) AS INT)) ELSE html END AS html FROM (
 SELECT page_id, url, replace(html, '</h1>', concat('</h1>', CASE WHEN page_id % 9 = 8 THEN '' ELSE concat('<i class="date">Date: ', CASE page_id % 6 WHEN 0 THEN '2024-02-30' WHEN 1 THEN 'soon' ELSE concat('2024-01-', lpad(CAST(page_id % 28 + 1 AS STRING), 2, '0')) END, '</i>') END,
   CASE page_id % 4 WHEN 1 THEN '<img src="../i/a.png" alt="a plan" width="40"><img src="/dot.gif" width="1" height="1">' WHEN 2 THEN '<img alt="none">' ELSE '' END,
   CASE page_id % 5 WHEN 1 THEN '<p hidden>unseen text</p><span class="counter">17 views</span>' WHEN 2 THEN '<p onclick="go(1)" data-x="y">seen &lt;here&gt;</p>' ELSE '' END,
-  '<a href="./x/../y.htm">y</a><a href=''mailto:a@b''>m</a><a href="//other.example/z">z</a><a href="https:/bad">b</a><a href=''?q=1''>q</a>',
-  CASE WHEN page_id % 3 = 0 THEN concat('<div class="fj"><ul><li><a href="/download?owner=', CAST(page_id AS STRING), '&file=', CASE WHEN page_id % 7 = 3 THEN 'b-d' ELSE 'f1' END, CASE WHEN page_id % 11 = 6 THEN '&file=f2' ELSE '' END, '">plan.pdf</a></li><li><a href="files/t.doc">', CASE WHEN page_id % 5 = 4 THEN '' ELSE 't.doc' END, '</a></li></ul></div>') ELSE '' END)) AS html
-FROM pages""",
+  '<a href="./x/../y.htm">y</a><a href=''mailto:a@b''>m</a><a href="//other.example/z">z</a><a href="https:/bad">b</a><a href=''?q=1''>q</a><a href=../../../../../up.htm>up <b>and</b> up</a>',
+  CASE page_id % 8 WHEN 1 THEN '<div hidden><div>one</div>two<div>three<nav>four</nav></div></div>kept' WHEN 2 THEN '<p style=''color: red; DISPLAY : none''>lost<p>found &#233;&#x4E2D;<pre>  as   is </pre>'
+    WHEN 3 THEN '<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>1<td>2<tr><th>3</table>' WHEN 4 THEN '<div class=''wide ad''><div>x</div><a href="/no">y</a></div><a href=bare.htm>bare</a>'
+    WHEN 5 THEN '<b>bold<div>in</b> block</div></i></p>after' WHEN 6 THEN '<img src=''one.png'' alt=''it is''><img src=bare.png width=1 height=1><img src=two.png alt=>' ELSE '' END,
+  CASE WHEN page_id % 27 = 4 THEN '<div class="fj"></div><div class=fj><a href="/x">x</a></div>' ELSE '' END,
+  CASE WHEN page_id % 3 = 0 THEN concat('<div class="', CASE WHEN page_id % 6 = 3 THEN 'panel fj"><div>files</div><div><ul>' ELSE 'fj"><ul>' END, '<li><a href="/download?owner=', CAST(page_id AS STRING), '&file=', CASE WHEN page_id % 7 = 3 THEN 'b-d' ELSE 'f1' END, CASE WHEN page_id % 11 = 6 THEN '&file=f2' ELSE '' END, '">plan.pdf</a></li><li><a href=files/t.doc>', CASE WHEN page_id % 5 = 4 THEN '' ELSE 't<i>.doc</i>' END, '</a></li></ul></div>', CASE WHEN page_id % 6 = 3 THEN '</div>' ELSE '' END) ELSE '' END)) AS html
+FROM pages) AS p""",
     "list_html": """
-SELECT page_id, url, concat('<ul class="am-list"><li><a href="/info/12/', CAST(page_id AS STRING), '.htm"><span>One ', CAST(page_id AS STRING), '</span><i>2024-01-0', CAST(page_id % 9 + 1 AS STRING), '</i></a></li><li><a href="', CASE page_id % 4 WHEN 1 THEN 'a b' WHEN 2 THEN '' ELSE 'x%41.htm' END, '"><span>Two</span><i> ', CASE WHEN page_id % 5 = 3 THEN '2024-13-01' ELSE '2023-12-31' END,
+SELECT page_id, url, concat('<ul class="am-list"><li><a href="/info/12/', CAST(page_id AS STRING), '.htm"><span>One ', CAST(page_id AS STRING), '</span><i>2024-01-0', CAST(page_id % 9 + 1 AS STRING), '</i></a>', CASE WHEN page_id % 4 = 3 THEN '<ul><li><a href="/inner">inner</a></ul>' ELSE '</li>' END, '<li><a href="', CASE page_id % 4 WHEN 1 THEN 'a b' WHEN 2 THEN '' ELSE 'x%41.htm' END, '"><span>Two</span><i> ', CASE WHEN page_id % 5 = 3 THEN '2024-13-01' ELSE '2023-12-31' END,
   ' </i></a></li><li>', CASE WHEN page_id % 3 = 2 THEN 'nothing' ELSE '<a href="/z"><span> </span><i>2024-01-01</i></a>' END, '</li></ul>',
   CASE WHEN page_id % 13 = 12 THEN '' ELSE concat('<div class="p_pages"><span class="p_no_d">', CASE WHEN page_id % 11 = 10 THEN 'x' ELSE CAST(CASE WHEN page_id % 7 = 6 THEN 2 ELSE 1 END AS STRING) END, '</span><span class="p_no"><a href="/l/2.htm">2</a></span>',
     CASE WHEN page_id % 17 = 5 THEN '' ELSE '<span class="p_dot">...</span>' END, '<span class="p_no"><a href="/l/', CASE WHEN page_id % 19 = 4 THEN '2' ELSE '9' END, '.htm">9</a></span>', CASE WHEN page_id % 23 = 7 THEN '' ELSE concat('<span class="p_next"><a href="/l/', CASE WHEN page_id % 5 = 2 THEN '3' ELSE '2' END, '.htm">next</a></span>') END, '<span class="p_last"><a href="/l/9.htm">last</a></span></div>') END) AS html
