@@ -35,6 +35,7 @@ _ATTRIBUTE = re.compile(r"""([^\s=/>"'][^\s=/>]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^
 _SPACES = re.compile(r"\s+")
 _ALONE = re.compile(r"""(?:^|[\s"'])/\s*$""")
 _LOST = re.compile(LOST)
+_NONE: list[tuple[str, str]] = []
 _BEGUN = re.compile(r"<(?:/?[A-Za-z]|/?$)")
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _HIDES = re.compile(r"(?:^|;)(?:display:none|visibility:hidden)(?:!important)?(?:;|$)")
@@ -49,8 +50,9 @@ def _after(html: str, mark: str, at: int) -> int | None:
 
 
 def _hidden(attributes: dict[str, str]) -> bool:
-    style = re.sub(r"\s+", "", attributes.get("style", "")).lower()
-    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(_HIDES.search(style))
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true":
+        return True
+    return "style" in attributes and bool(_HIDES.search(_SPACES.sub("", attributes["style"]).lower()))
 
 
 class Page:
@@ -58,24 +60,23 @@ class Page:
 
     def __init__(self, html: str, classes: frozenset[str]):
         self.classes, self.truncated = classes, False
-        self.kind, self.name, self.depth, self.end, self.dropped, self.attributes, self.text, self.html = ([] for _ in range(8))
+        self.nodes: list[tuple] = []  # kind, name, depth, dropped, attributes, text, html
+        self.end: list[int] = []
         self.open: list[tuple[str, int]] = []  # name and place of each open element
         self.lost = 0  # how many elements were open where the outermost dropped one began, counted from 1
         self._read(html)
         self._close(0)
 
-    def _put(self, kind: str, name: str, text: str, html: str, attributes: dict[str, str] | None = None, dropped: bool = False) -> None:
-        at = len(self.kind)
-        own = (kind, name, len(self.open), at, dropped or self.lost > 0, attributes or {}, text, html)
-        for column, x in zip((self.kind, self.name, self.depth, self.end, self.dropped, self.attributes, self.text, self.html), own, strict=True):
-            column.append(x)
+    def _put(self, kind: str, name: str, text: str, html: str, attributes: list[tuple[str, str]] = _NONE, dropped: bool = False) -> None:
+        self.end.append(len(self.nodes))
+        self.nodes.append((kind, name, len(self.open), dropped or self.lost > 0, attributes, text, html))
 
     def _close(self, level: int) -> None:
         """Close elements until ``level`` are open."""
         while len(self.open) > level:
             name, at = self.open.pop()
             self._put("close", name, "", f"</{name}>")
-            self.end[at] = len(self.kind) - 1
+            self.end[at] = len(self.nodes) - 1
             if self.lost > len(self.open):
                 self.lost = 0
 
@@ -89,17 +90,20 @@ class Page:
             if block < 0 or self.open[block][0] not in ("p", *ENDS.get(name, ())):
                 break
             self._close(block)
-        raw = {m[1].lower(): next((v for v in m.groups()[1:] if v is not None), "") for m in _ATTRIBUTE.finditer(said)}
-        attributes = {k: entities.unescape(v) for k, v in raw.items()}
-        kept = "".join(f' {k}="{v.replace(chr(34), "&quot;")}"' for k, v in raw.items() if not _LOST.fullmatch(k))
-        drop = name in DROPPED or _hidden(attributes) or not self.classes.isdisjoint(attributes.get("class", "").split())
+        attributes, drop, html = _NONE, name in DROPPED, f"<{name}>"
+        if said:
+            raw = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(said)}
+            values = {k: entities.unescape(v) for k, v in raw.items()}
+            attributes = list(values.items())
+            html = f"<{name}" + "".join(f' {k}="{v.replace(chr(34), "&quot;")}"' for k, v in raw.items() if not _LOST.fullmatch(k)) + ">"
+            drop = drop or _hidden(values) or not self.classes.isdisjoint(values.get("class", "").split())
         void = name in VOID
-        self._put("void" if void else "open", name, "", f"<{name}{kept}>", attributes, drop)
+        self._put("void" if void else "open", name, "", html, attributes, drop)
         if not void:
-            self.open.append((name, len(self.kind) - 1))
+            self.open.append((name, len(self.nodes) - 1))
             if drop and not self.lost:
                 self.lost = len(self.open)
-            if _ALONE.search(said):
+            if said and _ALONE.search(said):
                 self._close(len(self.open) - 1)
 
     def _closed(self, name: str) -> None:
@@ -142,7 +146,7 @@ class Page:
         return end.end() if end else None
 
     def _said(self, text: str) -> None:
-        plain = entities.unescape(text)
+        plain = entities.unescape(text) if "&" in text else text
         if not any(name in ("pre", "code") for name, _ in self.open):
             plain = _SPACES.sub(" ", plain)
         self._put("text", "", plain, text)
@@ -158,10 +162,11 @@ def _streamed(classes: frozenset[str]):
                 ids, urls, texts = (c.to_pylist() for c in batch.slice(at, 64).columns)
                 pages = [Page(t or "", classes) for t in texts]
                 codes = ["empty_page" if not (t or "").strip() else "truncated" if p.truncated else "ok" for p, t in zip(pages, texts, strict=True)]
-                columns = [[i for p in pages for i in range(len(p.kind))], *([x for p in pages for x in getattr(p, f)] for f in fields[1:6]), [list(x.items()) for p in pages for x in p.attributes], *([x for p in pages for x in getattr(p, f)] for f in fields[7:])]
+                kind, name, depth, dropped, attributes, text, html = zip(*(n for p in pages for n in p.nodes), strict=True) if any(p.nodes for p in pages) else [()] * 7
+                columns = [[i for p in pages for i in range(len(p.nodes))], kind, name, depth, [x for p in pages for x in p.end], dropped, attributes, text, html]
                 offsets = [0]
                 for p in pages:
-                    offsets.append(offsets[-1] + len(p.kind))
+                    offsets.append(offsets[-1] + len(p.nodes))
                 nodes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=fields))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(codes, pa.string()), nodes], names=["page_id", "url", "code", "nodes"])
 

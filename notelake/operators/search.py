@@ -6,6 +6,9 @@ where its rarest trigrams stand together (a shorter term is its own n-gram), and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,7 +101,7 @@ def search_prefilter(index: SearchIndex | DataFrame, queries: DataFrame, aliases
     index = indexed(index)
     groups = query_groups(queries, aliases).where("long")
     asked = groups.select("query_id", "pos", F.explode("alternatives").alias("t"))
-    full = _holding(index, _term_grams(asked.select("t").distinct())).join(index.live, ["document_id", "version_id"], "left_semi")
+    full = _holding(index, _term_grams(asked.select("t").distinct())).join(index.live.hint("merge"), ["document_id", "version_id"], "left_semi")
     met = asked.join(full.select("t", "document_id"), "t").groupBy("query_id", "document_id").agg(F.size(F.collect_set("pos")).alias("met"))
     needed = groups.groupBy("query_id").agg(F.count("*").alias("needed"))
     return met.join(needed, "query_id").where("met = needed").select("query_id", "document_id")
@@ -112,15 +115,26 @@ def search_candidates(index: SearchIndex | DataFrame, queries: DataFrame) -> Dat
     return search_prefilter(index, queries).join(left, "query_id")
 
 
-def _overlaps_itself(t: Column) -> Column:
-    return F.exists(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda k: (k < F.length(t)) & (F.left(t, k) == F.right(t, k)))
+def occurrences(text: str, term: str) -> int:
+    """How often a term stands in a text, overlapping places too."""
+    n, at = 0, text.find(term)
+    while at >= 0:
+        n, at = n + 1, text.find(term, at + 1)
+    return n
 
 
-def _count(text: Column, term: Column, loops: Column) -> Column:
-    """Occurrences of ``term``, overlapping ones too; only a term that can overlap itself needs a look at each place."""
-    each = F.size(F.regexp_extract_all(text, F.concat(F.lit(r"(?s)(?=(\Q"), term, F.lit(r"\E))")), F.lit(1)))
-    apart = (F.octet_length(text) - F.octet_length(F.replace(text, term, F.lit("")))) / F.octet_length(term)
-    return F.when(~F.contains(text, term), 0).when(loops, each).otherwise(apart.cast("int"))
+def _literal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The terms of each row that its texts hold, with how often: a text is read once for all of a row's terms."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 64):
+            found = []
+            for document, terms, title, body in zip(*(c.to_pylist() for c in batch.slice(i, 64).columns), strict=True):
+                for t in terms:
+                    in_title, in_body = occurrences(title, t), occurrences(body, t)
+                    if in_title or in_body:
+                        found.append((t, document, in_title, in_body))
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], names=["t", "document_id", "in_title", "in_body"])
 
 
 def term_hits(index: SearchIndex | DataFrame, terms: DataFrame) -> DataFrame:
@@ -135,14 +149,12 @@ def term_hits(index: SearchIndex | DataFrame, terms: DataFrame) -> DataFrame:
     rarest = frequent.groupBy("t").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)), "gram"))), 1, RARE).alias("g"))
     grams = stored(rarest.select("t", F.explode("g.gram").alias("gram")), "rarest")
     near = _holding(index, grams)
-    exact = near.where(F.length("t") <= 3).join(index.live, ["document_id", "version_id"], "left_semi")
+    exact = near.where(F.length("t") <= 3).join(index.live.hint("merge"), ["document_id", "version_id"], "left_semi")
     slices = -(-terms.count() // SLICE)
-    term = F.struct("t", _overlaps_itself(F.col("t")).alias("loops"))
     rows = near.where(F.length("t") > 3).withColumn("slice", F.pmod(F.xxhash64("t"), F.lit(max(slices, 1))))
-    rows = rows.groupBy("document_id", "version_id", "slice").agg(F.collect_list(term).alias("terms")).join(index.texts, ["document_id", "version_id"])
-    here = lambda c, t: _count(F.col(c), t["t"], t["loops"])
-    found = rows.select("document_id", F.inline(F.transform("terms", lambda t: F.struct(t["t"].alias("t"), here("title_text", t).alias("in_title"), here("body_text", t).alias("in_body")))))
-    return exact.select("t", "document_id", "in_title", "in_body").unionByName(found.where("in_title > 0 OR in_body > 0"))
+    rows = rows.groupBy("document_id", "version_id", "slice").agg(F.collect_list("t").alias("terms")).join(index.texts.hint("merge"), ["document_id", "version_id"])
+    found = rows.select("document_id", "terms", "title_text", "body_text").mapInArrow(_literal, "t string, document_id long, in_title int, in_body int")
+    return exact.select("t", "document_id", "in_title", "in_body").unionByName(found)
 
 
 def search_rank(index: SearchIndex | DataFrame, queries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:

@@ -1,6 +1,6 @@
 """A stored lexical index that is kept up to date: n-gram postings with counts beside the texts they come from.
 
-Both tables are bucketed by document. A batch of queries then meets postings where they lie: the queries' grams are
+Both tables are bucketed by document and version. A batch of queries then meets postings where they lie: the queries' grams are
 handed to every bucket, the grams of one term meet within a bucket, and a candidate's text is in the bucket of the same
 number, so neither grams nor texts are shuffled; and a gram that most documents hold is spread over all buckets, which a
 bucketing by gram would gather in one. Within a bucket postings are sorted by gram, so a scan for few grams skips most
@@ -29,6 +29,7 @@ INDEX_VERSION = "trigram-1"
 SIZES = (1, 2, 3)
 
 _POSTING = "document_id long, version_id long, gram string, in_title int, in_body int"
+_KEYS = ["document_id", "version_id"]
 _TEXT = ["document_id", "version_id", "source_id", "published_date", "len", "title_text", "body_text"]
 
 
@@ -51,8 +52,8 @@ def _counted(sizes: tuple[int, ...], rows: int = 64):
                     documents += [document] * len(own)
                     versions += [version] * len(own)
                     found += own
-                    titles += [in_title[g] for g in own]
-                    bodies += [in_body[g] for g in own]
+                    titles += [in_title.get(g, 0) for g in own]
+                    bodies += [in_body.get(g, 0) for g in own]
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32())
                 columns = [pa.array(x, t) for x, t in zip((documents, versions, found, titles, bodies), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _POSTING.split(", ")])
@@ -83,7 +84,7 @@ class SearchIndex:
     @property
     def texts(self) -> DataFrame:
         """Live documents with their texts."""
-        return self.live.sparkSession.table(f"{self.name}_texts").join(self.live, ["document_id", "version_id"], "left_semi")
+        return self.live.sparkSession.table(f"{self.name}_texts").join(self.live.hint("merge"), _KEYS, "left_semi")
 
     @property
     def documents(self) -> DataFrame:
@@ -102,13 +103,13 @@ def index_rows(docs: DataFrame) -> DataFrame:
 def _append(name: str, buckets: int, rows: DataFrame) -> None:
     size = lambda c: F.greatest(F.length(c) - 2, F.lit(0))
     texts = rows.withColumn("len", size("title_text") + size("body_text")).select(*_TEXT)
-    new = stored(texts.repartition(buckets, "document_id"), "texts")
-    bucketed(new, f"{name}_texts", buckets, "document_id", "document_id")
-    bucketed(gram_counts(new), f"{name}_postings", buckets, "document_id", "gram")
+    new = stored(texts.repartition(buckets, *_KEYS), "texts")
+    bucketed(new, f"{name}_texts", buckets, _KEYS, "document_id")
+    bucketed(gram_counts(new), f"{name}_postings", buckets, _KEYS, "gram")
 
 
 def _live(name: str, buckets: int, ids: DataFrame) -> DataFrame:
-    return bucketed(ids.repartition(buckets, "document_id"), f"{name}_live_{uuid.uuid4().hex[:12]}", buckets, "document_id", "document_id")
+    return bucketed(ids.repartition(buckets, *_KEYS), f"{name}_live_{uuid.uuid4().hex[:12]}", buckets, _KEYS, "document_id")
 
 
 def built(rows: DataFrame, buckets: int = BUCKETS) -> SearchIndex:
@@ -117,16 +118,15 @@ def built(rows: DataFrame, buckets: int = BUCKETS) -> SearchIndex:
     _append(name, buckets, rows)
     spark = rows.sparkSession
     frequency = stored(spark.table(f"{name}_postings").groupBy("gram").agg(F.count("*").alias("df")), "frequency")
-    return SearchIndex(name, buckets, _live(name, buckets, spark.table(f"{name}_texts").select("document_id", "version_id")), frequency)
+    return SearchIndex(name, buckets, _live(name, buckets, spark.table(f"{name}_texts").select(*_KEYS)), frequency)
 
 
 def delta(index: SearchIndex, docs: DataFrame) -> DataFrame:
     """document_id, version_id, change: 'add' for current versions that the index lacks, 'drop' for live ones that are
     not current any more. Reads no text."""
     now = docs.where("status = 'processed'").select(F.col("document_id").cast("long").alias("document_id"), F.col("current_version_id").cast("long").alias("version_id"))
-    on = ["document_id", "version_id"]
-    add = now.join(index.live, on, "left_anti").withColumn("change", F.lit("add"))
-    return add.unionByName(index.live.join(now, on, "left_anti").withColumn("change", F.lit("drop")))
+    add = now.join(index.live, _KEYS, "left_anti").withColumn("change", F.lit("add"))
+    return add.unionByName(index.live.join(now, _KEYS, "left_anti").withColumn("change", F.lit("drop")))
 
 
 def updated(index: SearchIndex, docs: DataFrame) -> SearchIndex:
@@ -135,12 +135,11 @@ def updated(index: SearchIndex, docs: DataFrame) -> SearchIndex:
     changes = stored(delta(index, docs), "delta")
     if changes.isEmpty():
         return index
-    on = ["document_id", "version_id"]
-    held = index.live.sparkSession.table(f"{index.name}_texts").select(*on)
-    missing = changes.where("change = 'add'").select(*on).join(held, on, "left_anti")
+    held = index.live.sparkSession.table(f"{index.name}_texts").select(*_KEYS)
+    missing = changes.where("change = 'add'").select(*_KEYS).join(held, _KEYS, "left_anti")
     wanted = docs.join(missing, (docs["document_id"] == missing["document_id"]) & (docs["current_version_id"] == missing["version_id"]), "left_semi")
     _append(index.name, index.buckets, index_rows(wanted))
-    ids = index.live.join(changes.where("change = 'drop'"), on, "left_anti").unionByName(changes.where("change = 'add'").select(*on))
+    ids = index.live.join(changes.where("change = 'drop'"), _KEYS, "left_anti").unionByName(changes.where("change = 'add'").select(*_KEYS))
     return replace(index, live=_live(index.name, index.buckets, ids))
 
 

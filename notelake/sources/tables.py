@@ -31,14 +31,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, buckets: int, key: str, sort: str) -> DataFrame:
-    """``df`` appended to the table ``name`` in the shared folder, bucketed by ``key`` and sorted by ``sort`` within a
-    file: joins and groups by the key read it without a shuffle. The first call makes the table."""
+def bucketed(df: DataFrame, name: str, buckets: int, keys: list[str], sort: str) -> DataFrame:
+    """``df`` appended to the table ``name`` in the shared folder, bucketed by ``keys`` and sorted by ``sort`` within a
+    file: joins and groups by the keys read it without a shuffle. The first call makes the table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/notelake-{name}"
     if not spark.catalog.tableExists(name):
         atexit.register(_drop, spark, path)
-    df.write.mode("append").bucketBy(buckets, key).sortBy(sort).option("path", path).saveAsTable(name)
+    df.write.mode("append").bucketBy(buckets, *keys).sortBy(sort).option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
