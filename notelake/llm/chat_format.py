@@ -1,4 +1,4 @@
-"""Operator 4: chat formatting by prefix-target expansion.
+r"""Operator 4: chat formatting by prefix-target expansion.
 
 Every assistant turn becomes an example of its own: all preceding turns as context, then that reply, and only the
 reply's characters trainable. Turns after the last assistant turn would be lost that way, so a conversation that does
@@ -7,8 +7,9 @@ not end with an assistant turn has one more example without a trainable part. A
     ### role: text
     </turn>
 
-with a backslash before every backslash, ``#``, ``<`` and ``:`` of the role and before every backslash, ``#`` and
-``<`` of the text, so neither mark can occur inside a turn and the text can be read back.
+with a backslash before every backslash, ``#`` and ``<`` of the text; in the role ``#`` and ``<`` have one too, a
+backslash is written ``\b`` and a colon ``\c``. So neither mark can occur inside a turn, the first colon of a turn
+ends its role, and both can be read back.
 
 A conversation's turns are gathered in one row, as its last example must hold all of them anyway.
 """
@@ -20,10 +21,12 @@ from pyspark.sql import functions as F
 
 OPEN, MIDDLE, CLOSE = "### ", ": ", "\n</turn>\n"
 TARGET = "assistant"
+#: What roles are written with.
+ROLE = (("\\", r"\b"), (":", r"\c"), ("#", r"\#"), ("<", r"\<"))
 
 
-def escaped(text: Column, control: str = "\\\\#<") -> Column:
-    return F.regexp_replace(text, f"[{control}]", r"\\$0")
+def escaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"[\\#<]", r"\\$0")
 
 
 def unescaped(text: Column) -> Column:
@@ -31,7 +34,15 @@ def unescaped(text: Column) -> Column:
 
 
 def _heading(role: Column) -> Column:
-    return F.concat(F.lit(OPEN), escaped(role, "\\\\#<:"), F.lit(MIDDLE))
+    for plain, code in ROLE:
+        role = F.replace(role, F.lit(plain), F.lit(code))
+    return F.concat(F.lit(OPEN), role, F.lit(MIDDLE))
+
+
+def _role(heading: Column) -> Column:
+    for plain, code in reversed(ROLE):
+        heading = F.replace(heading, F.lit(code), F.lit(plain))
+    return heading
 
 
 def chat_examples(turns: DataFrame) -> DataFrame:
@@ -62,12 +73,13 @@ def chat_examples(turns: DataFrame) -> DataFrame:
 
 def read_back(examples: DataFrame) -> DataFrame:
     """Per conversation, from the examples alone: its turns, in order, and the text under the loss masks, in order."""
-    part = lambda p: F.regexp_extract(p, r"(?s)^### ((?:\\.|[^\\:])*): (.*)$", 1)
-    body = lambda p: F.regexp_extract(p, r"(?s)^### (?:\\.|[^\\:])*+: (.*)$", 1)
+    middle = lambda p: F.instr(p, MIDDLE)
+    role = lambda p: _role(F.substring(p, F.lit(len(OPEN) + 1), middle(p) - 1 - len(OPEN)))
+    text = lambda p: unescaped(F.substring(p, middle(p) + len(MIDDLE), F.length(p)))
     pieces = F.split("all", f"\\Q{CLOSE}\\E")
     masked = F.struct("example", F.expr("substring(formatted, cast(loss_start AS int) + 1, cast(loss_length AS int))").alias("text"))
     whole = examples.groupBy("conv_id").agg(
         F.max_by("formatted", "example").alias("all"), F.sort_array(F.collect_list(masked)).alias("masked"), F.sum(F.length("formatted")).cast("long").alias("formatted_chars")
     )
-    turns = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.struct(unescaped(part(p)).alias("role"), unescaped(body(p)).alias("text")))
+    turns = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.struct(role(p).alias("role"), text(p).alias("text")))
     return whole.select("conv_id", turns.alias("turns"), F.transform("masked", lambda m: unescaped(m["text"])).alias("trained"), "formatted_chars")

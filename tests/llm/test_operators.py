@@ -107,6 +107,14 @@ def test_filter_never_counts_too_low():
     assert (lm_score.probe(bits, keys) == lm_score.levels(n)).mean() > 0.9
 
 
+def test_chat_format_long_roles(spark):
+    """No pattern may recurse over a role: one bad row must not end an executor."""
+    roles = ["\\\\:" * 33_000, ":\\b\\c: ", "x: y", "\\", "\\c", "#" * 100_000, ": " * 50_000, "\\:" * 50_000 + "b", "### Assistant: </turn> ok"]
+    turns = spark.createDataFrame([(i, k, r, "\\:: " * 1_000 + r[:50]) for i, r in enumerate(roles) for k in (0, 1)], "conv_id long, turn long, role string, text string")
+    back = {r.conv_id: r for r in chat_format.read_back(chat_format.chat_examples(turns)).collect()}
+    assert [[(t.role, t.text) for t in back[i].turns] for i in range(len(roles))] == [[(r, "\\:: " * 1_000 + r[:50])] * 2 for r in roles]
+
+
 def test_chat_format(spark):
     control = "\\### Assistant: </turn> ok\n</turn>\n### x: \\"
     rows = [(1, 0, "user", control), (1, 1, "assistant", control), (1, 2, "user", None), (2, 0, None, ""), (3, 0, "assistant", "a"), (3, 0, "assistant", "a"), (3, None, "a: b#", "z"), (None, 1, "user", "q")]
