@@ -7,7 +7,10 @@ more", is broadcast: DEPTH * width / 8 bytes, at most MAX_WIDTH / 4.
 Second pass: windows whose estimate is two or more are grouped exactly, none is lost; the others cannot be repeated.
 Equal runs of windows are grouped as one row of fixed size first, so copies of a passage are not expanded. Windows are
 spelled out, in a pass over the documents concerned, only for the first of equal runs whose anchor also stands in
-other text.
+other text. Runs and windows that very many documents share meet their first places by a broadcast (``met``).
+
+At MAX_WIDTH the sketch stops growing, at about 90 million anchors or 4 GB of text: beyond that more and more windows
+pass that are not repeated (most of them at 30 GB), which costs work in the second pass and changes no result.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import covered, mix, runs
-from .common import discard, keyed, same_document, slices, stored
+from .common import discard, keyed, met, same_document, slices, stored
 
 WORDS = 20
 GRAM = 8
@@ -230,7 +233,7 @@ def earlier_ranges(docs: DataFrame, size: int = WORDS, gram: int = GRAM, max_wid
     found = stored(bodies.mapInArrow(_repeated(size, gram, width, spark.sparkContext.broadcast(bits)), _FOUND), "windows")
     place = F.struct("doc_id", "dk", "lo")
     texts = stored(found.groupBy("k", "f").agg(F.min(F.struct("doc_id", "dk", "lo", "hi")).alias("one"), F.count("*").alias("c")), "runs")
-    again = found.join(texts.where("c > 1").select("k", "f", F.struct("one.doc_id", "one.dk", "one.lo").alias("first")), ["k", "f"])
+    again = met(found, texts.where("c > 1").select("k", "f", F.struct("one.doc_id", "one.dk", "one.lo").alias("first"), "c"), ["k", "f"], "c")
     later = stored(again.where(~place.eqNullSafe(F.col("first"))).select("doc_id", "dk", "lo", "hi"), "later")
     discard(found)
 
@@ -239,8 +242,8 @@ def earlier_ranges(docs: DataFrame, size: int = WORDS, gram: int = GRAM, max_wid
     listed = bodies.join(own, same_document(bodies, own)).select(bodies["doc_id"], bodies["dk"], "body", "runs")
     each = stored(listed.mapInArrow(_spelled(size), _EACH), "each")
     discard(texts)
-    first = stored(each.groupBy("k", "w").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
-    more = each.join(first, ["k", "w"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "dk", "lo", F.col("lo").alias("hi"))
+    first = stored(each.groupBy("k", "w").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
+    more = met(each, first, ["k", "w"], "n").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "dk", "lo", F.col("lo").alias("hi"))
     return later.unionByName(more)
 
 
