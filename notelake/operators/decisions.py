@@ -1,7 +1,9 @@
 """Decisions on notices for many profiles at once: eligibility, time, action and route.
 
-``facts`` has one row per document; times are seconds. Profiles are a small table by nature; whether one is broadcast
-is left to Spark, which knows its size.
+``facts`` has one row per document; times are seconds. Documents meet only profiles that have something to do with them:
+those that answer a field of their constraints, or care for one of their topics or a phrase. All others are decided alike,
+so they are one row a document, without a profile_id, that says in ``profiles`` for how many it stands. A pair's decision
+is its own row or, if it has none, its document's; no step compares all documents with all profiles.
 """
 
 from __future__ import annotations
@@ -15,24 +17,47 @@ URGENT = 72 * 3600
 FRESH_DAYS = 6
 
 
-def eligibility(facts: DataFrame, constraints: DataFrame, profiles: DataFrame) -> DataFrame:
-    """``facts`` for every profile, with its eligibility. ``constraints``: document_id, field, operator, values;
-    ``profiles``: profile_id, field, actual. A constraint that is unsupported, empty or not answered by the profile (no
-    row, or a null) is unknown; one mismatch decides."""
-    ids = profiles.select("profile_id").distinct()
-    asked = constraints.crossJoin(ids).join(profiles, ["profile_id", "field"], "left")
-    unknown = (F.col("operator") == "unsupported") | (F.size("values") == 0) | F.col("actual").isNull()
-    met = F.array_contains("values", F.col("actual"))
-    per = asked.groupBy("document_id", "profile_id").agg(F.max(~unknown & ~met).alias("mismatch"), F.max(unknown).alias("unclear"))
-    each = facts.crossJoin(ids).join(per, ["document_id", "profile_id"], "left")
-    open_question = ~F.col("audience_declared") | ~F.col("eligibility_complete") | F.col("information_incomplete") | F.coalesce("unclear", F.lit(False))
-    result = (
-        F.when((F.col("category") != "opportunity") & F.col("unclear").isNull(), "not_required")
+def _hard() -> Column:
+    """Constraints that no profile can answer."""
+    return (F.col("operator") == "unsupported") | (F.size("values") == 0)
+
+
+def _answered(constraints: DataFrame, profiles: DataFrame) -> DataFrame:
+    """document_id, profile_id, answered (constraints the profile answers) and mismatch, of profiles that answer any."""
+    known = profiles.where("actual IS NOT NULL").groupBy("profile_id", "field").agg(F.max("actual").alias("actual"))
+    both = constraints.where(~_hard()).join(known, "field")
+    return both.groupBy("document_id", "profile_id").agg(F.count("*").alias("answered"), F.max(~F.array_contains("values", F.col("actual"))).alias("mismatch"))
+
+
+def _with_the_rest(facts: DataFrame, constraints: DataFrame, pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``facts`` once for each of ``pairs`` (document_id, profile_id, ...), and once for all other profiles if there are
+    any: profile_id null, profiles their number."""
+    n = profiles.select("profile_id").distinct().count()
+    asked = constraints.groupBy("document_id").agg(F.count("*").alias("asked"))
+    rows = facts.join(asked, "document_id", "left")
+    own = rows.join(pairs, "document_id").withColumn("profiles", F.lit(1).cast("long"))
+    named = pairs.groupBy("document_id").agg(F.count("*").alias("named"))
+    rest = rows.join(named, "document_id", "left").withColumn("profiles", n - F.coalesce("named", F.lit(0))).where("profiles > 0").drop("named")
+    return own.unionByName(rest, allowMissingColumns=True)
+
+
+def _eligibility() -> Column:
+    unclear = F.coalesce(F.col("asked") > F.coalesce("answered", F.lit(0)), F.lit(False))
+    open_question = ~F.col("audience_declared") | ~F.col("eligibility_complete") | F.col("information_incomplete") | unclear
+    return (
+        F.when((F.col("category") != "opportunity") & F.col("asked").isNull(), "not_required")
         .when(F.coalesce("mismatch", F.lit(False)), "ineligible")
         .when(open_question, "unknown")
         .otherwise("eligible")
     )
-    return each.withColumn("eligibility", result).drop("mismatch", "unclear")
+
+
+def eligibility(facts: DataFrame, constraints: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``facts`` with profile_id, profiles and eligibility. ``constraints``: document_id, field, operator, values;
+    ``profiles``: profile_id, field, actual. A constraint that is unsupported, empty or not answered by the profile (no
+    row, or a null) is unknown; one mismatch decides."""
+    rows = _with_the_rest(facts, constraints, _answered(constraints, profiles), profiles)
+    return rows.withColumn("eligibility", _eligibility()).drop("mismatch", "answered", "asked")
 
 
 def time_status(at: int) -> Column:
@@ -56,8 +81,12 @@ def is_urgent(at: int) -> Column:
     return F.coalesce((time_status(at) == "open") & (urgent_at(at) - at).between(0, URGENT), F.lit(False))
 
 
-def topic_flags(matches: DataFrame, interests: DataFrame) -> DataFrame:
-    """What a document's topics mean to each profile that has a say on one of them."""
+FLAGS = ("matched", "offered", "stored", "doubtful", "valued", "vetoed")
+
+
+def interest_flags(matches: DataFrame, interests: DataFrame, hits: DataFrame | None = None, phrases: DataFrame | None = None) -> DataFrame:
+    """What a document's topics and phrases mean to each profile that has a say on one of them. ``hits``: document_id,
+    phrase; ``phrases``: profile_id, phrase that the profile includes: a literal hit is an interest that is offered."""
     context = F.col("context")
     sure = context.isNull() | ~context.isin("incidental", "uncertain")
     offered = context.isNull() | (context == "opportunity")
@@ -70,13 +99,20 @@ def topic_flags(matches: DataFrame, interests: DataFrame) -> DataFrame:
         "valued": offered & active & F.col("high_value"),
         "vetoed": F.col("is_primary") & F.col("excluded"),
     }
-    return matches.join(interests, "topic").groupBy("document_id", "profile_id").agg(*(F.max(F.coalesce(c, F.lit(False))).alias(n) for n, c in flags.items()))
-
-
-def decide_batch(judged: DataFrame, flags: DataFrame, at: int, mode: str, next_digest: int) -> DataFrame:
-    """Action, reason and route of every document for every profile. ``judged`` comes from ``eligibility``."""
-    names = ("matched", "offered", "stored", "doubtful", "valued", "vetoed")
-    rows = judged.join(flags, ["document_id", "profile_id"], "left").na.fill(False, list(names))
+    key = ["document_id", "profile_id"]
+    rows = matches.join(interests, "topic").select(*key, *(F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()))
+    if hits is not None:
+        said = hits.join(phrases, "phrase").select(*key)
+        rows = rows.unionByName(said.select(*key, *(F.lit(n in ("matched", "offered")).alias(n) for n in FLAGS)))
+    return rows.groupBy(*key).agg(*(F.max(n).alias(n) for n in FLAGS))
+
+
+def decide_batch(facts: DataFrame, constraints: DataFrame, profiles: DataFrame, flags: DataFrame, at: int, mode: str, next_digest: int) -> DataFrame:
+    """Action, reason and route of every document for every profile: rows of pairs that have to do with each other, and a
+    row a document for all other profiles (profile_id null, profiles their number)."""
+    names = FLAGS
+    pairs = _answered(constraints, profiles).join(flags, ["document_id", "profile_id"], "full")
+    rows = _with_the_rest(facts, constraints, pairs, profiles).withColumn("eligibility", _eligibility()).na.fill(False, list(names))
     matched, offered, stored, doubtful, valued, vetoed = map(F.col, names)
     kind, able = F.col("kind"), F.col("eligibility")
     rows = rows.withColumn("time_status", time_status(at)).withColumn("urgent", is_urgent(at) & offered)
@@ -106,7 +142,7 @@ def decide_batch(judged: DataFrame, flags: DataFrame, at: int, mode: str, next_d
     ]
     decision = F.coalesce(*(F.when(when, then) for when, then in ladder), step("DIGEST", F.when(kind == "update", "relevant_update").otherwise("relevant_digest")))
     rows = rows.withColumn("d", decision).withColumn("action", F.col("d.col1")).withColumn("reason", F.col("d.col2"))
-    return rows.select("document_id", "profile_id", "eligibility", "time_status", "relevance", "action", "reason", route(at, mode, next_digest).alias("route"))
+    return rows.select("document_id", "profile_id", "profiles", "eligibility", "time_status", "relevance", "action", "reason", route(at, mode, next_digest).alias("route"))
 
 
 def route(at: int, mode: str, next_digest: int) -> Column:

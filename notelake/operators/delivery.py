@@ -61,17 +61,40 @@ def retry_delay(attempt_no: Column, schedule: list[int], uncertain: Column, leas
     return F.when(uncertain, F.greatest(wait, F.lit(least))).otherwise(wait)
 
 
-def delivery_state(attempts: DataFrame, schedule: list[int], most: int) -> DataFrame:
-    """State of each message after its last finished attempt, and when it is due again."""
-    last = attempts.where("outcome IS NOT NULL").groupBy("mail_id").agg(F.max(F.struct("attempt_no", "started_at", "line_id", "outcome", "finished_at")).alias("l")).select("mail_id", "l.*")
-    state = (
+_LAST = ("attempt_no", "started_at", "line_id", "outcome", "finished_at")
+
+
+def _after_outcome(most: int) -> Column:
+    """State after a finished attempt."""
+    return (
         F.when(F.col("outcome") == "accepted", "accepted")
         .when((F.col("outcome") == "permanent") | (F.col("attempt_no") >= most), "blocked")
         .when(F.col("outcome") == "uncertain", "uncertain")
         .otherwise("retry")
     )
-    due = F.when(F.col("state").isin("uncertain", "retry"), F.col("finished_at") + retry_delay(F.col("attempt_no"), schedule, F.col("outcome") == "uncertain"))
-    return last.withColumn("state", state).select("mail_id", "attempt_no", "state", due.alias("next_attempt_at"))
+
+
+def _due_again(schedule: list[int]) -> Column:
+    return F.when(F.col("state").isin("uncertain", "retry"), F.col("finished_at") + retry_delay(F.col("attempt_no"), schedule, F.col("outcome") == "uncertain"))
+
+
+def delivery_state(attempts: DataFrame, schedule: list[int], most: int) -> DataFrame:
+    """State of each message after its last finished attempt, and when it is due again."""
+    last = attempts.where("outcome IS NOT NULL").groupBy("mail_id").agg(F.max(F.struct(*_LAST)).alias("l")).select("mail_id", "l.*")
+    return last.withColumn("state", _after_outcome(most)).select("mail_id", "attempt_no", "state", _due_again(schedule).alias("next_attempt_at"))
+
+
+def delivery_audit(messages: DataFrame, attempts: DataFrame, schedule: list[int], most: int) -> DataFrame:
+    """Messages whose stored state, or else due time, is not what their attempts say: stored, computed, stored_due,
+    computed_due and the rule that is broken (state or due). Every message is audited: without an attempt it must be
+    pending since it was frozen, and while its last attempt is open it is being sent and not due."""
+    last = attempts.groupBy("mail_id").agg(F.max(F.struct(*_LAST)).alias("l"))
+    rows = messages.select("mail_id", "frozen_at", F.col("state").alias("stored"), F.col("next_attempt_at").alias("stored_due")).join(last, "mail_id", "left")
+    rows = rows.select("mail_id", "frozen_at", "stored", "stored_due", F.col("l").isNull().alias("none"), "l.*")
+    rows = rows.withColumn("state", F.when(F.col("none"), "pending").when(F.col("outcome").isNull(), "sending").otherwise(_after_outcome(most)))
+    rows = rows.withColumn("computed_due", F.when(F.col("none"), F.col("frozen_at")).otherwise(_due_again(schedule)))
+    rule = F.when(~F.col("stored").eqNullSafe(F.col("state")), "state").when(~F.col("stored_due").eqNullSafe(F.col("computed_due")), "due")
+    return rows.select("mail_id", "stored", F.col("state").alias("computed"), "stored_due", "computed_due", rule.alias("rule")).where("rule IS NOT NULL")
 
 
 def attempt_audit(attempts: DataFrame) -> DataFrame:

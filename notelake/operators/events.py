@@ -26,8 +26,9 @@ def condition_change(current: DataFrame, previous: DataFrame) -> DataFrame:
     return both.select(F.col("a.document_id").alias("document_id"), known.alias("comparison_known"), (known & ~_conditions("a").eqNullSafe(_conditions("b"))).alias("conditions_changed"))
 
 
-def review_flags(decided: DataFrame, judged: DataFrame, topics: DataFrame, interests: DataFrame, results: DataFrame, mode: str) -> DataFrame:
-    """document_id, profile_id, needs_review, unknowns (unique codes) and rules (matched, in a fixed order)."""
+def review_flags(decided: DataFrame, facts: DataFrame, topics: DataFrame, interests: DataFrame, constraints: DataFrame, profiles: DataFrame, mode: str) -> DataFrame:
+    """document_id, profile_id, needs_review, unknowns (unique codes) and rules (matched, in a fixed order) of every row
+    of ``decided``, that of all other profiles of a document too."""
     key = ["document_id", "profile_id"]
     context = F.col("context")
     sure = context.isNull() | ~context.isin("incidental", "uncertain")
@@ -39,10 +40,12 @@ def review_flags(decided: DataFrame, judged: DataFrame, topics: DataFrame, inter
             F.when(sure & F.col("store_only"), F.struct(F.lit(3).alias("o"), named("retention.topic.").alias("r"))),
         ))).alias("x"),
     )
-    asked = results.select(*key, F.struct(F.lit(4).alias("o"), F.concat_ws(".", F.lit("qualification"), "field", "result").alias("r")).alias("x"))
-    rules = hits.unionByName(asked).groupBy(*key).agg(F.transform(F.array_sort(F.collect_set("x")), lambda x: x["r"]).alias("rules"))
-    facts = judged.select(*key, "kind", "previous_route", "comparison_known", "information_incomplete", "audience_declared", "eligibility_complete")
-    rows = decided.join(facts, key).join(rules, key, "left")
+    known = profiles.select(F.col("profile_id").alias("who"), F.col("field").alias("of"), "actual")
+    asked = decided.select(*key).join(constraints, "document_id").join(known, (F.col("profile_id") == F.col("who")) & (F.col("field") == F.col("of")), "left")
+    asked = asked.select(*key, F.struct(F.lit(4).alias("o"), F.concat_ws(".", F.lit("qualification"), "field", _result()).alias("r")).alias("x"))
+    rules = hits.unionByName(asked).groupBy(*key).agg(F.transform(F.array_sort(F.collect_set("x")), lambda x: x["r"]).alias("rules")).withColumnsRenamed({"document_id": "d", "profile_id": "p"})
+    own = facts.select("document_id", "kind", "previous_route", "comparison_known", "information_incomplete", "audience_declared", "eligibility_complete")
+    rows = decided.join(own, "document_id").join(rules, (F.col("document_id") == F.col("d")) & F.col("profile_id").eqNullSafe(F.col("p")), "left")
     unknown = F.array_distinct(F.array_compact(F.array(
         F.when((F.col("kind") == "update") & (F.col("previous_route") != "none") & ~F.col("comparison_known"), "comparison_unknown"),
         F.when(F.col("relevance") == "unknown", "topic_relation_unknown"), F.when(F.col("eligibility") == "unknown", "eligibility_unknown"),
@@ -60,12 +63,19 @@ def review_flags(decided: DataFrame, judged: DataFrame, topics: DataFrame, inter
     return rows.select(*key, (F.size(unknown) > 0).alias("needs_review"), unknown.alias("unknowns"), every.alias("rules"))
 
 
-def constraint_results(constraints: DataFrame, profiles: DataFrame) -> DataFrame:
-    """document_id, profile_id, field, result of every constraint for every profile: match, mismatch or unknown."""
-    ids = profiles.select("profile_id").distinct()
-    rows = constraints.crossJoin(ids).join(profiles, ["profile_id", "field"], "left")
+def _result() -> Column:
     unclear = (F.col("operator") == "unsupported") | (F.size("values") == 0) | F.col("actual").isNull()
-    return rows.select("document_id", "profile_id", "field", F.when(unclear, "unknown").when(F.array_contains("values", F.col("actual")), "match").otherwise("mismatch").alias("result"))
+    return F.when(unclear, "unknown").when(F.array_contains("values", F.col("actual")), "match").otherwise("mismatch")
+
+
+def constraint_results(constraints: DataFrame, profiles: DataFrame) -> DataFrame:
+    """document_id, field, result and profiles of every constraint: match, mismatch or unknown, one row for each profile
+    that answers its field, and one (profile_id null) for all ``profiles`` that do not."""
+    n = profiles.select("profile_id").distinct().count()
+    known = profiles.where("actual IS NOT NULL")
+    own = constraints.join(known, "field").select("document_id", "profile_id", "field", _result().alias("result"), F.lit(1).cast("long").alias("profiles"))
+    rest = constraints.join(known.groupBy("field").agg(F.count("*").alias("some")), "field", "left").withColumn("profiles", n - F.coalesce("some", F.lit(0))).where("profiles > 0")
+    return own.unionByName(rest.select("document_id", F.lit(None).cast("string").alias("profile_id"), "field", F.lit("unknown").alias("result"), "profiles"))
 
 
 def activation_inputs(docs: DataFrame, listings: DataFrame, versions: DataFrame) -> DataFrame:

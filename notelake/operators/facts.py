@@ -273,15 +273,6 @@ def deadline_evidence(times: DataFrame, resolved: DataFrame, quotes: DataFrame)
     return rows.groupBy("document_id", "quote_no").agg(F.coalesce(F.max(F.contains("text", "quote")), F.lit(False)).alias("supported"))
 
 
-def phrase_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """document_id, field, phrase, start, end of the first place of each phrase in title and body. ``phrases`` (phrase) is
-    a profile's short list; whether it is broadcast is left to Spark."""
-    fields = F.inline(F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("text")), F.struct(F.lit("body_text").alias("field"), F.col("body_text").alias("text"))))
-    rows = docs.select("document_id", fields).join(phrases, F.contains("text", "phrase"))
-    at = F.expr("locate(phrase, text)")
-    return rows.select("document_id", "field", "phrase", (at - 1).alias("start"), (at - 1 + F.length("phrase")).alias("end"))
-
-
 def topic_candidates(docs: DataFrame, pack: Pack) -> DataFrame:
     """document_id, topic of each topic with a phrase in title or body: the pack's phrases in one pass over each text."""
     both = F.concat_ws("\n", "title", "body_text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import decisions
+from ..operators.percolate import phrase_hits
 from ..registry import query
 from ..sources.bindings import AT, oracle, view
 
@@ -20,9 +21,11 @@ judged AS (SELECT f.*, q.profile_id, CASE WHEN category <> 'opportunity' AND unc
   WHEN NOT audience_declared OR NOT eligibility_complete OR information_incomplete OR coalesce(unclear, false) THEN 'unknown' ELSE 'eligible' END AS eligibility
   FROM fact f CROSS JOIN (SELECT DISTINCT profile_id FROM profile) q LEFT JOIN per ON per.document_id = f.document_id AND per.profile_id = q.profile_id)
 """
-_DECIDED = _JUDGED + f""", flag AS (SELECT document_id, profile_id, bool_or(sure AND interest AND NOT store_only) AS matched, bool_or(offer AND interest AND NOT store_only) AS offered, bool_or(sure AND store_only) AS stored,
+_SAID = "said AS (SELECT document_id, profile_id FROM notice JOIN profile_phrase ON contains(title, phrase) OR contains(body_text, phrase))"
+_DECIDED = _JUDGED + f""", {_SAID}, flag AS (SELECT document_id, profile_id, bool_or(sure AND interest AND NOT store_only) AS matched, bool_or(offer AND interest AND NOT store_only) AS offered, bool_or(sure AND store_only) AS stored,
   bool_or(coalesce(context, '') = 'uncertain' AND interest) AS doubtful, bool_or(offer AND interest AND NOT store_only AND high_value) AS valued, bool_or(is_primary AND excluded) AS vetoed
-  FROM (SELECT *, coalesce(context, '') NOT IN ('incidental', 'uncertain') AS sure, coalesce(context, 'opportunity') = 'opportunity' AS offer FROM topic_match) JOIN profile_topic USING (topic) GROUP BY ALL),
+  FROM (SELECT document_id, profile_id, context, is_primary, coalesce(context, '') NOT IN ('incidental', 'uncertain') AS sure, coalesce(context, 'opportunity') = 'opportunity' AS offer, interest, excluded, high_value, store_only FROM topic_match JOIN profile_topic USING (topic)
+    UNION ALL SELECT document_id, profile_id, NULL, false, true, true, true, false, false, false FROM said) GROUP BY ALL),
 seen AS (SELECT j.*, {_STATUS} AS time_status, {_SOON} AND coalesce(offered, false) AS urgent, coalesce(matched, false) AS matched, coalesce(stored, false) AS stored, coalesce(doubtful, false) AS doubtful,
   coalesce(valued, false) AS valued, coalesce(vetoed, false) AS vetoed, kind = 'update' AND previous_route <> 'none' AS followed, date_diff('day', published_date, LOCALDATE[{AT}]) AS age
   FROM judged j LEFT JOIN flag USING (document_id, profile_id)),
@@ -40,23 +43,30 @@ decided AS (SELECT *, CASE WHEN reason IN ('excluded_topic', 'no_interest_match'
 sent AS (SELECT document_id, profile_id, eligibility, time_status, relevance, action, reason, CASE WHEN action IN ('IGNORE', 'STORE_ONLY') THEN 'none' WHEN action = 'DIGEST' THEN 'digest'
   WHEN kind = 'activation_recent' AND NOT coalesce(time_status = 'open' AND ({_URGENT}) BETWEEN {AT} AND {_NEXT}, false) THEN 'digest' ELSE 'immediate' END AS route FROM decided)
 """
-_ALL = ("fact", "requirement", "profile", "topic_match", "profile_topic")
+#: The same decisions, one row for all profiles that a document has nothing to do with; these must not differ.
+_SPREAD = """, named AS (SELECT r.document_id, p.profile_id FROM requirement r JOIN profile p USING (field) WHERE actual IS NOT NULL AND operator <> 'unsupported' AND (v1 IS NOT NULL OR v2 IS NOT NULL) UNION SELECT document_id, profile_id FROM flag),
+spread AS (SELECT document_id, profile_id, 1::BIGINT AS profiles, eligibility, time_status, relevance, action, reason, route FROM sent SEMI JOIN named USING (document_id, profile_id)
+  UNION ALL SELECT document_id, NULL, count(*), eligibility, time_status, relevance, action, reason, route FROM sent ANTI JOIN named USING (document_id, profile_id) GROUP BY ALL)
+"""
+_ALL = ("fact", "requirement", "profile", "topic_match", "profile_topic", "notice", "profile_phrase")
 
 
-def _judged(spark, sf):
-    values = F.array_compact(F.array("v1", "v2")).alias("values")
-    constraints = view(spark, sf, "requirement").select("document_id", "field", "operator", values)
-    return decisions.eligibility(view(spark, sf, "fact"), constraints, view(spark, sf, "profile"))
+def _asked(spark, sf):
+    return view(spark, sf, "requirement").select("document_id", "field", "operator", F.array_compact(F.array("v1", "v2")).alias("values"))
 
 
 def _decided(spark, sf):
-    flags = decisions.topic_flags(view(spark, sf, "topic_match"), view(spark, sf, "profile_topic"))
-    return decisions.decide_batch(_judged(spark, sf), flags, AT, _MODE, _NEXT)
+    phrases = view(spark, sf, "profile_phrase")
+    hits = phrase_hits(view(spark, sf, "notice"), phrases.select("phrase"))
+    flags = decisions.interest_flags(view(spark, sf, "topic_match"), view(spark, sf, "profile_topic"), hits, phrases)
+    return decisions.decide_batch(view(spark, sf, "fact"), _asked(spark, sf), view(spark, sf, "profile"), flags, AT, _MODE, _NEXT)
 
 
-@query("eligibility", oracle(_JUDGED + "SELECT document_id, profile_id, eligibility FROM judged", *_ALL[:3]))
+@query("eligibility", oracle(_JUDGED + """, named AS (SELECT DISTINCT r.document_id, p.profile_id FROM requirement r JOIN profile p USING (field) WHERE actual IS NOT NULL AND operator <> 'unsupported' AND (v1 IS NOT NULL OR v2 IS NOT NULL))
+SELECT document_id, profile_id, eligibility, 1::BIGINT AS profiles FROM judged SEMI JOIN named USING (document_id, profile_id)
+UNION ALL SELECT document_id, NULL, eligibility, count(*) FROM judged ANTI JOIN named USING (document_id, profile_id) GROUP BY ALL""", *_ALL[:3]))
 def _(spark, sf):
-    return _judged(spark, sf).select("document_id", "profile_id", "eligibility")
+    return decisions.eligibility(view(spark, sf, "fact"), _asked(spark, sf), view(spark, sf, "profile")).select("document_id", "profile_id", "eligibility", "profiles")
 
 
 @query("time_status", oracle(f"SELECT document_id, {_STATUS} AS time_status FROM fact", "fact"))
@@ -69,16 +79,16 @@ def _(spark, sf):
     return view(spark, sf, "fact").select("document_id", decisions.urgent_at(AT).alias("urgent_at"), decisions.is_urgent(AT).alias("urgent"))
 
 
-@query("actions", oracle(_DECIDED + "SELECT document_id, profile_id, action, reason FROM sent", *_ALL))
+@query("actions", oracle(_DECIDED + _SPREAD + "SELECT document_id, profile_id, profiles, action, reason FROM spread", *_ALL))
 def _(spark, sf):
-    return _decided(spark, sf).select("document_id", "profile_id", "action", "reason")
+    return _decided(spark, sf).select("document_id", "profile_id", "profiles", "action", "reason")
 
 
 @query("routes", oracle(_DECIDED + "SELECT route, action, count(*) AS n FROM sent GROUP BY ALL", *_ALL))
 def _(spark, sf):
-    return _decided(spark, sf).groupBy("route", "action").agg(F.count("*").alias("n"))
+    return _decided(spark, sf).groupBy("route", "action").agg(F.sum("profiles").alias("n"))
 
 
-@query("decide_batch", oracle(_DECIDED + "SELECT * FROM sent", *_ALL))
+@query("decide_batch", oracle(_DECIDED + _SPREAD + "SELECT * FROM spread", *_ALL))
 def _(spark, sf):
     return _decided(spark, sf)

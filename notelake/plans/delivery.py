@@ -51,10 +51,18 @@ def _(spark, sf):
     return ops.delivery_state(view(spark, sf, "attempt"), _SCHEDULE, 6)
 
 
-@query("delivery_audit", oracle(f"""WITH {_STATE} SELECT m.mail_id, m.state AS stored, s.state AS computed FROM message m JOIN state s ON m.mail_id = s.mail_id WHERE m.state <> s.state""", "message", "attempt"))
-def _(spark, sf):
-    computed = ops.delivery_state(view(spark, sf, "attempt"), _SCHEDULE, 6).select("mail_id", F.col("state").alias("computed"))
-    return view(spark, sf, "message").select("mail_id", F.col("state").alias("stored")).join(computed, "mail_id").where("stored <> computed")
+@query("delivery_audit", oracle("""WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY mail_id ORDER BY attempt_no DESC, started_at DESC, line_id DESC) AS i FROM attempt),
+final AS (SELECT * FROM numbered WHERE i = 1),
+expected AS (
+  SELECT m.mail_id, m.state, m.next_attempt_at, CASE WHEN f.mail_id IS NULL THEN 'pending' WHEN f.outcome IS NULL THEN 'sending' WHEN f.outcome = 'accepted' THEN 'accepted'
+      WHEN f.outcome = 'permanent' OR f.attempt_no >= 6 THEN 'blocked' WHEN f.outcome = 'uncertain' THEN 'uncertain' ELSE 'retry' END AS should,
+    f.finished_at + greatest(CASE least(f.attempt_no, 3) WHEN 1 THEN 300 WHEN 2 THEN 1800 ELSE 7200 END, CASE WHEN f.outcome = 'uncertain' THEN 1800 ELSE 0 END) AS again, m.frozen_at
+  FROM message m LEFT JOIN final f ON f.mail_id = m.mail_id),
+timed AS (SELECT *, CASE should WHEN 'pending' THEN frozen_at WHEN 'retry' THEN again WHEN 'uncertain' THEN again END AS due FROM expected)
+SELECT mail_id, state AS stored, should AS computed, next_attempt_at AS stored_due, due AS computed_due, CASE WHEN state <> should THEN 'state' ELSE 'due' END AS rule
+FROM timed WHERE state <> should OR next_attempt_at IS DISTINCT FROM due""", "message", "attempt"))
+def _(spark, sf):
+    return ops.delivery_audit(view(spark, sf, "message"), view(spark, sf, "attempt"), _SCHEDULE, 6)
 
 
 @query("attempt_audit", oracle("""WITH a AS (SELECT *, row_number() OVER w AS i, lag(finished_at) OVER w AS before, lag(outcome) OVER w AS unsure, lead(attempt_no) OVER w AS nxt FROM attempt WINDOW w AS (PARTITION BY mail_id ORDER BY attempt_no, started_at, line_id))

@@ -9,6 +9,7 @@ from ..operators import events as ops
 from ..operators import versions
 from ..registry import query
 from ..sources.bindings import AT, T0, oracle, view
+from ..sources.tables import stored
 from . import decisions as decided_plans
 from .notices import _CHANGES
 
@@ -28,8 +29,8 @@ _SIDE = "SELECT {0}.*, (SELECT list_sort(list(field || '/' || operator || '/' ||
 SELECT a.document_id, b.document_id IS NOT NULL AS comparison_known, b.document_id IS NOT NULL AND (a.cs, a.opens_at, a.deadline_at, a.deadline_lower_at, a.cancelled) IS DISTINCT FROM (b.cs, b.opens_at, b.deadline_at, b.deadline_lower_at, b.cancelled) AS conditions_changed FROM a LEFT JOIN b USING (document_id)""", "fact", "requirement"))
 def _(spark, sf):
     fact = view(spark, sf, "fact")
-    now = fact.select("document_id", "opens_at", "deadline_at", "deadline_lower_at", "cancelled").join(_constraints(spark, sf, "v1", "v2"), "document_id")
-    before = fact.where("document_id % 7 > 0").selectExpr(*_BEFORE).join(_constraints(spark, sf, "v2", "CASE WHEN document_id % 9 = 2 THEN 'other' ELSE v1 END"), "document_id")
+    now = fact.select("document_id", "opens_at", "deadline_at", "deadline_lower_at", "cancelled").join(_constraints(spark, sf, "v1", "v2"), "document_id", "left")
+    before = fact.where("document_id % 7 > 0").selectExpr(*_BEFORE).join(_constraints(spark, sf, "v2", "CASE WHEN document_id % 9 = 2 THEN 'other' ELSE v1 END"), "document_id", "left")
     return ops.condition_change(now, before)
 
 
@@ -37,24 +38,22 @@ _RESULTS = """results AS (SELECT r.document_id, q.profile_id, r.field, CASE WHEN
 FROM requirement r CROSS JOIN (SELECT DISTINCT profile_id FROM profile) q LEFT JOIN profile p ON p.field = r.field AND p.profile_id = q.profile_id)"""
 
 
-@query("constraint_results", oracle(f"WITH {_RESULTS} SELECT * FROM results", "requirement", "profile"))
+@query("constraint_results", oracle(f"""WITH {_RESULTS}, own AS (SELECT profile_id, field FROM profile WHERE actual IS NOT NULL)
+SELECT document_id, profile_id, field, result, 1::BIGINT AS profiles FROM results JOIN own USING (profile_id, field)
+UNION ALL SELECT document_id, NULL, field, result, count(*) // any_value(times) FROM (SELECT *, count(*) OVER (PARTITION BY document_id, profile_id, field) AS times FROM results) r ANTI JOIN own USING (profile_id, field), range(times) GROUP BY document_id, field, result, range""", "requirement", "profile"))
 def _(spark, sf):
-    return ops.constraint_results(_asked(spark, sf), view(spark, sf, "profile"))
+    return ops.constraint_results(decided_plans._asked(spark, sf), view(spark, sf, "profile"))
 
 
-def _asked(spark, sf):
-    return view(spark, sf, "requirement").select("document_id", "field", "operator", F.array_compact(F.array("v1", "v2")).alias("values"))
-
-
-@query("review_flags", oracle(decided_plans._DECIDED + f""", {_RESULTS}, hit AS (SELECT document_id, profile_id, 1 AS o, 'interest.topic.' || topic AS r FROM topic_match JOIN profile_topic USING (topic) WHERE interest AND coalesce(context, '') NOT IN ('incidental', 'uncertain')
+@query("review_flags", oracle(decided_plans._DECIDED + decided_plans._SPREAD + f""", {_RESULTS}, hit AS (SELECT document_id, profile_id, 1 AS o, 'interest.topic.' || topic AS r FROM topic_match JOIN profile_topic USING (topic) WHERE interest AND coalesce(context, '') NOT IN ('incidental', 'uncertain')
 UNION SELECT document_id, profile_id, 2, 'exclusion.topic.' || topic FROM topic_match JOIN profile_topic USING (topic) WHERE is_primary AND excluded UNION SELECT document_id, profile_id, 3, 'retention.topic.' || topic FROM topic_match JOIN profile_topic USING (topic) WHERE store_only AND coalesce(context, '') NOT IN ('incidental', 'uncertain')
 UNION SELECT document_id, profile_id, 4, 'qualification.' || field || '.' || result FROM results),
-flags AS (SELECT d.document_id, d.profile_id, list_filter([CASE WHEN kind = 'update' AND previous_route <> 'none' AND NOT comparison_known THEN 'comparison_unknown' END, CASE WHEN d.relevance = 'unknown' THEN 'topic_relation_unknown' END, CASE WHEN d.eligibility = 'unknown' THEN 'eligibility_unknown' END,
-  CASE WHEN NOT audience_declared THEN 'audience_unknown' END, CASE WHEN d.time_status = 'unknown' THEN 'time_unknown' END, CASE WHEN information_incomplete THEN 'information_incomplete' END], lambda x: x IS NOT NULL) AS u, d.reason, d.action, d.route, f.kind FROM sent d JOIN fact f USING (document_id))
-SELECT f.document_id, f.profile_id, len(u) > 0 AS needs_review, array_to_string(u, ',') AS unknowns, (SELECT coalesce(string_agg(r || ',', '' ORDER BY o, r), '') FROM hit h WHERE h.document_id = f.document_id AND h.profile_id = f.profile_id) || 'decision.' || reason || ',route.' ||
+flags AS (SELECT DISTINCT d.document_id, d.profile_id, n.profile_id AS own, list_filter([CASE WHEN kind = 'update' AND previous_route <> 'none' AND NOT comparison_known THEN 'comparison_unknown' END, CASE WHEN d.relevance = 'unknown' THEN 'topic_relation_unknown' END, CASE WHEN d.eligibility = 'unknown' THEN 'eligibility_unknown' END,
+  CASE WHEN NOT audience_declared THEN 'audience_unknown' END, CASE WHEN d.time_status = 'unknown' THEN 'time_unknown' END, CASE WHEN information_incomplete THEN 'information_incomplete' END], lambda x: x IS NOT NULL) AS u, d.reason, d.action, d.route, f.kind FROM sent d JOIN fact f USING (document_id) LEFT JOIN named n USING (document_id, profile_id))
+SELECT DISTINCT f.document_id, f.own AS profile_id, len(u) > 0 AS needs_review, array_to_string(u, ',') AS unknowns, (SELECT coalesce(string_agg(r || ',', '' ORDER BY o, r), '') FROM hit h WHERE h.document_id = f.document_id AND h.profile_id = f.profile_id) || 'decision.' || reason || ',route.' ||
 CASE WHEN route = 'none' THEN 'no_mail_action' WHEN action = 'DIGEST' THEN 'digest_action' WHEN kind = 'activation_recent' AND route = 'immediate' THEN 'activation_urgency_exception' WHEN kind = 'activation_recent' THEN 'activation_recent_digest' ELSE 'hybrid_immediate' END AS rules FROM flags f""", *decided_plans._ALL))
 def _(spark, sf):
-    out = ops.review_flags(decided_plans._decided(spark, sf), decided_plans._judged(spark, sf), view(spark, sf, "topic_match"), view(spark, sf, "profile_topic"), ops.constraint_results(_asked(spark, sf), view(spark, sf, "profile")), decided_plans._MODE)
+    out = ops.review_flags(stored(decided_plans._decided(spark, sf), "decided"), view(spark, sf, "fact"), view(spark, sf, "topic_match"), view(spark, sf, "profile_topic"), decided_plans._asked(spark, sf), view(spark, sf, "profile"), decided_plans._MODE)
     return out.select("document_id", "profile_id", "needs_review", F.array_join("unknowns", ",").alias("unknowns"), F.array_join("rules", ",").alias("rules"))
 
 
@@ -143,12 +142,12 @@ def _(spark, sf):
     return ops.reevaluation(view(spark, sf, "event").selectExpr(*_SET), ops.latest_observation(view(spark, sf, "version")), view(spark, sf, "fact"), AT, local_date(F.lit(AT)))
 
 
-@query("decision_audit", oracle(decided_plans._DECIDED + """, n AS (SELECT document_id, profile_id, SHA[concat_ws('|', eligibility, time_status, relevance, action, reason, route)] AS d, SHA[CAST(document_id AS VARCHAR)] AS f, SHA[profile_id] AS p FROM sent),
+@query("decision_audit", oracle(decided_plans._DECIDED + decided_plans._SPREAD + """, n AS (SELECT document_id, profile_id, SHA[concat_ws('|', eligibility, time_status, relevance, action, reason, route)] AS d, SHA[CAST(document_id AS VARCHAR)] AS f, SHA[profile_id] AS p FROM spread WHERE profile_id IS NOT NULL),
 s AS (SELECT document_id, profile_id, CASE WHEN document_id % 11 = 1 THEN 'x' ELSE d END AS sd, CASE WHEN document_id % 13 = 2 THEN 'x' ELSE f END AS sf, CASE WHEN document_id % 17 = 3 THEN NULL ELSE p END AS sp FROM n)
 SELECT document_id, profile_id, array_to_string(list_filter([CASE WHEN sd IS DISTINCT FROM d THEN 'decision' END, CASE WHEN sf IS DISTINCT FROM f THEN 'facts' END, CASE WHEN sp IS DISTINCT FROM p THEN 'policy' END], lambda x: x IS NOT NULL), ',') AS differs FROM s JOIN n USING (document_id, profile_id)
 WHERE sd IS DISTINCT FROM d OR sf IS DISTINCT FROM f OR sp IS DISTINCT FROM p""", *decided_plans._ALL))
 def _(spark, sf):
-    now = decided_plans._decided(spark, sf).select(
+    now = decided_plans._decided(spark, sf).where("profile_id IS NOT NULL").select(
         "document_id", "profile_id", F.sha2(F.concat_ws("|", "eligibility", "time_status", "relevance", "action", "reason", "route"), 256).alias("decision_sha256"),
         F.sha2(F.col("document_id").cast("string"), 256).alias("facts_sha256"), F.sha2("profile_id", 256).alias("policy_sha256"),
     )
@@ -211,4 +210,4 @@ def _(spark, sf):
 @query("constraint_conflicts", oracle("""WITH c AS (SELECT document_id, field, list(list_filter([v1, v2], lambda x: x IS NOT NULL)) AS sets FROM requirement WHERE operator = 'in' GROUP BY document_id, field HAVING count(*) > 1)
 SELECT document_id, field, len(sets) AS constraints FROM c WHERE len(list_filter(sets[1], lambda x: len(list_filter(sets, lambda s: NOT list_contains(s, x))) = 0)) = 0""", "requirement"))
 def _(spark, sf):
-    return ops.constraint_conflicts(_asked(spark, sf))
+    return ops.constraint_conflicts(decided_plans._asked(spark, sf))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decisions
 from ..operators import facts as ops
+from ..operators.percolate import phrase_hits
 from ..registry import query
 from ..sources.bindings import AT, RULED, oracle, view
 from ..sources.tables import stored
@@ -222,9 +223,9 @@ def _(spark, sf):
 
 
 @query("phrase_hits", oracle("""WITH t AS (SELECT document_id, 'title' AS field, title AS text FROM notice UNION ALL SELECT document_id, 'body_text', body_text FROM notice)
-SELECT document_id, field, phrase, strpos(text, phrase) - 1 AS start, strpos(text, phrase) - 1 + length(phrase) AS "end" FROM t JOIN (SELECT unnest(['que', 'und', 'ment', 'tion']) AS phrase) p ON contains(text, phrase)""", "notice"))
+SELECT document_id, field, phrase, strpos(text, phrase) - 1 AS start, strpos(text, phrase) - 1 + length(phrase) AS "end" FROM t JOIN (SELECT DISTINCT phrase FROM profile_phrase) p ON contains(text, phrase)""", "notice", "profile_phrase"))
 def _(spark, sf):
-    return ops.phrase_hits(view(spark, sf, "notice"), spark.createDataFrame([("que",), ("und",), ("ment",), ("tion",)], "phrase string"))
+    return phrase_hits(view(spark, sf, "notice"), view(spark, sf, "profile_phrase").select("phrase"))
 
 
 @query("topic_candidates", oracle(" UNION ALL ".join(f"SELECT document_id, '{t}' AS topic FROM ruled WHERE contains(title, '{p}') OR contains(body_text, '{p}')" for t, p in PACK.topics), "ruled"))
@@ -244,7 +245,7 @@ profile AS (SELECT * FROM {_PROFILES}), profile_topic AS (SELECT * FROM {_INTERE
 topic_match AS ({_expected("topic context is_primary", [(v, t, c, True) for v, t, c in _LINKED] + [(v, t, c, False) for v, t, c in _BODIES])}), """
 
 
-@query("decide_from_facts", oracle(_FROM_FACTS + decided._DECIDED.strip().removeprefix("WITH ") + " SELECT * FROM sent", "ruled"))
+@query("decide_from_facts", oracle(_FROM_FACTS + decided._DECIDED.strip().removeprefix("WITH ").replace(decided._SAID, "said AS (SELECT document_id, profile_id FROM requirement JOIN profile USING (field) WHERE false)") + decided._SPREAD + " SELECT * FROM spread", "ruled"))
 def _(spark, sf):
     """From texts to decisions: rule facts of every notice, for every profile."""
     acts, linked, said, hard, facts = _parts(spark, sf)
@@ -254,5 +255,5 @@ def _(spark, sf):
     asked = said.where("field IS NOT NULL").select("document_id", "field", "operator", F.array("value").alias("values"))
     asked = asked.unionByName(hard.select("document_id", "field", F.lit("unsupported").alias("operator"), F.array("excerpt").alias("values")))
     matches = linked.select("document_id", "topic", "context", (F.col("field") == "title").alias("is_primary"))
-    judged = decisions.eligibility(rows, asked, spark.sql(f"SELECT * FROM {_PROFILES}"))
-    return decisions.decide_batch(judged, decisions.topic_flags(matches, spark.sql(f"SELECT * FROM {_INTERESTS}")), AT, decided._MODE, decided._NEXT)
+    flags = decisions.interest_flags(matches, spark.sql(f"SELECT * FROM {_INTERESTS}"))
+    return decisions.decide_batch(rows, asked, spark.sql(f"SELECT * FROM {_PROFILES}"), flags, AT, decided._MODE, decided._NEXT)

@@ -154,8 +154,8 @@ SELECT doc_id AS document_id, CASE n_chars % 5 WHEN 0 THEN 'reference' WHEN 1 TH
   CASE WHEN doc_id % 2 = 0 THEN 'none' ELSE 'digest' END AS previous_route, doc_id % 9 <> 1 AS comparison_known, n_chars % 4 = 1 AS conditions_changed
 FROM documents""",
     "requirement": """
-SELECT doc_id AS document_id, 'lang' AS field, CASE WHEN n_chars % 19 = 0 THEN 'unsupported' ELSE 'in' END AS operator, lang AS v1, CASE WHEN n_chars % 2 = 0 THEN 'en' END AS v2 FROM documents
-UNION ALL SELECT doc_id, 'source', 'in', source, 'src8' FROM documents
+SELECT doc_id AS document_id, 'lang' AS field, CASE WHEN n_chars % 19 = 0 THEN 'unsupported' ELSE 'in' END AS operator, lang AS v1, CASE WHEN n_chars % 2 = 0 THEN 'en' END AS v2 FROM documents WHERE n_chars % 3 > 0
+UNION ALL SELECT doc_id, 'source', 'in', source, 'src8' FROM documents WHERE n_chars % 3 > 0
 UNION ALL SELECT doc_id, 'gpa', 'unsupported', '3.0', NULL FROM documents WHERE n_chars % 23 < 3
 UNION ALL SELECT doc_id, 'lang', 'in', 'fr', NULL FROM documents WHERE n_chars % 29 = 4""",
     "activation": f"""
@@ -169,7 +169,12 @@ FROM pages""",
     "topic_match": """
 SELECT doc_id AS document_id, source AS topic, 'opportunity' AS context, true AS is_primary FROM documents
 UNION ALL SELECT doc_id, lang, CASE n_chars % 4 WHEN 0 THEN 'opportunity' WHEN 1 THEN 'uncertain' WHEN 2 THEN 'subject' END, false FROM documents""",
-    "profile": "SELECT * FROM (VALUES ('p1', 'lang', 'en'), ('p1', 'source', NULL), ('p2', 'lang', 'fr'), ('p2', 'source', 'src8'), ('p3', 'lang', NULL), ('p3', 'source', 'src12')) AS t(profile_id, field, actual)",
+    "profile": """
+SELECT * FROM (VALUES ('p1', 'lang', 'en'), ('p1', 'source', NULL), ('p2', 'lang', 'fr'), ('p2', 'source', 'src8'), ('p3', 'lang', NULL), ('p3', 'source', 'src12'), ('p4', 'college', 'arts')) AS t(profile_id, field, actual)
+UNION ALL SELECT concat('q', CAST(item_id AS STRING)), NULL, NULL FROM benchmark""",
+    "profile_phrase": """
+SELECT concat('p', CAST(item_id % 4 + 1 AS STRING)) AS profile_id, substr(text, 1, CAST(item_id % 11 + 1 AS INT)) AS phrase FROM benchmark WHERE length(text) > 11
+UNION SELECT concat('q', CAST(item_id AS STRING)), substr(text, 20, 40) FROM benchmark WHERE length(text) > 60""",
     "profile_topic": """SELECT * FROM (VALUES ('p1', 'en', true, false, false, false), ('p1', 'src8', true, false, true, false), ('p1', 'src9', true, false, false, true), ('p1', 'src10', false, true, false, false),
   ('p2', 'fr', true, false, true, false), ('p2', 'src12', true, false, true, false), ('p2', 'de', false, false, false, true), ('p3', 'es', true, false, false, false), ('p3', 'src8', true, true, false, false)) AS t(profile_id, topic, interest, excluded, high_value, store_only)""",
     "term": """

@@ -40,8 +40,8 @@ def test_a_single_mismatch_decides(spark):
     facts = spark.createDataFrame([(1, "opportunity", True, True, False), (2, "information", True, True, False)], "document_id long, category string, audience_declared boolean, eligibility_complete boolean, information_incomplete boolean")
     asked = spark.createDataFrame([(1, "level", "in", ["a"]), (1, "year", "unsupported", ["b"])], "document_id long, field string, operator string, values array<string>")
     profiles = spark.createDataFrame([("p", "level", "z"), ("p", "year", "b"), ("q", "level", "a"), ("q", "year", "b")], "profile_id string, field string, actual string")
-    got = {(r.document_id, r.profile_id): r.eligibility for r in decisions.eligibility(facts, asked, profiles).collect()}
-    assert got == {(1, "p"): "ineligible", (1, "q"): "unknown", (2, "p"): "not_required", (2, "q"): "not_required"}
+    got = {(r.document_id, r.profile_id): (r.eligibility, r.profiles) for r in decisions.eligibility(facts, asked, profiles).collect()}
+    assert got == {(1, "p"): ("ineligible", 1), (1, "q"): ("unknown", 1), (2, None): ("not_required", 2)}
 
 
 def test_a_constraint_that_no_profile_names_is_unknown(spark):
@@ -70,7 +70,7 @@ def test_pages(spark):
     from pyspark.sql import functions as F
 
     rows = spark.createDataFrame([(1, "http://a.b/c/d.htm", '<p><img src="x.png"></p>'), (2, "http://a.b/c/", '<p>.</p><img width="1" height="1">'), (3, "http://a.b", '<a href="../../x">x</a><a HREF="?p=2">p</a><a href="javascript:0">j</a>')], "page_id long, url string, html string")
-    assert [r.m for r in rows.select("page_id", pages.meaningful(pages.body(F.col("html"))).alias("m")).orderBy("page_id").collect()] == [True, False, True]
+    assert [r.meaningful for r in pages.page_meaningful(rows).orderBy("page_id").collect()] == [True, False, True]
     assert [(r.page_id, r.src) for r in pages.page_images(rows).collect()] == [(1, "http://a.b/c/x.png")]
     hrefs = [("../e", "http://a.b/c/d/f.htm", "http://a.b/c/e"), ("./e", "http://a.b/c/", "http://a.b/c/e"), ("//x.y/z", "https://a.b/", "https://x.y/z"), ("?q", "http://a.b/c?p", "http://a.b/c?q")]
     got = spark.createDataFrame(hrefs, "h string, u string, want string").select(pages.resolved(F.col("h"), F.col("u")).alias("got"), "want").collect()
