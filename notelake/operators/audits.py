@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import gaps, last_rows
 from .responses import first_reason
 
 FORMAT = "observation-v1"
@@ -91,11 +92,12 @@ def status_report(docs: DataFrame, runs: DataFrame, at: int) -> DataFrame:
         F.count_if(~first & due).alias("rechecks_due"), F.max(F.when(~first & due, at - F.col("next_due_at"))).alias("oldest_recheck_age"), F.count_if(~first & F.col("next_due_at").isNull()).alias("unscheduled"),
     )
     good = F.when(F.col("failed") == 0, F.col("finished_at"))
-    recent = F.slice(F.reverse(F.array_sort(F.collect_list(F.when(F.col("finished_at").isNotNull(), F.struct("started_at", "run_no", F.col("over_budget").cast("int").alias("b")))))), 1, 3)
     r = runs.groupBy("source_id").agg(
         F.max(good).alias("last_complete_scan_at"), F.count_if(F.col("finished_at").isNull()).alias("unfinished_runs"), F.greatest(F.max("not_before_at") - at, F.lit(0)).alias("cooldown"),
-        F.aggregate(recent, F.lit(0), lambda s, x: s + x["b"]).alias("budget_runs"),
     )
+    recent = last_rows(runs.where("finished_at IS NOT NULL"), "source_id", [F.desc("started_at"), F.desc("run_no")], 3, "recent")
+    budget = recent.groupBy("source_id").agg(F.sum(F.col("over_budget").cast("int")).cast("int").alias("budget_runs"))
+    r = r.join(budget, "source_id", "left").withColumn("budget_runs", F.coalesce("budget_runs", F.lit(0)))
     rows = d.join(r, "source_id", "left").withColumn("scan_age", at - F.col("last_complete_scan_at"))
     codes = diagnostics(rows).groupBy("source_id").agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
     return rows.join(codes, "source_id", "left").withColumn("codes", F.coalesce("codes", F.lit("")))
@@ -163,10 +165,9 @@ def window_summary(samples: DataFrame, start: int, end: int, interval: int, slac
     ``samples``: source_id, at, processed, documents."""
     inside = samples.where(F.col("at").between(start, end))
     one = inside.groupBy("source_id", "at").agg(F.count("*").alias("n"), F.count_distinct("processed", "documents").alias("kinds"), F.min(F.struct("processed", "documents")).alias("v"))
-    points = F.array_sort(F.concat(F.array(F.lit(start).cast("long"), F.lit(end).cast("long")), F.collect_list("at")))
     out = one.groupBy("source_id").agg(
         F.count("*").alias("samples"), F.sum(F.col("n") - 1).alias("repeats"), F.count_if(F.col("kinds") > 1).alias("conflicts"), (F.max_by("v.processed", "at") - F.min_by("v.processed", "at")).alias("processed"),
-        (F.max_by("v.documents", "at") - F.min_by("v.documents", "at")).alias("documents"), points.alias("points"),
+        (F.max_by("v.documents", "at") - F.min_by("v.documents", "at")).alias("documents"),
     )
-    steps = F.filter(F.zip_with("points", F.slice("points", F.lit(2), F.size("points")), lambda a, b: b - a), lambda s: s > interval + slack)
-    return out.select("source_id", "samples", "repeats", "conflicts", "processed", "documents", F.size(steps).cast("long").alias("gaps"), F.array_max(steps).alias("longest_gap"))
+    missed = gaps(one, "source_id", "at", start, end, interval + slack).groupBy("source_id").agg(F.count("*").alias("gaps"), F.max("seconds").alias("longest_gap"))
+    return out.join(missed, "source_id", "left").withColumn("gaps", F.coalesce("gaps", F.lit(0)))

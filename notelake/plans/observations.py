@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import next_slot
-from ..operators import backlog
+from ..operators import backlog, ordered
 from ..registry import query
 from ..sources.bindings import T0, oracle, view
 
@@ -16,11 +16,7 @@ _END = T0 + 30 * 86400
 @query("observation_gaps", oracle(f"""WITH points AS (SELECT source_id, seen_at FROM sample WHERE NOT unavailable UNION ALL SELECT DISTINCT source_id, {T0} FROM sample UNION ALL SELECT DISTINCT source_id, {_END} FROM sample)
 SELECT source_id, seen_at AS gap_start, nxt AS gap_end, nxt - seen_at AS seconds FROM (SELECT *, lead(seen_at) OVER (PARTITION BY source_id ORDER BY seen_at) AS nxt FROM points) WHERE nxt - seen_at > 3600 + 300""", "sample"))
 def _(spark, sf):
-    s = view(spark, sf, "sample")
-    ends = s.select("source_id").distinct().select("source_id", F.explode(F.array(F.lit(T0).cast("long"), F.lit(_END).cast("long"))).alias("seen_at"))
-    points = s.where("NOT unavailable").select("source_id", "seen_at").unionByName(ends)
-    gaps = points.withColumn("gap_end", F.lead("seen_at").over(W.partitionBy("source_id").orderBy("seen_at"))).withColumn("seconds", F.col("gap_end") - F.col("seen_at"))
-    return gaps.where("seconds > 3900").withColumnRenamed("seen_at", "gap_start")
+    return ordered.gaps(view(spark, sf, "sample").where("NOT unavailable"), "source_id", "seen_at", T0, _END, 3900)
 
 
 @query("net_changes", oracle("""SELECT source_id, arg_max(processed, (seen_at, event_id)) - arg_min(processed, (seen_at, event_id)) AS processed, arg_max(documents, (seen_at, event_id)) - arg_min(documents, (seen_at, event_id)) AS documents FROM sample WHERE NOT unavailable GROUP BY source_id""", "sample"))
@@ -51,14 +47,14 @@ def _(spark, sf):
 
 @query("recent_runs", oracle("SELECT source_id, run_no, started_at, recent, busy FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, run_no DESC) AS recent, bool_and(requests >= 3) OVER (PARTITION BY source_id ORDER BY started_at, run_no ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS busy FROM run) WHERE recent <= 10", "run"))
 def _(spark, sf):
-    own = W.partitionBy("source_id")
-    rows = view(spark, sf, "run").withColumn("recent", F.row_number().over(own.orderBy(F.desc("started_at"), F.desc("run_no")))).withColumn("busy", F.every(F.col("requests") >= 3).over(own.orderBy("started_at", "run_no").rowsBetween(-2, 0)))
-    return rows.where("recent <= 10").select("source_id", "run_no", "started_at", "recent", "busy")
+    last = ordered.last_rows(view(spark, sf, "run"), "source_id", [F.desc("started_at"), F.desc("run_no")], 12, "recent")  # a run's two before it are needed too
+    busy = F.every(F.col("requests") >= 3).over(W.partitionBy("source_id").orderBy("started_at", "run_no").rowsBetween(-2, 0))
+    return last.withColumn("busy", busy).where("recent <= 10").select("source_id", "run_no", "started_at", "recent", "busy")
 
 
 @query("run_closure", oracle("SELECT source_id, run_no, CASE WHEN finished_at IS NOT NULL THEN 'finished' WHEN lead(started_at) OVER w IS NOT NULL THEN 'interrupted' ELSE 'running' END AS state, coalesce(finished_at, lead(started_at) OVER w) AS closed_at FROM run WINDOW w AS (PARTITION BY source_id ORDER BY run_no)", "run"))
 def _(spark, sf):
-    rows = view(spark, sf, "run").withColumn("n", F.lead("started_at").over(W.partitionBy("source_id").orderBy("run_no")))
+    rows = ordered.neighbours(view(spark, sf, "run"), "source_id", "started_at", ["run_no"], "started_at", after="n", width=86400)
     return rows.select("source_id", "run_no", F.when(F.col("finished_at").isNotNull(), "finished").when(F.col("n").isNotNull(), "interrupted").otherwise("running").alias("state"), F.coalesce("finished_at", "n").alias("closed_at"))
 
 
