@@ -149,7 +149,8 @@ def learnable(docs: DataFrame, labels: DataFrame, may_learn: Column) -> DataFram
 
 def trained(docs: DataFrame, labels: DataFrame, may_learn: Column, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> ByteCnn:
     """Fitted on rows of ``docs`` where ``may_learn`` holds, of which there are as many of each label as
-    ``learnable`` counts. Labels other than 0 and 1, and those that differ for one doc_id, are left out; without rows
+    ``learnable`` counts. Labels other than 0 and 1, and those that differ for one doc_id, are left out, and so are
+    texts that alone are over ``most_bytes``; texts of over a sixteenth of it are taken after all others. Without rows
     of both labels every text scores as the label there is, or 0.5."""
     agreed = learnable(docs, labels, may_learn)
     counts = {r[0]: r[1] for r in agreed.groupBy("quality").count().collect()}
@@ -158,8 +159,9 @@ def trained(docs: DataFrame, labels: DataFrame, may_learn: Column, rows: int = S
     for label in (0, 1):
         # Ids first, texts of the chosen ones after.
         ids = agreed.where(F.col("quality") == label).select("doc_id").orderBy(*order).limit(rows)
-        own = pool.join(F.broadcast(ids), "doc_id").orderBy(*order, "body").limit(rows)
-        held = F.sum(F.length("body")).over(W.orderBy(*order, "body").rowsBetween(W.unboundedPreceding, 0))  # over ``rows`` rows
+        turn = (F.length("body") > most_bytes // 16, *order, "body")
+        own = pool.join(F.broadcast(ids), "doc_id").where(F.length("body") <= most_bytes).orderBy(*turn).limit(rows)
+        held = F.sum(F.length("body")).over(W.orderBy(*turn).rowsBetween(W.unboundedPreceding, 0))  # over ``rows`` rows
         chosen += [(bytes(r["body"]), label) for r in own.withColumn("held", held).where(F.col("held") <= most_bytes).collect()]
     model = ByteCnn()
     y = np.array([c[1] for c in chosen], np.float32)

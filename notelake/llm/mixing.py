@@ -5,14 +5,18 @@ counts kept in BUCKETS hash buckets, predicts every document's domain probabilit
 square root of the text's length, as words of a text are far from independent. It learns from about SAMPLE labelled
 rows (all, if there are fewer; chosen by a hash of doc_id), whose ids are broadcast, so no text is shuffled.
 
-Then document rates r >= 0 are fitted: with a_i = tokens_i * p_i (expected tokens of each domain) the sums
-sum_i r_i a_i shall be the target weights times the budget, and of all rates that do so, those closest to 1 are taken,
-in the metric of the documents' tokens, so rates depend on what a text is, not how long it is. These are
-r_i = max(0, 1 - p_i * step) for one step, which Newton's method finds from the Gram matrix of the documents whose
-rate is not 0. A small penalty (EASE) on the step makes it unique; where no rates meet the targets, it leads to the
-least squares and a warning names what is missing. A fit that does not settle fails. One pass tries several lengths
-of a Newton step: each partition adds up its rates' domain totals and Gram matrix, and only these few numbers reach
-the driver. Rates are never collected; a task works out those of its own rows from the step.
+Then document rates r >= 0 are fitted by distributed projected gradient least squares: with a_i = tokens_i * p_i
+(expected tokens of each domain) the residual is off = sum_i r_i a_i - targets * budget, and a step takes r_i to
+max(0, r_i - p_i . move), for all documents at once. The move is the gradient off itself, or the gradient
+preconditioned by the inverse of the Gram matrix of the documents whose rate is not 0, which is what makes a rare
+domain converge; of both and several lengths the one with the least residual is taken. The gradient is scaled by a
+document's tokens, so its rate depends on what a text is, not how long it is.
+
+Rates start at 1 and are a function of the moves so far, so they are never stored: a task replays the moves for its
+own rows. In one pass each partition adds up, for each way to go on, its domain totals and Gram matrix, and only these
+few numbers reach the driver. The fit ends when every domain is close to its target, or when nothing gets closer:
+then the targets are out of reach, the least squares are kept and a warning names what is missing. A fit that does
+neither in STEPS passes fails.
 """
 
 from __future__ import annotations
@@ -38,11 +42,11 @@ STEPS = 200
 #: Residual of a domain, as a share of what it shall have (at least of LEAST of the budget), that ends the fit.
 CLOSE = 2e-3
 LEAST = 1e-3
-#: Weight of the step's square, as a share of all tokens; slope, as a share of the budget, at which a fit short of its targets has settled.
-EASE = 1e-8
-SETTLED = 1e-6
-#: Lengths of a Newton step that one pass tries.
+#: Share of the residual by which a pass must get closer, or nothing does.
+SETTLED = 1e-4
+#: Lengths that one pass tries: of the preconditioned gradient, and of the gradient over its Lipschitz constant.
 LENGTHS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001)
+PLAIN = (1.0, 10.0, 100.0)
 RATE = "rate"
 
 
@@ -119,27 +123,30 @@ def memberships(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFr
     return rows.mapInArrow(lambda batches: _posterior(sent)(batches), "doc_id long, dk long, n_tokens long, " + ", ".join(f"{d} double" for d in DOMAINS))
 
 
-def rates_after(p: np.ndarray, step: np.ndarray) -> np.ndarray:
+def rates_after(p: np.ndarray, moves: list[np.ndarray]) -> np.ndarray:
     """Rates of documents with domain probabilities ``p``."""
-    return np.maximum(0.0, 1.0 - p @ step)
+    r = np.ones(len(p))
+    for move in moves:
+        r = np.maximum(0.0, r - p @ move)
+    return r
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch[d].to_numpy() for d in DOMAINS], 1) if batch.num_rows else np.zeros((0, len(DOMAINS)))
 
 
-def _totals(steps: list[np.ndarray]):
-    """For each of ``steps``: sum of squared rates, each domain's tokens, Gram matrix of rows whose rate is not 0."""
+def _totals(moves: list[np.ndarray], ways: list[np.ndarray]):
+    """For each of ``ways`` to go on: all tokens, each domain's tokens, Gram matrix of rows whose rate is not 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(DOMAINS)
-        total = np.zeros((len(steps), 1 + k + k * k))
+        total = np.zeros((len(ways), 1 + k + k * k))
         for batch in batches:
             p, n = _matrix(batch), batch["n_tokens"].to_numpy()
-            for i, step in enumerate(steps):
-                r = rates_after(p, step)
-                weighted = p * n[:, None]
-                total[i, 0] += n @ (r * r)
+            weighted, so_far = p * n[:, None], rates_after(p, moves)
+            for i, way in enumerate(ways):
+                r = np.maximum(0.0, so_far - p @ way)
+                total[i, 0] += n.sum()
                 total[i, 1 : k + 1] += r @ weighted
                 total[i, k + 1 :] += (weighted[r > 0].T @ p[r > 0]).ravel()
         at, place = np.indices(total.shape)
@@ -148,47 +155,46 @@ def _totals(steps: list[np.ndarray]):
     return run
 
 
-def fitted_step(members: DataFrame, targets: dict[str, float], budget: float | None = None, passes: int = STEPS, close: float = CLOSE) -> np.ndarray:
-    """The step that ``rates_after`` turns into rates."""
+def fitted_moves(members: DataFrame, targets: dict[str, float], budget: float | None = None, passes: int = STEPS, close: float = CLOSE) -> list[np.ndarray]:
+    """The moves that ``rates_after`` turns into rates."""
     k = len(DOMAINS)
+    moves: list[np.ndarray] = []
 
-    def tried(steps: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(steps), 1 + k + k * k))
-        sums = members.mapInArrow(_totals(steps), "i long, place long, x double").groupBy("i", "place").agg(F.sum("x").alias("x"))
+    def tried(ways: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(ways), 1 + k + k * k))
+        sums = members.mapInArrow(_totals(moves, ways), "i long, place long, x double").groupBy("i", "place").agg(F.sum("x").alias("x"))
         for i, place, x in sums.collect():
             out[i, place] = x
         return out
 
-    step = np.zeros(k)
-    now = tried([step])[0]
-    tokens = now[0]  # all rates are 1
+    now = tried([np.zeros(k)])[0]
+    tokens = now[0]
     if tokens == 0:
-        return step
+        return moves
     wanted = np.array([targets[d] for d in DOMAINS]) / sum(targets.values()) * (tokens if budget is None else budget)
-    ease, whole = EASE * tokens, max(wanted.sum(), 1e-9)
-    height = lambda of, at: of[0] / 2 + wanted @ at + ease / 2 * at @ at
+    whole, steepest = max(wanted.sum(), 1e-9), np.linalg.eigvalsh(now[k + 1 :].reshape(k, k))[-1]  # of all rows
     for _ in range(passes):
         off = now[1 : k + 1] - wanted
-        slope = ease * step - off
         if (np.abs(off) <= close * np.maximum(wanted, LEAST * whole)).all():
-            return step
-        if np.abs(slope).max() <= SETTLED * whole:
-            logging.getLogger(__name__).warning("mixing targets are out of reach; shares of the budget too many: %s", dict(zip(DOMAINS, (off / whole).round(4).tolist(), strict=True)))
-            return step
-        move = np.linalg.solve(now[k + 1 :].reshape(k, k) + ease * np.eye(k), slope)
-        ways = [step - x * move for x in LENGTHS]
+            return moves
+        along = np.linalg.solve(now[k + 1 :].reshape(k, k) + 1e-9 * tokens * np.eye(k), off)
+        ways = [x * along for x in LENGTHS] + [x / steepest * off for x in PLAIN]
         found = tried(ways)
-        best = int(np.argmin([height(f, w) for f, w in zip(found, ways, strict=True)]))
-        step, now = ways[best], found[best]
+        left = np.linalg.norm(found[:, 1 : k + 1] - wanted, axis=1)
+        best = int(np.argmin(left))
+        if left[best] >= (1 - SETTLED) * np.linalg.norm(off):
+            logging.getLogger(__name__).warning("mixing targets are out of reach; shares of the budget too many: %s", dict(zip(DOMAINS, (off / whole).round(4).tolist(), strict=True)))
+            return moves
+        moves, now = [*moves, ways[best]], found[best]
     raise RuntimeError(f"mixing rates did not settle in {passes} passes; residual {(off / whole).tolist()} of the budget")
 
 
-def _rated(step: np.ndarray, seed: int):
+def _rated(moves: list[np.ndarray], seed: int):
     names = ["doc_id", "dk", "n_tokens", *DOMAINS, RATE, "copies"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            r = rates_after(_matrix(batch), step)
+            r = rates_after(_matrix(batch), moves)
             part = [xxhash.xxh3_64_intdigest(f"{a} {b}", seed) / 2**64 for a, b in zip(batch["doc_id"].to_pylist(), batch["dk"].to_pylist(), strict=True)]
             copies = (np.floor(r) + (np.array(part) < r - np.floor(r))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names[:-2]), pa.array(r), pa.array(copies)], names=names)
@@ -209,9 +215,9 @@ def mixing_rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float]
 
 def _with_rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float], budget: float | None, seed: int) -> DataFrame:
     members = stored(memberships(docs, classifier(docs, domains)), "memberships")
-    step = fitted_step(members, targets, budget)
+    moves = fitted_moves(members, targets, budget)
     schema = "doc_id long, dk long, n_tokens long, " + ", ".join(f"{d} double" for d in DOMAINS) + ", rate double, copies int"
-    return members.mapInArrow(_rated(step, seed), schema)
+    return members.mapInArrow(_rated(moves, seed), schema)
 
 
 def mixed(docs: DataFrame, domains: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, seed: int = 1) -> DataFrame:
@@ -220,7 +226,7 @@ def mixed(docs: DataFrame, domains: DataFrame, targets: dict[str, float] = TARGE
     empty table stays empty; other columns, whatever their names, are handed on unread."""
     model = classifier(docs, domains)
     members = stored(memberships(docs, model), "memberships")
-    step = fitted_step(members, targets, budget)
+    moves = fitted_moves(members, targets, budget)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names, dk = docs.columns, fresh("dk", docs)
     keyed = docs.withColumn(dk, F.xxhash64("text"))
@@ -230,7 +236,7 @@ def mixed(docs: DataFrame, domains: DataFrame, targets: dict[str, float] = TARGE
         for batch in slices(batches):
             bodies = pa.array([(t or "").encode() for t in batch["text"].to_pylist()], pa.binary())
             slim = pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch[dk], bodies], names=["doc_id", "dk", "body"])
-            copies = next(_rated(step, seed)(score(iter([slim]))))["copies"].to_numpy()
+            copies = next(_rated(moves, seed)(score(iter([slim]))))["copies"].to_numpy()
             yield batch.select(names).take(pa.array(np.repeat(np.arange(batch.num_rows), copies)))
 
     return keyed.mapInArrow(run, docs.schema)

@@ -475,19 +475,66 @@ def test_mixing_meets_targets_of_a_rare_domain(spark, sharp):
     n = rng.integers(1, 400, 8000)
     members = spark.createDataFrame([(int(t), *map(float, q)) for t, q in zip(n, p, strict=True)], "n_tokens long, " + ", ".join(f"{d} double" for d in mixing.DOMAINS))
     targets = dict(zip(mixing.DOMAINS, (0.6, 0.2, 0.2), strict=True))
-    fit = getattr(mixing, "fitted_step", None) or mixing.fitted_steps
-    got = (mixing.rates_after(p, fit(members, targets)) * n) @ p / n.sum()
+    got = (mixing.rates_after(p, mixing.fitted_moves(members, targets)) * n) @ p / n.sum()
     assert np.abs(got - list(targets.values())).max() <= 1e-3
 
 
 def test_mixing_settles_where_targets_are_out_of_reach(spark):
     p = np.array([[0.7, 0.2, 0.1], [0.6, 0.2, 0.2]] * 50)
     members = spark.createDataFrame([(10, *map(float, q)) for q in p], "n_tokens long, " + ", ".join(f"{d} double" for d in mixing.DOMAINS))
-    got = (10 * mixing.rates_after(p, mixing.fitted_step(members, {"clean": 0.97, "low": 0.01, "toxic": 0.02}))) @ p / 1000
+    got = (10 * mixing.rates_after(p, mixing.fitted_moves(members, {"clean": 0.97, "low": 0.01, "toxic": 0.02}))) @ p / 1000
     least = max(0.0, p[0] @ [0.97, 0.01, 0.02] / (p[0] @ p[0])) * p[0]  # on the nearest ray
     assert np.abs(got - least).max() < 1e-3
 
 
+@pytest.mark.parametrize("targets", [(0.5, 0.3, 0.2), (0.0, 0.0, 1.0), (1.0, 0.0, 0.0), (0.3, 0.69, 0.01)])
+def test_mixing_against_a_plain_solver(spark, targets):
+    """Domain totals of the fit against nonnegative least squares by coordinate descent, one document at a time."""
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet((2.0, 0.5, 0.2), 80)
+    n = rng.integers(0, 300, 80).astype(float)
+    a, wanted, r = p * n[:, None], np.array(targets) * n.sum(), np.ones(80)
+    for _ in range(3000):
+        for i in np.flatnonzero(n):
+            r[i] = max(0.0, r[i] - a[i] @ (r @ a - wanted) / (a[i] @ a[i]))
+    members = spark.createDataFrame([(int(t), *map(float, q)) for t, q in zip(n, p, strict=True)], "n_tokens long, " + ", ".join(f"{d} double" for d in mixing.DOMAINS))
+    rates = mixing.rates_after(p, mixing.fitted_moves(members, dict(zip(mixing.DOMAINS, targets, strict=True))))
+    assert rates.min() >= 0
+    assert np.abs(rates @ a - r @ a).max() < 3e-3 * n.sum()
+
+
+def test_rates_of_equal_texts_are_equal_and_clipped_ones_can_return():
+    p = np.array([[1.0, 0, 0], [0, 1.0, 0], [1.0, 0, 0]])
+    got = mixing.rates_after(p, [np.array([2.0, 0.5, 0]), np.array([-0.25, 0, 0])])
+    assert got.tolist() == [0.25, 0.5, 0.25]
+
+
+def test_byte_cnn_forward_by_hand():
+    """Scores against a filter moved over every fourth byte by loops: chunks of positions, maxima, their mean and maximum."""
+    rng = random.Random(4)
+    model = byte_cnn.ByteCnn()
+    model.p["bias"] = np.linspace(-0.3, 0.3, byte_cnn.FILTERS).astype(np.float32)
+    bodies = [b"", b"a", b"abcd", bytes(rng.randrange(256) for _ in range(5_000)), "é中".encode() * 700, b"xyz " * byte_cnn.CHUNK, b"q" * (byte_cnn.CHUNK * byte_cnn.STEP + 1)]
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    for body, got in zip(bodies, model.scores(bodies), strict=True):
+        data = body + b"\0" * (byte_cnn.STEP + -len(body) % byte_cnn.STEP) if body else b"\0" * 2 * byte_cnn.STEP
+        starts, kernel = range(0, len(data) - byte_cnn.STEP, byte_cnn.STEP), np.concatenate((p["near"], p["far"]))
+        response = [np.concatenate([p["embed"][c] for c in data[i : i + 2 * byte_cnn.STEP]]) @ kernel + p["bias"] for i in starts]
+        tops = np.array([np.maximum(np.max(response[i : i + byte_cnn.CHUNK], axis=0), 0) for i in range(0, len(response), byte_cnn.CHUNK)])
+        z = np.concatenate((tops.mean(0), tops.max(0))) @ p["out"] + p["shift"][0]
+        assert got == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
+def test_byte_cnn_learns_beside_a_text_over_the_bound(spark):
+    """A labelled text that alone is longer than the sample may be is passed over, and so do not all scores become one."""
+    texts = [(i, ("good words here " if i % 2 else "zzz qqq ") * (i % 7 + 3)) for i in range(80)] + [(500 + i, ("zzz qqq " if i else "good words here ") * 400) for i in (0, 1)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)] + [(500, 1), (501, 0)], "doc_id long, quality int")
+    model = byte_cnn.trained(docs, labels, F.lit(True), most_bytes=2_000)
+    scores = model.scores([b"good words here " * 5, b"zzz qqq " * 5])
+    assert scores[0] > 0.8 and scores[1] < 0.2
+
+
 def test_quality_rules_by_hand(spark):
     """Cutoffs on the 1,000 given documents, chosen again in plain Python from the measures."""
     from math import comb, log, log1p
