@@ -53,10 +53,14 @@ class Pack:
     deadline: str = r"deadline|apply by|register by|until"
     opening: str = r"opens on|open from"
     relative: str = r"from today on"
-    date: str = r"20[0-9]{2}-[0-9]{1,2}-[0-9]{1,2}(?: [0-9]{1,2}:[0-9]{2})?"
+    date: str = r"(?<![0-9:.-])(?:20[0-9]{2}-)?[0-9]{1,2}-[0-9]{1,2}(?![0-9-])(?: [0-9]{1,2}:[0-9]{2}(?![0-9]))?"  # the year may be said before
+    range: str = r"^\s*(?:to|until|through|-)\s*$"  # all that stands between the two ends of one stretch of time
+    period: str = r"registration period|applications from"
     yearless: str = r"(?:Jan|Feb|Mar) [0-9]{1,2}\b"
-    foreign_zone: str = r"\b(?:UTC|GMT|EST|PST)\b"
-    seconds: str = r"[0-9]{1,2}:[0-9]{2}:[0-9]"
+    foreign_zone: str = r"\b(?:UTC|GMT|EST|EDT|PST|PDT|CET|CEST)\b"
+    zone: str = r"\(([A-Za-z ]+ time)\)"
+    local_zones: tuple[str, ...] = ("Beijing time", "Shanghai time", "China standard time")
+    more_clock: str = r"^\s*(?::[0-9]|\.[0-9]|[+-][0-9]{2}:|[AaPp][Mm]\b|Z\b|(?:to|until|-)\s*[0-9]{1,2}:)"  # a clock that goes on is not understood
     before_day: str = r"before"
     deferred: str = r"deadline to be announced"
     media: str = r"(?:requirements|deadline|schedule)[^.;\n]{0,25}(?:see|in) (?:the )?(?:attachment|image|picture)"
@@ -204,26 +208,49 @@ def _moment(said: Column, late: bool) -> Column:
     return F.unix_seconds(F.to_utc_timestamp(date, "Asia/Shanghai")) + seconds
 
 
+def date_tokens(text: Column, pack: Pack) -> Column:
+    """The dates of a clause in order: said, before and after (the text up to the next ones), date (as said, with its
+    year), early and late moments. A date without a year takes that of the date before it if the two are the ends of one
+    stretch, and that year is handed on; without one, or if its clock goes on, its moments are null."""
+    said, pieces = F.regexp_extract_all(text, F.lit(f"({pack.date})"), F.lit(1)), F.split(text, pack.date, -1)
+    found = F.transform(said, lambda x, i: F.struct(x.alias("said"), F.get(pieces, i).alias("before"), F.get(pieces, i + 1).alias("after")))
+    year = lambda x: F.regexp_extract(x, "^(20[0-9]{2})-", 1)
+
+    def hand_on(state: Column, x: Column) -> Column:
+        own = year(x["said"])
+        now = F.when(own != "", own).when(x["before"].rlike(pack.range), state["year"]).otherwise("")
+        full = F.when(own != "", x["said"]).when(now != "", F.concat(now, F.lit("-"), x["said"]))
+        return F.struct(now.alias("year"), F.array_append(state["dates"], F.struct(x["said"].alias("said"), x["before"].alias("before"), x["after"].alias("after"), full.alias("date"))).alias("dates"))
+
+    none = F.array().cast("array<struct<said:string,before:string,after:string,date:string>>")
+    dated = F.aggregate(found, F.struct(F.lit("").alias("year"), none.alias("dates")), hand_on)["dates"]
+    moment = lambda x, late: F.when(~x["after"].rlike(pack.more_clock), _moment(x["date"], late))
+    return F.transform(dated, lambda x: F.struct(x["said"], x["before"], x["after"], x["date"], moment(x, False).alias("early"), moment(x, True).alias("late")))
+
+
 def time_facts(cut: DataFrame, published: DataFrame, pack: Pack) -> DataFrame:
     """document_id, clause_no, opens_at, deadline_at, lower_at and unknown of each clause about time. ``published``:
-    document_id, published_date."""
+    document_id, published_date. Two dates are an opening and a deadline where the clause speaks of both or of a period."""
     text = F.col("text")
-    rows = cut.where(text.rlike(f"{pack.deadline}|{pack.opening}|{pack.relative}")).join(published, "document_id")
-    rows = rows.withColumns({"d": F.regexp_extract_all("text", F.lit(f"({pack.date})"), F.lit(1)), "due": text.rlike(pack.deadline), "opens": text.rlike(pack.opening), "rel": text.rlike(pack.relative)})
-    both = lambda said: F.struct(said.alias("said"), _moment(said, False).alias("early"), _moment(said, True).alias("late"))
-    rows = rows.withColumn("d", F.transform("d", both))
+    rows = cut.where(text.rlike(f"{pack.deadline}|{pack.opening}|{pack.relative}|{pack.period}")).join(published, "document_id")
+    rows = rows.withColumns({"d": date_tokens(text, pack), "due": text.rlike(pack.deadline), "opens": text.rlike(pack.opening), "rel": text.rlike(pack.relative), "period": text.rlike(pack.period)})
     n = F.size("d")
     first, second = F.get("d", F.lit(0)), F.get("d", F.lit(1))
     today = F.unix_seconds(F.to_utc_timestamp(F.col("published_date").cast("timestamp"), "Asia/Shanghai"))
-    opens = F.when(F.col("opens") & F.col("due") & (n == 2), first["early"]).when(F.col("opens") & ~F.col("due") & (n == 1), first["early"]).when(F.col("rel"), today)
-    due = F.when(F.col("opens") & F.col("due") & (n == 2), second["late"]).when(F.col("due") & (n == 1), first["late"])
+    both = (n == 2) & ((F.col("opens") & F.col("due")) | F.col("period"))
+    one_opens, one_due = F.col("opens") & ~F.col("due"), F.col("due")
+    rows = rows.withColumn("both", both)
+    opens = F.when(both, first["early"]).when(one_opens & (n == 1), first["early"]).when(F.col("rel"), today)
+    due = F.when(both, second["late"]).when(one_due & (n == 1), first["late"])
     rows = rows.withColumns({"o": opens, "e": due})
-    expected = F.when(F.col("opens") & F.col("due") & (n == 2), F.col("o").isNull() | F.col("e").isNull() | (F.col("o") > F.col("e"))).when(n == 1, F.when(F.col("due"), F.col("e").isNull()).otherwise(F.col("o").isNull()))
+    wrong = F.when(F.col("both"), F.col("o").isNull() | F.col("e").isNull() | (F.col("o") > F.col("e"))).when(n == 1, F.when(one_due, F.col("e").isNull()).otherwise(F.col("o").isNull()))
+    zones = F.regexp_extract_all("text", F.lit(pack.zone), F.lit(1))
+    foreign = text.rlike(pack.foreign_zone) | F.exists(zones, lambda z: ~z.isin(*pack.local_zones))
     code = first_reason([
-        ("time_unrecognized", text.rlike(pack.deferred)), ("unsupported_timezone", text.rlike(pack.foreign_zone)), ("invalid_time", text.rlike(pack.seconds)), ("year_missing", text.rlike(pack.yearless)),
-        ("ambiguous_time", (n > 2) | ((n == 2) & ~(F.col("opens") & F.col("due")))), ("time_unrecognized", (n == 0) & ~F.col("rel")), ("invalid_time", expected),
+        ("time_unrecognized", text.rlike(pack.deferred)), ("unsupported_timezone", foreign), ("year_missing", text.rlike(pack.yearless) | F.exists("d", lambda x: x["date"].isNull())),
+        ("ambiguous_time", (n > 2) | ((n == 2) & ~F.col("both")) | ((n == 1) & F.col("period") & ~one_opens & ~one_due)), ("time_unrecognized", (n == 0) & ~F.col("rel")), ("invalid_time", wrong),
     ], "")
-    lower = F.when(F.col("due") & (n == 1) & text.rlike(pack.before_day) & ~first["said"].contains(" "), first["early"])
+    lower = F.when(one_due & (n == 1) & text.rlike(pack.before_day) & ~first["said"].contains(" "), first["early"])
     rows = rows.withColumns({"code": code, "l": lower})
     good = F.col("code") == ""
     return rows.select("document_id", "field", "clause_no", "text", F.when(good, F.col("o")).alias("opens_at"), F.when(good, F.col("e")).alias("deadline_at"), F.when(good, F.col("l")).alias("lower_at"), F.when(~good, F.col("code")).alias("unknown"))

@@ -166,6 +166,21 @@ def _(spark, sf):
     return _times(spark, sf).select("document_id", "opens_at", "deadline_at", "lower_at", "unknown")
 
 
+_DAY = "epoch(CAST({} AS TIMESTAMP))::BIGINT - 28800"
+
+
+@query("time_ranges", oracle(f"""WITH d AS (SELECT *, {_DAY.format('a')} AS at_a, {_DAY.format('b')} AS at_b, CASE WHEN NOT (month(b) = 2 AND day(b) = 29 AND (year(a) % 4 > 0 OR (year(a) % 100 = 0 AND year(a) % 400 > 0))) THEN
+  {_DAY.format("CAST(CAST(year(a) AS VARCHAR) || '-' || lpad(CAST(month(b) AS VARCHAR), 2, '0') || '-' || lpad(CAST(day(b) AS VARCHAR), 2, '0') AS DATE)").replace('CAST(CAST(', 'TRY_CAST(CAST(')} END AS handed FROM dated WHERE k < 14),
+r AS (SELECT document_id, k, CASE WHEN k IN (1, 2, 9) THEN at_a + CASE k WHEN 9 THEN minute * 60 ELSE 0 END WHEN k = 4 THEN at_a + minute * 60 END AS o,
+  CASE k WHEN 0 THEN at_a + 86399 WHEN 12 THEN at_a + 86399 WHEN 1 THEN at_b + 86399 WHEN 2 THEN handed + 86399 WHEN 4 THEN handed + 86400 END AS e, CASE k WHEN 12 THEN at_a END AS l FROM d),
+c AS (SELECT *, CASE WHEN k IN (3, 11) THEN 'year_missing' WHEN k = 6 THEN 'unsupported_timezone' WHEN k IN (5, 7) THEN 'invalid_time' WHEN k IN (8, 10, 13) THEN 'ambiguous_time' WHEN k IN (1, 2, 4) AND NOT coalesce(o <= e, false) THEN 'invalid_time' END AS unknown FROM r)
+SELECT document_id, CASE WHEN unknown IS NULL THEN o END AS opens_at, CASE WHEN unknown IS NULL THEN e END AS deadline_at, CASE WHEN unknown IS NULL THEN l END AS lower_at, unknown FROM c""", "dated"))
+def _(spark, sf):
+    docs = view(spark, sf, "dated")
+    cut = ops.clauses(docs.select("document_id", F.lit("body_text").alias("field"), F.col("body_text").alias("text")), PACK)
+    return ops.time_facts(cut, docs.select("document_id", "published_date"), PACK).select("document_id", "opens_at", "deadline_at", "lower_at", "unknown")
+
+
 _RESOLVED = [
     (0, _NONE, _t("2024-02-01 23:59:59"), _NONE, ""), (1, _NONE, _t("2024-01-21 00:00:00"), _NONE, ""), (14, _t("2024-01-05 00:00:00"), _NONE, _NONE, "conflicting_evidence"), (15, _NONE, _NONE, _NONE, "year_missing"),
     (16, _NONE, _t("2024-01-15 23:59:59"), _t("2024-01-15 00:00:00"), "imprecise_deadline"), (17, _NONE, _NONE, _NONE, "invalid_time"), (18, _NONE, _NONE, _NONE, "time_unrecognized"), (19, _PUBLISHED, _NONE, _NONE, ""),

@@ -148,6 +148,12 @@ SELECT d.doc_id AS item_id, d.source AS source_id,
   CASE WHEN l.toxic = 1 THEN 'IGNORE' WHEN l.quality = 1 THEN CASE WHEN d.doc_id % 2 = 0 THEN 'PUSH_NOW' ELSE 'DIGEST' END ELSE 'STORE_ONLY' END AS actual,
   CASE d.n_chars % 4 WHEN 0 THEN 'PUSH_NOW' WHEN 1 THEN 'DIGEST' WHEN 2 THEN 'STORE_ONLY' ELSE 'IGNORE' END AS predicted, d.doc_id % 17 = 0 AS mismatch
 FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
+    "dated": """
+SELECT id AS document_id, published_date, k, a, b, minute, concat(CASE k WHEN 0 THEN concat('deadline ', da, ' (Beijing time)') WHEN 1 THEN concat('open from ', da, ' until ', db) WHEN 2 THEN concat('registration period ', da, ' to ', mb) WHEN 3 THEN concat('registration period ', ma, ' to ', db)
+    WHEN 4 THEN concat('applications from ', da, ' ', clock, ' - ', mb, ' 24:00') WHEN 5 THEN concat('apply by ', da, ' ', clock, ':30') WHEN 6 THEN concat('apply by ', da, ' (Paris time)') WHEN 7 THEN concat('apply by ', da, ' ', clock, ' to 18:00')
+    WHEN 8 THEN concat('deadline ', da, ', or ', db) WHEN 9 THEN concat('opens on ', da, ' ', clock) WHEN 10 THEN concat('registration period ', da) WHEN 11 THEN concat('deadline ', da, ', then ', mb) WHEN 12 THEN concat('apply by before ', da) WHEN 13 THEN concat('registration period ', da, ' to ', mb, ' to ', mb) ELSE concat('no such thing on ', da) END, '; ') AS body_text
+FROM (SELECT *, CAST(a AS STRING) AS da, CAST(b AS STRING) AS db, concat(CAST(month(a) AS STRING), '-', CAST(day(a) AS STRING)) AS ma, concat(CAST(month(b) AS STRING), '-', CAST(day(b) AS STRING)) AS mb, concat(lpad(CAST(CAST(floor(minute / 60) AS INT) AS STRING), 2, '0'), ':', lpad(CAST(minute % 60 AS STRING), 2, '0')) AS clock
+  FROM (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) + CAST(10950 AS INT) AS a, CAST(o_orderdate AS DATE) + CAST(10950 + o_custkey % 300 - 40 AS INT) AS b, CAST(o_orderdate AS DATE) + CAST(10900 AS INT) AS published_date, o_custkey * 7 % 1440 AS minute, o_orderkey % 15 AS k FROM orders) AS x) AS y""",
     "fact": f"""
 SELECT doc_id AS document_id, CASE n_chars % 5 WHEN 0 THEN 'reference' WHEN 1 THEN 'information' ELSE 'opportunity' END AS category,
   CASE WHEN doc_id % 3 = 0 THEN NULL ELSE {AT} + (doc_id % 13 - 6) * 21600 END AS opens_at, CASE WHEN doc_id % 5 = 4 THEN NULL ELSE {AT} + (doc_id % 29 - 8) * 43200 END AS deadline_at,
