@@ -1,4 +1,5 @@
-"""Rule facts of notices, found by a pack of phrases and patterns: one job over all texts, clause by clause.
+"""Rule facts of notices, found by a table of topic phrases and a pack of patterns: one job over all texts, clause by
+clause.
 
 Clauses are cut at a pack's break characters, one character each; spans count code points. A clause is the unit in
 which topics and actions can belong together, so pairs are only formed within one.
@@ -13,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import digest
+from .percolate import phrase_hits, phrase_places
 from .responses import first_reason
 
 GAP, BEFORE, AFTER, NEAR = 24, 32, 16, 8
@@ -22,7 +24,6 @@ GAP, BEFORE, AFTER, NEAR = 24, 32, 16, 8
 class Pack:
     """What the rules look for. Patterns are those of Java; those that must stand at an edge say so themselves."""
 
-    topics: tuple[tuple[str, str], ...]  # topic, phrase
     action: str
     breaks: str = r"[.;!?\n]"
     step: str = ","
@@ -101,29 +102,25 @@ def action_blocked(actions: DataFrame, pack: Pack) -> DataFrame:
     return actions.withColumns({"blocked": first_reason(rules), "instructed": before.rlike(pack.instruction)})
 
 
-def topic_mentions(cut: DataFrame, pack: Pack) -> DataFrame:
-    """document_id, field, clause_no, clause_start, topic, at and size of each topic phrase in a clause."""
-    rules = F.array(*(F.struct(F.lit(t).alias("topic"), F.lit(p).alias("phrase")) for t, p in pack.topics))
-    hit = cut.withColumn("r", F.explode(rules)).where(F.contains("text", "r.phrase"))
-    size = F.length("r.phrase")
-    pieces = F.transform(F.split("text", F.concat(F.lit("\\Q"), "r.phrase", F.lit("\\E")), -1), F.length)
-    starts = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda n, i: F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0), lambda s, x: s + x) + i * size)
-    return hit.select("document_id", "field", "clause_no", F.col("start").alias("clause_start"), F.col("r.topic").alias("topic"), size.alias("size"), F.explode(starts).alias("at"))
+def topic_mentions(cut: DataFrame, topics: DataFrame) -> DataFrame:
+    """document_id, field, clause_no, clause_start, topic, at and size of each topic phrase in a clause. ``topics``: topic,
+    phrase."""
+    places = phrase_places(cut.select("document_id", "field", "clause_no", F.col("start").alias("clause_start"), "text"), topics.select("phrase"))
+    return places.join(topics.select("topic", "phrase").distinct(), "phrase").select("document_id", "field", "clause_no", "clause_start", "topic", "size", "at")
 
 
-def topic_context(mentions: DataFrame, actions: DataFrame, pack: Pack) -> DataFrame:
+def topic_context(mentions: DataFrame, actions: DataFrame) -> DataFrame:
     """document_id, field, topic, start and context of every mention: opportunity where an action that is not blocked
     stands near, in the same clause and with no other topic between; else subject in a title, incidental in a body."""
-    free = actions.where("blocked = 'ok'").select("document_id", "field", "clause_no", "clause", F.col("at").alias("a"), F.length("word").alias("n"))
-    m = mentions.withColumn("id", F.struct("clause_no", "topic", "at"))
-    pairs = m.join(free, ["document_id", "field", "clause_no"], "left")
-    gap = F.when(F.col("a") + F.col("n") <= F.col("at"), F.substring("clause", F.col("a") + F.col("n") + 1, F.col("at") - F.col("a") - F.col("n")))
-    gap = gap.when(F.col("at") + F.col("size") <= F.col("a"), F.substring("clause", F.col("at") + F.col("size") + 1, F.col("a") - F.col("at") - F.col("size"))).otherwise("")
-    rival = F.lit(False)
-    for topic, phrase in pack.topics:
-        rival = rival | ((F.col("topic") != topic) & F.contains(F.col("gap"), F.lit(phrase)))
-    pairs = pairs.withColumn("gap", gap)
-    linked = F.col("a").isNotNull() & (F.length("gap") <= GAP) & ~rival
+    key = ["document_id", "field", "clause_no"]
+    free = actions.where("blocked = 'ok'").select(*key, F.col("at").alias("a"), F.length("word").alias("n"))
+    others = mentions.groupBy(*key).agg(F.collect_list(F.struct("topic", "at", "size")).alias("others"))  # of one clause
+    pairs = mentions.join(free, key, "left").join(others, key)
+    first = F.col("a") + F.col("n") <= F.col("at")
+    low, high = F.when(first, F.col("a") + F.col("n")).otherwise(F.col("at") + F.col("size")), F.when(first, F.col("at")).otherwise(F.col("a"))
+    pairs = pairs.withColumns({"low": low, "high": high})
+    rival = F.exists("others", lambda o: (o["topic"] != F.col("topic")) & (o["at"] >= F.col("low")) & (o["at"] + o["size"] <= F.col("high")))
+    linked = F.col("a").isNotNull() & (F.col("high") - F.col("low") <= GAP) & ~rival
     per = pairs.groupBy("document_id", "field", "topic", (F.col("clause_start") + F.col("at")).alias("start")).agg(F.max(F.coalesce(linked, F.lit(False))).alias("linked"))
     return per.select("document_id", "field", "topic", "start", F.when(F.col("linked"), "opportunity").when(F.col("field") == "title", "subject").otherwise("incidental").alias("context"))
 
@@ -300,8 +297,6 @@ def deadline_evidence(times: DataFrame, resolved: DataFrame, quotes: DataFrame)
     return rows.groupBy("document_id", "quote_no").agg(F.coalesce(F.max(F.contains("text", "quote")), F.lit(False)).alias("supported"))
 
 
-def topic_candidates(docs: DataFrame, pack: Pack) -> DataFrame:
-    """document_id, topic of each topic with a phrase in title or body: the pack's phrases in one pass over each text."""
-    both = F.concat_ws("\n", "title", "body_text")
-    found = F.array_distinct(F.array_compact(F.array(*(F.when(both.contains(p), F.lit(t)) for t, p in pack.topics))))
-    return docs.select("document_id", F.explode(found).alias("topic"))
+def topic_candidates(docs: DataFrame, topics: DataFrame) -> DataFrame:
+    """document_id, topic of each topic with a phrase in title or body."""
+    return phrase_hits(docs, topics.select("phrase")).join(topics, "phrase").select("document_id", "topic").distinct()

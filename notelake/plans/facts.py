@@ -13,7 +13,8 @@ from ..sources.bindings import AT, RULED, oracle, view
 from ..sources.tables import stored
 from . import decisions as decided
 
-PACK = ops.Pack(topics=(("exchange", "exchange program"), ("scholarship", "scholarship"), ("contest", "contest")), action="apply|register")
+PACK = ops.Pack(action="apply|register")
+_PHRASE = {"exchange": "exchange program", "scholarship": "scholarship", "contest": "contest"}
 _N = len(RULED)
 
 
@@ -23,6 +24,10 @@ def _expected(columns: str, rows: list[tuple]) -> str:
     return " UNION ALL ".join(f"SELECT document_id, {', '.join(f'{said(x)} AS {c}' for c, x in zip(columns.split(), row[1:], strict=True))} FROM ruled WHERE document_id % {_N} = {row[0]}" for row in rows)
 
 
+def _topics(spark):
+    return spark.createDataFrame(list(_PHRASE.items()), "topic string, phrase string")
+
+
 def _texts(spark, sf):
     fields = F.inline(F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("text")), F.struct(F.lit("body_text").alias("field"), F.col("body_text").alias("text"))))
     return view(spark, sf, "ruled").select("document_id", fields)
@@ -71,7 +76,6 @@ def _title_at(v: int, word: str) -> str:
 
 _TITLES = [(0, "scholarship", "subject"), (1, "contest", "subject"), (2, "contest", "subject"), (2, "scholarship", "subject"), (3, "contest", "subject")]
 _BODIES = [(0, "scholarship", "opportunity"), *((v, "exchange", "incidental") for v in (4, 5, 6, 7, 8)), (19, "contest", "opportunity"), (19, "scholarship", "incidental")]
-_PHRASE = dict(PACK.topics)
 
 
 def _contexts(titles):
@@ -80,9 +84,9 @@ def _contexts(titles):
 
 def _context(spark, sf):
     cut = _cut(spark, sf)
-    mentions = ops.topic_mentions(cut, PACK)
+    mentions = ops.topic_mentions(cut, _topics(spark))
     acts = ops.action_blocked(ops.action_mentions(cut, PACK), PACK)
-    return mentions, acts, ops.topic_context(mentions, acts, PACK)
+    return mentions, acts, ops.topic_context(mentions, acts)
 
 
 @query("topic_context", oracle(_expected("field topic start context", _contexts(_TITLES)), "ruled"))
@@ -204,8 +208,8 @@ _CONSTRAINTS = {v: sorted(f"{f}:{o}:{x}" for w, f, x, o, _ in _ASKED if w == v)
 def _parts(spark, sf):
     """Clauses, actions and linked topics of all texts, each worked out once, and what follows from them."""
     docs, cut = view(spark, sf, "ruled"), stored(_cut(spark, sf), "clauses")
-    acts, mentions = stored(ops.action_blocked(ops.action_mentions(cut, PACK), PACK), "actions"), ops.topic_mentions(cut, PACK)
-    linked = stored(ops.document_link(ops.topic_context(mentions, acts, PACK), acts, mentions, docs, PACK), "topics")
+    acts, mentions = stored(ops.action_blocked(ops.action_mentions(cut, PACK), PACK), "actions"), ops.topic_mentions(cut, _topics(spark))
+    linked = stored(ops.document_link(ops.topic_context(mentions, acts), acts, mentions, docs, PACK), "topics")
     category = ops.notice_category(docs, acts, ops.recruitment_topic(cut, acts, docs, PACK), linked, PACK)
     times = ops.time_resolution(ops.time_facts(cut, docs.select("document_id", "published_date"), PACK))
     asked, hard = ops.qualifications(cut, PACK), ops.unsupported_conditions(cut, PACK)
@@ -243,9 +247,9 @@ def _(spark, sf):
     return phrase_hits(view(spark, sf, "notice"), view(spark, sf, "profile_phrase").select("phrase"))
 
 
-@query("topic_candidates", oracle(" UNION ALL ".join(f"SELECT document_id, '{t}' AS topic FROM ruled WHERE contains(title, '{p}') OR contains(body_text, '{p}')" for t, p in PACK.topics), "ruled"))
+@query("topic_candidates", oracle(" UNION ALL ".join(f"SELECT document_id, '{t}' AS topic FROM ruled WHERE contains(title, '{p}') OR contains(body_text, '{p}')" for t, p in _PHRASE.items()), "ruled"))
 def _(spark, sf):
-    return ops.topic_candidates(view(spark, sf, "ruled"), PACK)
+    return ops.topic_candidates(view(spark, sf, "ruled"), _topics(spark))
 
 
 _PROFILES = "(VALUES ('p1', 'level', 'undergraduate'), ('p1', 'institution', 'own'), ('p2', 'level', 'graduate'), ('p2', 'role', 'student')) AS t(profile_id, field, actual)"

@@ -184,6 +184,9 @@ UNION ALL SELECT concat('q', CAST(item_id AS STRING)), NULL, NULL FROM benchmark
     "profile_phrase": """
 SELECT concat('p', CAST(item_id % 4 + 1 AS STRING)) AS profile_id, substr(text, 1, CAST(item_id % 11 + 1 AS INT)) AS phrase FROM benchmark WHERE length(text) > 11
 UNION SELECT concat('q', CAST(item_id AS STRING)), substr(text, 20, 40) FROM benchmark WHERE length(text) > 60""",
+    "pack": """
+SELECT concat('r', CAST(item_id AS STRING), '-', CAST(n AS STRING)) AS rule_id, concat('t', CAST(item_id % 8 AS STRING)) AS topic, split_part(replace(text, chr(10), ' '), ' ', n) AS phrase
+FROM benchmark CROSS JOIN (SELECT CAST(doc_id AS INT) + 1 AS n FROM documents WHERE doc_id < 60) AS places WHERE length(split_part(replace(text, chr(10), ' '), ' ', n)) > 7""",
     "profile_topic": """SELECT * FROM (VALUES ('p1', 'en', true, false, false, false), ('p1', 'src8', true, false, true, false), ('p1', 'src9', true, false, false, true), ('p1', 'src10', false, true, false, false),
   ('p2', 'fr', true, false, true, false), ('p2', 'src12', true, false, true, false), ('p2', 'de', false, false, false, true), ('p3', 'es', true, false, false, false), ('p3', 'src8', true, true, false, false)) AS t(profile_id, topic, interest, excluded, high_value, store_only)""",
     "term": """

@@ -32,7 +32,7 @@ def test_user_text_is_literal(spark):
 
 def test_mentions_do_not_overlap_and_count_code_points(spark):
     texts = spark.createDataFrame([(1, "body_text", "éaaaa.a"), (2, "body_text", ""), (3, "body_text", None)], "document_id long, field string, text string")
-    got = rules.topic_mentions(texts, [("r1", "x", "aa"), ("r2", "y", ".")]).collect()
+    got = rules.topic_mentions(texts, spark.createDataFrame([("r1", "x", "aa"), ("r2", "y", ".")], "rule_id string, topic string, phrase string")).collect()
     assert sorted((r.document_id, r.rule_id, r.start, r.end) for r in got) == [(1, "r1", 1, 3), (1, "r1", 3, 5), (1, "r2", 5, 6)]
 
 

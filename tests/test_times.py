@@ -8,7 +8,7 @@ import pytest
 
 from notelake.operators import facts
 
-PACK = facts.Pack(topics=(("t", "topic"),), action="apply")
+PACK = facts.Pack(action="apply")
 ZONE = datetime.timezone(datetime.timedelta(hours=8))
 
 
