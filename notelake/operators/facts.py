@@ -42,11 +42,7 @@ class Pack:
     pair_unavailable: str = r"no recruitment|recruitment is suspended"
     pair_present: str = r"now|this term"
     audience: str = r"(?:open to|limited to) ([^.;\n]+)"
-    soft: str = r"in principle|preferably"
-    either: str = r"\bor\b|\bexcept\b"
-    levels: tuple[tuple[str, str, str], ...] = (("level", "undergraduate", r"undergraduates?"), ("level", "graduate", r"\bgraduates?\b"), ("role", "teacher", r"teachers?"), ("institution", "own", r"this university"))
-    entry_year: str = r"entry (20[0-9]{2})"
-    filler: str = r"students|of|at|and|all|the|entry 20[0-9]{2}|[\s,]+"
+    refused: str = r"\bnot\s*$"
     unsupported: tuple[tuple[str, str], ...] = (("gpa", r"GPA|grade average"), ("language", r"IELTS|TOEFL"), ("age", r"aged? under [0-9]+"))
     section: str = r"(?m)^Requirements:[ ]*$"
     next_section: str = r"(?m)^(?:Documents|Contact):"
@@ -164,20 +160,11 @@ def notice_category(docs: DataFrame, actions: DataFrame, recruitment: DataFrame,
     return rows.select("document_id", kind.alias("category"))
 
 
-def qualifications(cut: DataFrame, pack: Pack) -> DataFrame:
-    """document_id, field, value, operator and complete of each condition that an audience clause names: in, or
-    unsupported where it is soft, negated or has alternatives; complete if nothing of the clause is left over."""
-    said = F.regexp_extract("text", pack.audience, 1)
-    rows = cut.where(F.col("text").rlike(pack.audience)).select("document_id", "clause_no", "text", said.alias("said"))
-    vague = F.col("text").rlike(pack.soft) | F.col("said").rlike(pack.either) | F.regexp_extract("text", rf"(?s)^(.*?)(?:{pack.audience})", 1).rlike(r"\bnot\s*$")
-    rest = F.col("said")
-    for _, _, pattern in pack.levels:
-        rest = F.regexp_replace(rest, pattern, " ")
-    rest = F.regexp_replace(rest, rf"\b(?:{pack.filler})\b|[\s,]+", "")
-    found = F.array_compact(F.array(*(F.when(F.col("said").rlike(p), F.struct(F.lit(f).alias("field"), F.lit(v).alias("value"))) for f, v, p in pack.levels)))
-    years = F.transform(F.regexp_extract_all("said", F.lit(pack.entry_year), F.lit(1)), lambda y: F.struct(F.lit("entry_year").alias("field"), y.alias("value")))
-    rows = rows.select("document_id", F.when(vague, "unsupported").otherwise("in").alias("operator"), (~vague & (rest == "")).alias("complete"), F.explode_outer(F.concat(found, years)).alias("q"))
-    return rows.select("document_id", F.col("q.field").alias("field"), F.col("q.value").alias("value"), "operator", "complete")
+def audience_clauses(cut: DataFrame, pack: Pack) -> DataFrame:
+    """document_id, clause_no, said and negated of each clause that names an audience."""
+    before = F.regexp_extract("text", rf"(?s)^(.*?)(?:{pack.audience})", 1)
+    rows = cut.where(F.col("text").rlike(pack.audience))
+    return rows.select("document_id", "clause_no", F.regexp_extract("text", pack.audience, 1).alias("said"), before.rlike(pack.refused).alias("negated"))
 
 
 def unsupported_conditions(cut: DataFrame, pack: Pack) -> DataFrame:
@@ -278,7 +265,7 @@ def media_dependence(docs: DataFrame, pack: Pack) -> DataFrame:
 def notice_facts(category: DataFrame, contexts: DataFrame, asked: DataFrame, hard: DataFrame, times: DataFrame, media: DataFrame) -> DataFrame:
     """One row a document: category, topics, constraints, times, completeness and the digest of it all."""
     topics = contexts.groupBy("document_id").agg(F.array_sort(F.collect_set(F.concat_ws(":", "topic", "context"))).alias("topics"))
-    said = asked.groupBy("document_id").agg(F.array_sort(F.array_compact(F.collect_set(F.when(F.col("field").isNotNull(), F.concat_ws(":", "field", "operator", "value"))))).alias("constraints"), F.min("complete").alias("whole"))
+    said = asked.groupBy("document_id").agg(F.array_sort(F.array_compact(F.collect_set(F.when(F.col("field") != "other", F.concat_ws(":", "field", "operator", F.array_join("values", "|")))))).alias("constraints"), F.min("complete").alias("whole"))
     more = hard.groupBy("document_id").agg(F.array_sort(F.collect_set("field")).alias("unsupported"))
     none = F.array().cast("array<string>")
     rows = category.join(topics, "document_id", "left").join(said, "document_id", "left").join(more, "document_id", "left").join(times, "document_id", "left").join(media, "document_id", "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decisions
 from ..operators import facts as ops
+from ..operators.audience import qualifications
 from ..operators.percolate import phrase_hits
 from ..registry import query
 from ..sources.bindings import AT, RULED, oracle, view
@@ -135,7 +136,20 @@ _ASKED = [(0, "level", "undergraduate", "in", True), (0, "institution", "own", "
 
 @query("qualifications", oracle(_expected("field value operator complete", _ASKED), "ruled"))
 def _(spark, sf):
-    return ops.qualifications(_cut(spark, sf), PACK)
+    rows = qualifications(ops.audience_clauses(_cut(spark, sf), PACK), view(spark, sf, "lexicon"))
+    return rows.select("document_id", "field", F.array_join("values", "|").alias("value"), "operator", "complete")
+
+
+@query("audiences", oracle("""WITH x AS (SELECT *, CASE k WHEN 2 THEN 'unsupported_or' WHEN 3 THEN 'unsupported_or' WHEN 4 THEN 'unsupported_negation' WHEN 5 THEN 'unsupported_negation' WHEN 6 THEN 'unbalanced_group' WHEN 10 THEN 'unsupported_negation' WHEN 12 THEN 'soft_qualification' ELSE '' END AS why FROM audience),
+c AS (SELECT id, k, 'college' AS field, CASE WHEN k IN (1, 2, 3, 10) THEN list_sort(list_distinct([a, 'law'])) ELSE [a] END AS v, why AS code FROM x WHERE k NOT IN (8, 9)
+  UNION ALL SELECT id, k, 'level', CASE k WHEN 9 THEN ['graduate', 'undergraduate'] ELSE ['graduate'] END, CASE WHEN k IN (6, 10, 12) THEN why ELSE '' END FROM x WHERE k IN (1, 3, 5, 6, 7, 9, 10, 11, 12)
+  UNION ALL SELECT id, k, 'entry_year', [y], CASE WHEN k IN (5, 6) THEN why ELSE '' END FROM x WHERE k IN (1, 3, 5, 6)
+  UNION ALL SELECT id, k, 'student_status', ['full-time'], 'unsupported_condition' FROM x WHERE k = 11
+  UNION ALL SELECT id, k, 'other', [], CASE k WHEN 7 THEN 'unrecognized_condition' ELSE 'unrecognized_audience' END FROM x WHERE k IN (7, 8))
+SELECT id AS document_id, field, array_to_string(v, '|') AS value, CASE code WHEN '' THEN 'in' ELSE 'unsupported' END AS operator, code, k IN (0, 1, 9) AS complete FROM c""", "audience"))
+def _(spark, sf):
+    clauses = view(spark, sf, "audience").select(F.col("id").alias("document_id"), F.lit(0).alias("clause_no"), "said", F.lit(False).alias("negated"))
+    return qualifications(clauses, view(spark, sf, "lexicon")).select("document_id", "field", F.array_join("values", "|").alias("value"), "operator", "code", "complete")
 
 
 @query("unsupported_conditions", oracle(_expected("field start excerpt", [(12, "gpa", _at(12, "GPA"), "GPA"), (12, "age", _at(12, "aged under 30"), "aged under 30")]), "ruled"))
@@ -212,7 +226,7 @@ def _parts(spark, sf):
     linked = stored(ops.document_link(ops.topic_context(mentions, acts), acts, mentions, docs, PACK), "topics")
     category = ops.notice_category(docs, acts, ops.recruitment_topic(cut, acts, docs, PACK), linked, PACK)
     times = ops.time_resolution(ops.time_facts(cut, docs.select("document_id", "published_date"), PACK))
-    asked, hard = ops.qualifications(cut, PACK), ops.unsupported_conditions(cut, PACK)
+    asked, hard = stored(qualifications(ops.audience_clauses(cut, PACK), view(spark, sf, "lexicon")), "asked"), ops.unsupported_conditions(cut, PACK)
     return acts, linked, asked, hard, ops.notice_facts(category, linked, asked, hard, times, ops.media_dependence(docs, PACK))
 
 
@@ -271,7 +285,7 @@ def _(spark, sf):
     told = acts.where("instructed AND blocked = 'ok' AND field = 'body_text'").select("document_id").distinct().withColumn("told", F.lit(True))
     rows = stored(facts, "facts").join(told, "document_id", "left").join(view(spark, sf, "ruled").select("document_id", "published_date"), "document_id")
     rows = rows.selectExpr("*", "opens_at IS NOT NULL OR coalesce(told, false) AS opening_confirmed", "false AS cancelled", "'new' AS kind", "'none' AS previous_route", "true AS comparison_known", "false AS conditions_changed")
-    asked = said.where("field IS NOT NULL").select("document_id", "field", "operator", F.array("value").alias("values"))
+    asked = said.select("document_id", "field", "operator", "values")
     asked = asked.unionByName(hard.select("document_id", "field", F.lit("unsupported").alias("operator"), F.array("excerpt").alias("values")))
     matches = linked.select("document_id", "topic", "context", (F.col("field") == "title").alias("is_primary"))
     flags = decisions.interest_flags(matches, spark.sql(f"SELECT * FROM {_INTERESTS}"))

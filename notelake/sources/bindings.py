@@ -148,6 +148,17 @@ SELECT d.doc_id AS item_id, d.source AS source_id,
   CASE WHEN l.toxic = 1 THEN 'IGNORE' WHEN l.quality = 1 THEN CASE WHEN d.doc_id % 2 = 0 THEN 'PUSH_NOW' ELSE 'DIGEST' END ELSE 'STORE_ONLY' END AS actual,
   CASE d.n_chars % 4 WHEN 0 THEN 'PUSH_NOW' WHEN 1 THEN 'DIGEST' WHEN 2 THEN 'STORE_ONLY' ELSE 'IGNORE' END AS predicted, d.doc_id % 17 = 0 AS mismatch
 FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
+    "lexicon": """
+SELECT DISTINCT 'condition' AS role, 'college' AS field, lower(c_mktsegment) AS value, concat('school of ', lower(c_mktsegment)) AS phrase FROM customer
+UNION ALL SELECT DISTINCT 'condition', 'entry_year', CAST(c_custkey % 100 + 1990 AS STRING), concat('entry ', CAST(c_custkey % 100 + 1990 AS STRING)) FROM customer
+UNION ALL SELECT * FROM (VALUES ('condition', 'college', 'law', 'school of law'), ('condition', 'level', 'undergraduate', 'undergraduates'), ('condition', 'level', 'undergraduate', 'undergraduate'), ('condition', 'level', 'graduate', 'graduates'), ('condition', 'level', 'graduate', 'graduate students'),
+  ('condition', 'role', 'teacher', 'teachers'), ('condition', 'institution', 'own', 'this university'), ('and', '', '', 'and'), ('or', '', '', 'or'), ('not', '', '', 'not'), ('not', '', '', 'except'), ('open', '', '', '('), ('close', '', '', ')'), ('soft', '', '', 'in principle'), ('soft', '', '', 'preferably'),
+  ('status', 'student_status', 'full-time', 'full-time'), ('filler', '', '', 'students'), ('filler', '', '', 'of'), ('filler', '', '', 'of the'), ('filler', '', '', 'at'), ('filler', '', '', 'all'), ('filler', '', '', 'the')) AS t(role, field, value, phrase)""",
+    "audience": """
+SELECT id, k, a, y, CASE k WHEN 0 THEN concat('students of the ', sa) WHEN 1 THEN concat('Graduates of ', sa, ', school of law and entry ', y) WHEN 2 THEN concat(sa, ' or school of law') WHEN 3 THEN concat('graduates of the (', sa, ' or school of law) and entry ', y) WHEN 4 THEN concat('not ', sa)
+  WHEN 5 THEN concat('graduates, not (', sa, ' and entry ', y, ')') WHEN 6 THEN concat('graduates of ', sa, ' (entry ', y) WHEN 7 THEN concat('graduate students of ', sa, ' with honours') WHEN 8 THEN 'friends of the house' WHEN 9 THEN 'all undergraduates and graduates' WHEN 10 THEN concat('except (', sa, ' or (graduates and school of law))')
+  WHEN 11 THEN concat('full-time graduates of ', sa) ELSE concat('preferably graduates of ', sa) END AS said
+FROM (SELECT c_custkey AS id, c_custkey % 13 AS k, lower(c_mktsegment) AS a, concat('school of ', lower(c_mktsegment)) AS sa, CAST(c_custkey % 100 + 1990 AS STRING) AS y FROM customer) AS c""",
     "dated": """
 SELECT id AS document_id, published_date, k, a, b, minute, concat(CASE k WHEN 0 THEN concat('deadline ', da, ' (Beijing time)') WHEN 1 THEN concat('open from ', da, ' until ', db) WHEN 2 THEN concat('registration period ', da, ' to ', mb) WHEN 3 THEN concat('registration period ', ma, ' to ', db)
     WHEN 4 THEN concat('applications from ', da, ' ', clock, ' - ', mb, ' 24:00') WHEN 5 THEN concat('apply by ', da, ' ', clock, ':30') WHEN 6 THEN concat('apply by ', da, ' (Paris time)') WHEN 7 THEN concat('apply by ', da, ' ', clock, ' to 18:00')
