@@ -84,6 +84,46 @@ def delivery_state(attempts: DataFrame, schedule: list[int], most: int) -> DataF
     return last.withColumn("state", _after_outcome(most)).select("mail_id", "attempt_no", "state", _due_again(schedule).alias("next_attempt_at"))
 
 
+def delivery_log(attempts: DataFrame, grants: DataFrame) -> DataFrame:
+    """Attempts and manual grants as one log: mail_id, at, kind (0 grant, 1 attempt), attempt_no, line_id, finished_at and
+    outcome, in whose order (at, kind, attempt_no, line_id) a message's state follows; a grant comes before an attempt
+    that starts in the same second."""
+    nothing = {"attempt_no": "long", "line_id": "long", "finished_at": "long", "outcome": "string"}
+    own = attempts.select("mail_id", F.col("started_at").alias("at"), F.lit(1).alias("kind"), "attempt_no", "line_id", "finished_at", "outcome")
+    return own.unionByName(grants.select("mail_id", "at", F.lit(0).alias("kind"), *(F.lit(None).cast(t).alias(c) for c, t in nothing.items())))
+
+
+def delivery_fold(attempts: DataFrame, grants: DataFrame, schedule: list[int], most: int, wait: int = 1800) -> DataFrame:
+    """mail_id, state, reason, next_attempt_at, manual_pending, granted and refused (numbers of grants) of each message
+    that has an attempt or a grant, by a fold over both logs in their order.
+
+    A grant gives one more attempt to a blocked message, not before the waiting time after an uncertain attempt is over;
+    any other grant is refused and changes nothing. An attempt under a grant is manual: if it fails, the message is
+    blocked again. An attempt without an outcome leaves its message sending. Logs hold a message's few attempts and
+    grants; repeated rows are rows of their own.
+    """
+    names = ("attempt_no", "line_id", "finished_at", "outcome")
+    event = F.struct("at", "kind", *names)
+    logs = delivery_log(attempts, grants).groupBy("mail_id").agg(F.array_sort(F.collect_list(event)).alias("log"))
+    null = lambda t: F.lit(None).cast(t)
+    kinds = {"state": "string", "reason": "string", "due": "long", "pending": "boolean", "until": "long", "granted": "long", "refused": "long"}
+    start = F.struct(*(x.cast(kinds[n]).alias(n) for n, x in {"state": F.lit("pending"), "reason": null("string"), "due": null("long"), "pending": F.lit(False), "until": null("long"), "granted": F.lit(0), "refused": F.lit(0)}.items()))
+
+    def step(s: Column, e: Column) -> Column:
+        change = lambda **new: F.struct(*(new.get(n, s[n]).cast(t).alias(n) for n, t in kinds.items()))
+        wanted = (s["state"] == "blocked") & ~s["pending"]
+        grant = F.when(wanted, change(state=F.lit("pending"), reason=null("string"), due=F.greatest(e["at"], s["until"]), pending=F.lit(True), granted=s["granted"] + 1)).otherwise(change(refused=s["refused"] + 1))
+        unsure = e["outcome"] == "uncertain"
+        over = s["pending"] | (e["attempt_no"] >= most)
+        state = F.when(e["outcome"].isNull(), "sending").when(e["outcome"] == "accepted", "accepted").when((e["outcome"] == "permanent") | over, "blocked").when(unsure, "uncertain").otherwise("retry")
+        reason = F.when(state == "blocked", F.when(e["outcome"] == "permanent", "permanent").when(s["pending"], "manual_attempt_failed").otherwise("retry_exhausted"))
+        due = F.when(state.isin("uncertain", "retry"), e["finished_at"] + retry_delay(e["attempt_no"], schedule, unsure, wait))
+        return F.when(e["kind"] == 0, grant).otherwise(change(state=state, reason=reason, due=due, pending=F.lit(False), until=F.when(unsure, e["finished_at"] + wait)))
+
+    rows = logs.select("mail_id", F.aggregate("log", start, step).alias("s"))
+    return rows.select("mail_id", "s.state", "s.reason", F.col("s.due").alias("next_attempt_at"), F.col("s.pending").alias("manual_pending"), "s.granted", "s.refused")
+
+
 def delivery_audit(messages: DataFrame, attempts: DataFrame, schedule: list[int], most: int) -> DataFrame:
     """Messages whose stored state, or else due time, is not what their attempts say: stored, computed, stored_due,
     computed_due and the rule that is broken (state or due). Every message is audited: without an attempt it must be

@@ -51,6 +51,28 @@ def _(spark, sf):
     return ops.delivery_state(view(spark, sf, "attempt"), _SCHEDULE, 6)
 
 
+#: The fold as a recursion: a message's log is numbered, and each step takes the next row of every message.
+FOLDED = """log AS (SELECT *, row_number() OVER (PARTITION BY mail_id ORDER BY begun, kind, attempt_no, line_id, finished_at NULLS FIRST, outcome NULLS FIRST) AS i FROM (
+  SELECT mail_id, started_at AS begun, 1 AS kind, attempt_no, line_id, finished_at, outcome FROM attempt UNION ALL SELECT mail_id, granted_at, 0, NULL, NULL, NULL, NULL FROM manual_grant)),
+walk AS (
+  SELECT DISTINCT mail_id, 0::BIGINT AS i, 'pending' AS state, NULL::VARCHAR AS reason, NULL::BIGINT AS due, false AS pending, NULL::BIGINT AS until, 0::BIGINT AS granted, 0::BIGINT AS refused FROM log
+  UNION ALL
+  SELECT mail_id, i + 1, CASE WHEN kind = 0 THEN CASE WHEN able THEN 'pending' ELSE state END ELSE after END,
+    CASE WHEN kind = 0 THEN CASE WHEN able THEN NULL ELSE reason END WHEN after = 'blocked' THEN CASE WHEN outcome = 'permanent' THEN 'permanent' WHEN pending THEN 'manual_attempt_failed' ELSE 'retry_exhausted' END END,
+    CASE WHEN kind = 0 THEN CASE WHEN able THEN greatest(begun, until) ELSE due END WHEN after = 'uncertain' THEN finished_at + greatest(w, 1800) WHEN after = 'retry' THEN finished_at + w END,
+    CASE WHEN kind = 0 THEN pending OR able ELSE false END, CASE WHEN kind = 0 THEN until WHEN outcome = 'uncertain' THEN finished_at + 1800 END,
+    granted + CASE WHEN kind = 0 AND able THEN 1 ELSE 0 END, refused + CASE WHEN kind = 0 AND NOT able THEN 1 ELSE 0 END
+  FROM (SELECT w.*, l.begun, l.kind, l.attempt_no, l.finished_at, l.outcome, w.state = 'blocked' AND NOT w.pending AS able, CASE least(l.attempt_no, 3) WHEN 1 THEN 300 WHEN 2 THEN 1800 ELSE 7200 END AS w,
+      CASE WHEN l.outcome IS NULL THEN 'sending' WHEN l.outcome = 'accepted' THEN 'accepted' WHEN l.outcome = 'permanent' OR w.pending OR l.attempt_no >= 6 THEN 'blocked' WHEN l.outcome = 'uncertain' THEN 'uncertain' ELSE 'retry' END AS after
+    FROM walk w JOIN log l ON l.mail_id = w.mail_id AND l.i = w.i + 1))
+SELECT mail_id, state, reason, due AS next_attempt_at, pending AS manual_pending, granted, refused FROM walk SEMI JOIN (SELECT mail_id, count(*) AS i FROM log GROUP BY mail_id) USING (mail_id, i)"""
+
+
+@query("delivery_fold", oracle(f"WITH {FOLDED}", "attempt", "manual_grant").replace("WITH ", "WITH RECURSIVE ", 1))
+def _(spark, sf):
+    return ops.delivery_fold(view(spark, sf, "attempt"), view(spark, sf, "manual_grant").withColumnRenamed("granted_at", "at"), _SCHEDULE, 6)
+
+
 @query("delivery_audit", oracle("""WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY mail_id ORDER BY attempt_no DESC, started_at DESC, line_id DESC) AS i FROM attempt),
 final AS (SELECT * FROM numbered WHERE i = 1),
 expected AS (

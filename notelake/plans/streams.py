@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.delivery import delivery_log
 from ..registry import query
 from ..sources.bindings import T0, oracle
 from ..streaming import jobs
-from .delivery import _STATE
+from .delivery import _STATE, FOLDED
 from .notices import _CHANGES
 
 
@@ -85,3 +86,11 @@ def _(spark, sf):
 FROM (SELECT *, CASE least(attempt_no, 3) WHEN 1 THEN 300 WHEN 2 THEN 1800 ELSE 7200 END AS w FROM state)""", "attempt"))
 def _(spark, sf):
     return jobs.drained(jobs.delivery(_attempts(spark, sf)), jobs.scratch(spark))
+
+
+@query("stream_grants", oracle(f"WITH {FOLDED}", "attempt", "manual_grant").replace("WITH ", "WITH RECURSIVE ", 1))
+def _(spark, sf):
+    orders = jobs.file_stream(spark, f"{sf}/orders.parquet").selectExpr("o_orderkey AS mail_id", "o_custkey", "unix_seconds(CAST(o_orderdate AS TIMESTAMP)) AS day")
+    times = F.expr("array_compact(array(IF(mail_id % 3 < 2, day + (mail_id * 7 % 130) * 86400, NULL), IF(mail_id % 5 = 1, day + (o_custkey * 11 % 150) * 86400, NULL)))")
+    grants = orders.select("mail_id", F.explode(times).alias("at"))
+    return jobs.drained(jobs.delivery_with_grants(delivery_log(_attempts(spark, sf), grants)), jobs.scratch(spark))

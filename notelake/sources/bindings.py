@@ -137,6 +137,9 @@ SELECT l_orderkey AS mail_id, l_linenumber AS attempt_no, EPOCH[l_shipdate] AS s
   CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN CASE WHEN l_linestatus = 'F' THEN 'permanent' ELSE 'temporary' END ELSE CASE WHEN l_linestatus = 'F' THEN 'uncertain' END END AS outcome,
   CASE WHEN l_partkey % 3 = 0 THEN 'channel' ELSE 'message' END AS scope
 FROM lineitem""",
+    "manual_grant": """
+SELECT o_orderkey AS mail_id, EPOCH[o_orderdate] + (o_orderkey * 7 % 130) * 86400 AS granted_at FROM orders WHERE o_orderkey % 3 < 2
+UNION ALL SELECT o_orderkey, EPOCH[o_orderdate] + (o_custkey * 11 % 150) * 86400 FROM orders WHERE o_orderkey % 5 = 1""",
     "event": """
 SELECT o_orderkey AS event_id, o_custkey % 20 AS installation, o_custkey AS document_id, EPOCH[o_orderdate] AS occurred_at,
   CASE WHEN o_orderpriority LIKE '1%' THEN 'immediate' WHEN o_orderpriority LIKE '2%' OR o_orderpriority LIKE '3%' THEN 'digest' ELSE 'none' END AS route,

@@ -7,6 +7,7 @@ again. Functions that fold a key's rows get them as Arrow batches of one key at
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -148,3 +149,47 @@ def _advanced(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> I
 def delivery(attempts: DataFrame) -> DataFrame:
     """State of each message after every batch of attempts that concerns it. State: its last finished attempt."""
     return _folded(attempts, "mail_id", _advanced, "mail_id long, attempt_no long, state string, next_attempt_at long", "attempt_no long, started_at long, line_id long, state string, due long", "append")
+
+
+Event = tuple[int, int, int, int, int, str]
+_FOLDED = "mail_id long, state string, reason string, next_attempt_at long, manual_pending boolean, granted long, refused long"
+
+
+def folded(log: list[Event]) -> tuple:
+    """State of a message after its whole log of (at, kind, attempt_no, line_id, finished_at, outcome); kind 0 is a grant.
+    Numbers that are not there are -1, and a missing outcome is empty."""
+    state, reason, due, pending, until, granted, refused = "pending", None, None, False, -1, 0, 0
+    for at, kind, number, _, finished, outcome in sorted(log):
+        if kind == 0:
+            if state == "blocked" and not pending:
+                state, reason, due, pending, granted = "pending", None, max(at, until), True, granted + 1
+            else:
+                refused += 1
+            continue
+        unsure, reason, due = outcome == "uncertain", None, None
+        if outcome in ("", "accepted"):
+            state = outcome or "sending"
+        elif outcome == "permanent" or pending or number >= MOST_ATTEMPTS:
+            state, reason = "blocked", "permanent" if outcome == "permanent" else "manual_attempt_failed" if pending else "retry_exhausted"
+        else:
+            state, wait = "uncertain" if unsure else "retry", SCHEDULE[min(number, len(SCHEDULE)) - 1]
+            due = finished + (max(wait, LEAST_WAIT) if unsure else wait)
+        pending, until = False, finished + LEAST_WAIT if unsure else -1
+    return state, reason, due, pending, granted, refused
+
+
+def _merged(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    log = json.loads(state.get[0]) if state.exists else []
+    for rows in parts:
+        numbers = rows[["at", "kind", "attempt_no", "line_id", "finished_at"]].astype("Int64").fillna(-1).astype("int64")
+        log += [[*map(int, n), o if isinstance(o, str) else ""] for n, o in zip(numbers.itertuples(index=False), rows["outcome"], strict=True)]
+    state.update((json.dumps(log),))
+    out = pd.DataFrame([(key[0], *folded([tuple(e) for e in log]))], columns=[c.split()[0] for c in _FOLDED.split(", ")])
+    yield out.astype({"next_attempt_at": "Int64", "reason": "string"})
+
+
+def delivery_with_grants(log: DataFrame) -> DataFrame:
+    """State of each message after every batch of its attempts and grants (rows of ``delivery_log``). State: a message's
+    log so far, which is short; what comes late takes its place by its own time, so the last state does not depend on the
+    order of arrival."""
+    return _folded(log, "mail_id", _merged, _FOLDED, "log string", "append")
