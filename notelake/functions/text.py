@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Text whose search form is its lower case: ASCII without the controls that count as white space, and composed Latin
+#: letters that fold to one letter.
+_PLAIN = r"^[\t\n\x0b\f\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00de\u00e0-\u00f6\u00f8-\u00ff]*+$"
+
+
+def search_form(text: str) -> str:
+    """Canonically composed, case-folded by the full table, white space of any kind collapsed."""
+    return " ".join(unicodedata.normalize("NFC", text).casefold().split())
+
+
+def _search_forms(texts: pd.Series) -> pd.Series:
+    return texts.map(search_form, na_action="ignore")
+
+
 def normalize(text: Column) -> Column:
-    """Search form: lower case, sharp s spelled out, white space collapsed."""
-    return F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), r"\s+", " "))
+    """Search form of a text: NFC, case-folded, white space collapsed. Text that is plain stays with built-in functions;
+    only the others go through an Arrow batch."""
+    plain = text.rlike(_PLAIN)
+    return F.when(plain, F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))).otherwise(F.pandas_udf(_search_forms, "string")(F.when(~plain, text)))
 
 
 def visible(text: Column, limit: int) -> Column:

@@ -158,6 +158,17 @@ def _(spark, sf):
     return view(spark, sf, "notice").select("document_id", normalize(F.col("title")).alias("title_text"))
 
 
+#: Endings in decomposed, compatible, final and full-width letters, and white space that is not ASCII.
+_ODD = ["e\u0301 o\u0308", "\u1e9e\u017f \u03a3\u03c2", "\ufb01\u00a0x", "\u2003A\u030a", "\uac00\u11a8", "\u0130", "a\u0323\u0302"]
+
+
+@query("text_composed", oracle(f"""SELECT document_id, trim(regexp_replace(CASE document_id % {len(_ODD)} {' '.join(f"WHEN {i} THEN replace(lower(nfc_normalize(title || ' {x}')), 'ß', 'ss')" for i, x in enumerate(_ODD) if i not in (1, 2, 5))}
+  WHEN 1 THEN replace(lower(nfc_normalize(title)), 'ß', 'ss') || ' sss σσ' WHEN 2 THEN replace(lower(nfc_normalize(title)), 'ß', 'ss') || ' fi x' ELSE replace(lower(nfc_normalize(title)), 'ß', 'ss') || ' i' || chr(775) END, '[\\s\\p{{Z}}]+', ' ', 'g')) AS title_text FROM notice""", "notice"))
+def _(spark, sf):
+    ends = F.element_at(F.array(*map(F.lit, _ODD)), (F.col("document_id") % len(_ODD)).cast("int") + 1)
+    return view(spark, sf, "notice").select("document_id", normalize(F.concat("title", F.lit(" "), ends)).alias("title_text"))
+
+
 @query("text_visible", oracle(r"""
 SELECT document_id, CASE WHEN length(t) > 60 THEN substr(t, 1, 59) || '…' ELSE t END AS line, length(t) > 60 AS cut FROM (SELECT document_id, trim(regexp_replace(body_text, '[\p{C}\s]+', ' ', 'g')) AS t FROM notice)""", "notice"))
 def _(spark, sf):
