@@ -25,7 +25,10 @@ BLOCKS = (
 )
 #: Which open blocks an opening block ends, when they are the innermost one; any block ends a paragraph.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")}
+#: Elements that are no part of a notice's body, and declarations of a style that hide one.
 DROPPED = ("script", "style", "noscript", "template", "nav", "footer", "form")
+HIDING = frozenset({"display:none", "visibility:hidden"})
+#: Of counters, attachment panels, pagers and advertisements; a site's own are a parameter.
 DROPPED_CLASSES = ("counter", "fj", "pager", "ad")
 #: Attributes that are not the notice's own.
 LOST = r"(?:on[a-z]+|data-[a-z-]+|vsb[a-z_]*)"
@@ -38,7 +41,6 @@ _LOST = re.compile(LOST)
 _NONE: list[tuple[str, str]] = []
 _BEGUN = re.compile(r"<(?:/?[A-Za-z]|/?$)")
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
-_HIDES = re.compile(r"(?:^|;)(?:display:none|visibility:hidden)(?:!important)?(?:;|$)")
 
 _NODE = "at int, kind string, name string, depth int, end int, dropped boolean, attributes map<string,string>, text string, html string"
 STREAM = f"page_id long, url string, code string, nodes array<struct<{_NODE.replace(' ', ':').replace(',:', ',')}>>"
@@ -50,9 +52,8 @@ def _after(html: str, mark: str, at: int) -> int | None:
 
 
 def _hidden(attributes: dict[str, str]) -> bool:
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
-    return "style" in attributes and bool(_HIDES.search(_SPACES.sub("", attributes["style"]).lower()))
+    declared = {d.removesuffix("!important") for d in _SPACES.sub("", attributes.get("style", "")).lower().split(";")}
+    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or not HIDING.isdisjoint(declared)
 
 
 class Page:

@@ -44,7 +44,7 @@ token AS MATERIALIZED (
   SELECT page_id, i, t, n, CASE WHEN regexp_matches(t, '^</[a-z].*>$', 'is') THEN 'close' WHEN t[1] <> '<' THEN 'text' WHEN regexp_matches(t, '^<(?:script|style)\\b', 'i') THEN 'skip'
       WHEN regexp_matches(t, '^<[a-z].*>$', 'is') THEN CASE WHEN n IN {tuple(ps.VOID)} THEN 'void' ELSE 'open' END ELSE 'skip' END AS kind,
     n IN {tuple(ps.DROPPED)} OR regexp_matches(t, '\\shidden(?:[\\s=/>]|$)', 'i') OR {_attribute('t', 'aria-hidden')} = 'true'
-      OR regexp_matches(lower(regexp_replace({_attribute('t', 'style')}, '\\s', '', 'g')), '(?:^|;)(?:display:none|visibility:hidden)(?:!important)?(?:;|$)')
+      OR len(list_intersect(list_transform(string_split(lower(regexp_replace({_attribute('t', 'style')}, '\\s', '', 'g')), ';'), lambda x: replace(x, '!important', '')), ['display:none', 'visibility:hidden'])) > 0
       OR len(list_intersect(string_split_regex({_attribute('t', 'class')}, '\\s+'), {list(ps.DROPPED_CLASSES)})) > 0 AS marked
   FROM (SELECT *, lower(regexp_extract(t, '^</?([A-Za-z][^\\s/>]*)', 1)) AS n FROM (SELECT page_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM tokens))),
 walk AS (

@@ -11,8 +11,9 @@ from ..registry import query
 from ..sources.bindings import AT, VIEWS, oracle, view
 from .search import _INDEX, _NORM, _scored, kept_index
 
+WORDING = ops.Wording(vague="recently|lately|some time ago|last year|next week|in 20[0-9]{2}|近期|去年|前阵子", deadline="deadline|due|closes|报名截止|截止", stop="[.?!,;，。？]")
 #: Words after a question's own: expressions of time, some of them twice, wrong, or about a deadline.
-_SAID = ["最近一个月", "近30天", "过去七天", "本月", "上个月", "今年", "今天", "2024-01-02 至 2024-01-09", "2024-02-30到2024-03-01", "2024-01-09~2024-01-02", "本月，上月", "近期", "报名截止本月", "本月截止", "", "去年"]
+_SAID = ["最近一个月", "近30天", "过去七天", "本月", "上个月", "今年", "今天", "2024-01-02 至 2024-01-09", "2024-02-30到2024-03-01", "2024-01-09~2024-01-02", "本月，上月", "近期", "报名截止本月", "本月截止", "", "去年", "lately", "due 今天", "in 2023"]
 _ASKED = "CASE {} % " + str(len(_SAID)) + " " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_SAID)) + " END"
 _HINTS = [(("der ", "die "), ("die",)), (("the ",), ("the", "of")), (("la ", "les "), ("la",))]
 _HINTED = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(question, '{w}')" for w in words) + f" THEN {list(then)}" for words, then in _HINTS) + " ELSE [trim(substr(question, 1, 200))] END"
@@ -33,18 +34,18 @@ def _window(source: str) -> str:
     return f"""f AS (SELECT query_id, question, regexp_matches(question, '{ops.EXPLICIT}') AS explicit, {_FOUND} AS found, {list(ops.WINDOWS)} AS kinds FROM {source}),
 g AS (SELECT *, len(flatten(found)) AS n, list_position(list_transform(found, lambda x: len(x) > 0), true) AS i FROM f),
 h AS (SELECT *, kinds[i] AS kind, CASE WHEN explicit THEN regexp_extract(question, '{ops.EXPLICIT}', 0) ELSE found[i][1] END AS said FROM g),
-i AS (SELECT *, list_last(string_split_regex(substr(question, 1, strpos(question, said) - 1), '{ops.CLAUSE}')) || substr(string_split_regex(substr(question, strpos(question, said) + length(said)), '{ops.CLAUSE}')[1], 1, 12) AS near,
+i AS (SELECT *, list_last(string_split_regex(substr(question, 1, strpos(question, said) - 1), '{WORDING.stop}')) || substr(string_split_regex(substr(question, strpos(question, said) + length(said)), '{WORDING.stop}')[1], 1, 12) AS near,
   CAST(CASE WHEN explicit THEN try_strptime(regexp_extract(question, '{ops.EXPLICIT}', 1), '%Y-%m-%d') WHEN kind = 'last_month' THEN {_TODAY} - INTERVAL 1 MONTH WHEN kind = 'last_30_days' THEN {_TODAY} - 29 WHEN kind = 'last_7_days' THEN {_TODAY} - 6 WHEN kind = 'this_month' THEN date_trunc('month', {_TODAY})
     WHEN kind = 'previous_month' THEN date_trunc('month', {_TODAY}) - INTERVAL 1 MONTH WHEN kind = 'this_year' THEN date_trunc('year', {_TODAY}) WHEN kind = 'today' THEN {_TODAY} END AS DATE) AS b,
   CAST(CASE WHEN explicit THEN try_strptime(regexp_extract(question, '{ops.EXPLICIT}', 2), '%Y-%m-%d') WHEN kind = 'previous_month' THEN date_trunc('month', {_TODAY}) - INTERVAL 1 DAY WHEN kind IS NOT NULL THEN {_TODAY} END AS DATE) AS e FROM h),
-j AS (SELECT *, CASE WHEN n + CAST(explicit AS INT) > 1 THEN 'ambiguous_date_expression' WHEN NOT explicit AND kind IS NULL THEN CASE WHEN regexp_matches(question, '{ops.UNRESOLVED}') THEN 'date_expression_not_resolved' END WHEN regexp_matches(near, '{ops.DEADLINE}') THEN 'deadline_window_not_supported'
+j AS (SELECT *, CASE WHEN n + CAST(explicit AS INT) > 1 THEN 'ambiguous_date_expression' WHEN NOT explicit AND kind IS NULL THEN CASE WHEN regexp_matches(question, '{WORDING.vague}') THEN 'date_expression_not_resolved' END WHEN regexp_matches(near, '{WORDING.deadline}') THEN 'deadline_window_not_supported'
   WHEN explicit AND NOT coalesce(b <= e, false) THEN 'invalid_date_expression' END AS warning FROM i),
 win AS (SELECT query_id, CASE WHEN warning IS NULL THEN b END AS date_from, CASE WHEN warning IS NULL THEN e END AS date_to, CASE WHEN warning IS NULL OR warning = 'deadline_window_not_supported' THEN said END AS expression, warning FROM j)"""
 
 
 @query("publication_window", oracle(f"WITH q AS ({_CONV}), {_window('q')} SELECT * FROM win"))
 def _(spark, sf):
-    return ops.publication_window(_questions(spark, sf), local_date(F.lit(AT)))
+    return ops.publication_window(_questions(spark, sf), local_date(F.lit(AT)), WORDING)
 
 
 @query("seed_keywords", f"WITH q AS ({_CONV}) SELECT query_id, array_to_string({_HINTED}, '|') AS terms FROM q")
@@ -73,7 +74,7 @@ def _(spark, sf):
     unique = seeds.select(F.col("seed").alias("query_id"), F.col("seed").alias("term")).distinct()
     ranked = seeds.join(search.search_rank(kept_index(spark, sf), unique).withColumnRenamed("query_id", "seed"), "seed")
     refused = seeds.join(search.refused(unique).withColumnRenamed("query_id", "seed"), "seed")
-    return ops.question_retrieval(ranked, ops.publication_window(asked, local_date(F.lit(AT))), docs, 2, refused)
+    return ops.question_retrieval(ranked, ops.publication_window(asked, local_date(F.lit(AT)), WORDING), docs, 2, refused)
 
 
 @query("question_warnings", oracle(f"""WITH q AS ({_CONV}), {_window('q')}, st AS (SELECT query_id, 's' || CAST(query_id % 3 + k AS VARCHAR) AS source_id, (query_id + k) % 5 AS m FROM q CROSS JOIN (SELECT unnest([0, 1]) AS k)),
@@ -86,7 +87,7 @@ def _(spark, sf):
         "query_id", F.concat(F.lit("s"), (F.col("query_id") % 3 + F.col("k")).cast("string")).alias("source_id"), F.when(m != 0, F.lit(AT)).alias("last_complete_scan_at"), F.when(m == 1, 100_000).otherwise(10).alias("scan_age"),
         F.when(m == 1, 3).otherwise(0).alias("first_total"), F.when(m == 2, 1).otherwise(0).alias("failed_with_success"), (m == 3).alias("frozen"), F.when(m == 3, 2).otherwise(0).alias("references"),
     )
-    return ops.question_warnings(ops.publication_window(asked, local_date(F.lit(AT))), sources).select("query_id", F.array_join("warnings", ",").alias("warnings"))
+    return ops.question_warnings(ops.publication_window(asked, local_date(F.lit(AT)), WORDING), sources).select("query_id", F.array_join("warnings", ",").alias("warnings"))
 
 
 _QUOTE = "SELECT conv_id AS answer_id, turn AS quote_no, CAST(conv_id % 50 AS BIGINT) AS reference, role AS field, CASE WHEN turn % 3 = 2 THEN 'not shown' ELSE substr(coalesce(text, ''), 3, 12) END AS text FROM conversations WHERE conv_id % 4 > 0"
