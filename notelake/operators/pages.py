@@ -130,6 +130,34 @@ def url_class(links: DataFrame, host: str, column: str) -> DataFrame:
     return rows.select("key", "class", F.when(F.col("class") == "supported", F.concat_ws(":", col, art)).alias("identity"))
 
 
+def url_identity(links: DataFrame, routes: DataFrame) -> DataFrame:
+    """key, route, class and identity (column:article) of each link by a table of routes: route, host, path (a pattern with
+    the column and the article in its groups, or without groups), column_key and article_key (names in the query, which
+    say the ids or say them again).
+
+    The first route of the link's host, by name, whose path it has counts. Ids that are said twice, or not alike in path
+    and query, are ambiguous; ids must be numbers without leading zeros. A link of no route's host is external.
+    """
+    u = F.col("link")
+    own = links.select("key", "link", F.regexp_extract(u, "^https?://([^/:?#]+)", 1).alias("host"), F.regexp_extract(u, "^https?://[^/?#]+([^?#]*)", 1).alias("at"), F.regexp_extract(u, r"\?([^#]*)", 1).alias("query"))
+    both = own.join(routes, "host", "left").withColumn("fits", F.expr("at RLIKE path"))
+    best = both.groupBy("key", "link", "at", "query").agg(F.max(F.col("route").isNotNull()).alias("known"), F.min(F.when(F.col("fits"), F.struct("route", "path", "column_key", "article_key"))).alias("r"))
+    rows = best.select("key", "at", "query", "known", "r.*")
+    pairs = F.transform(F.filter(F.split("query", "&"), lambda x: x.contains("=")), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.substring(x, F.instr(x, "=") + 1, F.length(x)).alias("v")))
+    said = lambda name: F.transform(F.filter("pairs", lambda x: x["k"] == F.col(name)), lambda x: x["v"])
+    grouped = F.col("path").contains("(")
+    in_path = lambda i: F.when(grouped, F.expr(f"regexp_extract(at, if(path LIKE '%(%', path, '()()'), {i})"))
+    rows = rows.withColumn("pairs", pairs).withColumns({"c": said("column_key"), "a": said("article_key"), "pc": in_path(1), "pa": in_path(2)})
+    column, article = F.coalesce("pc", F.get("c", F.lit(0))), F.coalesce("pa", F.get("a", F.lit(0)))
+    differs = lambda path, query: F.coalesce(F.col(path) != F.get(query, F.lit(0)), F.lit(False))
+    number = lambda x: F.coalesce(x.rlike("^[1-9][0-9]*$"), F.lit(False))
+    kind = first_reason([
+        ("external", ~F.col("known")), ("unsupported_route", F.col("route").isNull()), ("ambiguous", (F.size("c") > 1) | (F.size("a") > 1) | differs("pc", "c") | differs("pa", "a")), ("invalid", ~(number(column) & number(article))),
+    ], "supported")
+    rows = rows.withColumn("class", kind)
+    return rows.select("key", "route", "class", F.when(F.col("class") == "supported", F.concat_ws(":", column, article)).alias("identity"))
+
+
 def list_rows(pages: DataFrame, listing: str = "am-list") -> DataFrame:
     """page_id, row_index, href, title, published_date and code of the rows of a list page, in order: the items of the
     first ul of class ``listing``, not those of lists inside them."""

@@ -178,6 +178,25 @@ def _(spark, sf):
     return ops.url_class(spark.sql(_TARGET.replace("FROM pages", "FROM {p}"), p=_pages(spark, sf)), "site.example", "12")
 
 
+#: Route, host, path, and the names of its ids in the query.
+_ROUTES = [
+    ("a", "site.example", r"^/info/([1-9][0-9]*)/([0-9]+)\.htm$", "column", "article"),
+    ("b", "site.example", r"^/show$", "column", "article"),
+    ("c", "else.example", r"^/n/([0-9]+)-([0-9]+)$", "col", "id"),
+]
+_ROUTED = """SELECT page_id AS key, CASE page_id % 9 WHEN 0 THEN concat('https://site.example/show?column=12&article=', CAST(page_id AS STRING)) WHEN 1 THEN concat('https://site.example/info/12/', CAST(page_id AS STRING), '.htm') WHEN 2 THEN concat('https://site.example/info/13/', CAST(page_id AS STRING), '.htm?column=13&x=1&article=', CAST(page_id + page_id % 2 AS STRING))
+  WHEN 3 THEN concat('http://else.example/n/7-', CAST(page_id AS STRING), '?id=', CAST(page_id AS STRING), '#top') WHEN 4 THEN concat('http://else.example/n/7-0', CAST(page_id AS STRING)) WHEN 5 THEN concat('https://site.example/show?column=1&column=1&article=', CAST(page_id AS STRING)) WHEN 6 THEN 'https://site.example/other'
+  WHEN 7 THEN concat('https://third.example/info/12/', CAST(page_id AS STRING), '.htm') ELSE 'https://site.example/show?article=5' END AS link FROM pages"""
+
+
+@query("url_routes", """SELECT page_id AS key, CASE WHEN m IN (1, 2) THEN 'a' WHEN m IN (0, 5, 8) THEN 'b' WHEN m IN (3, 4) THEN 'c' END AS route,
+  CASE WHEN m = 7 THEN 'external' WHEN m = 6 THEN 'unsupported_route' WHEN m = 5 OR (m = 2 AND page_id % 2 = 1) THEN 'ambiguous' WHEN m IN (4, 8) OR page_id = 0 THEN 'invalid' ELSE 'supported' END AS class,
+  CASE WHEN page_id > 0 THEN CASE WHEN m IN (0, 1) THEN '12:' || page_id WHEN m = 2 AND page_id % 2 = 0 THEN '13:' || page_id WHEN m = 3 THEN '7:' || page_id END END AS identity FROM (SELECT page_id, page_id % 9 AS m FROM pages)""")
+def _(spark, sf):
+    routes = spark.createDataFrame(_ROUTES, "route string, host string, path string, column_key string, article_key string")
+    return ops.url_identity(spark.sql(_ROUTED.replace("FROM pages", "FROM {p}"), p=_pages(spark, sf)), routes)
+
+
 @query("list_rows", oracle(f"""WITH r AS (SELECT page_id, url, i AS row_index, CASE i WHEN 0 THEN '/info/12/' || page_id || '.htm' WHEN 1 THEN CASE page_id % 4 WHEN 1 THEN 'a b' WHEN 2 THEN '' ELSE 'x%41.htm' END ELSE CASE WHEN page_id % 3 = 2 THEN '' ELSE '/z' END END AS h,
 CASE i WHEN 0 THEN 'One ' || page_id WHEN 1 THEN 'Two' ELSE '' END AS title, CASE i WHEN 0 THEN '2024-01-0' || (page_id % 9 + 1) WHEN 1 THEN CASE WHEN page_id % 5 <> 3 THEN '2023-12-31' END ELSE CASE WHEN page_id % 3 <> 2 THEN '2024-01-01' END END AS d FROM pages CROSS JOIN (SELECT unnest([0, 1, 2]) AS i))
 SELECT page_id, row_index, CASE WHEN row_index = 2 AND page_id % 3 = 2 THEN 'entry_missing' WHEN h = '' OR h = 'a b' THEN 'detail_url_invalid' WHEN title = '' THEN 'title_missing' WHEN d IS NULL THEN 'published_date_invalid' ELSE 'ok' END AS code, {_full('h')} AS detail_url, title, CAST(d AS DATE) AS published_date FROM r"""))

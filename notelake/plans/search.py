@@ -164,7 +164,7 @@ _BEFORE = """SELECT document_id, source_id, title, published_date, CASE WHEN doc
 
 
 def _before(spark, sf):
-    return view(spark, sf, "notice").createOrReplaceTempView("notice_before") or spark.sql(_BEFORE.replace("FROM notice ", "FROM notice_before "))
+    return spark.sql(_BEFORE.replace("FROM notice ", "FROM {notice} "), notice=view(spark, sf, "notice"))
 
 
 @query("index_delta", oracle(f"""WITH then_ AS ({_BEFORE}), now_ AS (SELECT document_id, current_version_id FROM notice WHERE status = 'processed')

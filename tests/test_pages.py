@@ -139,3 +139,13 @@ def test_long_and_odd_pages(spark, table):
     assert [r.code for r in pages.page_clean(rows).orderBy("page_id").collect()] == ["ok", "truncated", "truncated", "ok"]
     assert pages.page_clean(rows.limit(0)).count() == 0
     assert pages.page_text(rows.where("page_id = 0").withColumn("code", F.lit(1)).withColumn("nodes", F.lit(2))).count() == 1
+
+
+def test_identity_by_a_table_of_routes(spark):
+    routes = spark.createDataFrame([("b", "h.example", r"^/show$", "c", "a"), ("a", "h.example", r"^/([0-9]+)/([0-9]+)$", "c", "a"), ("z", "h.example", r"^/1/.*$", "c", "a")], "route string, host string, path string, column_key string, article_key string")
+    links = ["https://h.example/1/2", "https://h.example/1/2?c=1&a=2", "https://h.example/1/2?a=3", "https://h.example/show?c=1&a=2#x", "https://h.example/show?c=1&c=1&a=2", "https://h.example/show?c=01&a=2", "https://h.example/show?c=1", "https://h.example/1/x?c=1&a=2", "https://h.example/no", "https://g.example/1/2", "", None, "https://h.example/1/2"]
+    got = {r.key: (r.route, r["class"], r.identity) for r in pages.url_identity(spark.createDataFrame(list(enumerate(links)), "key long, link string"), routes).collect()}
+    assert [got[i] for i in range(len(links))] == [
+        ("a", "supported", "1:2"), ("a", "supported", "1:2"), ("a", "ambiguous", None), ("b", "supported", "1:2"), ("b", "ambiguous", None), ("b", "invalid", None), ("b", "invalid", None), ("z", "supported", "1:2"),
+        (None, "unsupported_route", None), (None, "external", None), (None, "external", None), (None, "external", None), ("a", "supported", "1:2"),
+    ]
