@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import local_date
+from ..sources.tables import stored
 
 URGENT = 72 * 3600
 FRESH_DAYS = 6
@@ -60,6 +61,15 @@ def eligibility(facts: DataFrame, constraints: DataFrame, profiles: DataFrame) -
     return rows.withColumn("eligibility", _eligibility()).drop("mismatch", "answered", "asked")
 
 
+def each_profile(rows: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``rows`` of decisions or eligibility with one row for each document and profile: a row for all other profiles is
+    said again for each of them. Its size is documents times profiles, so what can do with ``profiles`` should."""
+    rows = stored(rows, "spread")
+    own, rest = rows.where("profile_id IS NOT NULL"), rows.where("profile_id IS NULL").drop("profile_id")
+    others = rest.crossJoin(F.broadcast(profiles.select("profile_id").distinct())).join(own.select("document_id", "profile_id"), ["document_id", "profile_id"], "left_anti")
+    return own.unionByName(others).drop("profiles")
+
+
 def time_status(at: int) -> Column:
     deadline, opens = F.col("deadline_at"), F.col("opens_at")
     return (

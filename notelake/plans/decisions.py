@@ -51,8 +51,12 @@ spread AS (SELECT document_id, profile_id, 1::BIGINT AS profiles, eligibility, t
 _ALL = ("fact", "requirement", "profile", "topic_match", "profile_topic", "notice", "profile_phrase")
 
 
-def _asked(spark, sf):
-    return view(spark, sf, "requirement").select("document_id", "field", "operator", F.array_compact(F.array("v1", "v2")).alias("values"))
+#: The same over all constraints.
+_ALL_ASKED = "WITH requirement AS (SELECT * FROM asked), "
+
+
+def _asked(spark, sf, name="requirement"):
+    return view(spark, sf, name).select("document_id", "field", "operator", F.array_compact(F.array("v1", "v2")).alias("values"))
 
 
 def _decided(spark, sf):
@@ -62,11 +66,11 @@ def _decided(spark, sf):
     return decisions.decide_batch(view(spark, sf, "fact"), _asked(spark, sf), view(spark, sf, "profile"), flags, AT, _MODE, _NEXT)
 
 
-@query("eligibility", oracle(_JUDGED + """, named AS (SELECT DISTINCT r.document_id, p.profile_id FROM requirement r JOIN profile p USING (field) WHERE actual IS NOT NULL AND operator <> 'unsupported' AND (v1 IS NOT NULL OR v2 IS NOT NULL))
-SELECT document_id, profile_id, eligibility, 1::BIGINT AS profiles FROM judged SEMI JOIN named USING (document_id, profile_id)
-UNION ALL SELECT document_id, NULL, eligibility, count(*) FROM judged ANTI JOIN named USING (document_id, profile_id) GROUP BY ALL""", *_ALL[:3]))
+@query("eligibility", oracle(_JUDGED.replace("WITH ", _ALL_ASKED, 1) + "SELECT document_id, profile_id, eligibility FROM judged", "fact", "asked", "profile"))
 def _(spark, sf):
-    return decisions.eligibility(view(spark, sf, "fact"), _asked(spark, sf), view(spark, sf, "profile")).select("document_id", "profile_id", "eligibility", "profiles")
+    profiles = view(spark, sf, "profile")
+    rows = decisions.eligibility(view(spark, sf, "fact"), _asked(spark, sf, "asked"), profiles)
+    return decisions.each_profile(rows.select("document_id", "profile_id", "eligibility", "profiles"), profiles)
 
 
 @query("time_status", oracle(f"SELECT document_id, {_STATUS} AS time_status FROM fact", "fact"))
