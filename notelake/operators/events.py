@@ -78,6 +78,14 @@ def constraint_results(constraints: DataFrame, profiles: DataFrame) -> DataFrame
     return own.unionByName(rest.select("document_id", F.lit(None).cast("string").alias("profile_id"), "field", F.lit("unknown").alias("result"), "profiles"))
 
 
+def each_result(constraints: DataFrame, profiles: DataFrame) -> DataFrame:
+    """document_id, profile_id, field and result of every constraint for every profile, one row each."""
+    rows = constraint_results(constraints, profiles)
+    known = profiles.where("actual IS NOT NULL").select("profile_id", "field")
+    others = rows.where("profile_id IS NULL").drop("profile_id").crossJoin(F.broadcast(profiles.select("profile_id").distinct())).join(known, ["profile_id", "field"], "left_anti")
+    return rows.where("profile_id IS NOT NULL").unionByName(others).drop("profiles")
+
+
 def activation_inputs(docs: DataFrame, listings: DataFrame, versions: DataFrame) -> DataFrame:
     """Every document with its listing evidence and its current version, whichever there is."""
     v = versions.select("document_id", F.col("version_id").alias("current_version_id"), F.col("published_date").alias("notice_date"), "parser_version")

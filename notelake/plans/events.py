@@ -38,11 +38,9 @@ _RESULTS = """results AS (SELECT r.document_id, q.profile_id, r.field, CASE WHEN
 FROM requirement r CROSS JOIN (SELECT DISTINCT profile_id FROM profile) q LEFT JOIN profile p ON p.field = r.field AND p.profile_id = q.profile_id)"""
 
 
-@query("constraint_results", oracle(f"""WITH {_RESULTS}, own AS (SELECT profile_id, field FROM profile WHERE actual IS NOT NULL)
-SELECT document_id, profile_id, field, result, 1::BIGINT AS profiles FROM results JOIN own USING (profile_id, field)
-UNION ALL SELECT document_id, NULL, field, result, count(*) // any_value(times) FROM (SELECT *, count(*) OVER (PARTITION BY document_id, profile_id, field) AS times FROM results) r ANTI JOIN own USING (profile_id, field), range(times) GROUP BY document_id, field, result, range""", "requirement", "profile"))
+@query("constraint_results", oracle(f"{decided_plans._ALL_ASKED}{_RESULTS} SELECT * FROM results", "asked", "profile"))
 def _(spark, sf):
-    return ops.constraint_results(decided_plans._asked(spark, sf), view(spark, sf, "profile"))
+    return ops.each_result(decided_plans._asked(spark, sf, "asked"), view(spark, sf, "profile"))
 
 
 @query("review_flags", oracle(decided_plans._DECIDED + decided_plans._SPREAD + f""", {_RESULTS}, hit AS (SELECT document_id, profile_id, 1 AS o, 'interest.topic.' || topic AS r FROM topic_match JOIN profile_topic USING (topic) WHERE interest AND coalesce(context, '') NOT IN ('incidental', 'uncertain')

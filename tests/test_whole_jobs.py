@@ -26,3 +26,10 @@ def test_every_document_meets_every_profile(spark, duck):
     profiles = duck.sql("select count(*) from benchmark").fetchall()[0][0] + 4
     documents = duck.sql("select count(*) from documents").fetchall()[0][0]
     assert rows.count() == rows.select("document_id", "profile_id").distinct().where("profile_id IS NOT NULL").count() == documents * profiles
+
+
+def test_every_constraint_has_a_result_for_every_profile(spark, duck):
+    rows = registry.queries()["constraint_results"](spark, DATA)
+    profiles = duck.sql("select count(*) from benchmark").fetchall()[0][0] + 4
+    asked = duck.sql("select count(*) + count(*) + count(*) filter (n_chars % 23 < 3) + count(*) filter (n_chars % 29 = 4) from documents").fetchall()[0][0]
+    assert rows.count() == asked * profiles and rows.where("profile_id IS NULL").count() == 0
