@@ -205,7 +205,7 @@ def _(spark, sf):
     return ops.page_key_equality(rows, rows.where("key % 43 > 0").selectExpr("page", "CASE WHEN key % 27 = 4 THEN key + 1000000 ELSE key END AS key"))
 
 
-@query("constraint_conflicts", oracle("""WITH c AS (SELECT document_id, field, list(list_filter([v1, v2], lambda x: x IS NOT NULL)) AS sets FROM requirement WHERE operator = 'in' GROUP BY document_id, field HAVING count(*) > 1)
-SELECT document_id, field, len(sets) AS constraints FROM c WHERE len(list_filter(sets[1], lambda x: len(list_filter(sets, lambda s: NOT list_contains(s, x))) = 0)) = 0""", "requirement"))
+@query("constraint_conflicts", oracle("""WITH c AS (SELECT document_id, field, list(list_filter([v1, v2], lambda x: x IS NOT NULL)) AS sets FROM asked WHERE operator = 'in' GROUP BY document_id, field HAVING count(*) > 1)
+SELECT document_id, field, len(sets) AS constraints FROM c WHERE len(list_filter(sets[1], lambda x: len(list_filter(sets, lambda s: NOT list_contains(s, x))) = 0)) = 0""", "asked"))
 def _(spark, sf):
-    return ops.constraint_conflicts(decided_plans._asked(spark, sf))
+    return ops.constraint_conflicts(decided_plans._asked(spark, sf, "asked"))

@@ -33,3 +33,10 @@ def test_every_constraint_has_a_result_for_every_profile(spark, duck):
     profiles = duck.sql("select count(*) from benchmark").fetchall()[0][0] + 4
     asked = duck.sql("select count(*) + count(*) + count(*) filter (n_chars % 23 < 3) + count(*) filter (n_chars % 29 = 4) from documents").fetchall()[0][0]
     assert rows.count() == asked * profiles and rows.where("profile_id IS NULL").count() == 0
+
+
+def test_no_conflict_is_left_out(spark, duck):
+    """Documents of all lengths may have conflicts."""
+    want = duck.sql("""select doc_id from documents where n_chars % 29 = 4 and n_chars % 19 > 0 and lang <> 'fr'""").fetchall()
+    got = registry.queries()["constraint_conflicts"](spark, DATA).collect()
+    assert sorted(r.document_id for r in got) == sorted(i for (i,) in want)
