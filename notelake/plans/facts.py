@@ -278,7 +278,7 @@ profile AS (SELECT * FROM {_PROFILES}), profile_topic AS (SELECT * FROM {_INTERE
 topic_match AS ({_expected("topic context is_primary", [(v, t, c, True) for v, t, c in _LINKED] + [(v, t, c, False) for v, t, c in _BODIES])}), """
 
 
-@query("decide_from_facts", oracle(_FROM_FACTS + decided._DECIDED.strip().removeprefix("WITH ").replace(decided._SAID, "said AS (SELECT document_id, profile_id FROM requirement JOIN profile USING (field) WHERE false)") + decided._SPREAD + " SELECT * FROM spread", "ruled"))
+@query("decide_from_facts", oracle(_FROM_FACTS + decided._DECIDED.strip().removeprefix("WITH ").replace(decided._SAID, "said AS (SELECT document_id, profile_id FROM requirement JOIN profile USING (field) WHERE false)") + " SELECT * FROM sent", "ruled"))
 def _(spark, sf):
     """From texts to decisions: rule facts of every notice, for every profile."""
     acts, linked, said, hard, facts = _parts(spark, sf)
@@ -289,4 +289,5 @@ def _(spark, sf):
     asked = asked.unionByName(hard.select("document_id", "field", F.lit("unsupported").alias("operator"), F.array("excerpt").alias("values")))
     matches = linked.select("document_id", "topic", "context", (F.col("field") == "title").alias("is_primary"))
     flags = decisions.interest_flags(matches, spark.sql(f"SELECT * FROM {_INTERESTS}"))
-    return decisions.decide_batch(rows, asked, spark.sql(f"SELECT * FROM {_PROFILES}"), flags, AT, decided._MODE, decided._NEXT)
+    profiles = spark.sql(f"SELECT * FROM {_PROFILES}")
+    return decisions.each_profile(decisions.decide_batch(rows, asked, profiles, flags, AT, decided._MODE, decided._NEXT), profiles)

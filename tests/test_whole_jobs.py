@@ -40,3 +40,9 @@ def test_no_conflict_is_left_out(spark, duck):
     want = duck.sql("""select doc_id from documents where n_chars % 29 = 4 and n_chars % 19 > 0 and lang <> 'fr'""").fetchall()
     got = registry.queries()["constraint_conflicts"](spark, DATA).collect()
     assert sorted(r.document_id for r in got) == sorted(i for (i,) in want)
+
+
+def test_every_profile_is_decided_on_by_name(spark, duck):
+    rows = registry.queries()["decide_from_facts"](spark, "/root/testdata/sf0.001")
+    assert rows.where("profile_id IS NULL").count() == 0 and "profiles" not in rows.columns
+    assert rows.groupBy("document_id").count().where("count <> 2").count() == 0
