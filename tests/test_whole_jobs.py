@@ -8,6 +8,7 @@ import pytest
 from notelake import registry
 
 DATA = "/root/testdata/sf0.01"
+WHOLE = ["query_expand"]
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +47,20 @@ def test_every_profile_is_decided_on_by_name(spark, duck):
     rows = registry.queries()["decide_from_facts"](spark, "/root/testdata/sf0.001")
     assert rows.where("profile_id IS NULL").count() == 0 and "profiles" not in rows.columns
     assert rows.groupBy("document_id").count().where("count <> 2").count() == 0
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_no_query_is_refused(name):
+    """The SQL answers queries of any number of words."""
+    sql = registry.oracle_sql()[name]
+    assert "refused" not in sql and "words" in sql
+
+
+def test_long_queries_are_expanded(spark, duck):
+    """A query of nine or more words has all of them as groups."""
+    got = {}
+    for r in registry.queries()["query_expand"](spark, DATA).collect():
+        got.setdefault(r.query_id, set()).add(r.term)
+    asked = duck.sql("select item_id, lower(substr(text, 1, 40)) from benchmark").fetchall()
+    many = {i: set(t.replace("ß", "ss").split()) for i, t in asked if len(set(t.replace("ß", "ss").split())) > 8}
+    assert many and all(got[i] == words for i, words in many.items())
