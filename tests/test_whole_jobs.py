@@ -8,7 +8,7 @@ import pytest
 from notelake import registry
 
 DATA = "/root/testdata/sf0.01"
-WHOLE = ["query_expand"]
+WHOLE = ["query_expand", "search_match"]
 
 
 @pytest.fixture(scope="module")
