@@ -8,7 +8,7 @@ import pytest
 from notelake import registry
 
 DATA = "/root/testdata/sf0.01"
-WHOLE = ["query_expand", "search_match", "search_prefilter", "search_bm25", "search_batch", "per_source_topk", "retrieval_metrics"]
+WHOLE = ["query_expand", "search_match", "search_prefilter", "search_bm25", "search_batch", "per_source_topk", "retrieval_metrics", "empty_set_queries"]
 
 
 @pytest.fixture(scope="module")
