@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 from notelake import registry
+from notelake.operators import search
 
 DATA = "/root/testdata/sf0.01"
-WHOLE = ["query_expand", "search_match", "search_prefilter", "search_bm25", "search_batch", "per_source_topk", "retrieval_metrics", "empty_set_queries"]
+WHOLE = ["query_expand", "search_match", "search_prefilter", "search_bm25", "search_batch", "per_source_topk", "retrieval_metrics", "empty_set_queries", "search_compare"]
 
 
 @pytest.fixture(scope="module")
@@ -64,3 +65,17 @@ def test_long_queries_are_expanded(spark, duck):
     asked = duck.sql("select item_id, lower(substr(text, 1, 40)) from benchmark").fetchall()
     many = {i: set(t.replace("ß", "ss").split()) for i, t in asked if len(set(t.replace("ß", "ss").split())) > 8}
     assert many and all(got[i] == words for i, words in many.items())
+
+
+def test_a_long_query_is_found(spark):
+    """Every search answers a query of nine words; with a bound on words it is refused."""
+    docs = [(1, "s", "a title", "one two three four five six seven eight nine ten", None, "processed", 1), (2, "s", "", "one two three four five six seven eight", None, "processed", 1)]
+    index = search.indexed(search.index_rows(spark.createDataFrame(docs, "document_id long, source_id string, title string, body_text string, published_date date, status string, current_version_id long")))
+    asked = spark.createDataFrame([(1, "nine eight seven six five four three two one")], "query_id long, term string")
+    ways = {
+        "match": lambda n: search.search_match(index, asked, most=n), "prefilter": lambda n: search.search_prefilter(index, asked, most=n), "bm25": lambda n: search.search_bm25(index, asked, most=n),
+        "batch": lambda n: search.search_batch(index, asked, most=n).where("code IS NULL"), "source": lambda n: search.per_source_topk(index, asked, 2, n), "words": lambda n: search.word_rank(index, asked, n),
+    }
+    for name, way in ways.items():
+        assert [r.document_id for r in way(None).collect()] == [1], name
+        assert way(8).count() == 0, name
