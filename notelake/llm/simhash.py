@@ -6,8 +6,10 @@ are sorted by Gray rank; FANOUT neighbours become a node that holds the bits the
 upwards. A search goes down from the root for all fingerprints at once: a child only tests the bits that its parent
 does not fix, differences add up, and a branch whose sum passes BITS is left out with everything below it.
 
-A group yields as many links as join its components, not all pairs; the links of all groups are then joined by
-distributed connected components. Groups of more than GROUP fingerprints are cut by Gray order into blocks, whose
+A group yields its least spanning forest, the closest links that join its components, not all pairs; and of these only
+links that no earlier choice of blocks says. An order of all links that every group uses keeps the forest of the whole:
+its links are in the forest of each group that holds them. Links of all groups are then joined by distributed connected
+components. Groups of more than GROUP fingerprints are cut by Gray order into blocks, whose
 shared bits are the upper nodes of the group's tree: only pairs of blocks that these do not rule out are searched,
 each by itself, so no group is held whole.
 """
@@ -141,47 +143,93 @@ class GrayIndex:
                 stack.append((level - 1, q, child, far))
 
 
-def _joined(n: int, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs, out of those found among n positions, that join all that these join: of what would be joined in a step, one
-    pair for each part."""
-    root, left, right = np.arange(n), [], []
-    for a, b in found:
-        a, b = a[a != b], b[a != b]
-        while len(a):
-            high, low = np.maximum(root[a], root[b]), np.minimum(root[a], root[b])
-            apart = high != low
-            a, b, high, low = a[apart], b[apart], high[apart], low[apart]
-            if not len(a):
-                break
-            order = np.lexsort((low, high))
-            first = order[np.append(True, high[order][1:] != high[order][:-1])]
-            left.append(a[first])
-            right.append(b[first])
-            root[high[first]] = low[first]
-            while (root != root[root]).any():
-                root = root[root]
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
-
-
-def _linked(bits: int):
+def _union(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Give all that the pairs join the smallest label of theirs."""
+    while len(a):
+        high, low = np.maximum(root[a], root[b]), np.minimum(root[a], root[b])
+        apart = high != low
+        a, b, high, low = a[apart], b[apart], high[apart], low[apart]
+        np.minimum.at(root, high, low)
+        while (root != root[root]).any():
+            root[:] = root[root]
+
+
+def _least_forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of those pairs, given from the least on, that are the least spanning forest of n positions."""
+    root, left, chosen = np.arange(n), np.arange(len(a)), []
+    while True:
+        x, y = root[a[left]], root[b[left]]
+        apart = x != y
+        left, x, y = left[apart], x[apart], y[apart]
+        if not len(left):
+            return np.sort(np.concatenate([np.zeros(0, np.int64), *chosen]))
+        best = np.full((2, n), len(a))
+        best[0, x[::-1]], best[1, y[::-1]] = left[::-1], left[::-1]  # the last one written is the least
+        best = best.min(0)
+        own = np.flatnonzero(best < len(a))
+        up = np.arange(n)
+        up[own] = root[a[best[own]]] + root[b[best[own]]] - own
+        twice = own[(up[up[own]] == own) & (own < up[own])]
+        up[twice] = twice
+        chosen.append(np.unique(best[own]))
+        while (up != up[up]).any():
+            up = up[up]
+        root = up[root]
+
+
+def _forest(prints: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]], bits: int, hold: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs, out of those found among positions of ``prints``, that are their least spanning forest in the order of
+    (bits that differ, smaller and larger fingerprint): the closest links that join all that these join."""
+    n = len(prints)
+    roots = [np.arange(n)] * (bits + 1)  # what the forest so far joins by links of at most so many bits
+    a = b = np.zeros(0, np.int64)
+    held, size = [], 0
+
+    def settled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = np.concatenate([a, *(x for x, _ in held)]), np.concatenate([b, *(y for _, y in held)])
+        far = np.bitwise_count(prints[a] ^ prints[b]).astype(np.int64)
+        order = np.lexsort((np.maximum(prints[a], prints[b]), np.minimum(prints[a], prints[b]), far))
+        a, b, far = a[order], b[order], far[order]
+        keep = _least_forest(n, a, b)
+        a, b, far = a[keep], b[keep], far[keep]
+        for d in range(1, bits + 1):
+            roots[d] = roots[d - 1].copy()
+            _union(roots[d], a[far == d], b[far == d])
+        return a, b
+
+    for x, y in found:
+        x, y = x[x > y], y[x > y]  # a pair is found from both its ends
+        far = np.bitwise_count(prints[x] ^ prints[y]).astype(np.int64)
+        for d in np.unique(far).tolist():
+            at = far == d
+            at[at] = roots[d - 1][x[at]] != roots[d - 1][y[at]]
+            held.append((x[at], y[at]))
+            size += len(held[-1][0])
+        if size >= hold:
+            a, b = settled(a, b)
+            held, size = [], 0
+    return settled(a, b) if size else (a, b)
+
+
+def _linked(bits: int, masks: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch["left"], batch["right"]
-            sizes = pc.list_value_length(left).to_numpy()
-            prints, group = left.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(left)), sizes)
-            # A row without ``right`` is searched for its own fingerprints, a pair of blocks for those of the other.
-            other = pc.fill_null(pc.list_value_length(right), 0).to_numpy()
-            alone = np.flatnonzero((other == 0)[group])
-            queries = np.concatenate((prints[alone], right.flatten().to_numpy().view(np.uint64)))
-            asked = np.concatenate((group[alone], np.repeat(np.arange(len(left)), other)))
+            # A row is a group of a choice, or two blocks of one, of which only links between the two count.
+            left, right = (pc.list_value_length(batch[c]).fill_null(0).to_numpy() for c in ("left", "right"))
+            rows = np.arange(batch.num_rows)
+            group = np.concatenate((np.repeat(rows, left), np.repeat(rows, right)))
+            prints = np.concatenate([batch[c].flatten().to_numpy().view(np.uint64) for c in ("left", "right")])
             if not len(prints):
                 continue
-            # Positions: the fingerprints, then the queries; a row's own queries are its fingerprints.
-            name = np.concatenate((alone, len(prints) + np.arange(len(queries) - len(alone))))
-            every = np.concatenate((prints, queries[len(alone) :]))
-            x, y = _joined(len(every), ((name[q], f) for q, f in GrayIndex(prints, group).search(queries, asked, bits)))
-            yield pa.RecordBatch.from_arrays([pa.array(every[i].view(np.int64)) for i in (x, y)], names=["a", "b"])
+            a, b = _forest(prints, GrayIndex(prints, group).search(prints, group, bits), bits)
+            # Two fingerprints meet in all choices of blocks in which they agree; the first of these says the link.
+            differ, choice = prints[a] ^ prints[b], batch["c"].to_numpy()[group[a]]
+            first = np.full(len(a), len(masks))
+            for i in range(len(masks) - 1, -1, -1):
+                first[(differ & np.uint64(masks[i])) == 0] = i
+            inner = left.sum()
+            own = (first == choice) & ((right[group[a]] == 0) | ((a < inner) != (b < inner)))
+            yield pa.RecordBatch.from_arrays([pa.array(prints[i[own]].view(np.int64)) for i in (a, b)], names=["a", "b"])
 
     return run
 
@@ -201,12 +249,13 @@ def block_masks(blocks: int, agree: int) -> list[int]:
 
 def near_links(prints: DataFrame, bits: int = BITS, blocks: int = BLOCKS, group: int = GROUP) -> DataFrame:
     """``a, b``: links that join all of ``prints`` (fp: distinct longs) within ``bits`` differences, directly or over others."""
-    masks = [m - (1 << 64) if m >> 63 else m for m in block_masks(blocks, blocks - bits)]
+    own = block_masks(blocks, blocks - bits)
+    masks = [m - (1 << 64) if m >> 63 else m for m in own]
     choice = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("g")) for i, m in enumerate(masks))))
     dealt = prints.select("fp", choice.alias("x")).select("fp", F.col("x.c").alias("c"), F.col("x.g").alias("g"))
     # A block is a stretch of Gray ranks within a group; one block is the rule.
     size = stored(dealt.groupBy("c", "g").agg(F.count("*").alias("n")).where("n > 1").select("c", "g", F.ceil(F.col("n") / group).cast("int").alias("parts")), "groups")
-    one = dealt.join(size.where("parts = 1").select("c", "g"), ["c", "g"]).groupBy("c", "g").agg(F.collect_list("fp").alias("left"))
+    one = dealt.join(size.where("parts = 1").select("c", "g"), ["c", "g"]).groupBy("c", "g").agg(F.collect_list("fp").alias("left")).select("c", "left")
     large = stored(dealt.join(size.where("parts > 1"), ["c", "g"]).withColumn("rank", gray_order(F.col("fp"))), "large")
     cuts = large.groupBy("c", "g").agg(F.percentile_approx("rank", [i / CUTS for i in range(1, CUTS)], 16 * CUTS).alias("cuts"))
     at = F.size(F.filter("cuts", lambda x: x <= F.col("rank")))
@@ -221,8 +270,8 @@ def near_links(prints: DataFrame, bits: int = BITS, blocks: int = BLOCKS, group:
     across = pairs.join(blocks.select("c", "g", "part", F.col("fps").alias("left")), ["c", "g", "part"]).join(
         blocks.select("c", "g", F.col("part").alias("other"), F.col("fps").alias("right")), ["c", "g", "other"]
     )
-    every = one.unionByName(blocks.select(F.col("fps").alias("left")), allowMissingColumns=True).select("left").unionByName(across.select("left", "right"), allowMissingColumns=True)
-    return every.select("left", "right").mapInArrow(_linked(bits), "a long, b long").distinct()
+    every = one.unionByName(blocks.select("c", F.col("fps").alias("left"))).unionByName(across.select("c", "left", "right"), allowMissingColumns=True)
+    return every.select("c", "left", "right").mapInArrow(_linked(bits, own), "a long, b long")
 
 
 def _grouped(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:

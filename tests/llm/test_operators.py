@@ -209,6 +209,20 @@ def test_near_links_join_what_is_near(spark, group):
     assert parts(got) == parts(want)
 
 
+@pytest.mark.parametrize("group", [4_096, 64])
+def test_near_links_of_a_large_group_are_few(spark, group):
+    """A group of near copies gives about a link a copy, each once, not one for each choice of blocks or pair of cuts."""
+    rng, prints = np.random.default_rng(7), set()
+    while len(prints) < 400:
+        x = 0x123456789ABCDEF
+        for bit in rng.integers(0, 64, rng.integers(1, 5)):
+            x ^= 1 << int(bit)
+        prints.add(x)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    links = [tuple(r) for r in simhash.near_links(spark.createDataFrame([(signed(x),) for x in prints], "fp long"), 8, 10, group).collect()]
+    assert len({frozenset(x) for x in links}) == len(links) <= 2 * len(prints)
+
+
 def test_mixing(docs, labels):
     domains = labels.select("doc_id", mixing.domain_of_labels().alias("domain"))
     rates = mixing.mixing_rates(docs, domains).collect()
