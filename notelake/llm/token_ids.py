@@ -13,14 +13,17 @@ a shard appear once, however often a task is repeated, on any file system that S
 from __future__ import annotations
 
 import json
+import string
 import struct
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -37,6 +40,8 @@ BLOCK_BITS = 1 << 16
 #: Entries at which a worker's cache of encoded strings forgets those it has not met again; at most twice as many are
 #: held, of words and of other strings each (about 250 bytes an entry).
 CACHE = 250_000
+#: Texts, and about so many bytes of them, that are cut and encoded in one call.
+ROWS, SIZE = 1024, 8 << 20
 
 _FILES = "part int, seq int, before long, n_tokens long, content binary"
 _DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -100,7 +105,7 @@ class WaveletMatrix:
         for b in range(bits - 1, -1, -1):
             one = (now & (1 << b)).astype(bool)
             planes.append(Plane.of(one))
-            now = np.concatenate((now[~one], now[one]))
+            now = np.concatenate((now.compress(~one), now.compress(one)))  # much faster than now[one]
         return cls(len(ids), planes)
 
     def access(self, i: int) -> int:
@@ -146,8 +151,8 @@ class WaveletMatrix:
         for b, level in enumerate(range(len(self.planes) - 1, -1, -1)):
             one = np.unpackbits(self.planes[level].whole(), count=self.n, bitorder="little").view(bool)
             above = np.empty_like(values)
-            above[~one] = values[: self.zeros[level]]
-            above[one] = values[self.zeros[level] :] | kind(1 << b)
+            above[np.flatnonzero(~one)] = values[: self.zeros[level]]
+            above[np.flatnonzero(one)] = values[self.zeros[level] :] | kind(1 << b)
             values = above
         return values
 
@@ -193,7 +198,6 @@ def unpacked(content: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatri
 
 #: A text with one of these is cut more carefully: doubled white space, and any but the space and the line break.
 _ODD = ("  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
-_MARKS = frozenset(",.;:!?")
 
 
 def byte_letters() -> dict[int, str]:
@@ -210,12 +214,16 @@ class Cache:
     def __init__(self, size: int):
         self.size, self.ids, self.old = size, {}, {}
 
-    def missing(self, words: set[str]) -> set[str]:
-        """Those of ``words`` whose ids are not here; the others are, until the next ``turn``."""
-        words = words.difference(self.ids)
-        again = self.old.keys() & words
-        self.ids.update(zip(again, map(self.old.__getitem__, again), strict=True))
-        return words - again
+    def missing(self, words: list[str]) -> list[str]:
+        """Those of ``words`` (each once) whose ids are not here; the others are, until the next ``turn``."""
+        ids, old, new = self.ids, self.old, []
+        for w in words:
+            if w not in ids:
+                if (again := old.get(w)) is None:
+                    new.append(w)
+                else:
+                    ids[w] = again
+        return new
 
     def turn(self) -> None:
         if len(self.ids) > self.size:
@@ -224,9 +232,10 @@ class Cache:
 
 class Encoder:
     """The tokenizer, behind a cache of words. A byte-level pre-tokenizer always splits before a space that is followed
-    by something else, and round a lone line break; so words cut there can be encoded apart, each once, and many in one
-    call with line breaks between them. Texts with other white space are cut at plain spaces only, and texts that hold
-    an added token not at all. Other kinds of tokenizers get whole texts."""
+    by something else, and round a lone line break; so texts are cut there into units, a word with the space or the line
+    break before it, and each unit is encoded once. Arrow cuts many texts in one call and finds the distinct units; ids
+    are then copied by place. Texts with other white space are cut at plain spaces only, and texts that hold an added
+    token not at all. Other kinds of tokenizers get whole texts."""
 
     def __init__(self, path: str, end: int):
         self.tokenizer = Tokenizer.from_file(path)
@@ -234,13 +243,13 @@ class Encoder:
         self.bits = max(1, (max(self.tokenizer.get_vocab_size(), end + 1) - 1).bit_length())
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
         self.end = np.array([end], self.kind).tobytes()
-        self.known = Cache(CACHE)  # of what stands between two spaces, with the space before it
+        self.known = Cache(CACHE)  # of units: a word stands for itself with a space before it
         self.exact = Cache(CACHE)  # of other strings
         parts = json.loads(self.tokenizer.to_str())
         pre = parts.get("pre_tokenizer") or {}
         plain = (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex")) == ("ByteLevel", False, True)
-        self.by_words = plain and parts["model"]["type"] == "BPE" and not parts.get("normalizer") and not parts["model"].get("dropout")
         self.line = self._ids("\n")
+        self.by_words = plain and parts["model"]["type"] == "BPE" and not parts.get("normalizer") and not parts["model"].get("dropout") and len(self.line) == 1
         self.model, self.letters = self.tokenizer.model, byte_letters()
 
     @staticmethod
@@ -272,63 +281,83 @@ class Encoder:
         for at in range(0, len(words), 1_000):
             some = words[at : at + 1_000]
             ids = np.array(self.tokenizer.encode_batch_fast([before + ("\n" + before).join(some)], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.append(np.flatnonzero(ids == self.line[0]), len(ids)) * size if len(self.line) == 1 else ()
+            ends = np.append(np.flatnonzero(ids == self.line[0]), len(ids)) * size
             if len(ends) != len(some):
                 into.update((w, self._one(before + w)) for w in some)
                 continue
             ids, ends = ids.tobytes(), ends.tolist()
             into.update((w, ids[a:b]) for w, a, b in zip(some, [0, *(e + size for e in ends)], ends, strict=False))
 
-    def _learn(self, words: set[str], heads: set[str], other: set[str]) -> None:
-        """Ids of words after a space, of strings at the start of a text (neither with white space but single line
-        breaks), and of any ``other`` strings."""
-        known, exact = self.known, self.exact
-        words, heads = known.missing(words), exact.missing(heads)
-        lined = [(w, w.split("\n")) for w in words if "\n" in w]
-        headed = [(h, h.split("\n")) for h in heads if "\n" in h]
-        words.difference_update(w for w, _ in lined)
-        words.update(known.missing({own[0] for _, own in lined if own[0]}))
-        marked = [w for w in words if w[-1] in _MARKS and w[:-1].isalpha()]
-        words.difference_update(marked)
-        words.update(known.missing({w[:-1] for w in marked}))
-        self._encoded(list(words), known.ids, " ")
-        heads.difference_update(h for h, _ in headed)
-        heads.update(exact.missing({x for _, own in lined for x in own[1:]}.union(x for _, own in headed for x in own).union(_MARKS)))
-        heads.discard("")
-        self._encoded(list(heads), exact.ids)
-        exact.ids[""], line = b"", self.line.tobytes()
-        for w in marked:
-            known.ids[w] = known.ids[w[:-1]] + exact.ids[w[-1]]
-        for w, own in lined:
-            known.ids[w] = line.join([known.ids[own[0]] if own[0] else self._one(" "), *(exact.ids[x] for x in own[1:])])
-        for h, own in headed:
-            exact.ids[h] = line.join([exact.ids[x] for x in own])
-        for w in exact.missing(other):
-            exact.ids[w] = self._one(w)
+    def _learn(self, units: list[str]) -> None:
+        """Ids of units, each given once: a word with a space before it, or a line break and what follows it."""
+        known, line = self.known, self.line.tobytes()
+        new, ended, stems, signs = [], [], [], []
+        for u in known.missing(units):  # letters, and signs after them, are two pieces
+            stem = u.rstrip(string.punctuation)
+            if len(stem) < len(u) and stem.removeprefix("\n").isalpha():
+                ended.append(u)
+                stems.append(stem)
+                signs.append(u[len(stem) :])
+            else:
+                new.append(u)
+        new += known.missing(list(set(stems).difference(new)))
+        lined: dict[str, bytes] = {"": b""}
+        self._encoded([u for u in new if u[0] != "\n"], known.ids, " ")
+        self._encoded([u[1:] for u in new if u[0] == "\n" and len(u) > 1], lined)
+        for u in new:
+            if u[0] == "\n":
+                known.ids[u] = line + lined[u[1:]]
+        self._learn_exact(list(set(signs)))
+        for u, stem, own in zip(ended, stems, signs, strict=True):
+            known.ids[u] = known.ids[stem] + self.exact.ids[own]
+
+    def _learn_exact(self, strings: list[str]) -> None:
+        for w in self.exact.missing(strings):
+            self.exact.ids[w] = self._one(w)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [not self.by_words or any(map(t.__contains__, self.added)) for t in texts]
-        cut = iter(self._by_words([t for t, w in zip(texts, whole, strict=True) if not w]))
-        return [self._one(t) + self.end if w else next(cut) for t, w in zip(texts, whole, strict=True)]
-
-    def _by_words(self, texts: list[str]) -> list[bytes]:
-        odd = [any(map(t.__contains__, _ODD)) or t[:1].isspace() or t[-1:].isspace() for t in texts]
-        cut = [self.pieces(t) if o else t.split(" ") for t, o in zip(texts, odd, strict=True)]
-        words: set[str] = set()
-        words.update(*(own[1:] for own, o in zip(cut, odd, strict=True) if not o))
-        self._learn(words, {own[0] for own, o in zip(cut, odd, strict=True) if not o}, {p for own, o in zip(cut, odd, strict=True) if o for p in own})
-        known, exact, out = self.known.ids.__getitem__, self.exact.ids.__getitem__, []
-        for own, o in zip(cut, odd, strict=True):
-            if o:
-                out.append(b"".join(map(exact, own)) + self.end)
+        out: list[bytes] = [b""] * len(texts)
+        plain = []
+        for i, t in enumerate(texts):
+            if not self.by_words or any(map(t.__contains__, self.added)):
+                out[i] = self._one(t) + self.end
+            elif any(map(t.__contains__, _ODD)) or t[:1].isspace() or t[-1:].isspace():
+                own = self.pieces(t)
+                self._learn_exact(own)
+                out[i] = b"".join(map(self.exact.ids.__getitem__, own)) + self.end
             else:
-                head = exact(own[0])
-                own[0] = ""
-                out.append(head + b"".join(map(known, own[1:])) + self.end)
+                plain.append(i)
+        for i, ids in zip(plain, self._plain([texts[i] for i in plain]), strict=True):
+            out[i] = ids
         self.known.turn()
         self.exact.turn()
         return out
 
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts whose white space is lone spaces and line breaks between words. Each text gets a line break
+        before it, so that its first word has no space; the end id of the text before takes that line break's place."""
+        if not texts:
+            return []
+        lines = pa.array(["\n" + t.replace("\n", " \n") for t in texts], pa.large_string())
+        cut = pc.split_pattern(lines, " ")
+        coded = cut.flatten().dictionary_encode()
+        units = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.ids.get, units))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        self._learn([units[i] for i in new])
+        for i in new:
+            found[i] = self.known.ids[units[i]]
+        flat = np.frombuffer(b"".join(found), self.kind)
+        length = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        unit = coded.indices.to_numpy()
+        n = length[unit]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat((np.cumsum(length) - length)[unit] - (ends - n), n) + np.arange(ends[-1])]
+        stops = ends[np.cumsum(cut.value_lengths().to_numpy()) - 1]
+        ids[stops[:-1]] = np.frombuffer(self.end, self.kind)
+        data, places = ids[1:].tobytes() + self.end, (stops * self.kind.itemsize).tolist()
+        return [data[a:b] for a, b in zip([0, *places[:-1]], places, strict=True)]
+
 
 @lru_cache(maxsize=1)
 def _encoder(path: str, end: int) -> Encoder:
@@ -338,6 +367,15 @@ def _encoder(path: str, end: int) -> Encoder:
     return Encoder(path, end)
 
 
+def portions(batches: Iterator[pa.RecordBatch], rows: int = ROWS, size: int = SIZE) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time: those of a portion after its first take less than ``size`` bytes together."""
+    for batch in slices(batches, rows):
+        ends = np.cumsum(pc.binary_length(batch["body"]).to_numpy(), dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // size)) + 1).tolist(), batch.num_rows]
+        for a, b in pairwise(cuts):
+            yield batch.slice(a, b - a)
+
+
 def _written(path: str, end: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = _encoder(path, end), TaskContext.get().partitionId()
@@ -349,7 +387,7 @@ def _written(path: str, end: int, shard_tokens: int):
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, seq, before, held, content), kinds, strict=True)], names=["part", "seq", "before", "n_tokens", "content"])
 
-        for batch in slices(batches, 512):
+        for batch in portions(batches):
             encoded = encoder.encode([b.decode("utf-8", "replace") for b in batch["body"].to_pylist()])
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoded, strict=True):
                 doc_ids.append(doc_id)

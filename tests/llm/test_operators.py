@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -374,6 +375,26 @@ def test_encoder_on_odd_text():
         assert np.frombuffer(ids, "<u2").tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 2]
 
 
+def test_encoder_gives_the_library_each_stem_once(monkeypatch):
+    e, given = token_ids.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 2), []
+    encoded = e._encoded
+    monkeypatch.setattr(e, "_encoded", lambda words, *rest: (given.extend(words), encoded(words, *rest))[1])
+    stems, signs = ["tea", "été", "字ж", "Straße"], ["", ".", "!!", "###", "'", "''", "_", "'-", "<|>", ",***"]
+    texts = [" ".join(s + x for s in stems) + "\n" + x + " a1" + x + "\ntea" + x for x in signs]
+    for _ in range(2):
+        for t, ids in zip(texts, e.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 2]
+    assert sorted(w for w in given if w.startswith(tuple(stems))) == sorted(stems)
+
+
+def test_portions_are_bounded_by_rows_and_bytes():
+    bodies = [b"x" * n for n in (3, 4, 2, 50, 0, 1, 9, 9, 1)]
+    batch = pa.RecordBatch.from_pydict({"body": pa.array(bodies, pa.binary())})
+    got = [p["body"].to_pylist() for p in token_ids.portions(iter([batch, batch.slice(0, 0)]), 6, 10)]
+    assert [b for p in got for b in p] == bodies
+    assert all(len(p) <= 6 and sum(map(len, p[1:])) < 10 for p in got)
+
+
 def test_wavelet_matrix_reads_few_blocks():
     ids = np.random.default_rng(4).integers(0, 50_000, 400_000).astype("<u2")
     m = token_ids.unpacked(token_ids.packed([1], [400_000], ids, 16))[2]
