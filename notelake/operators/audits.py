@@ -85,7 +85,8 @@ def diagnostics(sources: DataFrame) -> DataFrame:
 
 
 def status_report(docs: DataFrame, runs: DataFrame, at: int) -> DataFrame:
-    """One row a source: documents by state, backlog, rechecks, scans, runs and the codes of its diagnostics."""
+    """One row a source: documents by state, backlog, rechecks, scans, runs and the codes of its diagnostics.
+    ``budget_runs`` is null where no run has finished."""
     first, due = F.col("last_success_at").isNull(), F.col("next_due_at") <= at
     d = docs.groupBy("source_id").agg(
         F.count("*").alias("documents"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(first).alias("backlog"), F.max(F.when(first, at - F.col("discovered_at"))).alias("oldest_backlog_age"),
@@ -97,8 +98,7 @@ def status_report(docs: DataFrame, runs: DataFrame, at: int) -> DataFrame:
     )
     recent = last_rows(runs.where("finished_at IS NOT NULL"), "source_id", [F.desc("started_at"), F.desc("run_no")], 3, "recent")
     budget = recent.groupBy("source_id").agg(F.sum(F.col("over_budget").cast("int")).cast("int").alias("budget_runs"))
-    r = r.join(budget, "source_id", "left").withColumn("budget_runs", F.coalesce("budget_runs", F.lit(0)))
-    rows = d.join(r, "source_id", "left").withColumn("scan_age", at - F.col("last_complete_scan_at"))
+    rows = d.join(r.join(budget, "source_id", "left"), "source_id", "left").withColumn("scan_age", at - F.col("last_complete_scan_at"))
     codes = diagnostics(rows).groupBy("source_id").agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
     return rows.join(codes, "source_id", "left").withColumn("codes", F.coalesce("codes", F.lit("")))
 
