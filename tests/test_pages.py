@@ -149,3 +149,12 @@ def test_identity_by_a_table_of_routes(spark):
         ("a", "supported", "1:2"), ("a", "supported", "1:2"), ("a", "ambiguous", None), ("b", "supported", "1:2"), ("b", "ambiguous", None), ("b", "invalid", None), ("b", "invalid", None), ("z", "supported", "1:2"),
         (None, "unsupported_route", None), (None, "external", None), (None, "external", None), (None, "external", None), ("a", "supported", "1:2"),
     ]
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [("<h1>a&amp", "a&amp"), ("<h1>a&&&amp;&am", "a&&&&am"), ("<h1>&lt;&copy;&#65;&#x42;&copyx;", "<©AB&copyx;"), ("<h1>&nosuch;&amp;lt;", "&nosuch;&lt;")],
+)
+def test_a_title_cut_in_an_entity(table, html, want):
+    """An entity needs its semicolon."""
+    assert [r.title for r in pages.page_fields(table(html), "^Date: (.*)$").collect()] == [want]
