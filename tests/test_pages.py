@@ -158,3 +158,7 @@ def test_identity_by_a_table_of_routes(spark):
 def test_a_title_cut_in_an_entity(table, html, want):
     """An entity needs its semicolon."""
     assert [r.title for r in pages.page_fields(table(html), "^Date: (.*)$").collect()] == [want]
+
+
+def test_text_cut_in_an_entity(table):
+    assert [r.body_text for r in pages.page_text(table("<p>x &amp; y &amp", "<p>&quot;a&quot<br>b&middot;")).orderBy("page_id").collect()] == ["x & y &amp", '"a&quot\nb·']
