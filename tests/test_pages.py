@@ -162,3 +162,14 @@ def test_a_title_cut_in_an_entity(table, html, want):
 
 def test_text_cut_in_an_entity(table):
     assert [r.body_text for r in pages.page_text(table("<p>x &amp; y &amp", "<p>&quot;a&quot<br>b&middot;")).orderBy("page_id").collect()] == ["x & y &amp", '"a&quot\nb·']
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ('a<script>var t="</p>";f(1', "ok"), ('a<script>var t="</p>";</sc', "ok"), ("a<script>f(1", "truncated"), ("a<script>if (x <y", "truncated"), ("a<style>p{}</", "ok"), ("a<!-- b <p>", "ok"),
+        ("a<!-- <p> -", "ok"), ("a<!-- <p> b", "truncated"), ("a<script src='x", "truncated"), ("a<script>", "ok"), ("", "empty_page"),
+    ],
+)
+def test_code_of_a_cut_as_the_sql_has_it(table, html, want):
+    assert [(r.code, r.body) for r in pages.page_clean(table(html)).collect()] == [(want, html[:1])]
