@@ -78,9 +78,18 @@ def _due_again(schedule: list[int]) -> Column:
     return F.when(F.col("state").isin("uncertain", "retry"), F.col("finished_at") + retry_delay(F.col("attempt_no"), schedule, F.col("outcome") == "uncertain"))
 
 
+def last_finished(attempts: DataFrame) -> DataFrame:
+    """The last finished attempt of each message that has one."""
+    return attempts.where("outcome IS NOT NULL").groupBy("mail_id").agg(F.max(F.struct(*_LAST)).alias("l")).select("mail_id", "l.*")
+
+
 def delivery_state(attempts: DataFrame, schedule: list[int], most: int) -> DataFrame:
     """State of each message after its last finished attempt, and when it is due again."""
-    last = attempts.where("outcome IS NOT NULL").groupBy("mail_id").agg(F.max(F.struct(*_LAST)).alias("l")).select("mail_id", "l.*")
+    return state_after(last_finished(attempts), schedule, most)
+
+
+def state_after(last: DataFrame, schedule: list[int], most: int) -> DataFrame:
+    """``delivery_state`` from rows of ``last_finished``."""
     return last.withColumn("state", _after_outcome(most)).select("mail_id", "attempt_no", "state", _due_again(schedule).alias("next_attempt_at"))
 
 
@@ -102,9 +111,14 @@ def delivery_fold(attempts: DataFrame, grants: DataFrame, schedule: list[int], m
     blocked again. An attempt without an outcome leaves its message sending. Logs hold a message's few attempts and
     grants; repeated rows are rows of their own.
     """
+    return log_fold(delivery_log(attempts, grants), schedule, most, wait)
+
+
+def log_fold(log: DataFrame, schedule: list[int], most: int, wait: int = 1800) -> DataFrame:
+    """``delivery_fold`` over rows of ``delivery_log``, in any order."""
     names = ("attempt_no", "line_id", "finished_at", "outcome")
     event = F.struct("at", "kind", *names)
-    logs = delivery_log(attempts, grants).groupBy("mail_id").agg(F.array_sort(F.collect_list(event)).alias("log"))
+    logs = log.groupBy("mail_id").agg(F.array_sort(F.collect_list(event)).alias("log"))
     null = lambda t: F.lit(None).cast(t)
     kinds = {"state": "string", "reason": "string", "due": "long", "pending": "boolean", "until": "long", "granted": "long", "refused": "long"}
     start = F.struct(*(x.cast(kinds[n]).alias(n) for n, x in {"state": F.lit("pending"), "reason": null("string"), "due": null("long"), "pending": F.lit(False), "until": null("long"), "granted": F.lit(0), "refused": F.lit(0)}.items()))

@@ -1,21 +1,23 @@
 """Structured Streaming jobs over files: sessions, hourly counts, repeated bodies, archive, changes, late rows, delivery.
 
-State is bounded by a watermark, or is one small row a key (document, message). A job reads all files there are, writes
-Parquet with a checkpoint in the shared folder, and can be started again from it: what was written once is not written
-again. Functions that fold a key's rows get them as Arrow batches of one key at a time.
+State is bounded by a watermark, or is one small row a key (document), or is a table of rows by key (message) that each
+batch is joined with: all keys of a batch are folded by one query. A job reads all files there are, writes Parquet with a
+checkpoint in the shared folder, and can be started again from it: what was written once is not written again.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.delivery import last_finished, log_fold, state_after
 from ..sources.tables import shared_dir
 
 
@@ -29,8 +31,41 @@ def file_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def drained(stream: DataFrame, folder: str) -> DataFrame:
+@dataclass(frozen=True)
+class Folding:
+    """A stream whose rows are folded by key with what came before. ``fold`` (a batch, what earlier batches kept or None)
+    gives what the batch keeps, and ``shown`` (what it kept, what earlier ones kept or None) its rows of the result.
+    Where ``shown`` is None, both are the same."""
+
+    rows: DataFrame
+    schema: str
+    fold: Callable[[DataFrame, DataFrame | None], DataFrame]
+    result: str
+    shown: Callable[[DataFrame, DataFrame | None], DataFrame] | None = None
+
+    def drained(self, folder: str) -> DataFrame:
+        """A batch has folders of its own, which it writes over if it runs again."""
+        kept, table = f"{folder}/kept", f"{folder}/table"
+
+        def held(spark: SparkSession, test: str) -> DataFrame:
+            return spark.read.schema(f"{self.schema}, batch long").parquet(kept).where(test).drop("batch")
+
+        def add(batch: DataFrame, number: int) -> None:
+            spark = batch.sparkSession
+            before = held(spark, f"batch < {number}") if number else None  # the first batch finds nothing
+            self.fold(batch, before).write.mode("overwrite").parquet(f"{kept}/batch={number}")
+            if self.shown is not None:
+                self.shown(held(spark, f"batch = {number}"), before).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+        self.rows.writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        read = self.rows.sparkSession.read.schema(f"{self.result}, batch long")
+        return read.parquet(kept if self.shown is None else table).drop("batch")
+
+
+def drained(stream: DataFrame | Folding, folder: str) -> DataFrame:
     """Run the stream over what is there now and return its table; the same ``folder`` goes on where it ended."""
+    if isinstance(stream, Folding):
+        return stream.drained(folder)
     job = stream.writeStream.format("parquet").option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     job.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
@@ -107,57 +142,51 @@ def changes(versions: DataFrame) -> DataFrame:
     return _folded(versions, "document_id", _changed, "document_id long, version_id long, change string, event_seq long", "content string, raw string, parser string, seq long", "append")
 
 
-def _judged(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (latest,) = state.get if state.exists else (None,)
-    rows, out = pd.concat(list(parts)).sort_values(["line_id", "started_at", "attempt_no"]), []
-    for r in rows.itertuples():
-        late = latest is not None and r.started_at < latest
-        latest = r.started_at if latest is None else max(latest, r.started_at)
-        out.append((key[0], r.line_id, r.started_at, "late" if late else "accepted"))
-    state.update((int(latest),))
-    yield pd.DataFrame(out, columns=["mail_id", "line_id", "started_at", "verdict"])
+def _judged(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+    own = W.partitionBy("mail_id").orderBy("line_id", "started_at", "attempt_no").rowsBetween(W.unboundedPreceding, -1)
+    latest = F.max("started_at").over(own)
+    if before is not None:
+        batch = batch.join(_earlier(before, batch).groupBy("mail_id").agg(F.max("started_at").alias("latest")), "mail_id", "left")
+        latest = F.greatest(latest, "latest")
+    return batch.select("mail_id", "line_id", "started_at", F.when(F.col("started_at") < latest, "late").otherwise("accepted").alias("verdict"))
 
 
-def late_rows(attempts: DataFrame) -> DataFrame:
-    """Each attempt with a verdict: late if one of its message with a later time came before it. State: one time a key."""
-    return _folded(attempts, "mail_id", _judged, "mail_id long, line_id long, started_at long, verdict string", "latest long", "append")
+def _earlier(before: DataFrame, batch: DataFrame) -> DataFrame:
+    """What was kept of a batch's messages."""
+    return before.join(batch.select("mail_id").distinct(), "mail_id", "left_semi")
+
+
+_LATE = "mail_id long, line_id long, started_at long, verdict string"
+
+
+def late_rows(attempts: DataFrame) -> Folding:
+    """Each attempt with a verdict: late if one of its message with a later time came before it. Attempts of one batch come
+    in order of line, time and number. State: the verdicts themselves."""
+    return Folding(attempts, _LATE, _judged, _LATE)
 
 
 SCHEDULE, LEAST_WAIT, MOST_ATTEMPTS = (300, 1800, 7200), 1800, 6
+_LAST = "mail_id long, attempt_no long, started_at long, line_id long, outcome string, finished_at long"
 
 
-def _advanced(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = state.get if state.exists else (-1, -1, -1, "pending", -1)
-    rows = pd.concat(list(parts)).dropna(subset=["outcome"])
-    for r in rows.itertuples():
-        at = (int(r.attempt_no), int(r.started_at), int(r.line_id))
-        if at <= now[:3]:
-            continue
-        wait = SCHEDULE[min(at[0], len(SCHEDULE)) - 1]
-        if r.outcome == "accepted":
-            now = (*at, "accepted", -1)
-        elif r.outcome == "permanent" or at[0] >= MOST_ATTEMPTS:
-            now = (*at, "blocked", -1)
-        else:
-            unsure = r.outcome == "uncertain"
-            now = (*at, "uncertain" if unsure else "retry", int(r.finished_at) + (max(wait, LEAST_WAIT) if unsure else wait))
-    state.update(now)
-    if now[0] >= 0:
-        yield pd.DataFrame([(key[0], now[0], now[3], None if now[4] < 0 else now[4])], columns=["mail_id", "attempt_no", "state", "next_attempt_at"]).astype({"next_attempt_at": "Int64"})
+def _last(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+    return last_finished(batch if before is None else batch.unionByName(_earlier(before, batch)))
 
 
-def delivery(attempts: DataFrame) -> DataFrame:
+def delivery(attempts: DataFrame) -> Folding:
     """State of each message after every batch of attempts that concerns it. State: its last finished attempt."""
-    return _folded(attempts, "mail_id", _advanced, "mail_id long, attempt_no long, state string, next_attempt_at long", "attempt_no long, started_at long, line_id long, state string, due long", "append")
+    result = "mail_id long, attempt_no long, state string, next_attempt_at long"
+    return Folding(attempts, _LAST, _last, result, lambda own, _: state_after(own, list(SCHEDULE), MOST_ATTEMPTS))
 
 
 Event = tuple[int, int, int, int, int, str]
+_LOG = "mail_id long, at long, kind int, attempt_no long, line_id long, finished_at long, outcome string"
 _FOLDED = "mail_id long, state string, reason string, next_attempt_at long, manual_pending boolean, granted long, refused long"
 
 
 def folded(log: list[Event]) -> tuple:
-    """State of a message after its whole log of (at, kind, attempt_no, line_id, finished_at, outcome); kind 0 is a grant.
-    Numbers that are not there are -1, and a missing outcome is empty."""
+    """``log_fold`` of one message, as a plain loop over its log of (at, kind, attempt_no, line_id, finished_at, outcome);
+    kind 0 is a grant. Numbers that are not there are -1, and a missing outcome is empty."""
     state, reason, due, pending, until, granted, refused = "pending", None, None, False, -1, 0, 0
     for at, kind, number, _, finished, outcome in sorted(log):
         if kind == 0:
@@ -178,18 +207,11 @@ def folded(log: list[Event]) -> tuple:
     return state, reason, due, pending, granted, refused
 
 
-def _merged(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    log = json.loads(state.get[0]) if state.exists else []
-    for rows in parts:
-        numbers = rows[["at", "kind", "attempt_no", "line_id", "finished_at"]].astype("Int64").fillna(-1).astype("int64")
-        log += [[*map(int, n), o if isinstance(o, str) else ""] for n, o in zip(numbers.itertuples(index=False), rows["outcome"], strict=True)]
-    state.update((json.dumps(log),))
-    out = pd.DataFrame([(key[0], *folded([tuple(e) for e in log]))], columns=[c.split()[0] for c in _FOLDED.split(", ")])
-    yield out.astype({"next_attempt_at": "Int64", "reason": "string"})
+def delivery_with_grants(log: DataFrame) -> Folding:
+    """State of each message after every batch of its attempts and grants (rows of ``delivery_log``). State: all rows so
+    far; what comes late takes its place by its own time, so the last state does not depend on the order of arrival."""
 
+    def shown(own: DataFrame, before: DataFrame | None) -> DataFrame:
+        return log_fold(own if before is None else own.unionByName(_earlier(before, own)), list(SCHEDULE), MOST_ATTEMPTS, LEAST_WAIT)
 
-def delivery_with_grants(log: DataFrame) -> DataFrame:
-    """State of each message after every batch of its attempts and grants (rows of ``delivery_log``). State: a message's
-    log so far, which is short; what comes late takes its place by its own time, so the last state does not depend on the
-    order of arrival."""
-    return _folded(log, "mail_id", _merged, _FOLDED, "log string", "append")
+    return Folding(log, _LOG, lambda batch, _: batch, _FOLDED, shown)
