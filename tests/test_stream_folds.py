@@ -37,6 +37,23 @@ def split(rows, seed, n):
     return parts
 
 
+def late(parts):
+    latest, out = {}, []
+    for part in parts:
+        for m, n, t, line, *_ in sorted(part, key=lambda r: (r[0], r[3], r[2], r[1])):
+            out.append((m, line, t, "late" if m in latest and t < latest[m] else "accepted"))
+            latest[m] = max(t, latest.get(m, t))
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_late_rows(spark, tmp_path, n):
+    parts = split(attempts(1), 2, n)
+    got = run(spark, tmp_path, parts, lambda s: jobs.late_rows(s.select("mail_id", "line_id", "started_at", "attempt_no")))
+    for i in range(n):
+        assert got[i] == sorted(late(parts[: i + 1]), key=str)
+
+
 @pytest.mark.parametrize("n", [1, 3])
 def test_delivery(spark, tmp_path, n):
     parts, want = split(attempts(3), 4, n), []
