@@ -63,3 +63,13 @@ def test_delivery(spark, tmp_path, n):
         own = spark.createDataFrame([r for r in so_far if r[0] in mails], ATTEMPT)
         want += map(tuple, delivery.delivery_state(own, [300, 1800, 7200], 6).collect())
         assert got[i] == sorted(want, key=str)
+
+
+def test_no_key_goes_through_python(spark):
+    rows = spark.createDataFrame([(1, 1, 5, 1, 9, "accepted")], ATTEMPT)
+    log = delivery.delivery_log(rows, rows.selectExpr("mail_id", "started_at AS at"))
+    for job in (jobs.late_rows(rows), jobs.delivery(rows), jobs.delivery_with_grants(log)):
+        kept = job.fold(job.rows, None)
+        for df in (kept, job.fold(job.rows, kept), job.shown(kept, kept) if job.shown else kept):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Python" not in plan and "Pandas" not in plan
